@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarmesh.llm import decontaminate, exact_dedup, langid, packing, token_counts
+from polarmesh.llm import chat, decontaminate, exact_dedup, langid, packing, quality, token_counts, url_filter
 from polarmesh.llm.shared import held_out, table
 
 
+# The rules of the contract.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -24,6 +28,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.preference_examples(chat.preference_segments(conversations, chat.consecutive_pairs(conversations)))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out()))
@@ -36,7 +55,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_exact_dedup, op9_language_id, op10_decontamination)
+    f.__name__: f
+    for f in (op1_token_counts, op2_best_fit_packing, op3_exact_dedup, op4_quality, op5_chat_formatting, op8_url_filters, op9_language_id, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -45,5 +65,33 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
+""",
+    "op5_chat_formatting": r"""
+WITH m AS (
+  SELECT DISTINCT conv_id, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id - 2 * CAST(floor(conv_id / 2.0) AS BIGINT) AS odd,
+    coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT pair_id, turn, string_agg(CASE WHEN odd = 0 THEN role || chr(1) || text END, chr(2) ORDER BY role, text) AS c,
+    string_agg(CASE WHEN odd = 1 THEN role || chr(1) || text END, chr(2) ORDER BY role, text) AS r
+  FROM m GROUP BY pair_id, turn),
+e AS (SELECT pair_id, min(CASE WHEN c IS DISTINCT FROM r THEN turn END) AS stop FROM t GROUP BY pair_id),
+s AS (
+  SELECT m.pair_id, CASE WHEN e.stop IS NULL OR m.turn < e.stop THEN 'prompt' WHEN m.odd = 0 THEN 'chosen' ELSE 'rejected' END AS part,
+    m.odd, m.turn, m.role, m.text, '<|' || m.role || '|>' || chr(10) AS head, m.text || '<|end|>' || chr(10) AS body
+  FROM m JOIN e ON m.pair_id = e.pair_id),
+o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS after
+  FROM s WHERE part <> 'prompt' OR odd = 0),
+x AS (
+  SELECT pair_id, part, string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
+    string_agg(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(CAST(after - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(after AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, text) AS mask
+  FROM o GROUP BY pair_id, part)
+SELECT e.pair_id, coalesce(p.rendered, '') AS prompt, coalesce(c.rendered, '') AS chosen, coalesce(r.rendered, '') AS rejected,
+  coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM e
+LEFT JOIN x AS p ON p.pair_id = e.pair_id AND p.part = 'prompt'
+LEFT JOIN x AS c ON c.pair_id = e.pair_id AND c.part = 'chosen'
+LEFT JOIN x AS r ON r.pair_id = e.pair_id AND r.part = 'rejected'
 """,
 }

@@ -81,3 +81,14 @@ def shingles(hashes: np.ndarray, by_text: np.ndarray, size: int) -> tuple[np.nda
         word = np.where(left > k, padded[at + k], np.uint64(k + 1))
         out = out * BASE + word
     return mix(out), out_by_text
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The byte at which each word of `words` starts."""
+    inside = IS_WORD[data]
+    first = inside.copy()
+    if len(data):
+        first[1:] &= ~inside[:-1]
+        edges = offsets[:-1][offsets[:-1] < len(data)]
+        first[edges] = inside[edges]
+    return np.flatnonzero(first)
