@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarmesh.llm import chat, decontaminate, exact_dedup, langid, packing, quality, token_counts, url_filter
+from polarmesh.llm import chat, decontaminate, exact_dedup, html_extract, langid, near_dedup, packing, quality, token_counts, url_filter
 from polarmesh.llm.shared import held_out, table
 
 
@@ -39,6 +39,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_examples(chat.preference_segments(conversations, chat.consecutive_pairs(conversations)))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -56,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_best_fit_packing, op3_exact_dedup, op4_quality, op5_chat_formatting, op8_url_filters, op9_language_id, op10_decontamination)
+    for f in (op1_token_counts, op2_best_fit_packing, op3_exact_dedup, op4_quality, op5_chat_formatting, op6_html_extraction, op7_near_dedup, op8_url_filters, op9_language_id, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
