@@ -1 +1 @@
-
+"""Column functions: geometry, calendar, statistics."""
