@@ -123,7 +123,7 @@ def distribute_runoff(rivers: DataFrame, nodes: DataFrame, patches: DataFrame, r
     at_coast = wet.join(near, "cell_id").groupBy("time", "coast_id").agg(F.sum("mass").alias("mass"))
     used = coast.join(at_coast.select(F.col("coast_id").alias("source_id")).distinct(), "source_id", "left_semi")
     pairs = within_radius(used.select(F.col("source_id").alias("target_id"), "lon", "lat"), nodes.select(F.col("node_id").alias("source_id"), "lon", "lat"), radius, earth)
-    pairs = pairs.select(F.col("target_id").alias("coast_id"), F.col("source_id").alias("node_id"), "distance").join(patches, "node_id")
+    pairs = pairs.select(F.col("target_id").alias("coast_id"), F.col("source_id").alias("node_id"), F.when(F.col("target_id") == F.col("source_id"), F.lit(0.0)).otherwise(F.col("distance")).alias("distance")).join(patches, "node_id")
     far = pairs.groupBy("coast_id").agg(F.max("distance").alias("far"))
     weighed = pairs.join(far, "coast_id").withColumn("w", F.when(F.col("far") > 0, F.col("patch") * (1 - F.try_divide("distance", "far"))).otherwise(F.when(F.col("node_id") == F.col("coast_id"), F.lit(1.0)).otherwise(F.lit(0.0))))
     total = weighed.groupBy("coast_id").agg(F.sum("w").alias("total"))

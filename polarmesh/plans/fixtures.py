@@ -74,6 +74,8 @@ def sql(body: str, recursive: bool = False) -> str:
     for name in CTE:
         if name in body:
             need(name)
+    if not used:
+        return body.strip()
     views = ", ".join(f"{n} AS ({CTE[n]})" for n in used)
     body = body.strip()
     head = "WITH RECURSIVE " if recursive else "WITH "

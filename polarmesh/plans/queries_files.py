@@ -1 +1,203 @@
-"""Queries (in preparation)."""
+"""Queries that write files in their own formats and read them back (O-01...O-31, O-122): each gives what went in."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from polarmesh.plans.fixtures import Fixtures
+from polarmesh.plans.queries_series import RING
+from polarmesh.plans.registry import query
+from polarmesh.shared import scratch
+from polarmesh.sinks import files
+from polarmesh.sources import netcdf, state, text
+
+
+@query("SELECT CAST(node_id AS INT) AS node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(coast AS INT) AS coast FROM fx_nodes")
+def o01_read_nodes(fx: Fixtures) -> DataFrame:
+    path = files.write_nodes(fx.nodes, f"{scratch(fx.spark, 'mesh')}/nod2d.out")
+    return text.read_nodes(fx.spark, path).select("node_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "coast")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY elem_id) - 1 AS INT) AS elem_id, CAST(n1 AS INT) AS n1, CAST(n2 AS INT) AS n2, CAST(n3 AS INT) AS n3, round((x1 + x2 + x3) / 3, 6) AS lon, round((y1 + y2 + y3) / 3, 6) AS lat FROM fx_elements JOIN fx_tri USING (elem_id)")
+def o02_read_elements(fx: Fixtures) -> DataFrame:
+    path = files.write_elements(fx.elements, f"{scratch(fx.spark, 'mesh')}/elem2d.out")
+    return text.read_elements(fx.spark, path, fx.nodes).select("elem_id", "n1", "n2", "n3", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("SELECT CAST(node_id AS INT) AS node_id, round(depth, 3) AS depth FROM fx_nodes")
+def o03_read_depths(fx: Fixtures) -> DataFrame:
+    path = files.write_levels_and_depths(fx.levels, fx.nodes.select("node_id", "depth"), f"{scratch(fx.spark, 'mesh')}/aux3d.out")
+    return text.read_levels_and_depths(fx.spark, path)[1].select("node_id", F.round("depth", 3).alias("depth"))
+
+
+@query("SELECT level_idx, depth FROM fx_levels")
+def o04_read_levels(fx: Fixtures) -> DataFrame:
+    path = files.write_column(fx.levels, "level_idx", "depth", f"{scratch(fx.spark, 'mesh')}/depth_zlev.out", header=[str(fx.levels.count())])
+    return text.read_level_depths(fx.spark, path)
+
+
+@query("SELECT CAST(node_id AS INT) AS node_id, cavity_depth FROM fx_nodes")
+def o05_read_cavity_depth(fx: Fixtures) -> DataFrame:
+    path = files.write_column(fx.nodes, "node_id", "cavity_depth", f"{scratch(fx.spark, 'mesh')}/cavity_depth@node.out")
+    return text.read_column(fx.spark, path, "node_id", "cavity_depth")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY elem_id) - 1 AS INT) AS elem_id, CAST(last_layer - 1 AS INT) AS level FROM fx_elements")
+def o06_read_element_levels(fx: Fixtures) -> DataFrame:
+    folder = scratch(fx.spark, "mesh")
+    files.write_column(fx.elements, "elem_id", "last_layer", f"{folder}/elvls.out", "%d")
+    return text.read_element_levels(fx.spark, folder, "last", from_zero=True)
+
+
+@query("SELECT CAST(node_id AS INT) AS node_id, CAST(trunc(depth) AS INT) AS depth FROM fx_nodes")
+def o07_read_whole_depths(fx: Fixtures) -> DataFrame:
+    path = files.write_column(fx.nodes, "node_id", "depth", f"{scratch(fx.spark, 'mesh')}/depth_smooth.out", "%d")
+    return text.read_column(fx.spark, path, "node_id", "depth", "int")
+
+
+@query("SELECT CAST(node_id AS INT) AS node_id, round(depth, 3) AS depth FROM fx_nodes")
+def o08_read_positive_depths(fx: Fixtures) -> DataFrame:
+    path = files.write_column(fx.nodes.withColumn("depth", -F.col("depth")), "node_id", "depth", f"{scratch(fx.spark, 'mesh')}/nodhn.out")
+    return text.read_column(fx.spark, path, "node_id", "depth", negate=True).select("node_id", F.round("depth", 3).alias("depth"))
+
+
+def _yearly_files(fx: Fixtures) -> str:
+    """The field's months as NetCDF files, one for each year, made where the year's rows are."""
+    import numpy as np
+    import pandas as pd
+
+    n = fx.n
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        days = sorted(frame["day"].unique())
+        cube = np.full((len(days), n), np.nan)
+        cube[np.searchsorted(days, frame["day"]), frame["node_id"]] = frame["a_ice"]
+        made = netcdf.write_bytes({"time": len(days), "nod2": n}, {"time": (["time"], np.array(days, np.float64), {"units": "days since 1990-01-01 00:00:00", "calendar": "standard"}), "a_ice": (["time", "nod2"], cube, {"units": "1"})})
+        return pd.DataFrame({"year": [frame["year"].iloc[0]], "content": [made]})
+
+    folder = scratch(fx.spark, "fields")
+    days = fx.field2d.select(F.year("time").alias("year"), F.datediff("time", F.lit("1990-01-01")).alias("day"), "node_id", "a_ice")
+    for row in days.groupBy("year").applyInPandas(build, "year int, content binary").toLocalIterator():
+        files.write_bytes(fx.spark, f"{folder}/a_ice.model.{row['year']}.nc", bytes(row["content"]))
+    return folder
+
+
+@query("SELECT time, CAST(node_id AS INT) AS node_id, round(a_ice, 8) AS a_ice FROM fx_field2d WHERE a_ice IS NOT NULL")
+def o09_netcdf_fields(fx: Fixtures) -> DataFrame:
+    out = netcdf.read_variable(fx.spark, f"{_yearly_files(fx)}/*.nc", "a_ice", {"nod2": "node_id"})
+    return out.where("value IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("value", 8).alias("a_ice"))
+
+
+@query("SELECT time, CAST(node_id AS INT) AS node_id, round(a_ice, 8) AS a_ice FROM fx_field2d WHERE a_ice IS NOT NULL AND year(time) BETWEEN 1996 AND 1997")
+def o11_netcdf_years(fx: Fixtures) -> DataFrame:
+    folder, out = _yearly_files(fx), None
+    for path in netcdf.with_year(fx.spark, folder + "/a_ice*{year}*.nc", (1996, 1998)):
+        one = netcdf.read_variable(fx.spark, path, "a_ice", {"nod2": "node_id"})
+        out = one if out is None else out.unionByName(one)
+    return out.where("value IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("value", 8).alias("a_ice"))
+
+
+_VERTICES = ", ".join(f"({k}, {x!r}e0, {y!r}e0)" for k, (x, y) in enumerate([*RING, RING[0]]))
+
+
+@query(f"SELECT 'Ring' AS name, k AS vertex_idx, x AS lon, y AS lat FROM (VALUES {_VERTICES}) AS v(k, x, y)")
+def o13_read_kml(fx: Fixtures) -> DataFrame:
+    places = " ".join(f"{x},{y},0" for x, y in RING)
+    body = f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><LineString><coordinates>\n{places} bad,tuple\n</coordinates></LineString></Placemark></Document></kml>'
+    folder = scratch(fx.spark, "kml")
+    files.write_bytes(fx.spark, f"{folder}/Ring.kml", body.encode())
+    return text.read_kml(fx.spark, folder)
+
+
+def _bergs(fx: Fixtures) -> DataFrame:
+    return fx.points.select((F.col("point_id") + 1).alias("ib"), F.col("lon").alias("lon_deg"), F.col("lat").alias("lat_deg"), (F.col("point_id") * 1.5).alias("height_ib"), (F.col("point_id") * 2.5).alias("length_ib"), (F.col("point_id") % 5).alias("scaling"), (F.col("point_id") % 365).alias("calving_day"))
+
+
+@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY point_id) AS ib FROM fx_points) SELECT CAST(ib AS INT) AS ib, lon AS lon_deg, lat AS lat_deg, round(point_id * 1.5e0, 6) AS height_ib, round(point_id * 2.5e0, 6) AS length_ib, CAST(point_id % 5 AS INT) AS scaling, CAST(point_id % 365 AS INT) AS calving_day FROM p")
+def o14_read_icebergs(fx: Fixtures) -> DataFrame:
+    folder = scratch(fx.spark, "icebergs")
+    files.write_icebergs(_bergs(fx), folder)
+    return text.read_icebergs(fx.spark, folder).select("ib", "lon_deg", "lat_deg", F.round("height_ib", 6).alias("height_ib"), F.round("length_ib", 6).alias("length_ib"), "scaling", "calving_day")
+
+
+@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS ib FROM fx_points) SELECT CAST(ib AS INT) AS ib, lon AS lon_deg, lat AS lat_deg, CAST(point_id AS BIGINT) AS iceberg_elem, point_id % 2 = 0 AS grounded FROM p")
+def o15_read_iceberg_restart(fx: Fixtures) -> DataFrame:
+    flag = F.when(F.col("point_id") % 2 == 0, "T").otherwise("F")
+    value = {"lon_deg": F.format_string("%.10f", "lon"), "lat_deg": F.format_string("%.10f", "lat"), "iceberg_elem": F.format_string("%d", "point_id"), "grounded": flag, "find_iceberg_elem": F.lit("F"), "melted": F.lit("F"), "calving_day": F.lit("12"), "scaling": F.lit("3"), "u_ib": F.lit("0.1234567-310")}
+    line = F.concat_ws("   ", *[value.get(c, F.lit("0.25E+01")) for c in text.RESTART_COLUMNS])
+    path = files.write_lines(fx.points, "point_id", line, f"{scratch(fx.spark, 'icebergs')}/iceberg.restart")
+    return text.read_iceberg_restart(fx.spark, path).select("ib", "lon_deg", "lat_deg", "iceberg_elem", "grounded")
+
+
+def _state(fx: Fixtures) -> DataFrame:
+    cells = fx.table("pages").selectExpr("CAST(page_id % 3 AS INT) AS rank", "CAST(page_id % 40 AS DOUBLE) AS lon", "CAST(0e0 - floor(page_id / 4e1) AS DOUBLE) AS lat", "CAST(coalesce(html, '') AS BINARY) AS payload")
+    folder = scratch(fx.spark, "state")
+    files.write_state(cells, folder)
+    return state.read_state(fx.spark, folder)
+
+
+@query("SELECT CAST(page_id % 3 AS INT) AS rank, CAST(page_id % 40 AS DOUBLE) AS lon, CAST(0e0 - floor(page_id / 4e1) AS DOUBLE) AS lat, md5(coalesce(html, '')) AS payload FROM pages")
+def o16_state_files(fx: Fixtures) -> DataFrame:
+    return _state(fx).select("rank", "lon", "lat", F.md5("payload").alias("payload"))
+
+
+@query("SELECT CAST(page_id % 3 AS INT) AS rank, count(*) AS expected, count(*) AS found, true AS ok FROM pages GROUP BY 1")
+def o122_verify_conversion(fx: Fixtures) -> DataFrame:
+    cells = _state(fx)
+    return state.verify_conversion(cells, cells)
+
+
+@query("SELECT DISTINCT CAST(page_id % 40 AS DOUBLE) AS lon, CAST(0e0 - floor(page_id / 4e1) AS DOUBLE) AS lat FROM pages")
+def o18_first_cells(fx: Fixtures) -> DataFrame:
+    return state.first_cells(_state(fx)).select("lon", "lat")
+
+
+@query("SELECT CAST(year(time) AS INT) AS year, count(*) AS n FROM fx_field2d GROUP BY 1")
+def o23_yearly_sink(fx: Fixtures) -> DataFrame:
+    path = f"{scratch(fx.spark, 'years')}/series"
+    early = fx.field2d.where("year(time) <= 1998")
+    files.write_years(early, path)
+    files.write_years(fx.field2d, path)  # years that stand there are left as they are
+    return fx.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY elem_id) - 1 AS INT) AS elem_id, depth FROM fx_elements JOIN fx_levels ON level_idx = last_layer")
+def o26_element_depths(fx: Fixtures) -> DataFrame:
+    path = files.write_element_depths(fx.elements, fx.levels, f"{scratch(fx.spark, 'mesh')}/depth@elem.out")
+    return text.read_column(fx.spark, path, "elem_id", "depth")
+
+
+@query("SELECT CAST(7 + (SELECT count(*) FROM fx_nodes) + 2 * (SELECT count(*) FROM fx_elements) + 2 + (SELECT count(*) FROM fx_elements) + 1 AS BIGINT) AS lines")
+def o30_vtk(fx: Fixtures) -> DataFrame:
+    path = files.write_vtk(fx.nodes, fx.elements, f"{scratch(fx.spark, 'vtk')}/mesh.vtk", scalars={"last_layer": "last layer"})
+    return text.lines(fx.spark, path).agg(F.count("*").alias("lines"))
+
+
+@query("SELECT CAST(node_id AS INT) AS id, round(area0, 4) AS area FROM fx_nodes")
+def o31_restart_file(fx: Fixtures) -> DataFrame:
+    data = files.restart_file(fx.nodes.select(F.col("node_id").alias("id"), F.col("area0").alias("area")), "area", 7, "fixture")
+    path = files.write_bytes(fx.spark, f"{scratch(fx.spark, 'restart')}/area.nc", data)
+    return netcdf.read_variable(fx.spark, path, "area", {"node": "id"}).select("id", F.round("value", 4).alias("area"))
+
+
+@query("SELECT CAST(node_id AS BIGINT) AS node_id FROM fx_nodes WHERE lat < -60")
+def o22_saved_mapping(fx: Fixtures) -> DataFrame:
+    folder = scratch(fx.spark, "mappings")
+    make = lambda: fx.nodes.where("lat < -60").select(F.col("node_id").cast("long").alias("node_id"))
+    key = files.mesh_key(fx.nodes, "lat < -60")
+    files.saved_mapping(make, fx.spark, folder, key)
+    return files.saved_mapping(make, fx.spark, folder, key)
+
+
+@query("SELECT DISTINCT CAST(elem_id AS BIGINT) AS elem_id FROM fx_elements WHERE elem_id % 7 = 0 OR elem_id % 5 = 0")
+def o20_forbidden_elements(fx: Fixtures) -> DataFrame:
+    from polarmesh.operators.icebergs import forbidden_elements
+
+    return forbidden_elements(fx.elements.where("elem_id % 7 = 0"), fx.elements.where("elem_id % 5 = 0")).select(F.col("elem_id").cast("long").alias("elem_id"))
+
+
+@query("SELECT CAST(lat_idx AS INT) AS lat, CAST(lon_idx AS INT) AS lon, round(basin_id * 2.5e0, 6) AS mass FROM fx_basins")
+def o21_river_grid(fx: Fixtures) -> DataFrame:
+    flux = fx.basins.select(F.col("lat_idx").alias("lat"), F.col("lon_idx").alias("lon"), F.col("basin_id").cast("double").alias("value"))
+    return netcdf.river_grid(flux, flux.withColumn("value", F.lit(2.5))).select("lat", "lon", F.round("mass", 6).alias("mass"))

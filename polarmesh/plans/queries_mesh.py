@@ -1 +1,155 @@
-"""Queries (in preparation)."""
+"""Queries on mesh topology, repair and smoothing (O-51, O-64, O-95, O-98...O-116)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from polarmesh.operators import gridding, repair, topology
+from polarmesh.plans.fixtures import Fixtures
+from polarmesh.plans.registry import query
+
+
+@query("SELECT id, nbr FROM fx_elem_adj")
+def o51_element_neighbours(fx: Fixtures) -> DataFrame:
+    return topology.element_neighbours(fx.elements)
+
+
+_HAV = "asin(sqrt(least(1e0, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) * 12742e0"
+
+
+@query(f"SELECT a, b, round((p.lon + q.lon) / 2, 6) AS lon, round((p.lat + q.lat) / 2, 6) AS lat, round({_HAV}, 4) AS length_km FROM fx_edge JOIN fx_nodes p ON p.node_id = a JOIN fx_nodes q ON q.node_id = b")
+def o64_edge_lengths(fx: Fixtures) -> DataFrame:
+    return topology.edge_lengths(fx.elements, fx.nodes).select("a", "b", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("length_km", 4).alias("length_km"))
+
+
+@query(f"WITH e AS (SELECT (p.lon + q.lon) / 2 AS lon, (p.lat + q.lat) / 2 AS lat FROM fx_edge JOIN fx_nodes p ON p.node_id = a JOIN fx_nodes q ON q.node_id = b), g AS (SELECT CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx, -8.81e1 + 7e0 * i AS lat, -1.79e2 + 3.57e1 * j AS lon FROM range(8) AS a(i) CROSS JOIN range(10) AS b(j)) SELECT lat_idx, lon_idx, round(min(sqrt(pow(g.lon - e.lon, 2) + pow(g.lat - e.lat, 2))), 7) AS distance FROM g CROSS JOIN e GROUP BY 1, 2")
+def o95_mesh_resolution(fx: Fixtures) -> DataFrame:
+    from polarmesh.operators.neighbours import nearest_planar
+
+    e = topology.edge_lengths(fx.elements, fx.nodes).select(F.struct("a", "b").alias("source_id"), "lon", "lat", "length_km")
+    grid = gridding.regular_grid(fx.spark, -179.0, 35.7, 10, -88.1, 7.0, 8)
+    near = nearest_planar(grid.select(F.struct("lat_idx", "lon_idx").alias("target_id"), "lon", "lat"), e.select("source_id", "lon", "lat"), scaled=False)
+    return near.select("target_id.lat_idx", "target_id.lon_idx", F.round("distance", 7).alias("distance"))
+
+
+@query("SELECT id, string_agg(CAST(nbr AS VARCHAR), ',' ORDER BY nbr) AS nbrs FROM fx_adj GROUP BY id")
+def o98_node_neighbours(fx: Fixtures) -> DataFrame:
+    lists = topology.neighbour_lists(topology.node_neighbours(fx.elements))
+    return lists.select("id", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
+
+
+@query("WITH r2 AS (SELECT DISTINCT a.id, b.nbr FROM fx_adj a JOIN fx_adj b ON b.id = a.nbr WHERE a.id <> b.nbr), r AS (SELECT id, nbr, 1 AS ring FROM fx_adj UNION ALL SELECT r2.id, r2.nbr, 2 FROM r2 LEFT JOIN fx_adj f ON f.id = r2.id AND f.nbr = r2.nbr WHERE f.id IS NULL) SELECT id, nbr, ring FROM r")
+def o99_node_k_ring(fx: Fixtures) -> DataFrame:
+    return topology.k_ring(topology.node_neighbours(fx.elements), 2)
+
+
+@query("WITH r2 AS (SELECT DISTINCT a.id, b.nbr FROM fx_elem_adj a JOIN fx_elem_adj b ON b.id = a.nbr WHERE a.id <> b.nbr), r AS (SELECT id, nbr, 1 AS ring FROM fx_elem_adj UNION ALL SELECT r2.id, r2.nbr, 2 FROM r2 LEFT JOIN fx_elem_adj f ON f.id = r2.id AND f.nbr = r2.nbr WHERE f.id IS NULL) SELECT id, nbr, ring FROM r")
+def o100_element_k_ring(fx: Fixtures) -> DataFrame:
+    return topology.k_ring(topology.element_neighbours(fx.elements), 2)
+
+
+@query("SELECT node_id, string_agg(CAST(elem_id AS VARCHAR), ',' ORDER BY elem_id) AS elems FROM fx_corner GROUP BY node_id")
+def o101_elements_of_nodes(fx: Fixtures) -> DataFrame:
+    return topology.elements_of_nodes(fx.elements).select("node_id", F.array_join(F.transform("elems", lambda x: x.cast("string")), ",").alias("elems"))
+
+
+def _adjacency(fx: Fixtures) -> DataFrame:
+    return topology.node_neighbours(fx.elements)
+
+
+def _depths(fx: Fixtures) -> DataFrame:
+    return fx.nodes.select("node_id", "cavity_depth")
+
+
+@query()
+def o102_ocean_holes(fx: Fixtures) -> DataFrame:
+    ocean = fx.nodes.where("cavity_depth = 0").select(F.col("node_id").alias("id"))
+    return topology.holes(topology.components(ocean, _adjacency(fx)))
+
+
+_REACH = "cav AS (SELECT node_id AS id FROM fx_nodes WHERE cavity_depth < 0), inner_adj AS (SELECT id, nbr FROM fx_adj WHERE id IN (SELECT id FROM cav) AND nbr IN (SELECT id FROM cav)), reach(id, r) AS (SELECT id, id FROM cav UNION SELECT reach.id, inner_adj.nbr FROM reach JOIN inner_adj ON inner_adj.id = reach.r), lab AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"
+
+
+@query(f"WITH {_REACH}, z AS (SELECT component, count(*) AS size FROM lab GROUP BY 1) SELECT n.node_id, CASE WHEN z.size < 4 THEN 0e0 ELSE n.cavity_depth END AS cavity_depth FROM fx_nodes n LEFT JOIN lab ON lab.id = n.node_id LEFT JOIN z ON z.component = lab.component", recursive=True)
+def o103_drop_small(fx: Fixtures) -> DataFrame:
+    return topology.drop_small(_depths(fx), _adjacency(fx), 4)
+
+
+@query()
+def o104_fill_holes(fx: Fixtures) -> DataFrame:
+    return repair.fill_holes(_depths(fx), _adjacency(fx))
+
+
+@query("SELECT id AS node_id FROM fx_adj WHERE id IN (SELECT node_id FROM fx_nodes WHERE cavity_depth < 0) AND nbr IN (SELECT node_id FROM fx_nodes WHERE cavity_depth < 0) GROUP BY id HAVING count(*) = 1")
+def o105_loose_ends(fx: Fixtures) -> DataFrame:
+    return topology.loose_ends(_depths(fx), _adjacency(fx))
+
+
+@query()
+def o106_close_channels(fx: Fixtures) -> DataFrame:
+    return repair.close_channels(_depths(fx), _adjacency(fx))
+
+
+@query()
+def o107_clean_cavity(fx: Fixtures) -> DataFrame:
+    return repair.clean_cavity(_depths(fx), _adjacency(fx), 4)
+
+
+@query("WITH p AS (SELECT e.elem_id, min(least(e.last_layer, n.last_layer) - greatest(e.first_layer, n.first_layer) + 1) AS shared, min(n.first_layer) AS nf, max(n.last_layer) AS nl FROM fx_elements e JOIN fx_elem_adj a ON a.id = e.elem_id JOIN fx_elements n ON n.elem_id = a.nbr GROUP BY 1) SELECT e.elem_id, e.last_layer - e.first_layer + 1 AS active, coalesce(shared, 0) AS shared, coalesce(e.first_layer < nf, false) AS isolated_top, coalesce(e.last_layer > nl, false) AS isolated_floor FROM fx_elements e LEFT JOIN p ON p.elem_id = e.elem_id")
+def o108_layer_overlap(fx: Fixtures) -> DataFrame:
+    return topology.layer_overlap(fx.elements)
+
+
+@query("SELECT a, b, CASE WHEN p.coast = 1 AND q.coast = 1 THEN 0 ELSE least(p.last_layer, q.last_layer) - greatest(p.first_layer, q.first_layer) + 1 END AS overlap FROM fx_edge JOIN fx_nodes p ON p.node_id = a JOIN fx_nodes q ON q.node_id = b")
+def o108_edge_overlap(fx: Fixtures) -> DataFrame:
+    return topology.edge_overlap(fx.elements, fx.nodes)
+
+
+@query("WITH m AS (SELECT a.id AS node_id, avg(n.depth) AS m FROM fx_adj a JOIN fx_nodes n ON n.node_id = a.nbr WHERE n.depth <> -8e1 GROUP BY 1) SELECT n.node_id, round(CASE WHEN n.cavity_depth < 0 AND m IS NOT NULL THEN n.depth * 6e-1 + m * 4e-1 ELSE n.depth END, 7) AS depth FROM fx_nodes n LEFT JOIN m ON m.node_id = n.node_id")
+def o109_laplacian(fx: Fixtures) -> DataFrame:
+    out = repair.laplacian(fx.nodes.select("node_id", "depth"), _adjacency(fx), "depth", 0.4, fx.nodes.where("cavity_depth < 0"), -80.0)
+    return out.select("node_id", F.round("depth", 7).alias("depth"))
+
+
+@query()
+def o110_deepen_floor(fx: Fixtures) -> DataFrame:
+    return repair.deepen_floor(fx.nodes.select("node_id", (F.col("depth") * 3 - 200).alias("depth"), "cavity_depth"), topology.k_ring(_adjacency(fx), 3).select("id", "nbr"))
+
+
+@query()
+def o111_smooth_topography(fx: Fixtures) -> DataFrame:
+    return repair.smooth_topography(fx.nodes, _adjacency(fx))
+
+
+@query("SELECT node_id, CAST(greatest(1, (SELECT count(*) FROM fx_levels l WHERE l.depth >= n.cavity_depth)) AS INT) AS first_layer, CAST(coalesce((SELECT min(l.level_idx) FROM fx_levels l WHERE l.depth <= n.depth) - 1, 12) AS INT) AS last_layer FROM fx_nodes n")
+def o112_node_layers(fx: Fixtures) -> DataFrame:
+    return topology.node_layers(fx.nodes, fx.levels)
+
+
+@query("SELECT node_id, round(least(n.depth, coalesce(l.depth, n.depth)), 6) AS depth FROM fx_nodes n LEFT JOIN fx_levels l ON l.level_idx = n.first_layer + 3")
+def o113_at_least_layers(fx: Fixtures) -> DataFrame:
+    return topology.at_least_layers(fx.nodes, fx.levels).select("node_id", F.round("depth", 6).alias("depth"))
+
+
+@query("WITH o AS (SELECT a, b, p.depth AS da, q.depth AS db, greatest(p.first_layer, q.first_layer) + 4 AS need FROM fx_edge JOIN fx_nodes p ON p.node_id = a JOIN fx_nodes q ON q.node_id = b WHERE NOT (p.coast = 1 AND q.coast = 1) AND least(p.last_layer, q.last_layer) - greatest(p.first_layer, q.first_layer) + 1 < 4 AND least(p.last_layer, q.last_layer) - greatest(p.first_layer, q.first_layer) + 1 <> 0), f AS (SELECT CASE WHEN da >= db THEN a ELSE b END AS node_id, min(l.depth) AS wanted FROM o JOIN fx_levels l ON l.level_idx = o.need GROUP BY 1) SELECT n.node_id, round(least(n.depth, coalesce(f.wanted, n.depth)), 6) AS depth FROM fx_nodes n LEFT JOIN f ON f.node_id = n.node_id")
+def o114_repair_overlap(fx: Fixtures) -> DataFrame:
+    return topology.repair_overlap(fx.elements, fx.nodes, fx.levels, 4).select("node_id", F.round("depth", 6).alias("depth"))
+
+
+@query("WITH b AS (SELECT a, b FROM fx_elem_edge GROUP BY a, b HAVING count(*) = 1), n AS (SELECT a AS node_id FROM b UNION ALL SELECT b FROM b) SELECT node_id, CAST(ceil(count(*) / 2e0) AS INT) AS fans FROM n GROUP BY 1 HAVING count(*) > 2")
+def o115_bottlenecks(fx: Fixtures) -> DataFrame:
+    return topology.bottlenecks(fx.elements)
+
+
+@query()
+def o115_fix_topology(fx: Fixtures) -> DataFrame:
+    return topology.fix_topology(fx.elements, True, True, True, True)
+
+
+_KEPT = "k AS (SELECT elem_id FROM fx_corner JOIN fx_nodes USING (node_id) WHERE depth < -1e2 GROUP BY 1 HAVING count(*) = 3), e AS (SELECT * FROM fx_elements WHERE elem_id IN (SELECT elem_id FROM k)), u AS (SELECT n1 AS node_id FROM e UNION SELECT n2 FROM e UNION SELECT n3 FROM e), r AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS new_id FROM u)"
+
+
+@query(f"WITH {_KEPT} SELECT CAST(row_number() OVER (ORDER BY e.elem_id) - 1 AS BIGINT) AS elem_id, CAST(a.new_id AS BIGINT) AS n1, CAST(b.new_id AS BIGINT) AS n2, CAST(c.new_id AS BIGINT) AS n3 FROM e JOIN r a ON a.node_id = n1 JOIN r b ON b.node_id = n2 JOIN r c ON c.node_id = n3")
+def o116_truncate(fx: Fixtures) -> DataFrame:
+    return topology.truncate(fx.elements, fx.nodes, fx.nodes.where("depth < -100"))[0]
