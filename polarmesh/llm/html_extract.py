@@ -323,7 +323,8 @@ def wrappers(pages: DataFrame, hosts_held: int = 500) -> DataFrame:
                 if len(held) >= hosts_held:
                     yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [json.dumps(w) for w in held.values()]})
                     held, made = {}, made + 1
-        yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [json.dumps(w) for w in held.values()]})
+        if held:
+            yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [json.dumps(w) for w in held.values()]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(frame["wrapper"])
