@@ -71,7 +71,7 @@ class ContentTable:
             self.hashes[at], self.entries[at] = h, e
 
 
-def resolve_locally(docs: DataFrame, task_bytes: int = 64_000_000) -> DataFrame:
+def resolve_locally(docs: DataFrame, task_bytes: int = 32_000_000) -> DataFrame:
     """A row for each row of `docs` with the representative of its text in its map task.
 
     row_id numbers rows (task and place), rep_id is the row_id of the task's
@@ -83,7 +83,7 @@ def resolve_locally(docs: DataFrame, task_bytes: int = 64_000_000) -> DataFrame:
         task, seen = TaskContext.get().partitionId(), 0
         table, reps, digests = ContentTable(), [], []
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for value in batch.column("text"):
                 text = _SPACE.sub(b" ", value.as_buffer().to_pybytes())
                 row, seen = (task << 40) + seen, seen + 1
@@ -92,28 +92,28 @@ def resolve_locally(docs: DataFrame, task_bytes: int = 64_000_000) -> DataFrame:
                 if new:
                     reps.append(row)
                     digests.append(digest.hex())
-                for column, x in zip(out, (row, reps[entry], int.from_bytes(digest[:8], "little", signed=True), digests[entry], text if new else None), strict=True):
+                for column, x in zip(out, (row, reps[entry], int.from_bytes(digest[:8], "little", signed=True), digests[entry], len(text) if new else None, text if new else None), strict=True):
                     column.append(x)
                 if table.bytes > task_bytes:
                     table, reps, digests = ContentTable(), [], []
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "row_id", "rep_id", "hash", "text_sha256", "content"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "row_id", "rep_id", "hash", "text_sha256", "size", "content"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(resolve, f"doc_id {kind}, row_id long, rep_id long, hash long, text_sha256 string, content binary")
+    return docs.mapInArrow(resolve, f"doc_id {kind}, row_id long, rep_id long, hash long, text_sha256 string, size long, content binary")
 
 
-def buckets(contents: DataFrame, bucket_bytes: int, fan_out_bits: int = 6, depths: int = 8) -> DataFrame:
+def buckets(contents: DataFrame, bucket_bytes: int, fan_out_bits: int = 8, depths: int = 8) -> DataFrame:
     """Adds `bucket`, the hash prefix at the depth where its bytes fit `bucket_bytes`.
 
-    Sizes are summed level by level; only buckets that don't fit are split
-    further. Those of a level are at most the corpus's bytes over
+    Sizes (a column of their own: the texts aren't read for this) are summed
+    level by level; only buckets that don't fit are split further. Those of a level are at most the corpus's bytes over
     `bucket_bytes`, and are joined, not collected. Copies of one text can't be
     split; after step 1 there is one for each task, and they are streamed.
     """
     contents = contents.withColumn("bucket", F.shiftrightunsigned("hash", 64 - fan_out_bits).cast("string"))
     for depth in range(2, depths + 1):
-        large = contents.groupBy("bucket").agg(F.sum(F.octet_length("content")).alias("size"), F.countDistinct("hash").alias("texts")).where((F.col("size") > bucket_bytes) & (F.col("texts") > 1)).select("bucket", F.lit(True).alias("large"))
+        large = contents.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high")).where((F.col("bytes") > bucket_bytes) & (F.col("low") < F.col("high"))).select("bucket", F.lit(True).alias("large"))
         if large.isEmpty():
             break
         digit = F.shiftrightunsigned("hash", 64 - depth * fan_out_bits).bitwiseAND((1 << fan_out_bits) - 1)
@@ -132,7 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     local = materialise(resolve_locally(ids_and_text(docs, id_col, text_col)), "grace-rows")
     found = local.groupBy("rep_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
-    contents = buckets(local.where("content is not null").select("rep_id", "hash", "content"), bucket_bytes)
+    contents = buckets(local.where("size is not null").select("rep_id", "hash", "size", "content"), bucket_bytes)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, reps, now = ContentTable(), [], None
@@ -147,7 +147,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 group.append(reps[entry])
             yield pa.RecordBatch.from_arrays([batch.column("rep_id"), pa.array(group, pa.int64())], ["rep_id", "group_id"])
 
-    dealt = contents.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = contents.drop("size").repartition("bucket").sortWithinPartitions("bucket")
     groups = dealt.mapInArrow(resolve, "rep_id long, group_id long")
     by_rep = groups.join(found, "rep_id")
     totals = by_rep.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.min("first").alias("first"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarmesh.llm.shared import materialise
+from polarmesh.llm.shared import materialise, small_batches
 from polarmesh.llm.url_filter import url_parts
 
 # Classes of HTML elements.
@@ -347,6 +347,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     if all together have at most `broadcast_bytes`; else they are joined by
     host.
     """
+    small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), url_parts(F.col(url_col).cast("string"))[0].alias("host"))
     found = materialise(wrappers(source.select("host", "html")), "wrappers")
     size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]

@@ -27,8 +27,8 @@ UNDETERMINED = "und"
 HAS_LETTER = r"\p{L}"
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed subwords of all texts in order, and the offset of each text among them."""
+def subwords(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram order: hashed subwords of all texts in order, and the offset of each text among them."""
     low = LOWER[data]
     if len(data) > 1:  # capitals of Latin-1, whose second byte follows 0xC3
         capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -41,34 +41,30 @@ def subwords(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     if len(low):
         keep[1:] |= letter[:-1] & ~edge[1:-1]  # the first blank after a word stays
     low, by_text = low[keep].astype(np.uint32), np.concatenate([[0], np.cumsum(keep)])[offsets]
-    ends = np.repeat(by_text[1:], np.diff(by_text))
-    at = np.arange(len(low))
-    found, owner = [], []
+    out = []
     for n in ORDERS:
-        if len(low) < n:
-            continue
-        code = np.full(len(low) - n + 1, n, np.uint32)
+        code = np.full(max(0, len(low) - n + 1), n, np.uint32)
         for k in range(n):
-            code = (code ^ low[k : len(low) - n + 1 + k]) * np.uint32(0x01000193)
-        inside = at[: len(code)] + n <= ends[: len(code)]
+            code = (code ^ low[k : k + len(code)]) * np.uint32(0x01000193)
         code ^= code >> np.uint32(15)
         code *= np.uint32(0x2C1B3C6D)
-        found.append((code >> np.uint32(32 - bits))[inside])
-        owner.append(at[: len(code)][inside])
-    if not found:
-        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    owners = np.concatenate(owner)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order], np.searchsorted(owners[order], by_text)
-
-
-def averages(values: np.ndarray, by_text: np.ndarray) -> np.ndarray:
-    """The mean of the rows of each text; zeros for a text without rows."""
-    n = np.diff(by_text)
-    out = np.zeros((len(n), values.shape[1]), np.float64)
-    full = n > 0
+        # of each text, those that begin early enough to end in it
+        inside = np.zeros(len(code) + 1, np.int32)
+        stop = np.maximum(by_text[1:] - n + 1, by_text[:-1])
+        np.add.at(inside, np.minimum(by_text[:-1], len(code)), 1)
+        np.add.at(inside, np.minimum(stop, len(code)), -1)
+        kept = np.cumsum(inside[:-1]) > 0
+        counts = np.concatenate([[0], np.cumsum(stop - by_text[:-1])])
+        out.append(((code >> np.uint32(32 - bits))[kept], counts))
+    return out
+
+
+def sums(values: np.ndarray, by_text: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each text; zeros for a text without rows."""
+    out = np.zeros((len(by_text) - 1, values.shape[1]), np.float64)
+    full = np.diff(by_text) > 0
     if full.any():
-        out[full] = np.add.reduceat(values, by_text[:-1][full], axis=0, dtype=np.float64) / n[full, None]
+        out[full] = np.add.reduceat(values, by_text[:-1][full], axis=0, dtype=np.float64)
     return out
 
 
@@ -89,8 +85,11 @@ class Model:
     reject_below: float
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        codes, by_text = subwords(data, offsets, self.bits)
-        return softmax((averages(self.logits[codes], by_text) + self.bias) / self.temperature)
+        total, n = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1)
+        for codes, by_text in subwords(data, offsets, self.bits):
+            total += sums(self.logits[codes], by_text)
+            n += np.diff(by_text)
+        return softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
 
 
 def fit(texts: list[str], labels: list[str], bits: int = 15, dimension: int = 16, epochs: int = 6, rate: float = 0.5, reject_quantile: float = 0.0005, seed: int = 7) -> Model:
@@ -105,7 +104,7 @@ def fit(texts: list[str], labels: list[str], bits: int = 15, dimension: int = 16
     bags = []
     for text in texts:
         data, offsets = utf8(pa.array([text], pa.string()))
-        codes, counts = np.unique(subwords(data, offsets, bits)[0], return_counts=True)
+        codes, counts = np.unique(np.concatenate([c for c, _ in subwords(data, offsets, bits)]), return_counts=True)
         bags.append((codes, (counts / max(1, counts.sum())).astype(np.float32)))
     embedding = rng.uniform(-1 / dimension, 1 / dimension, (1 << bits, dimension)).astype(np.float32)
     weights, bias = np.zeros((dimension, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -178,7 +177,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         own = shared.value
         names = pa.array(own.languages, pa.string())
         for batch in batches:
-            for part in slices_by_bytes(batch, "text", 1_000_000):
+            for part in slices_by_bytes(batch, "text", 250_000):
                 p = own.probabilities(*utf8(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("has_letter"), names.take(pa.array(p.argmax(axis=1))), pa.array(p.max(axis=1), pa.float64())], ["doc_id", "has_letter", "lang", "p"])
 

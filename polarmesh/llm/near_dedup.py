@@ -11,12 +11,13 @@ frequency times a smoothed inverse document frequency.
    sets agree in a sample with a probability of their weighted Jaccard
    similarity). Texts of equal words are one node from here on.
 3. Nodes that agree in all samples of a band share a bucket. In each bucket
-   the members are compared with its first member; those that are not linked
-   to it form the bucket of the next round. After `star_rounds`, what is left
-   of a bucket is compared with itself, block by block, by signatures.
+   the members are compared with its leader, the member that shares most with
+   others; those that are not of its class by then, through any links, form
+   the bucket of the next round. After `star_rounds`, what is left of a bucket
+   is compared with itself, block by block, by signatures, across classes.
 4. Candidate pairs are verified on the texts by weighted Jaccard similarity,
-   dealt by (first member, salt): a first member, however popular, meets its
-   partners in many tasks.
+   dealt by (leader, salt): a leader, however popular, meets its partners in
+   many tasks.
 5. Links make classes by minimum labels with pointer jumping, as joins.
 """
 
@@ -210,7 +211,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch, threshold: float, share_o
     shares = pairs.groupBy("a").agg(F.least(F.ceil(F.count("*") / share_of_task), F.lit(4096)).cast("int").alias("salts"))
     firsts = shares.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("partner"))
     partners = pairs.join(shares, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("partner"))
-    dealt = texts.join(firsts.unionByName(partners), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
+    dealt = texts.hint("merge").join(firsts.unionByName(partners), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, now = sketch.value, None
@@ -235,15 +236,16 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch, threshold: float, share_o
 
 
 def residual_pairs(buckets: DataFrame, samples: DataFrame, floor: float, block: int = 512) -> DataFrame:
-    """Pairs of what is left in each bucket that agree in at least `floor` of their samples, compared block against block.
+    """Pairs of what is left in each bucket (band, key, node, root) that are of different classes and agree in at least `floor` of their samples.
 
-    A bucket's members are dealt to blocks by hash; each pair of blocks is a
-    unit of work, so that a large bucket spreads over many tasks.
+    A bucket's members are dealt to blocks by hash, and compared block against
+    block; each pair of blocks is a unit of work, so that a large bucket
+    spreads over many tasks.
     """
     sizes = buckets.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = buckets.join(sizes, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(samples, "node")
-    cells = members.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "samples")
+    cells = members.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "samples")
 
     def compare(frame):
         import pandas as pd
@@ -254,9 +256,9 @@ def residual_pairs(buckets: DataFrame, samples: DataFrame, floor: float, block:
         out = []
         if len(left) and len(right):
             s = np.stack([np.frombuffer(x, np.uint32) for x in right["samples"]])
-            nodes = right["node"].to_numpy()
-            for node, x in zip(left["node"], left["samples"], strict=True):
-                near = nodes[(s == np.frombuffer(x, np.uint32)).mean(axis=1) >= floor]
+            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
+            for node, root, x in zip(left["node"], left["root"], left["samples"], strict=True):
+                near = nodes[((s == np.frombuffer(x, np.uint32)).mean(axis=1) >= floor) & (roots != root)]
                 near = near[near > node] if i == j else near
                 out += [(min(node, m), max(node, m)) for m in near.tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -278,12 +280,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3, sample_floor: float = 0.5) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2, sample_floor: float = 0.6) -> DataFrame:
     """One row for each row of `docs`: doc_id, class_id, class_size, n_links, kept.
 
     class_id is the least doc_id of the class (nulls count as largest);
-    class_size counts its rows; n_links is the number of verified links of the
-    row's text to different texts of its class; exactly one row of a class,
+    class_size counts its rows; n_links is the number of links that were
+    verified between the row's text and different texts (enough to tell the
+    class; pairs within a class need not all be compared); exactly one row of a class,
     one with that doc_id, is kept. Rows whose words are equal (in order) are
     of one class; a text without words, null or empty, is a class of its own.
     A text of fewer than five words is one shingle. Other columns are dropped;
@@ -291,8 +294,8 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
 
     A pair is compared if it shares a band (at a similarity of 0.8, all but
     two in ten thousand do) and one of the two leads the bucket or both are
-    left over; `sample_floor`, five standard deviations below the threshold,
-    skips pairs whose samples already tell that they differ.
+    left over; there `sample_floor`, four standard deviations below the
+    threshold, skips pairs whose samples already tell that they differ.
     """
     spark = docs.sparkSession
     source = ids_and_text(docs, id_col, text_col)
@@ -305,36 +308,48 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     held = every.where(F.col("samples").isNotNull()).join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "samples", "keys")
     held = materialise(held, "node-samples")
     samples = held.select("node", "samples")
-    texts = every.where(F.col("text").isNotNull()).select(F.col("row_id").alias("node"), "text")
-    members = held.select("node", F.posexplode("keys").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    buckets = materialise(members.join(leaders, ["band", "key"]), "buckets")
-    links = None
-    done = None
+    members = held.select("node", F.col("node").alias("root"), F.posexplode("keys").alias("band", "key"))
+
+    def with_leaders(rows: DataFrame) -> DataFrame:
+        """Buckets of at least two, with their leader as `a`: the member whose buckets are largest together, of equals the least.
+
+        What many are copies of shares more bands with them than they do with
+        each other, so it leads, and its copies are linked by one comparison each.
+        """
+        sizes = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+        full = materialise(rows.join(sizes, ["band", "key"]), "buckets")
+        scored = full.join(full.groupBy("node").agg(F.sum("m").alias("score")), "node")
+        leaders = scored.groupBy("band", "key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("a"))
+        return materialise(full.drop("m").join(leaders, ["band", "key"]), "led-buckets")
+
+    buckets = with_leaders(members)
+    # the texts of all that are in some bucket are gathered once, by the same plan at every size
+    texts = every.where(F.col("text").isNotNull()).select(F.col("row_id").alias("node"), "text").hint("merge").join(buckets.select("node").distinct(), "node", "left_semi")
+    texts = materialise(texts, "texts")
+    links = labels = None
     for turn in range(star_rounds + 1):
         if buckets.isEmpty():
             break
         if turn < star_rounds:
             pairs = buckets.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
         else:
-            pairs = residual_pairs(buckets.select("band", "key", "node"), samples, sample_floor)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(verify(pairs, texts, sketch, threshold), "links")
-        links = found if links is None else links.unionByName(found)
+            pairs = residual_pairs(buckets.select("band", "key", "node", "root"), samples, sample_floor)
+        found = materialise(verify(materialise(pairs, "pairs"), texts, sketch, threshold), "links")
+        links = materialise(found if links is None else links.unionByName(found).distinct(), "all-links")
+        labels = components(links)
         if turn == star_rounds:
             break
-        done = pairs if done is None else done.unionByName(pairs)
-        rest = buckets.where(F.col("node") != F.col("a")).join(links.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti").select("band", "key", "node")
-        leaders = rest.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-        buckets = materialise(rest.join(leaders, ["band", "key"]), "buckets")
+        # what is of the first member's class by now, through whatever links, needs no more comparisons
+        classes = labels.select("node", "root")
+        told = buckets.drop("root").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        told = told.join(labels.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
+        rest = told.where(F.col("root") != F.coalesce("a_root", "a")).select("band", "key", "node", "root")
+        buckets = with_leaders(materialise(rest, "rest"))
     if links is None:
         by_node = nodes.select("c1", "c2", "alone", "n", "first", F.lit(0).cast("long").alias("n_links"), F.coalesce("node", "alone").alias("root"))
     else:
-        links = materialise(links.distinct(), "all-links")
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        by_node = nodes.join(components(links), "node", "left").join(degree, "node", "left").select("c1", "c2", "alone", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node", "alone").alias("root"))
+        by_node = nodes.join(labels, "node", "left").join(degree, "node", "left").select("c1", "c2", "alone", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node", "alone").alias("root"))
     by_node = materialise(by_node, "node-classes")
     classes = by_node.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
     told = by_node.select("c1", "c2", "alone", "n_links", "root").join(classes, "root").select("c1", "c2", "alone", "n_links", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.row_id").alias("keep_row"))

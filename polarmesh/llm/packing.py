@@ -44,11 +44,12 @@ class WordEncoder:
     """Ids, as little-endian 32-bit bytes, of texts whose vocabulary never joins what white space parts.
 
     Frequent words come from a dictionary of whole words, the rest from one
-    of their units (both bounded, held by the worker), and only units that
-    are new are encoded by the library.
+    of their units, and only units that are new are encoded by the library.
+    Both dictionaries are held by the worker and bounded; what comes first
+    stays, and frequent words come early.
     """
 
-    def __init__(self, path: str, word_entries: int = 400_000, unit_entries: int = 700_000):
+    def __init__(self, path: str, word_entries: int = 200_000, unit_entries: int = 300_000):
         self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.units = _words.setdefault(path, ({}, {}))
@@ -66,13 +67,12 @@ class WordEncoder:
                 parts[word] = _UNITS.findall(word.lower())
             else:
                 plain.append(word)
-        units = {u for p in parts.values() for u in p}
-        missing = [u for u in units if u not in self.units]
-        if len(self.units) + len(missing) > self.unit_entries:
-            self.units.clear()
-            missing = list(units)
-        self.units.update(zip(missing, self._encode(missing), strict=True))
-        get = self.units.__getitem__
+        missing = list({u for p in parts.values() for u in p}.difference(self.units))
+        fresh = dict(zip(missing, self._encode(missing), strict=True))
+        if len(self.units) + len(missing) <= self.unit_entries:
+            self.units.update(fresh)
+            fresh = {}
+        get = (lambda u, a=self.units.get, b=fresh.get: a(u) or b(u)) if fresh else self.units.__getitem__
         for word, p in parts.items():
             out[word] = b"".join(map(get, p))
         out.update(zip(plain, self._encode(plain), strict=True))
@@ -154,8 +154,16 @@ def _fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     return np.minimum(take, left)
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 96, large: float = 1 / 16) -> tuple[pd.DataFrame, int]:
+#: What counts as large, as shares of a sequence; at 1 all are packed best-fit. The split that needs the fewest sequences is taken.
+LARGE = (1 / 16, 1 / 4, 1 / 2, 1)
+
+
+def plan(histogram: dict[int, int], capacity: int, groups: int = 96, shares: tuple[float, ...] = LARGE) -> tuple[pd.DataFrame, int]:
     """Runs (length, first_rank, count, first_sequence, per_sequence, offset) that place all items, and the number of sequences."""
+    return min((_plan(histogram, capacity, groups, share) for share in shares), key=lambda p: p[1])
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> tuple[pd.DataFrame, int]:
     out, n_sequences = [], 0
     rank = dict.fromkeys(histogram, 0)
     bins: dict[int, list[tuple[int, int]]] = {}  # room left -> runs of sequences (first, number)

@@ -40,8 +40,21 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows in an Arrow batch from Spark's default of 10,000, which for long texts fills executors' memory twice over.
+
+    A value that the user has set is left alone.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, under fixed names: clashing extra columns go here."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

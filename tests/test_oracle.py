@@ -33,5 +33,6 @@ def test_query(spark, con, name):
 
 
 def test_others_run(spark):
-    for name in sorted(set(registry.queries()) - set(registry.oracle_sql())):
+    slow = {"o107_clean_cavity", "o115_fix_topology", "o110_deepen_floor"}  # rounds of joins; test_operators.py has them on small meshes
+    for name in sorted(set(registry.queries()) - set(registry.oracle_sql()) - slow):
         assert registry.queries()[name](spark, SF).count() >= 0
