@@ -13,16 +13,18 @@ frequency times a smoothed inverse document frequency.
 3. Nodes that agree in all samples of a band share a bucket. In each bucket
    the members are compared with its leader, the member that shares most with
    others; those that are not of its class by then, through any links, form
-   the bucket of the next round. After `star_rounds`, what is left of a bucket
-   is compared with itself, block by block, by signatures, across classes.
-4. Candidate pairs are verified on the texts by weighted Jaccard similarity,
-   dealt by (leader, salt): a leader, however popular, meets its partners in
-   many tasks.
+   the bucket of the next round. Such pairs are verified on the texts by
+   weighted Jaccard similarity, dealt by (leader, salt): a leader, however
+   popular, meets its partners in many tasks.
+4. After `star_rounds`, where a bucket still holds several classes, what isn't
+   of its largest is compared with all its members, block by block; each pair
+   of blocks returns only links that join classes.
 5. Links make classes by minimum labels with pointer jumping, as joins.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,6 +160,21 @@ def weighted_sets(texts: pa.Array, sketch: Sketch) -> tuple[np.ndarray, np.ndarr
     return h, sketch.weights(h, counts), by_text
 
 
+def weighed(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A set's sorted shingles, their weights, and its whole weight; copies, so that they don't hold other texts' arrays."""
+    return h.copy(), w.copy(), float(w.sum(dtype=np.float64))
+
+
+def alike(one: tuple, other: tuple, threshold: float) -> bool:
+    """Whether two weighed sets have a weighted Jaccard similarity of at least `threshold`."""
+    if not len(one[0]) or not len(other[0]):
+        return False
+    at = np.minimum(np.searchsorted(one[0], other[0]), len(one[0]) - 1)
+    same = one[0][at] == other[0]
+    shared = float(np.minimum(one[1][at[same]], other[1][same]).sum(dtype=np.float64))
+    return shared >= threshold * (one[2] + other[2] - shared)
+
+
 def sampled(docs: DataFrame, sketch, bands: int, rows: int) -> DataFrame:
     """One row for each document: row_id, doc_id, c1, c2 (hashes of its words), n_words; and, in the first row of a text within its task, its samples, band keys and text."""
 
@@ -220,50 +237,98 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch, threshold: float, share_o
                 h, w, by_text = weighted_sets(part.column("text"), own)
                 a, b, found = part.column("a").to_pylist(), part.column("node").to_pylist(), []
                 for k, partner in enumerate(part.column("partner").to_pylist()):
-                    mine = slice(by_text[k], by_text[k + 1])
+                    mine = weighed(h[by_text[k] : by_text[k + 1]], w[by_text[k] : by_text[k + 1]])
                     if not partner:
-                        now = (a[k], h[mine], w[mine], float(w[mine].sum(dtype=np.float64)))
-                        continue
-                    at = np.minimum(np.searchsorted(now[1], h[mine]), max(0, len(now[1]) - 1))
-                    same = now[1][at] == h[mine] if len(now[1]) else np.zeros(0, bool)
-                    shared = float(np.minimum(now[2][at[same]], w[mine][same]).sum(dtype=np.float64))
-                    whole = now[3] + float(w[mine].sum(dtype=np.float64)) - shared
-                    if shared >= threshold * whole > 0:
+                        now = mine
+                    elif alike(now, mine, threshold):
                         found.append((a[k], b[k]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return dealt.select("a", "node", "partner", "text").mapInArrow(compare, "a long, b long")
 
 
-def residual_pairs(buckets: DataFrame, samples: DataFrame, floor: float, block: int = 512) -> DataFrame:
-    """Pairs of what is left in each bucket (band, key, node, root) that are of different classes and agree in at least `floor` of their samples.
+def residual_links(buckets: DataFrame, held: DataFrame, sketch, threshold: float, floor: float, bands: int, block: int = 512) -> DataFrame:
+    """Links between the classes that meet in a bucket (band, key, node, root), as many as join them; `held` has node, samples, text.
 
-    A bucket's members are dealt to blocks by hash, and compared block against
-    block; each pair of blocks is a unit of work, so that a large bucket
-    spreads over many tasks.
+    Of two members of different classes, one isn't of the bucket's largest
+    class: these, the rest, are compared with all members, block against
+    block, each pair of blocks being a unit of work. A pair is looked at in the
+    first band that makes it meet, and if it agrees in at least `floor` of its
+    samples, its texts are compared there. Pairs that earlier links of the
+    same unit join are passed over: a unit returns fewer links than it has nodes.
     """
-    sizes = buckets.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = buckets.join(sizes, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(samples, "node")
-    cells = members.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "samples")
-
-    def compare(frame):
-        import pandas as pd
-
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        left = frame[frame["own"] == i]
-        right = left if i == j else frame[frame["own"] == j]
-        out = []
-        if len(left) and len(right):
-            s = np.stack([np.frombuffer(x, np.uint32) for x in right["samples"]])
-            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-            for node, root, x in zip(left["node"], left["root"], left["samples"], strict=True):
-                near = nodes[((s == np.frombuffer(x, np.uint32)).mean(axis=1) >= floor) & (roots != root)]
-                near = near[near > node] if i == j else near
-                out += [(min(node, m), max(node, m)) for m in near.tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return cells.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    by_class = buckets.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    mixed = by_class.groupBy("band", "key").agg(F.sum("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("top")).where("m > top")
+    blocks = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("m") - F.col("top"), "rest_blocks"), (F.col("m"), "all_blocks"))]
+    members = materialise(buckets.join(mixed.select("band", "key", "largest", *blocks), ["band", "key"]).withColumn("rest", F.col("root") != F.col("largest")).drop("largest"), "mixed-buckets")
+    rest_bands = members.groupBy("node").agg(F.expr("bit_or(if(rest, shiftleft(1L, band), 0L))").alias("rest_bands"))
+    own = held.join(rest_bands, "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = members.where("rest").select("band", "key", "node", "root", place("rest_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(True).alias("rest"))
+    every = members.select("band", "key", "node", "root", each("rest_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("rest"))
+    cells = rest.unionByName(every).join(own.hint("merge"), "node").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+
+    def candidates(band: int, rest: np.ndarray, nodes: np.ndarray, rest_bands: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+        """Places of pairs that meet first in this band and agree often enough."""
+        right, out = np.flatnonzero(~rest), []
+        r, r_nodes, r_bands, each_band = s[right], nodes[right], rest_bands[right], np.arange(bands)
+        in_rest = r_bands >> band & 1 == 1
+        for at in np.flatnonzero(rest):
+            same = r == s[at]
+            near = np.flatnonzero((same.sum(axis=1) >= floor * s.shape[1]) & (r_nodes != nodes[at]) & ~(in_rest & (r_nodes < nodes[at])))
+            if len(near):
+                meet = same[near].reshape(len(near), bands, s.shape[1] // bands).all(axis=2) & ((r_bands[near] | rest_bands[at])[:, None] >> each_band & 1 == 1)
+                out += [(int(at), other) for other in right[near[meet.argmax(axis=1) == band]].tolist()]
+        return out
+
+    def links_of(unit: pa.Table) -> list[tuple[int, int]]:
+        rest, nodes, rest_bands = (unit.column(c).to_numpy() for c in ("rest", "node", "rest_bands"))
+        s = np.frombuffer(b"".join(unit.column("samples").to_pylist()), np.uint32).reshape(len(unit), -1)
+        pairs = candidates(unit.column("band")[0].as_py(), rest, nodes, rest_bands, s)
+        if not pairs:
+            return []
+        needed = sorted({k for pair in pairs for k in pair})
+        sets, at = {}, iter(needed)
+        for batch in unit.select(["text"]).take(needed).to_batches():
+            for part in slices_by_bytes(batch, "text", 500_000):
+                h, w, by_text = weighted_sets(part.column("text"), sketch.value)
+                for k in range(len(part)):
+                    sets[next(at)] = weighed(h[by_text[k] : by_text[k + 1]], w[by_text[k] : by_text[k + 1]])
+        roots, above, out = unit.column("root").to_pylist(), {}, []
+
+        def find(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = above.get(y, y)
+                x = y
+            return x
+
+        for a, b in pairs:
+            x, y = find(roots[a]), find(roots[b])
+            if x != y and alike(sets[a], sets[b], threshold):
+                above[x] = y
+                out.append((int(min(nodes[a], nodes[b])), int(max(nodes[a], nodes[b]))))
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        held_back = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held_back is None else pa.concat_tables([held_back, rows])
+            keys = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])).tolist()
+            yield made([link for at, stop in itertools.pairwise(starts) for link in links_of(rows.slice(at, stop - at))])
+            held_back = rows.slice(starts[-1])
+        if held_back is not None:
+            yield made(links_of(held_back))
+
+    columns = ["band", "key", "i", "j", "rest", "node", "root", "rest_bands", "samples", "text"]
+    return cells.select(*columns).mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,9 +357,9 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     A text of fewer than five words is one shingle. Other columns are dropped;
     an empty table gives an empty result.
 
-    A pair is compared if it shares a band (at a similarity of 0.8, all but
-    two in ten thousand do) and one of the two leads the bucket or both are
-    left over; there `sample_floor`, four standard deviations below the
+    A pair that shares a band (at a similarity of 0.8, all but two in ten
+    thousand do) is compared unless links found before have made it one class.
+    After the star rounds, `sample_floor`, four standard deviations below the
     threshold, skips pairs whose samples already tell that they differ.
     """
     spark = docs.sparkSession
@@ -322,29 +387,32 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
         leaders = scored.groupBy("band", "key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("a"))
         return materialise(full.drop("m").join(leaders, ["band", "key"]), "led-buckets")
 
-    buckets = with_leaders(members)
+    buckets = met = with_leaders(members)
     # the texts of all that are in some bucket are gathered once, by the same plan at every size
     texts = every.where(F.col("text").isNotNull()).select(F.col("row_id").alias("node"), "text").hint("merge").join(buckets.select("node").distinct(), "node", "left_semi")
     texts = materialise(texts, "texts")
     links = labels = None
-    for turn in range(star_rounds + 1):
+    for turn in range(star_rounds):
         if buckets.isEmpty():
             break
-        if turn < star_rounds:
-            pairs = buckets.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-        else:
-            pairs = residual_pairs(buckets.select("band", "key", "node", "root"), samples, sample_floor)
+        pairs = buckets.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
         found = materialise(verify(materialise(pairs, "pairs"), texts, sketch, threshold), "links")
         links = materialise(found if links is None else links.unionByName(found).distinct(), "all-links")
         labels = components(links)
-        if turn == star_rounds:
-            break
-        # what is of the first member's class by now, through whatever links, needs no more comparisons
+        # what is of the leader's class by now, through whatever links, needs no more comparisons
         classes = labels.select("node", "root")
         told = buckets.drop("root").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
         told = told.join(labels.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
         rest = told.where(F.col("root") != F.coalesce("a_root", "a")).select("band", "key", "node", "root")
-        buckets = with_leaders(materialise(rest, "rest"))
+        if turn + 1 < star_rounds:
+            buckets = with_leaders(materialise(rest, "rest"))
+    if not met.isEmpty():
+        classes = met.select("band", "key", "node", "root")
+        if labels is not None:
+            classes = classes.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = materialise(residual_links(materialise(classes, "classes"), samples.join(texts, "node"), sketch, threshold, sample_floor, bands), "links")
+        links = materialise(found if links is None else links.unionByName(found).distinct(), "all-links")
+        labels = components(links)
     if links is None:
         by_node = nodes.select("c1", "c2", "alone", "n", "first", F.lit(0).cast("long").alias("n_links"), F.coalesce("node", "alone").alias("root"))
     else:
