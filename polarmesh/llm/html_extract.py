@@ -21,6 +21,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
@@ -40,6 +41,12 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figure
 #: Words of a class or id that mark what is no article.
 BOILERPLATE_NAMES = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side-bar widget footer header masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond disqus discussion login signup search pagination pager toolbar copyright legal disclaimer".split())
 
+BOILERPLATE_ROLES = {"role=navigation", "role=banner", "role=contentinfo", "role=complementary", "role=search"}
+#: First parts of the names of articles that belong to another article.
+COMMENTS = set("comment comments reply replies related recommended sponsored advertisement".split())
+#: Parts of a class before a name that make it a state of the layout or a topic.
+STATES = set("has have no not with without is layout template category cat tag topic subject keyword section".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 DEPTH = 60
@@ -215,12 +222,29 @@ def _names(label: str) -> tuple[str, list[str]]:
     return tag, words
 
 
-def is_boilerplate(label: str) -> bool:
+@lru_cache(100_000)
+def is_boilerplate(label: str, named: bool = True) -> bool:
+    """Whether an element's tag, role or, if `named`, a whole class or id marks it as no article; <html>, <body>, <main> and <article> are never judged by names."""
     tag, words = _names(label)
-    if tag in BOILERPLATE or "hidden" in words:
+    if tag in ("html", "body"):
+        return False
+    if tag in BOILERPLATE or "hidden" in words or BOILERPLATE_ROLES & set(words):
         return True
-    parts = {p for w in words for p in (w, *re.split(r"[-_=]", w))}
-    return bool(parts & BOILERPLATE_NAMES) or bool({"role=navigation", "role=banner", "role=contentinfo", "role=complementary", "role=search"} & set(words))
+    return named and tag not in ("main", "article") and bool(BOILERPLATE_NAMES & set(words))
+
+
+@lru_cache(100_000)
+def ends_as_boilerplate(label: str) -> bool:
+    """Whether a container's class or id ends in such a name (left-sidebar), and doesn't say that there is one (has-sidebar) or what a text is about (category-social)."""
+    tag, words = _names(label)
+    parts = [re.split(r"[-_]", w) for w in words] if tag in ("div", "ul", "ol") else []
+    return any(len(p) > 1 and p[-1] in BOILERPLATE_NAMES and p[-2] not in STATES and p[0] not in STATES for p in parts)
+
+
+def is_comment(label: str) -> bool:
+    """Whether an <article> inside or beside another is a comment or a teaser."""
+    tag, words = _names(label)
+    return tag == "article" and any(re.split(r"[-_]", w)[0] in COMMENTS for w in words)
 
 
 def _mark(label: str) -> int | None:
@@ -229,25 +253,69 @@ def _mark(label: str) -> int | None:
     return 0 if tag == "article" else 1 if tag == "main" else 2 if "role=main" in words else 3 if BODY_NAMES & set(words) else None
 
 
-def article_of(w: list) -> int | None:
+def article_of(w: list, named: bool = True) -> int | None:
     """How the host marks its articles: the best rank among the wrapper's elements, or None."""
-    if is_boilerplate(w[LABEL]):
+    if is_boilerplate(w[LABEL], named):
         return None
-    ranks = [r for r in (_mark(w[LABEL]), *map(article_of, w[KIDS])) if r is not None]
+    ranks = [r for r in (_mark(w[LABEL]), *(article_of(k, named) for k in w[KIDS])) if r is not None]
     return min(ranks) if ranks else None
 
 
+def holds_mark(node: Node) -> bool:
+    """Whether an element below this one is marked as an article."""
+    todo = [node]
+    while todo:
+        for kid in todo.pop().kids:
+            if not isinstance(kid, str):
+                if _mark(kid.label) is not None:
+                    return True
+                todo.append(kid)
+    return False
+
+
 def extract(page: str, wrapper: list | None) -> str:
     """The main text of a page, read along its host's wrapper.
 
     If the host marks its articles, the text in that element is kept, but for
     boilerplate inside it; in pages without the mark, and on hosts that mark
     none, all but boilerplate, repeated link lists, and text that is the same
-    on all of at least three of the host's pages that differ elsewhere.
+    on all of at least three of the host's pages that differ elsewhere. On the
+    way to an article only whole names are judged. A page without one outside
+    such names is also read from those inside, and the longer text is kept.
+    What would leave a page no text by the end of a name isn't judged by it.
     """
     tree = parse(page)
-    mark = article_of(wrapper) if wrapper else None
+    roots = _roots(tree, wrapper, article_of(wrapper) if wrapper else None, True)
+    text = _read(roots or [(tree, wrapper)], wrapper, not roots)
+    if not roots and wrapper:
+        inner = _roots(tree, wrapper, article_of(wrapper, False), False)
+        text = max(text, _read(inner, wrapper, False), key=len)
+    return text or _read(roots or [(tree, wrapper)], wrapper, not roots, False)
+
+
+def _roots(tree: Node, wrapper: list | None, mark: int | None, named: bool) -> list[tuple[Node, list | None]]:
+    """The outermost elements with this mark outside boilerplate, and their places in the wrapper."""
+    roots: list[tuple[Node, list | None]] = []
+
+    def find(node: Node, w: list | None) -> None:
+        inside = {k[LABEL]: k for k in w[KIDS]} if w else {}
+        for kid in node.kids:
+            if isinstance(kid, str) or is_boilerplate(kid.label, named):
+                continue
+            if _mark(kid.label) == mark:
+                roots.append((kid, inside.get(kid.label)))
+            else:
+                find(kid, inside.get(kid.label))
+
+    if mark is not None:
+        find(tree, wrapper)
+    return [r for r in roots if not is_comment(r[0].label)] or roots
+
+
+def _read(roots: list[tuple[Node, list | None]], wrapper: list | None, whole: bool, ends: bool = True) -> str:
+    """The text below the roots; `whole` if they are no marked articles, `ends` if the ends of names are judged."""
     blocks: list[list[str]] = [[]]
+    varies = wrapper is not None and _varies(wrapper)
 
     def emit(node: Node, w: list | None, plain: bool) -> None:
         inside = {k[LABEL]: k for k in w[KIDS]} if w else {}
@@ -261,7 +329,9 @@ def extract(page: str, wrapper: list | None) -> str:
                 blocks[-1].append(" ")
                 continue
             own = inside.get(kid.label)
-            if is_boilerplate(kid.label) or kid.tag in OPAQUE or plain and kid.tag == "header":
+            if is_boilerplate(kid.label) or kid.tag in OPAQUE or plain and kid.tag == "header" or not plain and is_comment(kid.label):
+                skip = True
+            elif ends and ends_as_boilerplate(kid.label) and not holds_mark(kid):
                 skip = True
             else:
                 skip = plain and own is not None and own[FLAGS] & 2 and kid.tag in ("ul", "ol", "li") and 2 * _links(own) > _chars(own)
@@ -273,24 +343,9 @@ def extract(page: str, wrapper: list | None) -> str:
             if block:
                 blocks.append([])
 
-    varies = wrapper is not None and _varies(wrapper)
-    roots: list[tuple[Node, list | None]] = []
-
-    def find(node: Node, w: list | None) -> None:
-        inside = {k[LABEL]: k for k in w[KIDS]} if w else {}
-        for kid in node.kids:
-            if isinstance(kid, str) or is_boilerplate(kid.label):
-                continue
-            if _mark(kid.label) == mark:
-                roots.append((kid, inside.get(kid.label)))
-            else:
-                find(kid, inside.get(kid.label))
-
-    if mark is not None:
-        find(tree, wrapper)
-    for node, w in roots or [(tree, wrapper)]:
+    for node, w in roots:
         blocks.append([])
-        emit(node, w, not roots)
+        emit(node, w, whole)
     texts = (" ".join("".join(b).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 

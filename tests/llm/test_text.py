@@ -111,6 +111,27 @@ def test_pages_without_article():
     assert [html_extract.extract(p, w) for p in pages] == [f"Story {k} is long and told" for k in range(4)]
 
 
+def alone(page):
+    return html_extract.extract(page, html_extract.expression(html_extract.parse(page)))
+
+
+@pytest.mark.parametrize("body", ["single has-sidebar", "no-sidebar", "with-comments", "search social"])
+@pytest.mark.parametrize("around", ["layout-sidebar-right", "has-sidebar", "two-columns-sidebar", "widget"])
+@pytest.mark.parametrize("article", ["post category-social", "tag-legal", "tag-advertising", "social"])
+def test_layout_classes_keep_the_article(body, around, article):
+    page = f'<html class="with-comments"><body class="{body}"><nav>n</nav><div class="{around}"><div class="left-sidebar">s</div><article class="{article}"><p>The text</p><div class="post-share">t</div><div class="comments"><article class="comment">c</article></div></article></div></body></html>'
+    assert alone(page) == "The text"
+    # the same layout without a marked article, and with <main>
+    assert alone(f'<body class="{body}"><div class="layout-sidebar-right"><p>The text</p><div class="sidebar">s</div></div></body>') == "The text"
+    assert alone(f'<body><main class="{article} no-sidebar"><div class="topic-legal">The text</div></main></body>') == "The text"
+
+
+def test_related_articles_do_not_replace_the_page():
+    assert alone('<body><p>A text that is not marked</p><div class="related"><article>Teaser</article></div></body>') == "A text that is not marked"
+    assert alone('<body><article class="post">Text</article><article class="comment-body">c</article></body>') == "Text"
+    assert alone('<body><div class="my-footer">All there is</div></body>') == "All there is"
+
+
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
