@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polarmesh.llm.shared import materialise
+
 # Labelled names on which the Bayes model is trained, words parted by blanks.
 BLOCKED_NAMES = [
     "cheap pills", "free bets", "casino win", "adult x", "spam farm", "ads track", "online casino", "poker bonus", "slots jackpot", "lucky spin",
@@ -36,6 +38,8 @@ ALLOWED_NAMES = [
     "university press", "history archive", "nature park", "bird watch", "food market", "wood work", "photo album", "bike tour", "child care", "family tree",
     "mountain trail", "language course", "community forum", "project page", "help center", "about us", "contact", "article", "blog post", "index",
 ]
+#: What all words of the URLs weigh together in the unigram model, beside 100 for each word of a training name.
+CORPUS_SHARE = 10_000
 #: Labels that say nothing of a site; they are left out of the score.
 NEUTRAL = {"www", "m", "blog", "com", "org", "net", "example", "html", "htm", "php", "index", "en", "de", "fr", "es"}
 
@@ -44,12 +48,14 @@ NEUTRAL = {"www", "m", "blog", "com", "org", "net", "example", "html", "htm", "p
 class Segmenter:
     """Splits a name into words of a unigram model; unknown words cost more the longer they are."""
 
-    counts: dict[str, int]
+    counts: dict[str, float]
     longest: int = 24
+    #: The sum of the counts, where `counts` holds only the words that names can contain.
+    mass: float | None = None
     cache: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.total = math.log(sum(self.counts.values()) + 1)
+        self.total = math.log((sum(self.counts.values()) if self.mass is None else self.mass) + 1)
         self.cost = {w: self.total - math.log(n) for w, n in self.counts.items()}
 
     def split(self, name: str) -> list[str]:
@@ -124,16 +130,37 @@ def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def corpus_words(pages: DataFrame, most: int = 20_000) -> dict[str, int]:
-    """Words of two letters and more between separators of hosts with a hyphen, and of paths, counted over all URLs.
+def corpus_words(pages: DataFrame, longest: int = 24) -> tuple[dict[str, int], int]:
+    """Words of two letters and more between separators of hosts with a hyphen, and of paths, counted over all URLs; and the sum of all counts.
 
-    The `most` frequent are the model's vocabulary (a size parameter, so that the table stays bounded).
+    All words are counted. Those returned are the ones that stand anywhere in
+    a label of a host, as no other can be part of a split: substrings of the
+    distinct labels are joined with the counts.
     """
     host, path = url_parts(F.col("url"))
     text = F.concat_ws(" ", F.when(host.contains("-"), host), F.lower(path))
     tokens = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
-    rows = tokens.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    return {r["word"]: r["count"] for r in rows}
+    counts = materialise(tokens.groupBy("word").count(), "words")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    labels = pages.select(host.alias("host")).distinct().select(F.explode(F.split("host", "[^a-z]+")).alias("label")).where(F.length("label") >= 2).distinct()
+    starts = F.sequence(F.lit(1), F.length("label") - 1)
+    sizes = lambda at: F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.length("label") - at + 1))
+    parts = labels.select(F.explode(F.flatten(F.transform(starts, lambda at: F.transform(sizes(at), lambda n: F.substring("label", at, n))))).alias("word")).distinct()
+    return {r["word"]: r["count"] for r in counts.join(parts, "word", "left_semi").collect()}, total
+
+
+def model_counts(words: dict[str, int], total: int, names: list[str]) -> dict[str, float]:
+    """Counts of the unigram model: one for a word that was seen, CORPUS_SHARE dealt by the words' share of all URLs' words, and 100 for each use in a training name.
+
+    They hang on shares alone, so a table of the same URLs many times over
+    splits names alike, and a word that was seen is never worth less than one
+    that wasn't.
+    """
+    counts = {w: 1 + CORPUS_SHARE * n / total for w, n in words.items()}
+    for name in names:
+        for word in name.split():
+            counts[word] = counts.get(word, 0) + 100
+    return counts
 
 
 def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = None, allowed: list[str] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -147,16 +174,15 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = N
     blocked, allowed = blocked or BLOCKED_NAMES, allowed or ALLOWED_NAMES
     bayes = NaiveBayes.fit([n.split() for n in blocked], [n.split() for n in allowed])
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    counts = {w: min(n, 50) for w, n in corpus_words(source).items()}
-    for name in [*blocked, *allowed]:
-        for word in name.split():
-            counts[word] = counts.get(word, 0) + 100
-    shared = source.sparkSession.sparkContext.broadcast((counts, bayes))
+    names = [*blocked, *allowed]
+    counts = model_counts(*corpus_words(source), names)
+    mass = CORPUS_SHARE + 100 * sum(len(n.split()) for n in names)
+    shared = source.sparkSession.sparkContext.broadcast((counts, mass, bayes))
     separators = re.compile(r"[^a-z]+")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, model = shared.value
-        segmenter = Segmenter(words)
+        words, mass, model = shared.value
+        segmenter = Segmenter(words, mass=mass)
         for frame in frames:
             tokens = []
             for host, path in zip(frame["host"], frame["path"], strict=True):

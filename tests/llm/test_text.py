@@ -155,6 +155,30 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_words_are_counted_whole(spark):
+    from pyspark.sql import functions as F
+
+    word = F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    many = spark.range(21_000).select(F.concat(F.lit("http://h.example.org/"), word, F.lit("/"), word).alias("url"))
+    rare = spark.createDataFrame([("http://betsy.example.net/",), ("http://h.example.org/betsy",)], "url string")
+    pages = many.unionByName(rare).withColumn("page_id", F.lit(1))
+    words, total = url_filter.corpus_words(pages)
+    assert words == {"betsy": 1} and total == 42_001
+    got = {r["host"]: (r["verdict"], r["tokens"]) for r in url_filter.judge(pages, {}).where("host LIKE 'betsy%'").collect()}
+    assert got == {"betsy.example.net": ("allow", ["betsy"])}
+
+
+def test_copies_of_a_table_split_alike(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["http://river-casino.example.net/casino/river", "http://rivercasinoo.example.net/x", "http://in-art.example.net/in/art/ride", "http://inarticle.example.net/"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    more = pages.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n")
+    rows = lambda df: {(r["page_id"], r["verdict"], r["log_odds"], *r["tokens"]) for r in url_filter.judge(df, {}).collect()}
+    assert url_filter.corpus_words(more)[0]["casino"] == 600
+    assert rows(pages) == rows(more) and len(rows(pages)) == 4
+
+
 def test_viterbi_matches_all_splits():
     import itertools
 
