@@ -20,8 +20,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from functools import lru_cache
+from typing import Any
 
 import pandas as pd
 from pyspark import TaskContext
@@ -49,7 +51,6 @@ STATES = set("has have no not with without is layout template category cat tag t
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
-DEPTH = 60
 
 
 class Node:
@@ -78,7 +79,13 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are borne as browsers do, roughly."""
     root = Node("", "")
     stack = [root]
+    held: Counter[str] = Counter()  # open elements by tag, so that no end without one searches the stack
     at, n = 0, len(page)
+
+    def close(k: int) -> None:
+        held.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -91,25 +98,25 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break  # a stray inline end doesn't close blocks
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held["p"] else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
         elif tag in ("li", "dt", "dd", "tr", "td", "th"):
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(held[x] for x in ends) else ():
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "div", "section"):
                     break
@@ -122,23 +129,44 @@ def parse(page: str) -> Node:
             node.kids.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        stack.append(node)
+        held[tag] += 1
     return root
 
 
+def run(call: Generator) -> Any:
+    """The result of a recursive function written as a generator that yields its inner calls: pages nest deeper than Python's stack."""
+    calls, value = [call], None
+    while calls:
+        try:
+            calls.append(calls[-1].send(value))
+            value = None
+        except StopIteration as end:
+            calls.pop()
+            value = end.value
+    return value
+
+
 # A wrapper node is a list: label, flags (1 optional, 2 repeated), pages, text characters, link characters, text hash (None once it varies), children.
 LABEL, FLAGS, PAGES, CHARS, LINKS, HASH, KIDS = range(7)
 
 
-def expression(node: Node, in_link: bool = False) -> list:
+def expression(node: Node) -> list:
     """The wrapper of one page alone, equal neighbours folded."""
+    return run(_expression(node, False))
+
+
+def _expression(node: Node, in_link: bool) -> Generator:
     own = [k for k in node.kids if isinstance(k, str)] if node.tag not in OPAQUE else []
     text = " ".join(" ".join(own).split())
     link = in_link or node.tag == "a"
-    kids = [expression(k, link) for k in node.kids if not isinstance(k, str)] if node.tag not in BOILERPLATE or node.tag == "body" else []
+    kids = []
+    if node.tag not in BOILERPLATE or node.tag == "body":
+        for k in node.kids:
+            if not isinstance(k, str):
+                kids.append((yield _expression(k, link)))
     chars = len(text)
-    return [node.label, 0, 1, chars, chars * link, hash_text(text), fold(kids)]
+    return [node.label, 0, 1, chars, chars * link, hash_text(text), (yield _fold(kids)) if len(kids) > 1 else kids]
 
 
 def hash_text(text: str) -> int | None:
@@ -147,12 +175,12 @@ def hash_text(text: str) -> int | None:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else 0
 
 
-def fold(kids: list) -> list:
+def _fold(kids: list) -> Generator:
     """Equal neighbours become one repeated element; then runs of two or more elements that recur side by side do."""
     out: list = []
     for kid in kids:
         if out and out[-1][LABEL] == kid[LABEL]:
-            out[-1] = align(out[-1], kid, repeat=True)
+            out[-1] = yield _align(out[-1], kid, True)
         else:
             out.append(kid)
     size = 2
@@ -161,7 +189,7 @@ def fold(kids: list) -> list:
         while k + 2 * size <= len(out):
             if all(out[k + j][LABEL] == out[k + size + j][LABEL] for j in range(size)):
                 for j in range(size):
-                    out[k + j] = align(out[k + j], out[k + size + j], repeat=True)
+                    out[k + j] = yield _align(out[k + j], out[k + size + j], True)
                 del out[k + size : k + 2 * size]
             else:
                 k += 1
@@ -171,23 +199,31 @@ def fold(kids: list) -> list:
 
 def align(a: list, b: list, repeat: bool = False) -> list:
     """One expression for both, which have the same label; `repeat` if they stand in one page."""
+    return run(_align(a, b, repeat))
+
+
+def _align(a: list, b: list, repeat: bool = False) -> Generator:
     pages = max(a[PAGES], b[PAGES]) if repeat else a[PAGES] + b[PAGES]
-    return [a[LABEL], a[FLAGS] | b[FLAGS] | 2 * repeat, pages, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[HASH] if a[HASH] == b[HASH] else None, align_lists(a[KIDS], b[KIDS])]
+    kids = (yield _align_lists(a[KIDS], b[KIDS])) if a[KIDS] or b[KIDS] else []
+    return [a[LABEL], a[FLAGS] | b[FLAGS] | 2 * repeat, pages, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[HASH] if a[HASH] == b[HASH] else None, kids]
 
 
-def align_lists(a: list, b: list) -> list:
+def _align_lists(a: list, b: list) -> Generator:
     """Longest common subsequence of labels; what has no partner becomes optional. Labels that come out twice are folded."""
     la, lb = [x[LABEL] for x in a], [x[LABEL] for x in b]
+    out: list = []
     if la == lb:
-        return [align(x, y) for x, y in zip(a, b, strict=True)]
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _align(x, y)))
+        return out
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < len(a) and j < len(b):
         if la[i] == lb[j]:
-            out.append(align(a[i], b[j]))
+            out.append((yield _align(a[i], b[j])))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][LABEL], a[i][FLAGS] | 1, *a[i][PAGES:]])
@@ -202,7 +238,7 @@ def align_lists(a: list, b: list) -> list:
     for x in out:
         if x[LABEL] in where:
             k = where[x[LABEL]]
-            merged[k] = align(merged[k], x, repeat=True)
+            merged[k] = yield _align(merged[k], x, True)
             merged[k][FLAGS] |= 1
         else:
             where[x[LABEL]] = len(merged)
@@ -212,11 +248,42 @@ def align_lists(a: list, b: list) -> list:
 
 def regular_expression(w: list) -> str:
     """The wrapper as text: elements, #TEXT for slots that vary, ( )? and ( )+ groups."""
+    return run(_regular_expression(w))
+
+
+def _regular_expression(w: list) -> Generator:
+    inner = []
+    for k in w[KIDS]:
+        inner.append((yield _regular_expression(k)))
     slot = "#TEXT" if w[HASH] is None else "text" if w[CHARS] else ""
-    body = f"<{w[LABEL]}>" + slot + "".join(regular_expression(k) for k in w[KIDS]) + "</>"
+    body = f"<{w[LABEL]}>" + slot + "".join(inner) + "</>"
     return f"({body})" + {0: "", 1: "?", 2: "+", 3: "*"}[w[FLAGS]] if w[FLAGS] else body
 
 
+def below(w: list) -> Iterator[list]:
+    """A wrapper's element and all below it, parents first, in the order of the page."""
+    todo = [w]
+    while todo:
+        w = todo.pop()
+        yield w
+        todo += reversed(w[KIDS])
+
+
+def pack(w: list) -> str:
+    """A wrapper as JSON, flat: JSON's reader and writer don't nest as deep as pages do."""
+    return json.dumps([[*x[:KIDS], len(x[KIDS])] for x in below(w)])
+
+
+def unpack(text: str) -> list:
+    rows = json.loads(text)
+    counts = [x[KIDS] for x in rows]
+    last: list[list] = []
+    for row, n in zip(reversed(rows), reversed(counts), strict=True):
+        row[KIDS] = [last.pop() for _ in range(n)]
+        last.append(row)
+    return last[0]
+
+
 def _names(label: str) -> tuple[str, list[str]]:
     tag, *words = label.split(".")
     return tag, words
@@ -255,10 +322,13 @@ def _mark(label: str) -> int | None:
 
 def article_of(w: list, named: bool = True) -> int | None:
     """How the host marks its articles: the best rank among the wrapper's elements, or None."""
-    if is_boilerplate(w[LABEL], named):
-        return None
-    ranks = [r for r in (_mark(w[LABEL]), *(article_of(k, named) for k in w[KIDS])) if r is not None]
-    return min(ranks) if ranks else None
+    ranks, todo = [], [w]
+    while todo:
+        w = todo.pop()
+        if not is_boilerplate(w[LABEL], named):
+            ranks.append(_mark(w[LABEL]))
+            todo += w[KIDS]
+    return min((r for r in ranks if r is not None), default=None)
 
 
 def holds_mark(node: Node) -> bool:
@@ -296,19 +366,14 @@ def extract(page: str, wrapper: list | None) -> str:
 def _roots(tree: Node, wrapper: list | None, mark: int | None, named: bool) -> list[tuple[Node, list | None]]:
     """The outermost elements with this mark outside boilerplate, and their places in the wrapper."""
     roots: list[tuple[Node, list | None]] = []
-
-    def find(node: Node, w: list | None) -> None:
+    todo: list[tuple[Node, list | None]] = [(tree, wrapper)] if mark is not None else []
+    while todo:
+        node, w = todo.pop()
+        if node is not tree and _mark(node.label) == mark:
+            roots.append((node, w))
+            continue
         inside = {k[LABEL]: k for k in w[KIDS]} if w else {}
-        for kid in node.kids:
-            if isinstance(kid, str) or is_boilerplate(kid.label, named):
-                continue
-            if _mark(kid.label) == mark:
-                roots.append((kid, inside.get(kid.label)))
-            else:
-                find(kid, inside.get(kid.label))
-
-    if mark is not None:
-        find(tree, wrapper)
+        todo += [(kid, inside.get(kid.label)) for kid in reversed(node.kids) if not isinstance(kid, str) and not is_boilerplate(kid.label, named)]
     return [r for r in roots if not is_comment(r[0].label)] or roots
 
 
@@ -317,7 +382,7 @@ def _read(roots: list[tuple[Node, list | None]], wrapper: list | None, whole: bo
     blocks: list[list[str]] = [[]]
     varies = wrapper is not None and _varies(wrapper)
 
-    def emit(node: Node, w: list | None, plain: bool) -> None:
+    def emit(node: Node, w: list | None, plain: bool) -> Generator:
         inside = {k[LABEL]: k for k in w[KIDS]} if w else {}
         constant = plain and w is not None and w[HASH] is not None and w[CHARS] and w[PAGES] >= 3 and wrapper[PAGES] == w[PAGES] and varies
         for kid in node.kids:
@@ -339,27 +404,27 @@ def _read(roots: list[tuple[Node, list | None]], wrapper: list | None, whole: bo
             if block:
                 blocks.append([])
             if not skip:
-                emit(kid, own, plain)
+                yield emit(kid, own, plain)
             if block:
                 blocks.append([])
 
     for node, w in roots:
         blocks.append([])
-        emit(node, w, whole)
+        run(emit(node, w, whole))
     texts = (" ".join("".join(b).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 
 
 def _chars(w: list) -> int:
-    return w[CHARS] + sum(map(_chars, w[KIDS]))
+    return sum(x[CHARS] for x in below(w))
 
 
 def _links(w: list) -> int:
-    return w[LINKS] + sum(map(_links, w[KIDS]))
+    return sum(x[LINKS] for x in below(w))
 
 
 def _varies(w: list) -> bool:
-    return w[HASH] is None or any(map(_varies, w[KIDS]))
+    return any(x[HASH] is None for x in below(w))
 
 
 def wrappers(pages: DataFrame, hosts_held: int = 500) -> DataFrame:
@@ -376,17 +441,17 @@ def wrappers(pages: DataFrame, hosts_held: int = 500) -> DataFrame:
                 own = expression(parse(page))
                 held[host] = align(held[host], own) if host in held else own
                 if len(held) >= hosts_held:
-                    yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [json.dumps(w) for w in held.values()]})
+                    yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [pack(w) for w in held.values()]})
                     held, made = {}, made + 1
         if held:
-            yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [json.dumps(w) for w in held.values()]})
+            yield pd.DataFrame({"host": list(held), "part": task * 31 + made, "wrapper": [pack(w) for w in held.values()]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(frame["wrapper"])
-        out = json.loads(rows[0])
+        out = unpack(rows[0])
         for row in rows[1:]:
-            out = align(out, json.loads(row))
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(out)]})
+            out = align(out, unpack(row))
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [pack(out)]})
 
     made = pages.mapInPandas(infer, "host string, part long, wrapper string").withColumn("part", F.floor(F.sqrt("part")).cast("long"))
     return made.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string").groupBy("host").applyInPandas(merge, "host string, wrapper string")
@@ -398,7 +463,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null or empty html gives an empty text. Pages without a host (null or odd
     urls) share the wrapper of the empty host. Null ids stay, repeated rows
     give a row each, other columns are dropped, an empty table gives an empty
-    result; pages are read whole, however long. Wrappers are broadcast only
+    result; pages are read whole, however long and however deep they nest. Wrappers are broadcast only
     if all together have at most `broadcast_bytes`; else they are joined by
     host.
     """
@@ -417,7 +482,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = []
                 for host, page in zip(frame["host"], frame["html"], strict=True):
                     if host not in known:
-                        known[host] = json.loads(shared.value[host])
+                        known[host] = unpack(shared.value[host])
                     texts.append(extract(page, known[host]))
                 yield frame[["page_id", "url"]].assign(text=texts)
 
@@ -426,7 +491,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         def read_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                yield frame[["page_id", "url"]].assign(text=[extract(page, json.loads(w) if isinstance(w, str) else None) for page, w in zip(frame["html"], frame["wrapper"], strict=True)])
+                yield frame[["page_id", "url"]].assign(text=[extract(page, unpack(w) if isinstance(w, str) else None) for page, w in zip(frame["html"], frame["wrapper"], strict=True)])
 
         out = source.join(found, "host", "left").mapInPandas(read_joined, schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))

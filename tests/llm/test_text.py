@@ -132,6 +132,21 @@ def test_related_articles_do_not_replace_the_page():
     assert alone('<body><div class="my-footer">All there is</div></body>') == "All there is"
 
 
+def test_deep_pages(spark):
+    for deep in (200, 5000):
+        quotes, fonts = "<div>" * deep, "<font>" * deep
+        page = f'<body><div><article><p>Begin</p>{quotes}<nav>menu</nav><div class="comments">no</div>deep{"</div>" * deep}<p>End</p></article></div><div>after</div></body>'
+        assert alone(page) == "Begin deep End"
+        assert alone(f"<body>{fonts}<div><article><p>Begin</p></article></div></body>") == "Begin"
+        w = html_extract.expression(html_extract.parse(page))
+        w = html_extract.align(w, html_extract.expression(html_extract.parse(page.replace("deep", "other"))))
+        back = html_extract.unpack(html_extract.pack(w))
+        assert html_extract.regular_expression(back) == html_extract.regular_expression(w)
+        assert html_extract.extract(page, back) == "Begin deep End"
+    pages = spark.createDataFrame([(k, "http://h.example.com/", page) for k in range(3)], "page_id long, url string, html string")
+    assert [r["text"] for r in html_extract.main_text(pages).collect()] == ["Begin deep End"] * 3
+
+
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
