@@ -100,24 +100,36 @@ def with_corners(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def locate(points: DataFrame, elements: DataFrame, nodes: DataFrame, tolerance: float = 1e-10, cell: float | None = None) -> DataFrame:
-    """The element that holds each point (point_id, lon, lat), or -1: point_id, elem_id.
+def holders(points: DataFrame, elements: DataFrame, nodes: DataFrame, tolerance: float = 1e-10, cell: float | None = None) -> DataFrame:
+    """All pairs of a point (point_id, lon, lat) and an element that holds it: point_id, elem_id, and the columns of both.
 
-    Planar in degrees, without wrapping. Of several elements, the one with the
-    nearest centroid, then the smaller id. Elements are dealt to the cells
-    that their boxes touch and meet the points there.
+    Planar in degrees, without wrapping. Elements are dealt to the cells that
+    their boxes touch and meet the points there.
     """
     e = with_corners(elements.select("elem_id", "n1", "n2", "n3"), nodes)
     lons, lats = [F.col(f"lon{k}") for k in (1, 2, 3)], [F.col(f"lat{k}") for k in (1, 2, 3)]
     if cell is None:
         size = e.agg(F.avg(F.greatest(*lats) - F.least(*lats))).first()[0] or 1.0
         cell = max(size, 1e-6)
-    pad = 1e-9
-    span = lambda c: F.sequence(F.floor((F.least(*c) - pad) / cell).cast("int"), F.floor((F.greatest(*c) + pad) / cell).cast("int"))
+
+    def span(c):
+        # corner weights down to -tolerance reach so far beyond the box
+        pad = 1e-9 + (F.greatest(*c) - F.least(*c)) * (3 * tolerance)
+        return F.sequence(F.floor((F.least(*c) - pad) / cell).cast("int"), F.floor((F.greatest(*c) + pad) / cell).cast("int"))
+
     dealt = e.withColumn("i", F.explode(span(lons))).withColumn("j", F.explode(span(lats)))
     met = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / cell).cast("int").alias("i"), F.floor(F.col("lat") / cell).cast("int").alias("j")).join(dealt, ["i", "j"])
-    hit = met.where(in_triangle(F.col("lon"), F.col("lat"), lons, lats, tolerance))
-    dx, dy = F.col("lon") - (lons[0] + lons[1] + lons[2]) / 3, F.col("lat") - (lats[0] + lats[1] + lats[2]) / 3
+    return met.where(in_triangle(F.col("lon"), F.col("lat"), lons, lats, tolerance))
+
+
+def locate(points: DataFrame, elements: DataFrame, nodes: DataFrame, tolerance: float = 1e-10, cell: float | None = None) -> DataFrame:
+    """The element that holds each point (point_id, lon, lat), or -1: point_id, elem_id.
+
+    Of several elements (`holders`), the one with the nearest centroid, then
+    the smaller id.
+    """
+    hit = holders(points, elements, nodes, tolerance, cell)
+    dx, dy = F.col("lon") - (F.col("lon1") + F.col("lon2") + F.col("lon3")) / 3, F.col("lat") - (F.col("lat1") + F.col("lat2") + F.col("lat3")) / 3
     best = hit.groupBy("point_id").agg(F.min_by("elem_id", F.struct((dx * dx + dy * dy).alias("d"), F.col("elem_id"))).alias("elem_id"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", F.coalesce("elem_id", F.lit(-1)).alias("elem_id"))
 

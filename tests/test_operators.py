@@ -115,6 +115,30 @@ def test_locate(spark, mesh):
     assert (got[0], got[1], got[2], got[3]) == (0, 1, 6, -1) and got[4] in (1, 2)
 
 
+def test_holders(spark, mesh):
+    nodes, elements = mesh
+    points = nodes.select(F.col("node_id").alias("point_id"), "lon", "lat")
+    corners = {(r[k], r["elem_id"]) for r in elements.collect() for k in ("n1", "n2", "n3")}
+    for cell in (None, 0.3, 50.0):
+        found = neighbours.holders(points, elements, nodes, cell=cell)
+        assert {(r["point_id"], r["elem_id"]) for r in found.collect()} == corners
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_in_triangle_has_no_nested_loop(spark):
+    from polarmesh.plans import registry
+
+    rows = {}
+    for name in ("o71_in_triangle", "o71_in_any_triangle"):
+        found = registry.queries()[name](spark, "/root/testdata/sf0.01")
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        rows[name] = {tuple(r) for r in found.collect()}
+    assert any(e % 2 for _, e in rows["o71_in_any_triangle"])
+    assert rows["o71_in_triangle"] == {(k, e) for k, e in rows["o71_in_any_triangle"] if e % 2 == 0}
+
+
 def test_priority_cells(spark):
     cells = lambda rows: spark.createDataFrame(rows, "lon double, lat double, payload string")
     targets = cells([(0.0, 0.0, ""), (1.0, 0.0, ""), (2.0, 10.0, "")]).drop("payload")
