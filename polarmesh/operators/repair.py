@@ -140,24 +140,29 @@ def clean_cavity(depths: DataFrame, adjacency: DataFrame, least: int = 15, most:
     return depths
 
 
-def deepen_floor(nodes: DataFrame, ring: DataFrame, step: float = 10.0, most: int = 100) -> DataFrame:
+def deepen_floor(nodes: DataFrame, ring: DataFrame, step: float = 10.0) -> DataFrame:
     """node_id, depth where the floor at or above the ice base is replaced by the mean of deeper neighbours (id, nbr), until none is left.
 
     A node without deeper neighbours sends them all its depth less `step`;
     of several that one neighbour is sent, the one from the largest id holds.
-    Rounds are simultaneous.
+    Rounds are simultaneous, and there are as many as it takes; raises if one
+    changes nothing (a node without neighbours, or a step of 0).
     """
-    for _ in range(most):
+    nodes = nodes.select("node_id", "depth", "cavity_depth")
+    while True:
         bad = materialise(nodes.where("cavity_depth < 0 AND depth >= cavity_depth").select(F.col("node_id").alias("id"), F.col("depth").alias("own")), "bad")
         if bad.isEmpty():
-            break
+            return nodes.select("node_id", "depth")
         near = ring.join(bad, "id").join(nodes.select(F.col("node_id").alias("nbr"), "depth"), "nbr")
         means = bad.join(near.where(F.col("depth") < F.col("own")).groupBy("id").agg(F.avg("depth").alias("m")), "id", "left")
         lone = means.where("m IS NULL").select("id", "own")
         lowered = ring.join(lone, "id").groupBy(F.col("nbr").alias("node_id")).agg(F.max_by(F.col("own") - step, "id").alias("down"))
         up = means.where("m IS NOT NULL").select(F.col("id").alias("node_id"), "m")
-        nodes = materialise(nodes.join(up, "node_id", "left").join(lowered, "node_id", "left").withColumn("depth", F.coalesce("down", "m", "depth")).drop("m", "down"), "floor")
-    return nodes.select("node_id", "depth")
+        after = nodes.join(up, "node_id", "left").join(lowered, "node_id", "left").withColumn("now", F.coalesce("down", "m", "depth"))
+        after = materialise(after.select("node_id", F.col("now").alias("depth"), "cavity_depth", (~F.col("now").eqNullSafe(F.col("depth"))).alias("moved")), "floor")
+        if after.where("moved").isEmpty():
+            raise ValueError(f"{bad.count()} floors stay at or above the ice base: their neighbours can't be deepened")
+        nodes = after.drop("moved")
 
 
 def smooth_topography(nodes: DataFrame, adjacency: DataFrame, coefficient: float = 1.0, weight: float = 2.0) -> DataFrame:

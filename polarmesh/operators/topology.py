@@ -121,13 +121,18 @@ def layer_overlap(elements: DataFrame, legacy: bool = False) -> DataFrame:
     return own.join(shared, "elem_id", "left").join(pairs, "elem_id", "left").select("elem_id", (F.col("last_layer") - F.col("first_layer") + 1).alias("active"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("first_layer") < F.col("nf"), F.lit(False)).alias("isolated_top"), F.coalesce(floor > F.col("nl"), F.lit(False)).alias("isolated_floor"))
 
 
-def edge_overlap(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, overlap: layers that both nodes of an edge have (first_layer, last_layer by node); 0 on coastal edges."""
+def _edge_layers(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, layers that both nodes of an edge have (first_layer, last_layer by node), coastal."""
     out = edges(elements)
     for k in ("a", "b"):
         out = out.join(nodes.select(F.col("node_id").alias(k), F.col("first_layer").alias(f"f_{k}"), F.col("last_layer").alias(f"l_{k}"), F.col("coast").alias(f"c_{k}")), k)
     n = F.least("l_a", "l_b") - F.greatest("f_a", "f_b") + 1
-    return out.select("a", "b", F.when((F.col("c_a") == 1) & (F.col("c_b") == 1), F.lit(0)).otherwise(n).alias("overlap"))
+    return out.select("a", "b", n.alias("layers"), F.coalesce((F.col("c_a") == 1) & (F.col("c_b") == 1), F.lit(False)).alias("coastal"))
+
+
+def edge_overlap(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, overlap: layers that both nodes of an edge have (first_layer, last_layer by node); 0 on coastal edges."""
+    return _edge_layers(elements, nodes).select("a", "b", F.when(F.col("coastal"), F.lit(0)).otherwise(F.col("layers")).alias("overlap"))
 
 
 def node_layers(nodes: DataFrame, levels: DataFrame) -> DataFrame:
@@ -149,13 +154,16 @@ def at_least_layers(nodes: DataFrame, levels: DataFrame, least: int = 3) -> Data
     return nodes.join(F.broadcast(by_level), "first_layer", "left").select("node_id", F.least("depth", F.coalesce("floor", "depth")).alias("depth"))
 
 
-def repair_overlap(elements: DataFrame, nodes: DataFrame, levels: DataFrame, least: int = 2) -> DataFrame:
-    """node_id, depth with the shallower node of each edge of too little overlap deepened to share `least` layers.
+def deepen_overlap(elements: DataFrame, nodes: DataFrame, levels: DataFrame, least: int = 2, touching: bool = False) -> DataFrame:
+    """node_id, depth with the shallower node of each edge of too little overlap deepened to share `least` layers; nothing is verified.
 
     The shallower node is chosen by the depths before any repair, so the
-    result doesn't hang on order; raises if an edge still overlaps too little.
+    result doesn't hang on order. Edges whose layers only touch (an overlap
+    of 0) are left out unless `touching`.
     """
-    bad = edge_overlap(elements, nodes).where((F.col("overlap") < least) & (F.col("overlap") != 0))
+    bad = _edge_layers(elements, nodes).where((F.col("layers") < least) & ~F.col("coastal"))
+    if not touching:
+        bad = bad.where("layers <> 0")
     for k in ("a", "b"):
         bad = bad.join(nodes.select(F.col("node_id").alias(k), F.col("depth").alias(f"d_{k}"), F.col("first_layer").alias(f"f_{k}")), k)
     need = F.greatest("f_a", "f_b") + least
@@ -164,6 +172,20 @@ def repair_overlap(elements: DataFrame, nodes: DataFrame, levels: DataFrame, lea
     return nodes.select("node_id", "depth").join(fixes, "node_id", "left").select("node_id", F.least("depth", F.coalesce("wanted", "depth")).alias("depth"))
 
 
+def repair_overlap(elements: DataFrame, nodes: DataFrame, levels: DataFrame, least: int = 2) -> DataFrame:
+    """`deepen_overlap` of all edges that aren't coastal, verified: raises if one of them still overlaps too little.
+
+    For that, layers are counted anew from the repaired depths and the ice
+    base (cavity_depth).
+    """
+    fixed = materialise(deepen_overlap(elements, nodes, levels, least, touching=True), "overlap")
+    layered = node_layers(fixed.join(nodes.select("node_id", "cavity_depth"), "node_id"), levels).join(nodes.select("node_id", "coast"), "node_id")
+    left = _edge_layers(elements, layered).where((F.col("layers") < least) & ~F.col("coastal")).count()
+    if left:
+        raise ValueError(f"{left} edges share fewer than {least} layers after the repair")
+    return fixed
+
+
 def boundary_edges(elements: DataFrame) -> DataFrame:
     """a, b of edges with one owner."""
     return element_edges(elements).groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 1").select("a", "b")

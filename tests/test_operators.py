@@ -234,6 +234,32 @@ def test_floor_is_deepened(spark):
     assert got[0] < -19.99 and got[1] <= -20
 
 
+def test_floor_takes_as_many_rounds_as_needed(spark):
+    nodes = spark.createDataFrame([(0, -10.0, -21.1), (1, -10.0, 0.0)], "node_id long, depth double, cavity_depth double")
+    ring = topology.both_ways(spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert values(repair.deepen_floor(nodes, ring, 0.2), "depth")[0] < -21.1  # two rounds for each step
+    with pytest.raises(ValueError):
+        repair.deepen_floor(nodes, ring.limit(0))
+
+
+def test_overlap_is_verified(spark):
+    levels = spark.createDataFrame([(k, -10.0 * (k - 1)) for k in range(1, 9)], "level_idx int, depth double")
+    elements = spark.createDataFrame([(0, 0, 1, 2)], "elem_id long, n1 long, n2 long, n3 long")
+
+    def nodes(rows):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node_id long, cavity_depth double, depth double, coast int")
+        return df.join(topology.node_layers(df, levels), "node_id")
+
+    # layers 1-2 and 3-6 only touch (overlap 0): repaired too
+    good = nodes([(0.0, -20.0, 0), (-20.0, -60.0, 0), (0.0, -60.0, 0)])
+    assert values(topology.repair_overlap(elements, good, levels), "depth") == [-40, -60, -60]
+    # the ice base is too deep for any repair; on a coastal edge that doesn't matter
+    deep = [(0.0, -20.0, 1), (-70.0, -75.0, 1), (0.0, -20.0, 1)]
+    assert values(topology.repair_overlap(elements, nodes(deep), levels), "depth") == [-20, -75, -20]
+    with pytest.raises(ValueError):
+        topology.repair_overlap(elements, nodes([(c, d, 0) for c, d, _ in deep]), levels)
+
+
 def test_truncate(mesh):
     nodes, elements = mesh
     e, n = topology.truncate(elements, nodes, nodes.where("node_id <> 0"))
