@@ -169,6 +169,8 @@ def alike(one: tuple, other: tuple, threshold: float) -> bool:
     """Whether two weighed sets have a weighted Jaccard similarity of at least `threshold`."""
     if not len(one[0]) or not len(other[0]):
         return False
+    if min(one[2], other[2]) < threshold * max(one[2], other[2]) * (1 - 1e-9):
+        return False  # what they share is at most the smaller weight
     at = np.minimum(np.searchsorted(one[0], other[0]), len(one[0]) - 1)
     same = one[0][at] == other[0]
     shared = float(np.minimum(one[1][at[same]], other[1][same]).sum(dtype=np.float64))
@@ -247,15 +249,16 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch, threshold: float, share_o
     return dealt.select("a", "node", "partner", "text").mapInArrow(compare, "a long, b long")
 
 
-def residual_links(buckets: DataFrame, held: DataFrame, sketch, threshold: float, floor: float, bands: int, block: int = 512) -> DataFrame:
+def residual_links(buckets: DataFrame, held: DataFrame, sketch, threshold: float, bands: int, block: int = 512) -> DataFrame:
     """Links between the classes that meet in a bucket (band, key, node, root), as many as join them; `held` has node, samples, text.
 
     Of two members of different classes, one isn't of the bucket's largest
     class: these, the rest, are compared with all members, block against
     block, each pair of blocks being a unit of work. A pair is looked at in the
-    first band that makes it meet, and if it agrees in at least `floor` of its
-    samples, its texts are compared there. Pairs that earlier links of the
-    same unit join are passed over: a unit returns fewer links than it has nodes.
+    first band that makes it meet, and its texts are compared there unless
+    their whole weights alone keep them apart. Pairs that agree most often come
+    first, and those that earlier links of the same unit join are passed over:
+    a unit returns fewer links than it has nodes.
     """
     by_class = buckets.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
     mixed = by_class.groupBy("band", "key").agg(F.sum("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("top")).where("m > top")
@@ -269,23 +272,25 @@ def residual_links(buckets: DataFrame, held: DataFrame, sketch, threshold: float
     every = members.select("band", "key", "node", "root", each("rest_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("rest"))
     cells = rest.unionByName(every).join(own.hint("merge"), "node").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
-    def candidates(band: int, rest: np.ndarray, nodes: np.ndarray, rest_bands: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
-        """Places of pairs that meet first in this band and agree often enough."""
-        right, out = np.flatnonzero(~rest), []
+    def candidates(band: int, rest: np.ndarray, nodes: np.ndarray, roots: np.ndarray, rest_bands: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+        """Places of pairs of different classes that meet first in this band, by how often they agree."""
+        right, out, often = np.flatnonzero(~rest), [], []
         r, r_nodes, r_bands, each_band = s[right], nodes[right], rest_bands[right], np.arange(bands)
         in_rest = r_bands >> band & 1 == 1
         for at in np.flatnonzero(rest):
             same = r == s[at]
-            near = np.flatnonzero((same.sum(axis=1) >= floor * s.shape[1]) & (r_nodes != nodes[at]) & ~(in_rest & (r_nodes < nodes[at])))
+            near = np.flatnonzero((roots[right] != roots[at]) & ~(in_rest & (r_nodes < nodes[at])))
             if len(near):
                 meet = same[near].reshape(len(near), bands, s.shape[1] // bands).all(axis=2) & ((r_bands[near] | rest_bands[at])[:, None] >> each_band & 1 == 1)
-                out += [(int(at), other) for other in right[near[meet.argmax(axis=1) == band]].tolist()]
-        return out
+                near = near[meet[:, band] & (meet.argmax(axis=1) == band)]
+                out += [(int(at), other) for other in right[near].tolist()]
+                often.append(same[near].sum(axis=1))
+        return [out[k] for k in np.argsort(-np.concatenate(often), kind="stable").tolist()] if out else []
 
     def links_of(unit: pa.Table) -> list[tuple[int, int]]:
         rest, nodes, rest_bands = (unit.column(c).to_numpy() for c in ("rest", "node", "rest_bands"))
         s = np.frombuffer(b"".join(unit.column("samples").to_pylist()), np.uint32).reshape(len(unit), -1)
-        pairs = candidates(unit.column("band")[0].as_py(), rest, nodes, rest_bands, s)
+        pairs = candidates(unit.column("band")[0].as_py(), rest, nodes, unit.column("root").to_numpy(), rest_bands, s)
         if not pairs:
             return []
         needed = sorted({k for pair in pairs for k in pair})
@@ -345,7 +350,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2, sample_floor: float = 0.6) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
     """One row for each row of `docs`: doc_id, class_id, class_size, n_links, kept.
 
     class_id is the least doc_id of the class (nulls count as largest);
@@ -359,8 +364,6 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
 
     A pair that shares a band (at a similarity of 0.8, all but two in ten
     thousand do) is compared unless links found before have made it one class.
-    After the star rounds, `sample_floor`, four standard deviations below the
-    threshold, skips pairs whose samples already tell that they differ.
     """
     spark = docs.sparkSession
     source = ids_and_text(docs, id_col, text_col)
@@ -410,7 +413,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
         classes = met.select("band", "key", "node", "root")
         if labels is not None:
             classes = classes.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = materialise(residual_links(materialise(classes, "classes"), samples.join(texts, "node"), sketch, threshold, sample_floor, bands), "links")
+        found = materialise(residual_links(materialise(classes, "classes"), samples.join(texts, "node"), sketch, threshold, bands), "links")
         links = materialise(found if links is None else links.unionByName(found).distinct(), "all-links")
         labels = components(links)
     if links is None:

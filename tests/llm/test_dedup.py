@@ -152,3 +152,16 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 10: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
     chain = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in near_dedup.components(chain).collect()} == {1}
+
+
+def test_residual_pairs_are_compared_whatever_their_samples_say(spark):
+    """Alike texts that agree in one band only, of whose 64 samples 4 are equal; and ones that aren't alike."""
+    text = " ".join(f"word{k}" for k in range(200))
+    texts = {1: text, 2: text + " more", 3: " ".join(f"other{k}" for k in range(200)), 4: text + " again"}
+    samples = {k: np.concatenate([np.arange(4), np.arange(60) + 1000 * k]).astype(np.uint32).tobytes() for k in texts}
+    held = spark.createDataFrame([(k, bytes(samples[k]), t) for k, t in texts.items()], "node long, samples binary, text string")
+    buckets = spark.createDataFrame([(0, 7, k, 1 if k == 4 else k) for k in texts], "band int, key long, node long, root long")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketch = spark.sparkContext.broadcast(near_dedup.document_frequencies(docs))
+    found = near_dedup.residual_links(buckets, held, sketch, 0.8, 16).collect()
+    assert {(r["a"], r["b"]) for r in found} in ({(1, 2)}, {(2, 4)}, {(1, 2), (2, 4)})
