@@ -17,85 +17,62 @@
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polarmesh.llm.shared import ids_and_text, materialise, slices_by_bytes
-from polarmesh.llm.token_counts import load
+from polarmesh.llm.token_counts import RecentlyUsed, load
 
-#: Characters that str.split() and the vocabulary's own white space treat differently: such texts are encoded whole.
-UNSURE = regex.compile("[\x1c-\x1f]")
+# Below this, lower-casing looks at no neighbour and no two characters compose.
+_LATIN = 0x250
+_low = [chr(c) for c in range(_LATIN) if ord(chr(c).lower()[0]) < _LATIN and len(chr(c).lower()) == 1]
+_LETTERS = "".join(c for c in _low if unicodedata.category(c)[0] == "L")
+_DIGITS = "".join(c for c in _low if unicodedata.category(c)[0] == "N")
 
-#: A piece of this cut by white space: letters, one digit, or other signs, as the vocabulary splits words.
-_UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: A text with one of these is encoded whole: separators that Unicode versions class differently, what may start a special token, and all that isn't of the above.
+UNSURE = re.compile("[^" + re.escape("".join(c for c in _low if c not in "<\x1c\x1d\x1e\x1f")) + "]")
 
-_words: dict[str, tuple[dict, dict]] = {}
+#: The vocabulary's own pre-tokens of a lower-cased text: endings after an apostrophe, letters, one digit, other signs.
+_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 
+# Characters that stand for bytes in a byte-level vocabulary: the byte's own if it is printable, else those from 256 on, in order.
+_printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_by_byte = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(_printable)))}
+_BYTE_LEVEL = {ord(c): "".join(_by_byte[b] for b in c.encode()) for c in _low}
 
-class WordEncoder:
-    """Ids, as little-endian 32-bit bytes, of texts whose vocabulary never joins what white space parts.
 
-    Frequent words come from a dictionary of whole words, the rest from one
-    of their units, and only units that are new are encoded by the library.
-    Both dictionaries are held by the worker and bounded; what comes first
-    stays, and frequent words come early.
+class UnitEncoder:
+    """Ids, as little-endian 32-bit bytes, of texts whose vocabulary never joins two pre-tokens.
+
+    Ids of pre-tokens come from a cache that ends with its task; those that it
+    doesn't hold are merged by the library.
     """
 
-    def __init__(self, path: str, word_entries: int = 200_000, unit_entries: int = 300_000):
+    def __init__(self, path: str, cache_bytes: int = 20_000_000):
         self.tokenizer = load(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.units = _words.setdefault(path, ({}, {}))
-        self.word_entries, self.unit_entries = word_entries, unit_entries
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new_words(self, new: list[str]) -> dict[str, bytes]:
-        out, parts = {}, {}
-        plain = []
-        for word in new:
-            # only Latin words are split here: none that starts a special token, composes, or lower-cases by context
-            if "<" not in word and max(word) < "\u0250" and "\u0130" not in word:
-                parts[word] = _UNITS.findall(word.lower())
-            else:
-                plain.append(word)
-        missing = list({u for p in parts.values() for u in p}.difference(self.units))
-        fresh = dict(zip(missing, self._encode(missing), strict=True))
-        if len(self.units) + len(missing) <= self.unit_entries:
-            self.units.update(fresh)
-            fresh = {}
-        get = (lambda u, a=self.units.get, b=fresh.get: a(u) or b(u)) if fresh else self.units.__getitem__
-        for word, p in parts.items():
-            out[word] = b"".join(map(get, p))
-        out.update(zip(plain, self._encode(plain), strict=True))
-        return out
+        self.cache = RecentlyUsed(cache_bytes)
+
+    def _merge(self, units: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: the library's merges alone, as nothing is left to normalise or split."""
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([x.id for x in tokenize(u.translate(_BYTE_LEVEL))], "<u4").tobytes() for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if UNSURE.search(t)}
-        split = [() if i in whole else t.split() for i, t in enumerate(texts)]
-        known = self.words
-        new = set().union(*split).difference(known) if split else set()
-        extra = self._new_words(list(new)) if new else {}
-        if len(known) + len(extra) <= self.word_entries:
-            known.update(extra)
-            extra = {}
-        if extra:
-            def get(word, a=known.get, b=extra.get):
-                found = a(word)
-                return b(word) if found is None else found
-        else:
-            get = known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+        split = [() if i in whole else _UNITS.findall(t.lower()) for i, t in enumerate(texts)]
+        known = self.cache.of(set().union(*split), self._merge)
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
         for i in whole:
-            out[i] = self._encode([texts[i]])[0]
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
@@ -103,10 +80,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """The pieces of each text: doc_id, piece, start, length, ids_crc32, and where the piece was made (task, local_rank)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, made = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, task, made = UnitEncoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in slices_by_bytes(batch, "text"):
+            for part in slices_by_bytes(batch, "text", 1_000_000):
                 rows, piece, start, length, crc, rank = [], [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
                     ids += end

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,29 +19,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, local runs) a folder below the warehouse
-    is taken, which every executor can reach too.
+    Where that is unset, a local session (tests) uses a folder below its
+    warehouse; a cluster must name one, as executors share no local folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/polarmesh-work"
 
 
-def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Folders made inside each open `temporary_tables`, the innermost last.
+_temporary: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None, lasting: bool = False) -> DataFrame:
     """Writes `df` to the shared folder and reads it again, which cuts its lineage.
 
     Unlike a cached or locally checkpointed frame, the table survives the loss
-    of any executor. It is deleted when the driver's JVM ends.
+    of any executor. It is deleted at the end of the `temporary_tables` around
+    it unless it is `lasting`, else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    if _temporary and not lasting:
+        _temporary[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at the end; a result that is still needed is written inside as `lasting`."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            files, place = _file_system(spark, path)
+            files.delete(place, True)
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -9,7 +9,7 @@ slice of rows. Nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -25,7 +25,31 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 UNSURE = regex.compile("[\x1c-\x1f\x85᠎​  ]")
 
 _tokenizers: dict = {}
-_lengths: dict = {}
+
+
+class RecentlyUsed:
+    """A dictionary in two generations, each of about `limit_bytes` as Python holds them.
+
+    What is used moves to the young one, which becomes the old one when it is
+    full: what was used last stays, and the size is bounded in bytes.
+    """
+
+    ENTRY = 200  # bytes of a dictionary's entry and of two objects beside their contents
+
+    def __init__(self, limit_bytes: int):
+        self.limit, self.young, self.old, self.held = limit_bytes, {}, {}, 0
+
+    def of(self, keys: set, make: Callable[[list], Iterable]) -> dict:
+        """A dictionary that holds all of `keys`; `make` gives the values of those that aren't held."""
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        new = keys.difference(self.young)
+        found = {k: self.old[k] for k in new if k in self.old}
+        missing = list(new.difference(found))
+        found.update(zip(missing, make(missing), strict=True))
+        self.young.update(found)
+        self.held += sum(map(len, found)) + self.ENTRY * len(found) + sum(len(v) for v in found.values() if isinstance(v, bytes))
+        return self.young
 
 
 def load(path: str):
@@ -49,7 +73,7 @@ def frequent_lengths(path: str) -> dict[str, int]:
     return dict(zip(texts, (len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 30_000_000) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     Texts are read whole. A null text counts as empty and has 0 tokens; a null
@@ -57,7 +81,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     so their names can't clash; an empty table gives an empty result. A text
     that holds the string of a special token, or a separator on which Unicode
     versions differ, is encoded whole by the library.
-    `cache_entries` bounds a worker's cache, which is emptied when full.
+    A task's cache has two generations of `cache_bytes` each at most.
     """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_lengths(tokenizer_path))
@@ -65,20 +89,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, find = load(tokenizer_path), regex.compile(PATTERN).findall
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        common, cache = frequent.value, _lengths.setdefault(tokenizer_path, {})
+        common, cache = frequent.value, RecentlyUsed(cache_bytes)
+
+        def lengths(texts: list[str]) -> Iterator[int]:
+            return map(len, tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
         for batch in batches:
-            for part in slices_by_bytes(batch, "text"):
+            for part in slices_by_bytes(batch, "text", 1_000_000):
                 texts = part.column("text").to_pylist()
                 whole = {i for i, t in enumerate(texts) if any(s in t for s in special) or UNSURE.search(t)}
                 split = [() if i in whole else find(t) for i, t in enumerate(texts)]
                 seen = set().union(*split) if split else set()
-                missing = [t for t in seen if t not in common and t not in cache]
-                if len(cache) + len(missing) > cache_entries:
-                    cache.clear()
-                    missing = [t for t in seen if t not in common]
-                if missing:
-                    cache.update(zip(missing, map(len, tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-                known = {t: common[t] if t in common else cache[t] for t in seen}
+                rare = cache.of({t for t in seen if t not in common}, lengths)
+                known = {t: common[t] if t in common else rare[t] for t in seen}
                 counts = [sum(map(known.__getitem__, s)) for s in split]
                 for i in whole:
                     counts[i] = len(tokenizer.encode(texts[i], add_special_tokens=False))

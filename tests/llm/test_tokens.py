@@ -20,7 +20,7 @@ def test_counts_are_the_librarys(corpus, odd_docs):
         for (i, t), k in texts.items():
             n = len(tokenizer.encode(t, add_special_tokens=False))
             want[i, len(t.encode()), n, n > 1024] += k
-        got = Counter(map(tuple, token_counts.token_counts(docs, BYTES, cache_entries=500).collect()))
+        got = Counter(map(tuple, token_counts.token_counts(docs, BYTES, cache_bytes=20_000).collect()))
         assert got == want
 
 
@@ -87,3 +87,26 @@ def test_plans_are_whole_and_tight(seed):
         else:
             bins.append(s)
     assert n <= 1.03 * len(bins) + 2
+
+
+def test_ids_of_odd_strings_are_the_librarys():
+    rng = np.random.default_rng(4)
+    tokenizer, encoder = token_counts.load(WORDS), packing.UnitEncoder(WORDS, cache_bytes=100_000)
+    latin, odd = "".join(map(chr, range(0x250))), "aB 's't'll'LL1½ <|endoftext|>\x1c\x85\xa0ßİȺÉe\u0301Σς漢\u200b\t\n“"
+    for signs in (latin, odd, latin + odd):
+        for _ in range(3):
+            texts = ["".join(rng.choice(list(signs), rng.integers(0, 50))) for _ in range(400)]
+            for text, ids in zip(texts, encoder.encode(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.cache.held < 200_000
+
+
+def test_recently_used_is_bounded_and_right():
+    cache = token_counts.RecentlyUsed(10_000)
+    asked = []
+    for k in range(200):
+        keys = {f"common{j}" for j in range(5)} | {f"rare{k}-{j}" for j in range(10)}
+        found = cache.of(keys, lambda new: asked.extend(new) or [x.encode() for x in new])
+        assert all(found[x] == x.encode() for x in keys)
+        assert len(cache.young) + len(cache.old) < 150
+    assert len(asked) == len(set(asked))
