@@ -8,12 +8,14 @@ that stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polarmesh.llm import decontaminate, exact_dedup, langid, near_dedup, packing
-from polarmesh.llm.shared import held_out, materialise, table
+from polarmesh.llm.shared import held_out, materialise, table, temporary_tables
 
 KEY = "_row"
 
@@ -23,15 +25,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text")))
 
 
-def _keep(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of `keyed` that `decisions` (doc_id: the key, kept) keeps, once for each kept decision.
+def _keep(keyed: DataFrame, decide: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of `keyed` that the decisions (doc_id: the key, kept) keep.
 
     The keys to drop are written first, so that Spark knows their size: it
     broadcasts them if they are below its threshold and shuffles otherwise.
-    Rows that share a key are alike; of those that decisions thin out, the
-    kept number stays.
+    What the operator wrote on its way is deleted then. Rows that share a key
+    are alike; of those that decisions thin out, one stays.
     """
-    by_key = materialise(decisions.groupBy(F.col("doc_id").alias(KEY)).agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).where("kept < n"), "decisions")
+    with temporary_tables(keyed.sparkSession):
+        by_key = decide().groupBy(F.col("doc_id").alias(KEY)).agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).where("kept < n")
+        by_key = materialise(by_key, "decisions", lasting=True)
     gone = by_key.where("kept = 0").select(KEY)
     stay = keyed.join(gone, KEY, "left_anti")
     thinned = by_key.where("kept > 0").select(KEY)
@@ -44,27 +48,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; trained on the labelled rows outside the held-out third."""
     keyed = _keyed(docs)
     model = langid.train(docs.where(~held_out()))
-    found = langid.identify(keyed, model, id_col=KEY)
-    return _keep(keyed, found.select("doc_id", (~F.col("rejected")).alias("kept")))
+    return _keep(keyed, lambda: langid.identify(keyed, model, id_col=KEY).select("doc_id", (~F.col("rejected")).alias("kept")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     keyed = _keyed(docs)
-    return _keep(keyed, exact_dedup.exact_dedup(keyed, id_col=KEY).select("doc_id", "kept"))
+    return _keep(keyed, lambda: exact_dedup.exact_dedup(keyed, id_col=KEY).select("doc_id", "kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     keyed = _keyed(docs)
-    return _keep(keyed, near_dedup.near_dedup(keyed, id_col=KEY).select("doc_id", "kept"))
+    return _keep(keyed, lambda: near_dedup.near_dedup(keyed, id_col=KEY).select("doc_id", "kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    keyed = _keyed(docs)
-    found = decontaminate.contamination(decontaminate.match_items(keyed, table(spark, sf_dir, "benchmark"), 13, id_col=KEY))
-    return _keep(keyed, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    keyed, benchmark = _keyed(docs), table(spark, sf_dir, "benchmark")
+    return _keep(keyed, lambda: decontaminate.contamination(decontaminate.match_items(keyed, benchmark, 13, id_col=KEY)).select("doc_id", (~F.col("contaminated")).alias("kept")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
