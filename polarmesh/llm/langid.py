@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarmesh.llm.shared import ids_and_text, slices_by_bytes
+from polarmesh.llm.shared import ids_and_text, slices_by_bytes, small_batches
 from polarmesh.llm.textops import LOWER, utf8
 
 ORDERS = (2, 3, 4)
@@ -92,7 +92,20 @@ class Model:
         return softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
 
 
-def fit(texts: list[str], labels: list[str], bits: int = 15, dimension: int = 16, epochs: int = 6, rate: float = 0.5, reject_quantile: float = 0.0005, seed: int = 7) -> Model:
+BITS = 15
+
+
+def bags(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct hashed subwords of each text and their shares of all its subwords."""
+    by_order = subwords(data, offsets, bits)
+    out = []
+    for k in range(len(offsets) - 1):
+        codes, counts = np.unique(np.concatenate([c[at[k] : at[k + 1]] for c, at in by_order]), return_counts=True)
+        out.append((codes, (counts / max(1, counts.sum())).astype(np.float32)))
+    return out
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], bits: int = BITS, dimension: int = 16, epochs: int = 6, rate: float = 0.5, reject_quantile: float = 0.0005, seed: int = 7) -> Model:
     """Trains on nine tenths of the rows; the rest calibrate the temperature and the rejection.
 
     A text is rejected below the `reject_quantile` of the scores of the kept-back texts
@@ -101,14 +114,9 @@ def fit(texts: list[str], labels: list[str], bits: int = 15, dimension: int = 16
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    bags = []
-    for text in texts:
-        data, offsets = utf8(pa.array([text], pa.string()))
-        codes, counts = np.unique(np.concatenate([c for c, _ in subwords(data, offsets, bits)]), return_counts=True)
-        bags.append((codes, (counts / max(1, counts.sum())).astype(np.float32)))
     embedding = rng.uniform(-1 / dimension, 1 / dimension, (1 << bits, dimension)).astype(np.float32)
     weights, bias = np.zeros((dimension, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(bags))
     kept_back, train = order[: len(order) // 10], order[len(order) // 10 :]
     step, steps = 0, max(1, epochs * len(train))
     for _ in range(epochs):
@@ -144,22 +152,34 @@ def fit(texts: list[str], labels: list[str], bits: int = 15, dimension: int = 16
     return Model(languages, logits, bias, bits, temperature, reject)
 
 
-def bounded_sample(labelled: DataFrame, rows: int, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """About `rows` rows at most, chosen by a hash of the id: one count over the ids, then a filter."""
+def bounded_sample(labelled: DataFrame, rows: int, by: tuple[str, ...] = ("doc_id",), seed: int = 11) -> DataFrame:
+    """About `rows` rows at most, chosen by a hash of these columns, equal rows once: one count, a filter, and a shuffle of what it leaves."""
     n = labelled.count()
     if n <= rows:
         return labelled
-    return labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * rows / n))
+    return labelled.where(F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * rows / n)).distinct()
 
 
-def train(docs: DataFrame, sample_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> Model:
-    """A model from at most about `sample_rows` rows of `docs` that have a label; they alone come to the driver."""
-    labelled = docs.where(F.col(label_col).isNotNull())
-    rows = bounded_sample(labelled, sample_rows, id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("text").rlike(HAS_LETTER)).toPandas()
+def train(docs: DataFrame, sample_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", bits: int = BITS, **options) -> Model:
+    """A model from at most about `sample_rows` rows of `docs` that have a label.
+
+    Only their bags of hashed subwords come to the driver, each of at most
+    2**bits entries however long its text.
+    """
+    labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("label").isNotNull())
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text", 250_000):
+                made = bags(*utf8(part.column("text")), bits)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), *(pa.array([np.asarray(b[k], kind).tobytes() for b in made], pa.binary()) for k, kind in enumerate(("<u4", "<f4")))], ["id", "label", "codes", "shares"])
+
+    small_batches(docs.sparkSession)
+    rows = bounded_sample(labelled, sample_rows, ("id", "text")).where(F.col("text").rlike(HAS_LETTER)).mapInArrow(describe, "id string, label string, codes binary, shares binary").toPandas()
     if rows.empty:
         return Model([UNDETERMINED], np.zeros((1 << 8, 1), np.float32), np.zeros(1, np.float32), 8, 1.0, 0.0)
-    rows = rows.sort_values(["id", "text", "label"])  # so that training doesn't hang on the order of partitions
-    return fit(rows["text"].tolist(), rows["label"].tolist(), **options)
+    rows = rows.sort_values(["id", "codes", "shares", "label"])  # so that training doesn't hang on the order of partitions
+    return fit([(np.frombuffer(c, "<u4"), np.frombuffer(x, "<f4")) for c, x in zip(rows["codes"], rows["shares"], strict=True)], rows["label"].tolist(), bits, **options)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

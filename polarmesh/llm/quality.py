@@ -59,6 +59,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     size = np.bincount(passage, minlength=total)[:, None]
     out[:, :CLASSES] = np.bincount(passage * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES) / size
     pair = passage[1:] * CLASSES * CLASSES + kind[:-1] * CLASSES + kind[1:]
+    inside = np.ones(len(data), bool)
+    inside[offsets[:-1][n_bytes > 0]] = False  # the byte before a text's first is another text's
+    pair = pair[inside[1:]]
     out[:, CLASSES : CLASSES + CLASSES**2] = np.bincount(pair, minlength=total * CLASSES**2).reshape(total, -1) / size
     hashes, words_by_text = words(data, offsets)
     n_words = np.diff(words_by_text)
@@ -70,8 +73,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         first = np.zeros(len(key), bool)
         first[np.unique(key, return_index=True)[1]] = True
         new = np.bincount(own, weights=first, minlength=total)
-        count = np.maximum(np.bincount(own, minlength=total), 1)
-        out[:, -6] = new / count
+        count = np.bincount(own, minlength=total)
+        out[:, -6] = new / np.maximum(count, 1)
         out[:, -5] = count / size[:, 0] * 5
         share = np.bincount(text, weights=first, minlength=len(n_words)) / np.maximum(n_words, 1)
         out[:, -4] = np.repeat(share, made)

@@ -89,3 +89,52 @@ def test_held_out_thirds(spark):
 
     rows = spark.range(200).select("id", held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in rows)
+
+
+def test_scores_do_not_depend_on_the_batch(documents, spark):
+    texts = [r["text"] or "" for r in documents.limit(60).collect()] + ["t", "###", "", "é", "x" * 2000, "t"]
+    model = quality.train(documents, spark.read.parquet(f"{SF}/labels.parquet").where(~held_out()))
+    together = model.scores(*quality.passages(*utf8(pa.array(texts))))
+    backwards = model.scores(*quality.passages(*utf8(pa.array(texts[::-1]))))[::-1]
+    alone = np.array([model.scores(*quality.passages(*utf8(pa.array([t]))))[0] for t in texts])
+    assert np.abs(together - alone).max() < 1e-6 and np.abs(backwards - alone).max() < 1e-6
+    rows = {n: {r["doc_id"]: r["score"] for r in quality.score(documents.repartition(n), model).collect()} for n in (1, 7)}
+    assert rows[1].keys() == rows[7].keys() and max(abs(rows[1][k] - rows[7][k]) for k in rows[1]) < 1e-6
+
+
+def brute_features(text: bytes, at: int) -> np.ndarray:
+    """Shares of classes and of adjacent pairs in one passage, byte by byte."""
+    part = text[at : at + quality.PASSAGE_BYTES]
+    out = np.zeros(quality.CLASSES + quality.CLASSES**2)
+    for k in range(at, at + len(part)):
+        kind = quality.CLASS_OF[text[k]]
+        out[kind] += 1 / len(part)
+        if k:
+            out[quality.CLASSES + quality.CLASS_OF[text[k - 1]] * quality.CLASSES + kind] += 1 / len(part)
+    return out
+
+
+def test_features_and_attention_against_brute_force(documents):
+    texts = [(r["text"] or "").encode() for r in documents.limit(25).collect()] + [b"", b"!", b"a" * 513]
+    x, by_text = quality.passages(*utf8(pa.array([t.decode() for t in texts])))
+    model = quality.AttentionModel(x.mean(axis=0), 1 / np.maximum(x.std(axis=0), 0.02))
+    scores, p = model.scores(x, by_text), model.p
+    for k, text in enumerate(texts):
+        own = x[by_text[k] : by_text[k + 1]]
+        assert len(own) == -(-len(text) // quality.PASSAGE_BYTES)
+        for j, row in enumerate(own):
+            assert np.allclose(row[: quality.CLASSES + quality.CLASSES**2], brute_features(text, j * quality.PASSAGE_BYTES), atol=1e-5)
+        h = [np.tanh(((row - model.mean) * model.scale) @ p["W"] + p["b"]) for row in own]
+        weight = [np.exp(float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"])) for v in h]
+        z = sum((w / sum(weight) * v for w, v in zip(weight, h, strict=True)), np.zeros(len(p["c"])))
+        assert abs(scores[k] - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-4
+
+
+def test_quality_of_very_long_and_repeated_rows(spark, documents):
+    model = quality.train(documents, spark.read.parquet(f"{SF}/labels.parquet").where(~held_out()))
+    long = "Some words of a sentence, and more of them. " * 50_000
+    rows = quality.score(spark.createDataFrame([(1, long), (1, long), (2, "x"), (None, "x")], "doc_id long, text string"), model).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r["doc_id"] == 1), set()).add(round(r["score"], 6))
+    assert len(rows) == 4 and all(len(v) == 1 for v in by.values())
