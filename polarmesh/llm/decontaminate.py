@@ -1,251 +1,250 @@
-"""Operator 10: benchmark decontamination by a positional inverted index.
-
-1. The terms of the benchmark are counted over all training documents (one
-   pass, pre-aggregated in each task), which ranks them by rarity.
-2. The index is partitioned by document: each task turns its documents into
-   postings (positions by term) of the terms that some window has as its
-   rarest. A window's candidates are the postings of its rarest term less
-   that term's offset in the window; they are intersected with the offset-
-   adjusted positions of its other terms, from rare to frequent, until none is
-   left or the phrase is proven. Lists of frequent terms are only probed at
-   the places that rarer terms left, never scanned.
-3. Proximity matches take the same candidates and look for the window's terms,
-   in any order, within a span around the rarest term.
-
-Only the benchmark's windows are broadcast, in blocks of bounded size; with
-more than one block, the blocks' matches are merged by document.
+"""Operator 10: benchmark decontamination by a stored, distributed positional inverted index.
+
+1. The benchmark's words are counted over all training documents, which ranks
+   the terms of each window by rarity.
+2. The index holds, for the two rarest terms of every window, their postings:
+   a row for each (term, document), with all positions. It is written to the
+   shared folder and dealt by (term, salt); a term with very many postings has
+   several salts.
+3. The lists are intersected by joins, rarest term first: a posting less its
+   term's offset in the item is the start the item would have in the document;
+   starts that a window's two rarest terms agree on are candidates.
+4. Candidates are read in the documents' texts, word by word, so that results
+   are exact whatever the hashes. For proximity matches, all words of a window
+   are looked for around its rarest term.
+
+Only bitmaps of fixed size (GATE_BITS) and the hot terms (10,000 at most) are
+broadcast; neither documents nor the benchmark come to the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarmesh.llm.shared import ids_and_text, slices_by_bytes
+from polarmesh.llm.shared import ids_and_text, materialise, slices_by_bytes
 from polarmesh.llm.textops import utf8, words
 
+#: A bitmap of a set of terms has 2 to this power bits, whatever the set's size: one that fills it filters less, and loses nothing.
+GATE_BITS = 20
+MASK = (1 << GATE_BITS) - 1
+#: No more terms than this are ever hot: each has at least this part of all counted words.
+HOT_TERMS = 10_000
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+HIT = "array<struct<start: int, length: int, item_id: string>>"
+NEAR = "array<struct<at: int, item_id: string>>"
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, A-Z lower-cased."""
+    return WORD.findall(text.translate(_LOWER))
+
+
+def gate_of(terms: DataFrame):
+    """A broadcast bitmap over the low bits of the hashes in `term`; at most 2**GATE_BITS / 64 rows come to the driver."""
+    place = F.col("term").bitwiseAND(F.lit(MASK))
+    rows = terms.select(F.shiftright(place, 6).alias("block"), F.expr("shiftleft(1L, cast(term & 63L as int))").alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("bits")).collect()
+    blocks = np.zeros(1 << GATE_BITS - 6, np.int64)
+    for r in rows:
+        blocks[r["block"]] = r["bits"]
+    return terms.sparkSession.sparkContext.broadcast(np.unpackbits(blocks.view(np.uint8), bitorder="little").view(bool))
+
+
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The distinct items, numbered: item, item_id, text."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return materialise(rows.distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
 
-@dataclass
-class Windows:
-    """Windows sorted by the hash of their rarest term; `order` has each window's places from rare to frequent."""
-
-    anchors: np.ndarray  # rarest terms, sorted
-    first: np.ndarray  # the first window of each anchor, and the end
-    terms: np.ndarray  # windows x size, hashes
-    size: np.ndarray
-    order: np.ndarray
-    item: np.ndarray
-    items: list[str]
-    gate: np.ndarray  # by the low 16 bits of a hash: whether an anchor has them
-
-
-def benchmark_windows(items: list[str], texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """All windows: terms (windows x size), number of words, item; and the distinct item ids."""
-    data, offsets = utf8(pa.array(texts, pa.string()))
-    hashes, by_text = words(data, offsets)
-    names = sorted(set(items))
-    place = {n: k for k, n in enumerate(names)}
-    rows, sizes, owner = [], [], []
-    for k, name in enumerate(items):
-        own = hashes[by_text[k] : by_text[k + 1]]
-        if not len(own):
-            continue
-        n = min(size, len(own))
-        made = np.lib.stride_tricks.sliding_window_view(own, n)
-        rows.append(np.pad(made, ((0, 0), (0, size - n))))
-        sizes += [n] * len(made)
-        owner += [place[name]] * len(made)
-    if not rows:
-        return np.zeros((0, size), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), names
-    terms, sizes, owner = np.concatenate(rows), np.array(sizes), np.array(owner)
-    _, once = np.unique(np.column_stack([terms, sizes.astype(np.uint64), owner.astype(np.uint64)]), axis=0, return_index=True)
-    return terms[once], sizes[once], owner[once], names
-
-
-def index_windows(terms: np.ndarray, sizes: np.ndarray, owner: np.ndarray, names: list[str], vocabulary: np.ndarray, frequency: np.ndarray) -> Windows:
-    places = np.arange(terms.shape[1])
-    rarity = frequency[np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))] if len(vocabulary) else np.zeros(terms.shape)
-    rarity = np.where(places < sizes[:, None], rarity, np.inf)
-    order = np.argsort(rarity, axis=1, kind="stable")
-    anchor = terms[np.arange(len(terms)), order[:, 0]] if len(terms) else np.zeros(0, np.uint64)
-    by_anchor = np.argsort(anchor, kind="stable")
-    anchors, first = np.unique(anchor[by_anchor], return_index=True)
-    gate = np.zeros(1 << 16, bool)
-    gate[(anchors & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Windows(anchors, np.append(first, len(terms)), terms[by_anchor], sizes[by_anchor], order[by_anchor], owner[by_anchor], names, gate)
-
-
-def _candidates(hashes: np.ndarray, index: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors' postings and the windows they stand for, one row for each pair."""
-    at = np.flatnonzero(index.gate[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-    if not len(at) or not len(index.anchors):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    term = np.minimum(np.searchsorted(index.anchors, hashes[at]), len(index.anchors) - 1)
-    right = index.anchors[term] == hashes[at]
-    at, term = at[right], term[right]
-    number = index.first[term + 1] - index.first[term]
-    window = np.repeat(index.first[term], number) + np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-    return np.repeat(at, number), window
-
-
-def phrase_hits(hashes: np.ndarray, by_text: np.ndarray, index: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and windows of all exact occurrences that lie in one text."""
-    at, window = _candidates(hashes, index)
-    start = at - index.order[window, 0]
-    text = np.searchsorted(by_text, at, "right") - 1
-    fits = (start >= by_text[text]) & (start + index.size[window] <= by_text[text + 1])
-    start, window = start[fits], window[fits]
-    for k in range(1, index.terms.shape[1]):
-        if not len(start):
-            break
-        place, asked = index.order[window, k], index.size[window] > k
-        same = hashes[np.minimum(start + place, len(hashes) - 1)] == index.terms[window, place]
-        keep = same | ~asked
-        start, window = start[keep], window[keep]
-    return start, window
-
-
-def near_hits(hashes: np.ndarray, by_text: np.ndarray, index: Windows, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a window's rarest term, and the windows, all of whose terms lie within `span` words around it."""
-    at, window = _candidates(hashes, index)
-    text = np.searchsorted(by_text, at, "right") - 1
-    low, high = np.maximum(at - span, by_text[text]), np.minimum(at + span + 1, by_text[text + 1])
-    for k in range(1, index.terms.shape[1]):
-        if not len(at):
-            break
-        asked = index.size[window] > k
-        term = index.terms[window, index.order[window, k]]
-        found = np.zeros(len(at), bool)
-        for d in range(-span, span + 1):
-            p = at + d
-            inside = (p >= low) & (p < high)
-            found |= inside & (hashes[np.clip(p, 0, len(hashes) - 1)] == term)
-        keep = found | ~asked
-        at, window, low, high = at[keep], window[keep], low[keep], high[keep]
-    return at, window
-
-
-def term_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Occurrences, in all of `docs`, of each term of the (sorted) vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """The words of all items: item, q (place), term (hash)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text"):
+                hashes, by_text = words(*utf8(part.column("text")))
+                n = np.diff(by_text)
+                q = np.arange(len(hashes)) - np.repeat(by_text[:-1], n)
+                yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(q.astype(np.int32)), pa.array(hashes.view(np.int64))], ["item", "q", "term"])
+
+    return items.select("item", "text").mapInArrow(split, "item long, q int, term long")
+
+
+def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences of each of `terms` in all of `docs`: term, n. Counts are added up slice by slice before they are shuffled."""
+    gate = gate_of(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        gate = np.zeros(1 << 16, bool)
-        gate[(own & np.uint64(0xFFFF)).astype(np.int64)] = True
-        total = np.zeros(len(own), np.int64)
+        own = gate.value
         for batch in batches:
             for part in slices_by_bytes(batch, "text", 1_000_000):
                 hashes = words(*utf8(part.column("text")))[0]
-                hashes = hashes[gate[(hashes & np.uint64(0xFFFF)).astype(np.int64)]]
-                at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-                total += np.bincount(at[own[at] == hashes], minlength=len(own))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["term", "n"])
-
-    if not len(vocabulary):
-        return np.zeros(0)
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most the benchmark's vocabulary
-    out = np.zeros(len(vocabulary))
-    for r in rows:
-        out[r["term"]] = r["n"]
-    return out
+                found, n = np.unique(hashes[own[(hashes & np.uint64(MASK)).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["term", "n"])
 
+    counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return terms.distinct().join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple[list[str], list[str]]]:
-    """The benchmark's items, in blocks of at most `block_bytes` of text each, read one block at a time."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-2 * int(size) // block_bytes)) if size > block_bytes else 1
-    out = []
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        got = part.collect()
-        out.append(([r["id"] for r in got], [r["text"] for r in got]))
-    return out
 
+def windows(places: DataFrame, size: int) -> DataFrame:
+    """The windows of each item that has words: item, n_words, windows array<struct<o, q1, q2>>, the places of the two rarest terms of the window that begins at o.
+
+    `places` has item, q, term, n (the term's frequency); of equally rare
+    terms the earlier comes first. A window of one word has it twice.
+    """
+    whole = places.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("q", "n"))).alias("w"))
+    n = F.least(F.lit(size), F.size("w"))
 
-def match_items(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32_000_000, span: int | None = None) -> DataFrame:
+    def rarest(o):
+        ranked = F.array_sort(F.transform(F.slice("w", o + 1, n), lambda x: F.struct(x["n"].alias("n"), x["q"].alias("q"))))
+        return F.struct(o.alias("o"), ranked[0]["q"].alias("q1"), F.coalesce(F.get(ranked, F.lit(1))["q"], ranked[0]["q"]).alias("q2"))
+
+    return whole.select("item", F.size("w").alias("n_words"), F.transform(F.sequence(F.lit(0), F.size("w") - n), rarest).alias("windows"))
+
+
+def indexed(docs: DataFrame, anchors: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """One row for each row of `docs`: row_id, doc_id, n_words, postings array<struct<term, salt, positions>> of the anchors, and the text if there are any."""
+    gate, salts = gate_of(anchors), docs.sparkSession.sparkContext.broadcast(hot)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of_term, task, made = gate.value, salts.value, TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text", 1_000_000):
+                hashes, by_text = words(*utf8(part.column("text")))
+                at = np.flatnonzero(own[(hashes & np.uint64(MASK)).astype(np.int64)])
+                text = np.searchsorted(by_text, at, "right") - 1
+                order = np.lexsort((hashes[at], text))
+                at, text = at[order], text[order]
+                terms = hashes[at].view(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (text[1:] != text[:-1])])) if len(at) else np.zeros(0, np.int64)
+                row = (task << 40) + made + np.arange(len(part))
+                made += len(part)
+                salt = [int(r % of_term[t]) if t in of_term else 0 for t, r in zip(terms[first].tolist(), row[text[first]].tolist(), strict=True)] if of_term else np.zeros(len(first))
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at - by_text[text]).astype(np.int32)))
+                inner = pa.StructArray.from_arrays([pa.array(terms[first]), pa.array(salt, pa.int32()), positions], ["term", "salt", "positions"])
+                ends = np.searchsorted(text[first], np.arange(len(part) + 1)).astype(np.int32)
+                held = pa.array(np.diff(ends) > 0)
+                texts = part.column("text").filter(held).take(pa.array(np.cumsum(np.diff(ends) > 0) - 1, mask=np.diff(ends) == 0)) if len(part) else part.column("text")
+                yield pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), pa.array(np.diff(by_text)), pa.ListArray.from_arrays(pa.array(ends), inner), texts], ["row_id", "doc_id", "n_words", "postings", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(post, f"row_id long, doc_id {kind}, n_words long, postings array<struct<term: long, salt: int, positions: array<int>>>, text string")
+
+
+def _runs(doc: list[str], item: list[str], shift: int, size: int) -> Iterator[tuple[int, int]]:
+    """Runs (start in the document, length) of at least a window in which item[q] is doc[q + shift]."""
+    least, run = min(size, len(item)), 0
+    stop = min(len(item), len(doc) - shift)
+    for q in range(max(0, -shift), stop + 1):
+        if q < stop and item[q] == doc[q + shift]:
+            run += 1
+            continue
+        if run >= least:
+            yield q - run + shift, run
+        run = 0
+
+
+def phrase_hits(candidates: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Hits in each document with candidates (row_id, candidates array<struct<shift, item_id, text>>): row_id, hits; candidates are compared word by word."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
+                doc, own = words_of(text), set()
+                items = {t: words_of(t) for t in {c["text"] for c in found}}
+                for c in found:
+                    own.update((start, length, c["item_id"]) for start, length in _runs(doc, items[c["text"]], c["shift"], size))
+                hits.append([dict(zip(("start", "length", "item_id"), h, strict=True)) for h in sorted(own)])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.string())])))], ["row_id", "hits"])
+
+    return rows.join(candidates, "row_id").select("row_id", "text", "candidates").mapInArrow(read, f"row_id long, hits {HIT}")
+
+
+def near_hits(candidates: DataFrame, rows: DataFrame, size: int, span: int) -> DataFrame:
+    """Proximity matches in each document with candidates (row_id, candidates array<struct<item_id, text, places array<struct<o, p>>>>): row_id, near."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
+                doc, own = words_of(text), set()
+                for c in found:
+                    item = words_of(c["text"])
+                    for x in c["places"]:
+                        around = set(doc[max(0, x["p"] - span) : x["p"] + span + 1])
+                        if around.issuperset(item[x["o"] : x["o"] + size]):
+                            own.add((x["p"], c["item_id"]))
+                near.append([{"at": p, "item_id": i} for p, i in sorted(own)])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(near, pa.list_(pa.struct([("at", pa.int32()), ("item_id", pa.string())])))], ["row_id", "near"])
+
+    return rows.join(candidates, "row_id").select("row_id", "text", "candidates").mapInArrow(read, f"row_id long, near {NEAR}")
+
+
+def match_items(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int | None = None, salt_rows: int = 50_000) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, hits array<struct<start, length, item_id>>, near array<struct<at, item_id>>.
 
-    A hit is an exact occurrence of a window of `size` consecutive words of an
-    item (all its words if it has fewer). With `span`, `near` also lists the
-    positions of a window's rarest word around which all its words lie within
-    that distance, in any order. A null text has no words; a null item id
-    counts as the string "null"; repeated rows give a row each; a benchmark
-    without words, or an empty table, gives empty arrays or no rows.
+    A hit is a run of words of an item, as long as it goes on, that holds at
+    least one window: `size` consecutive words of the item (all its words if
+    it has fewer). With `span`, `near` also lists the positions of a window's
+    rarest word around which all its words lie within that distance, in any
+    order. A null text has no words; a null item id counts as the string
+    "null"; repeated rows give a row each; other columns are dropped; a
+    benchmark without words, or an empty table, gives empty arrays or no rows.
+    A term with over `salt_rows` occurrences is dealt to several tasks.
     """
-    spark = docs.sparkSession
     source = ids_and_text(docs, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, n_words long, hits array<struct<start: int, length: int, item_id: string>>, near array<struct<at: int, item_id: string>>"
-    made = [benchmark_windows(ids, texts, size) for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    vocabulary = np.unique(np.concatenate([t[np.arange(size) < s[:, None]] for t, s, _, _ in made]))
-    frequency = term_frequencies(source, vocabulary)
-    struct = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.string())])
-    near_struct = pa.struct([("at", pa.int32()), ("item_id", pa.string())])
-
-    def nested(text, columns, kind, n):
-        order = np.lexsort((columns[0], text))
-        ends = np.searchsorted(text[order], np.arange(n + 1)).astype(np.int32)
-        inner = pa.StructArray.from_arrays([c.take(pa.array(order)) if isinstance(c, pa.Array) else pa.array(c[order].astype(np.int32)) for c in columns], names=[f.name for f in kind])
-        return pa.ListArray.from_arrays(pa.array(ends), inner)
-
-    def matcher(shared):
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            names = pa.array(index.items, pa.string())
-            for batch in batches:
-                for part in slices_by_bytes(batch, "text", 1_000_000):
-                    hashes, by_text = words(*utf8(part.column("text")))
-                    start, window = phrase_hits(hashes, by_text, index)
-                    text = np.searchsorted(by_text, start, "right") - 1
-                    hits = nested(text, [start - by_text[text], index.size[window], names.take(pa.array(index.item[window]))], struct, len(part))
-                    at, window = near_hits(hashes, by_text, index, span) if span else (start[:0], window[:0])
-                    text = np.searchsorted(by_text, at, "right") - 1
-                    near = nested(text, [at - by_text[text], names.take(pa.array(index.item[window]))], near_struct, len(part))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(by_text)), hits, near], ["doc_id", "text_hash", "n_words", "hits", "near"])
-
-        return match
-
-    hashed = source.withColumn("text_hash", F.xxhash64("text") if len(made) > 1 else F.lit(0).cast("long"))
-    parts = []
-    for terms, sizes, owner, names in made:
-        shared = spark.sparkContext.broadcast(index_windows(terms, sizes, owner, names, vocabulary, frequency))
-        parts.append(hashed.mapInArrow(matcher(shared), schema))
-    if len(parts) == 1:
-        return parts[0].drop("text_hash")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int")))
-    return merged.select("doc_id", "n_words", "hits", "near", copies.alias("copy")).drop("copy")
+    items = benchmark_items(benchmark, item_col, item_text_col)
+    terms = materialise(item_terms(items), "item-terms")
+    frequency = materialise(term_frequencies(source, terms.select("term")), "term-frequencies")
+    placed = materialise(windows(terms.join(frequency, "term"), size), "windows")
+    each = placed.select("item", F.explode("windows").alias("w"))
+    anchors = each.select("item", F.explode(F.array("w.q1", "w.q2")).alias("q")).distinct().join(terms, ["item", "q"])
+    total = frequency.agg(F.sum("n")).first()[0] or 0
+    salts = F.least(F.ceil(F.col("n") / salt_rows), F.lit(4096)).cast("int")
+    by_term = frequency.select("term", F.when(F.col("n") > max(salt_rows, total // HOT_TERMS), salts).otherwise(F.lit(1)).alias("salts"))
+    hot = {r["term"]: r["salts"] for r in by_term.where("salts > 1").collect()}  # fewer than HOT_TERMS, as each has more than that part of the total
+    anchors = materialise(anchors.join(by_term, "term").select("term", "item", "q", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "anchors")
+
+    rows = materialise(indexed(source, anchors.select("term"), hot), "documents-indexed")
+    postings = rows.select("row_id", F.explode("postings").alias("p")).select("p.term", "p.salt", "row_id", "p.positions")
+    index = materialise(postings.repartition("term", "salt").sortWithinPartitions("term", "salt", "row_id"), "postings")
+    met = index.join(anchors, ["term", "salt"]).select("row_id", "item", "q", F.explode("positions").alias("p"))
+
+    agreed = met.groupBy("row_id", "item", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("q").alias("places")).join(placed.select("item", "windows"), "item")
+    both = F.exists("windows", lambda w: F.array_contains("places", w["q1"]) & F.array_contains("places", w["q2"]))
+    found = agreed.where(both).select("row_id", "item", "shift").join(items, "item")
+    candidates = found.groupBy("row_id").agg(F.collect_list(F.struct("shift", "item_id", "text")).alias("candidates"))
+    texts = rows.where(F.col("text").isNotNull()).select("row_id", "text")
+    out = rows.select("row_id", "doc_id", "n_words").join(phrase_hits(candidates, texts, size), "row_id", "left")
+    near = F.array().cast(NEAR)
+    if span:
+        by_place = each.select("item", F.col("w.o").alias("o"), F.col("w.q1").alias("q"))
+        around = met.join(by_place, ["item", "q"]).groupBy("row_id", "item").agg(F.collect_set(F.struct("o", "p")).alias("places")).join(items, "item")
+        close = around.groupBy("row_id").agg(F.collect_list(F.struct("item_id", "text", "places")).alias("candidates"))
+        out = out.join(near_hits(close, texts, size, span), "row_id", "left")
+        near = F.coalesce("near", near)
+    return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast(HIT)).alias("hits"), near.alias("near"))
 
 
 def contamination(matches: DataFrame, share: int = 20) -> DataFrame:
-    """Digest of `match_items`: doc_id, n_words, n_hit (words inside any hit), n_items, items_sha256, contaminated (share * n_hit >= n_words > 0)."""
+    """Digest of `match_items`: doc_id, n_words, n_hit (words inside any hit), n_items, items_sha256, contaminated (share * n_hit >= n_words and n_hit > 0)."""
+    zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("end"))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, n_items, digests = [], [], []
-            for found in batch.column("hits").to_pylist():
-                end = covered = 0
-                for h in sorted((h["start"], h["start"] + h["length"]) for h in found or ()):
-                    covered += max(0, h[1] - max(end, h[0]))
-                    end = max(end, h[1])
-                items = sorted({h["item_id"] for h in found or ()})
-                n_hit.append(covered)
-                n_items.append(len(items))
-                digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    kind = matches.schema["doc_id"].dataType.simpleString()
-    out = matches.select("doc_id", "n_words", "hits").mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+    def cover(state, hit):
+        stop = (hit["start"] + hit["length"]).cast("long")
+        new = F.greatest(F.lit(0).cast("long"), stop - F.greatest(hit["start"].cast("long"), state["end"]))
+        return F.struct((state["covered"] + new).alias("covered"), F.greatest(state["end"], stop).alias("end"))
+
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    out = matches.select("doc_id", "n_words", F.aggregate(F.array_sort("hits"), zero, cover)["covered"].alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

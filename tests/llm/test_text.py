@@ -42,14 +42,14 @@ def some_docs():
     return [(1, "x " + base + " y " + base.upper()), (2, " ".join(base.split()[1:])), (3, "The CAT-sat."), (4, "a " * 14), (5, "a " * 12), (6, None), (7, ""), (None, "zed zed"), (7, ""), (8, "filler " * 400 + base), (9, " ".join(base.split()[::-1]))]
 
 
-@pytest.mark.parametrize("block", [32_000_000, 200])
-def test_phrases_match_brute_force(spark, odd_docs, block):
+@pytest.mark.parametrize("salt_rows", [50_000, 1])
+def test_phrases_match_brute_force(spark, odd_docs, salt_rows):
     docs = spark.createDataFrame(some_docs(), "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = Counter(map(tuple, decontaminate.contamination(decontaminate.match_items(docs, items, 13, block_bytes=block)).collect()))
+    got = Counter(map(tuple, decontaminate.contamination(decontaminate.match_items(docs, items, 13, salt_rows=salt_rows)).collect()))
     assert got == brute(some_docs(), ITEMS)
     odd = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
-    got = Counter(map(tuple, decontaminate.contamination(decontaminate.match_items(odd_docs, items, 13, block_bytes=block)).collect()))
+    got = Counter(map(tuple, decontaminate.contamination(decontaminate.match_items(odd_docs, items, 13, salt_rows=salt_rows)).collect()))
     assert got == brute(odd, ITEMS)
 
 
@@ -59,6 +59,22 @@ def test_phrases_on_the_tables(spark):
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
 
 
+def test_hot_terms_are_dealt_to_salts(spark):
+    """Items of the most frequent words only, and a passage that all documents share."""
+    shared = "the of and to in the of and to in the of and to in on at"
+    rows = [(k, f"own{k} the of and {shared if k % 3 else shared[4:]} and the to {k} of in") for k in range(60)]
+    items = [(1, shared), (2, "the of and"), (3, shared + " extra")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for salt_rows in (50_000, 20):
+        assert Counter(map(tuple, decontaminate.contamination(decontaminate.match_items(docs, bench, salt_rows=salt_rows)).collect())) == brute(rows, items)
+
+
+def test_windows_take_their_rarest_terms(spark):
+    places = spark.createDataFrame([(7, q, 0, n) for q, n in enumerate([5, 1, 4, 1, 9])] + [(8, 0, 0, 3)], "item long, q int, term long, n long")
+    got = {r["item"]: (r["n_words"], [tuple(w) for w in r["windows"]]) for r in decontaminate.windows(places, 3).collect()}
+    assert got == {7: (5, [(0, 1, 2), (1, 1, 3), (2, 3, 2)]), 8: (1, [(0, 0, 0)])}
+
+
 def test_no_items_or_documents(spark, no_docs):
     docs, items = spark.createDataFrame(some_docs(), "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.contamination(decontaminate.match_items(docs, items.limit(0))).collect()} == {0}
