@@ -16,15 +16,20 @@ frequency times a smoothed inverse document frequency.
    the bucket of the next round. Such pairs are verified on the texts by
    weighted Jaccard similarity, dealt by (leader, salt): a leader, however
    popular, meets its partners in many tasks.
-4. After `star_rounds`, where a bucket still holds several classes, what isn't
-   of its largest is compared with all its members, block by block; each pair
-   of blocks returns only links that join classes.
+4. After `star_rounds`, what isn't of its bucket's largest class is joined with
+   all that stands in such buckets by prefix filtering, which is exact: two
+   sets of a similarity of 0.8 share a shingle among the rarest of each, those
+   that precede 0.8 of its weight. So unlike texts meet nothing, however many
+   share a passage; only rows that share such a shingle, and whose weights
+   allow the similarity, get their texts, and these are compared class by
+   class, block by block, each unit returning only links that join classes.
 5. Links make classes by minimum labels with pointer jumping, as joins.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,12 +182,17 @@ def alike(one: tuple, other: tuple, threshold: float) -> bool:
     return shared >= threshold * (one[2] + other[2] - shared)
 
 
-def sampled(docs: DataFrame, sketch, bands: int, rows: int) -> DataFrame:
-    """One row for each document: row_id, doc_id, c1, c2 (hashes of its words), n_words; and, in the first row of a text within its task, its samples, band keys and text."""
+def sampled(docs: DataFrame, sketch, bands: int, rows: int, seen_texts: int = 50_000) -> DataFrame:
+    """One row for each document: row_id, doc_id, rep, c1, c2 (hashes of its words), n_words, keys, text.
+
+    rep is the row_id of the first row with the same words in its task (its
+    own, if it has no words); only that row has the band keys and the text. A
+    task remembers `seen_texts` texts, then begins anew.
+    """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sampler = sketch.value, Sampler(bands * rows)
-        task, at, seen = TaskContext.get().partitionId(), 0, set()
+        task, at, seen = TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             for part in slices_by_bytes(batch, "text", 500_000):
                 data, offsets = utf8(part.column("text"))
@@ -192,12 +202,13 @@ def sampled(docs: DataFrame, sketch, bands: int, rows: int) -> DataFrame:
                 mixed = mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mixed, mix(mixed ^ np.uint64(0x5851F42D4C957F2D)))]
                 c1, c2 = ((s[by_text[1:]] - s[by_text[:-1]]).view(np.int64) for s in sums)
-                new = np.zeros(len(n), bool)
+                row = (task << 40) + at + np.arange(len(n))
+                rep = row.copy()
                 for k, key in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
-                    if n[k] and key not in seen:
-                        new[k] = True
-                        seen.add(key)
-                if len(seen) > 200_000:
+                    if n[k]:
+                        rep[k] = seen.setdefault(key, int(row[k]))
+                new = (rep == row) & (n > 0)
+                if len(seen) > seen_texts:
                     seen.clear()
                 h, made = shingles(hashes, by_text, SHINGLE)
                 chosen = np.repeat(new, np.diff(made))
@@ -212,13 +223,13 @@ def sampled(docs: DataFrame, sketch, bands: int, rows: int) -> DataFrame:
                 take = pa.array(index, mask=~new)
                 band_list = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((task << 40) + at + np.arange(len(n))), part.column("doc_id"), pa.array(c1), pa.array(c2), pa.array(n), pa.array([s.tobytes() for s in signature], pa.binary()).take(take), band_list.take(take), part.column("text").filter(pa.array(new)).take(take)],
-                    ["row_id", "doc_id", "c1", "c2", "n_words", "samples", "keys", "text"],
+                    [pa.array(row), part.column("doc_id"), pa.array(rep), pa.array(c1), pa.array(c2), pa.array(n), band_list.take(take), part.column("text").filter(pa.array(new)).take(take)],
+                    ["row_id", "doc_id", "rep", "c1", "c2", "n_words", "keys", "text"],
                 )
                 at += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sample, f"row_id long, doc_id {kind}, c1 long, c2 long, n_words long, samples binary, keys array<long>, text string")
+    return docs.mapInArrow(sample, f"row_id long, doc_id {kind}, rep long, c1 long, c2 long, n_words long, keys array<long>, text string")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, sketch, threshold: float, share_of_task: int = 256) -> DataFrame:
@@ -249,70 +260,95 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch, threshold: float, share_o
     return dealt.select("a", "node", "partner", "text").mapInArrow(compare, "a long, b long")
 
 
-def residual_links(buckets: DataFrame, held: DataFrame, sketch, threshold: float, bands: int, block: int = 512) -> DataFrame:
-    """Links between the classes that meet in a bucket (band, key, node, root), as many as join them; `held` has node, samples, text.
+def prefix(h: np.ndarray, w: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one set: the places of its rarest shingles that precede `threshold` of its weight, rarest first, and the weight from each on.
+
+    The order hangs on the shingles alone. If two sets' first common shingle
+    came later in one of them, what they share would weigh too little.
+    """
+    order = np.lexsort((h, -rarity))
+    left = np.cumsum(w[order][::-1], dtype=np.float64)[::-1]
+    n = int(np.count_nonzero(left >= threshold * left[0] * (1 - 1e-6))) if len(h) else 0
+    return order[:n], left[:n]
+
+
+def prefixes(nodes: DataFrame, sketch, threshold: float) -> DataFrame:
+    """One row for each prefix shingle of each text (node, root, rest, text): node, root, rest, x, weight (of the whole set), left (from x on)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sketch.value
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text", 500_000):
+                h, w, by_text = weighted_sets(part.column("text"), own)
+                rarity = own.weights(h, np.ones(len(h), np.int64))
+                cuts = [prefix(h[a:b], w[a:b], rarity[a:b], threshold) for a, b in itertools.pairwise(by_text.tolist())]
+                n = [len(at) for at, _ in cuts]
+                place = np.concatenate([at + k for (at, _), k in zip(cuts, by_text.tolist(), strict=False)] or [np.zeros(0, np.int64)])
+                left = np.concatenate([x for _, x in cuts] or [np.zeros(0)])
+                weight = np.repeat([x[0] if len(x) else 0.0 for _, x in cuts], n)
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("node", "root", "rest")), pa.array(h[place].view(np.int64)), pa.array(weight), pa.array(left)], ["node", "root", "rest", "x", "weight", "left"])
+
+    return nodes.select("node", "root", "rest", "text").mapInArrow(cut, "node long, root long, rest boolean, x long, weight double, left double")
+
+
+def residual_links(buckets: DataFrame, texts: DataFrame, sketch, threshold: float, block: int = 512) -> DataFrame:
+    """Links between the classes that meet in a bucket (band, key, node, root), as many as join them; `texts` has node, text.
 
     Of two members of different classes, one isn't of the bucket's largest
-    class: these, the rest, are compared with all members, block against
-    block, each pair of blocks being a unit of work. A pair is looked at in the
-    first band that makes it meet, and its texts are compared there unless
-    their whole weights alone keep them apart. Pairs that agree most often come
-    first, and those that earlier links of the same unit join are passed over:
-    a unit returns fewer links than it has nodes.
+    class. These, the rest, are joined with all nodes of such buckets by their
+    prefix shingles and a step of the weight, each node (x, step) against the
+    classes there, so that no pairs of nodes are made. What a rest node may be
+    like is then compared class by class: a unit is a block of rest nodes and a
+    block of the class's members, and a rest node is done with its first link.
     """
     by_class = buckets.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
     mixed = by_class.groupBy("band", "key").agg(F.sum("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("top")).where("m > top")
-    blocks = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("m") - F.col("top"), "rest_blocks"), (F.col("m"), "all_blocks"))]
-    members = materialise(buckets.join(mixed.select("band", "key", "largest", *blocks), ["band", "key"]).withColumn("rest", F.col("root") != F.col("largest")).drop("largest"), "mixed-buckets")
-    rest_bands = members.groupBy("node").agg(F.expr("bit_or(if(rest, shiftleft(1L, band), 0L))").alias("rest_bands"))
-    own = held.join(rest_bands, "node")
+    nodes = buckets.join(mixed, ["band", "key"]).groupBy("node", "root").agg(F.max(F.col("root") != F.col("largest")).alias("rest"))
+    cut = materialise(prefixes(nodes.join(texts.hint("merge"), "node"), sketch, threshold), "prefixes")
+
+    slack = 1 + 1e-6
+    step = lambda w: F.floor(F.log(w) / F.log(F.lit(1.1))).cast("int")
+    members = cut.withColumn("step", step(F.col("weight")))
+    classes = members.groupBy("x", "step", "root").agg(F.max("left").alias("class_left"), F.min("weight").alias("class_weight"), F.min("rest").alias("all_rest")).withColumnRenamed("root", "unit")
+    low = F.col("weight") * threshold / slack
+    high = F.least(F.col("weight") / threshold, F.col("left") * (1 + threshold) / threshold - F.col("weight")) * slack  # what is shared weighs at most `left`
+    asked = cut.where(F.col("rest")).select("node", "root", "x", "weight", "left", low.alias("low"), high.alias("high")).where("high >= low")
+    asked = asked.withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
+    enough = F.least("left", "class_left") * (1 + threshold) * slack >= threshold * (F.col("weight") + F.col("class_weight"))
+    once = ~F.col("all_rest") | (F.col("root") < F.col("unit"))  # else the class's members ask for this node's class
+    met = materialise(asked.join(classes, ["x", "step"]).where((F.col("root") != F.col("unit")) & enough & once).select("node", "x", "step", "unit"), "met")
+
+    rest = met.select("unit", "node").distinct()
+    every = members.join(met.select("x", "step", F.col("unit").alias("root")).distinct(), ["x", "step", "root"]).select(F.col("root").alias("unit"), "node").distinct()
+    blocks = lambda df, name: df.groupBy("unit").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = materialise(blocks(rest, "rest_blocks").join(blocks(every, "all_blocks"), "unit"), "units")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = members.where("rest").select("band", "key", "node", "root", place("rest_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(True).alias("rest"))
-    every = members.select("band", "key", "node", "root", each("rest_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("rest"))
-    cells = rest.unionByName(every).join(own.hint("merge"), "node").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-
-    def candidates(band: int, rest: np.ndarray, nodes: np.ndarray, roots: np.ndarray, rest_bands: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
-        """Places of pairs of different classes that meet first in this band, by how often they agree."""
-        right, out, often = np.flatnonzero(~rest), [], []
-        r, r_nodes, r_bands, each_band = s[right], nodes[right], rest_bands[right], np.arange(bands)
-        in_rest = r_bands >> band & 1 == 1
-        for at in np.flatnonzero(rest):
-            same = r == s[at]
-            near = np.flatnonzero((roots[right] != roots[at]) & ~(in_rest & (r_nodes < nodes[at])))
-            if len(near):
-                meet = same[near].reshape(len(near), bands, s.shape[1] // bands).all(axis=2) & ((r_bands[near] | rest_bands[at])[:, None] >> each_band & 1 == 1)
-                near = near[meet[:, band] & (meet.argmax(axis=1) == band)]
-                out += [(int(at), other) for other in right[near].tolist()]
-                often.append(same[near].sum(axis=1))
-        return [out[k] for k in np.argsort(-np.concatenate(often), kind="stable").tolist()] if out else []
+    rest = rest.join(sizes, "unit").select("unit", place("rest_blocks").alias("i"), each("all_blocks").alias("j"), "node", F.lit(True).alias("rest"))
+    every = every.join(sizes, "unit").select("unit", each("rest_blocks").alias("i"), place("all_blocks").alias("j"), "node", F.lit(False).alias("rest"))
+    cells = rest.unionByName(every).join(texts.hint("merge"), "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
     def links_of(unit: pa.Table) -> list[tuple[int, int]]:
-        rest, nodes, rest_bands = (unit.column(c).to_numpy() for c in ("rest", "node", "rest_bands"))
-        s = np.frombuffer(b"".join(unit.column("samples").to_pylist()), np.uint32).reshape(len(unit), -1)
-        pairs = candidates(unit.column("band")[0].as_py(), rest, nodes, unit.column("root").to_numpy(), rest_bands, s)
-        if not pairs:
-            return []
-        needed = sorted({k for pair in pairs for k in pair})
-        sets, at = {}, iter(needed)
-        for batch in unit.select(["text"]).take(needed).to_batches():
+        sets, ahead = [], []
+        for batch in unit.select(["text"]).to_batches():
             for part in slices_by_bytes(batch, "text", 500_000):
                 h, w, by_text = weighted_sets(part.column("text"), sketch.value)
-                for k in range(len(part)):
-                    sets[next(at)] = weighed(h[by_text[k] : by_text[k + 1]], w[by_text[k] : by_text[k + 1]])
-        roots, above, out = unit.column("root").to_pylist(), {}, []
-
-        def find(x: int) -> int:
-            while (y := above.get(x, x)) != x:
-                above[x] = above.get(y, y)
-                x = y
-            return x
-
-        for a, b in pairs:
-            x, y = find(roots[a]), find(roots[b])
-            if x != y and alike(sets[a], sets[b], threshold):
-                above[x] = y
-                out.append((int(min(nodes[a], nodes[b])), int(max(nodes[a], nodes[b]))))
+                rarity = sketch.value.weights(h, np.ones(len(h), np.int64))
+                for a, b in itertools.pairwise(by_text.tolist()):
+                    sets.append(weighed(h[a:b], w[a:b]))
+                    ahead.append(h[a:b][prefix(h[a:b], w[a:b], rarity[a:b], threshold)[0]].tolist())
+        nodes, rest = unit.column("node").to_pylist(), unit.column("rest").to_pylist()
+        having: dict[int, list[int]] = {}
+        for k, xs in enumerate(ahead):
+            for x in () if rest[k] else xs:
+                having.setdefault(x, []).append(k)
+        out = []
+        for k in (k for k, r in enumerate(rest) if r):
+            shared = Counter(m for x in ahead[k] for m in having.get(x, ()))
+            partner = next((m for m, _ in shared.most_common() if alike(sets[k], sets[m], threshold)), None)
+            if partner is not None:
+                out.append((min(nodes[k], nodes[partner]), max(nodes[k], nodes[partner])))
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,15 +361,14 @@ def residual_links(buckets: DataFrame, held: DataFrame, sketch, threshold: float
                 continue
             rows = pa.Table.from_batches([batch])
             rows = rows if held_back is None else pa.concat_tables([held_back, rows])
-            keys = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
+            keys = [rows.column(c).to_numpy() for c in ("unit", "i", "j")]
             starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])).tolist()
             yield made([link for at, stop in itertools.pairwise(starts) for link in links_of(rows.slice(at, stop - at))])
             held_back = rows.slice(starts[-1])
         if held_back is not None:
             yield made(links_of(held_back))
 
-    columns = ["band", "key", "i", "j", "rest", "node", "root", "rest_bands", "samples", "text"]
-    return cells.select(*columns).mapInArrow(compare, "a long, b long").distinct()
+    return cells.select("unit", "i", "j", "rest", "node", "text").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -370,13 +405,14 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     sketch = spark.sparkContext.broadcast(document_frequencies(source))
     every = materialise(sampled(source, sketch, bands, rows), "sampled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
-    # rows without words differ by their row_id; of rows with equal words, the first that has samples is the node
-    alone = F.when(F.col("n_words") == 0, F.col("row_id")).otherwise(F.lit(-1)).alias("alone")
-    nodes = materialise(every.groupBy("c1", "c2", alone).agg(F.count("*").alias("n"), first, F.min(F.when(F.col("samples").isNotNull(), F.col("row_id"))).alias("node")), "nodes")
-    held = every.where(F.col("samples").isNotNull()).join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "samples", "keys")
-    held = materialise(held, "node-samples")
-    samples = held.select("node", "samples")
-    members = held.select("node", F.col("node").alias("root"), F.posexplode("keys").alias("band", "key"))
+    # copies within a task are counted there, so that the rows of no text, however many copies it has, meet in one task
+    reps = every.groupBy("rep").agg(F.count("*").alias("n"), first, *[F.min(c).alias(c) for c in ("c1", "c2", "n_words")])
+    # rows without words differ by their row_id; of rows with equal words, the first of the least rep is the node
+    alone = F.when(F.col("n_words") == 0, F.col("rep")).otherwise(F.lit(-1))
+    reps = materialise(reps.withColumn("alone", alone), "reps")
+    nodes = materialise(reps.groupBy("c1", "c2", "alone").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min(F.when(F.col("alone") < 0, F.col("rep"))).alias("node")), "nodes")
+    held = every.where(F.col("keys").isNotNull()).join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
+    members = materialise(held.select(F.col("row_id").alias("node"), "keys"), "node-keys").select("node", F.col("node").alias("root"), F.posexplode("keys").alias("band", "key"))
 
     def with_leaders(rows: DataFrame) -> DataFrame:
         """Buckets of at least two, with their leader as `a`: the member whose buckets are largest together, of equals the least.
@@ -413,7 +449,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
         classes = met.select("band", "key", "node", "root")
         if labels is not None:
             classes = classes.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = materialise(residual_links(materialise(classes, "classes"), samples.join(texts, "node"), sketch, threshold, bands), "links")
+        found = materialise(residual_links(materialise(classes, "classes"), texts, sketch, threshold), "links")
         links = materialise(found if links is None else links.unionByName(found).distinct(), "all-links")
         labels = components(links)
     if links is None:
@@ -424,5 +460,6 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     by_node = materialise(by_node, "node-classes")
     classes = by_node.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
     told = by_node.select("c1", "c2", "alone", "n_links", "root").join(classes, "root").select("c1", "c2", "alone", "n_links", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.row_id").alias("keep_row"))
-    out = every.select("row_id", "doc_id", "c1", "c2", alone).join(told, ["c1", "c2", "alone"])
+    by_rep = reps.select("rep", "c1", "c2", "alone").join(told, ["c1", "c2", "alone"]).drop("c1", "c2", "alone")
+    out = every.select("row_id", "doc_id", "rep").join(by_rep, "rep")
     return out.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("n_links").cast("long").alias("n_links"), (F.col("row_id") == F.col("keep_row")).alias("kept"))

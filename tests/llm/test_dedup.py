@@ -154,14 +154,49 @@ def test_components(spark):
     assert {r["root"] for r in near_dedup.components(chain).collect()} == {1}
 
 
-def test_residual_pairs_are_compared_whatever_their_samples_say(spark):
-    """Alike texts that agree in one band only, of whose 64 samples 4 are equal; and ones that aren't alike."""
+def test_residual_pairs_are_compared(spark):
+    """Alike texts of different classes in one bucket, and one that isn't alike."""
     text = " ".join(f"word{k}" for k in range(200))
     texts = {1: text, 2: text + " more", 3: " ".join(f"other{k}" for k in range(200)), 4: text + " again"}
-    samples = {k: np.concatenate([np.arange(4), np.arange(60) + 1000 * k]).astype(np.uint32).tobytes() for k in texts}
-    held = spark.createDataFrame([(k, bytes(samples[k]), t) for k, t in texts.items()], "node long, samples binary, text string")
+    held = spark.createDataFrame(list(texts.items()), "node long, text string")
     buckets = spark.createDataFrame([(0, 7, k, 1 if k == 4 else k) for k in texts], "band int, key long, node long, root long")
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    sketch = spark.sparkContext.broadcast(near_dedup.document_frequencies(docs))
-    found = near_dedup.residual_links(buckets, held, sketch, 0.8, 16).collect()
-    assert {(r["a"], r["b"]) for r in found} in ({(1, 2)}, {(2, 4)}, {(1, 2), (2, 4)})
+    sketch = spark.sparkContext.broadcast(near_dedup.document_frequencies(held))
+    for block in (512, 1):
+        found = near_dedup.residual_links(buckets, held, sketch, 0.8, block).collect()
+        assert {(r["a"], r["b"]) for r in found} in ({(1, 2)}, {(2, 4)}, {(1, 2), (2, 4)})
+
+
+def test_many_unlike_documents_that_share_a_passage(spark):
+    """All in one bucket, among them a few pairs that are alike: none is missed, and unlike ones don't meet."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(120)]
+    rows = [[*(word() for _ in range(rng.randint(40, 200))), *passage] for _ in range(300)]
+    rows += [[*r[:-2], word(), word()] for r in rows[:40]]
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "node long, text string")
+    sketch = near_dedup.document_frequencies(docs)
+    buckets = spark.createDataFrame([(0, 7, k, k) for k, _ in rows], "band int, key long, node long, root long")
+    links = near_dedup.residual_links(buckets, docs, spark.sparkContext.broadcast(sketch), 0.8)
+    roots = {r["node"]: r["root"] for r in near_dedup.components(links).collect()}
+    assert {k: roots.get(k, k) for k, _ in rows} == classes_brute(rows, sketch, 0.8)
+
+
+def test_frequencies_of_the_sketch(spark):
+    """The weight of a shingle is off by little, for rare ones and for those that many documents share, at several sizes."""
+    for n in (50, 500, 4000):
+        shared = " ".join(f"s{k}" for k in range(30))
+        docs = spark.createDataFrame([(f"{' '.join(f'w{d}x{k}' for k in range(60))} {shared if d % 2 else ''}",) for d in range(n)], "text string")
+        sketch = near_dedup.document_frequencies(docs)
+        own = lambda text: near_dedup.distinct(*shingles(*words(*utf8(pa.array([text]))), 5))[0]  # noqa: E731, B023
+        rare, common = own(" ".join(f"w1x{k}" for k in range(60))), own(shared)
+        exact = lambda df: 0.8 + 0.2 * np.log1p(n / df) / np.log1p(n)  # noqa: E731, B023
+        assert np.abs(sketch.weights(rare, np.ones(len(rare))) - exact(1)).mean() < 0.01
+        assert np.abs(sketch.weights(common, np.ones(len(common))) - exact(n // 2)).max() < 0.01
+
+
+def test_near_null_ids_with_equal_texts(spark):
+    text = " ".join(f"word{k}" for k in range(50))
+    docs = spark.createDataFrame([(None, text), (None, text), (7, text), (None, ""), (None, None)], "doc_id long, text string")
+    out = near_dedup.near_dedup(docs).collect()
+    assert sorted((r["class_id"] or 0, r["class_size"], r["kept"]) for r in out) == [(0, 1, True), (0, 1, True), (7, 3, False), (7, 3, False), (7, 3, True)]
