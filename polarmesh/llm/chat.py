@@ -15,11 +15,40 @@ from pyspark.sql import functions as F
 TAIL = "<|end|>\n"
 
 
+def _clean(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """The distinct messages (conv_id, turn, role, text) of all conversations that have an id; what is null is -1, "unknown" or empty."""
+    return conversations.select(
+        F.col(id_col).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).where(F.col("conv_id").isNotNull()).distinct()
+
+
+def other_replies(conversations: DataFrame, assistant: str = "assistant") -> tuple[DataFrame, DataFrame]:
+    """Preferences from plain conversations with integer ids: (messages, pairs) for `preference_segments`.
+
+    Each conversation is chosen over itself with its last reply replaced by
+    the last reply of the conversation with the next id; if there is none,
+    the rejected one ends before its last reply. Ids are (conv_id, side) in
+    the messages. If the last turn has several replies, all are replaced, and
+    the greatest text of the next one's last turn stands in. A conversation
+    without a reply is chosen over itself.
+    """
+    clean = _clean(conversations)
+    replies = clean.where(F.col("role") == assistant)
+    last = replies.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max(F.struct("turn", "text"))["text"].alias("reply"))
+    of_next = last.select(F.expr("try_subtract(conv_id, 1)").alias("conv_id"), F.col("reply").alias("other")).where(F.col("conv_id").isNotNull())
+    known = clean.join(last.select("conv_id", "last"), "conv_id", "left").join(of_next, "conv_id", "left")
+    replaced = F.coalesce((F.col("role") == assistant) & (F.col("turn") == F.col("last")), F.lit(False))
+    rejected = known.where(~replaced | F.col("other").isNotNull()).withColumn("text", F.when(replaced, F.col("other")).otherwise(F.col("text")))
+    side = lambda k: F.struct(F.col("conv_id"), F.lit(k).alias("side"))
+    both = [df.select(side(k).alias("conv_id"), "turn", "role", "text") for k, df in enumerate((clean, rejected))]
+    pairs = clean.select("conv_id").distinct().select(F.col("conv_id").alias("pair_id"), side(0).alias("chosen_id"), side(1).alias("rejected_id"))
+    return both[0].unionByName(both[1]), pairs
+
+
 def consecutive_pairs(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Pairs (pair_id, chosen_id, rejected_id) of each even conversation id and the odd one after it; either may be missing."""
-    key = F.floor(F.col(id_col) / 2).cast("long")
-    side = F.pmod(F.col(id_col), F.lit(2))
-    return conversations.where(F.col(id_col).isNotNull()).groupBy(key.alias("pair_id")).agg(F.max(F.when(side == 0, F.col(id_col))).alias("chosen_id"), F.max(F.when(side == 1, F.col(id_col))).alias("rejected_id"))
+    """Pairs (pair_id, chosen_id, rejected_id) of each even integer conversation id and the odd one after it; either may be missing."""
+    key, odd = F.shiftright(F.col(id_col).cast("long"), 1), F.col(id_col).bitwiseAND(F.lit(1))
+    return conversations.where(F.col(id_col).isNotNull()).groupBy(key.alias("pair_id")).agg(F.max(F.when(odd == 0, F.col(id_col))).alias("chosen_id"), F.max(F.when(odd == 1, F.col(id_col))).alias("rejected_id"))
 
 
 def preference_segments(conversations: DataFrame, pairs: DataFrame, assistant: str = "assistant") -> DataFrame:
@@ -32,11 +61,7 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame, assistant: s
     the table lacks is empty. No step gathers a pair's turns into one row, so
     conversations of any length pass. Other columns are ignored.
     """
-    clean = conversations.select(
-        F.col("conv_id"),
-        F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-        F.struct(F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("message"),
-    ).where(F.col("conv_id").isNotNull())
+    clean = _clean(conversations).select("conv_id", "turn", F.struct("role", "text").alias("message"))
     turns = clean.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set("message")).alias("messages"))
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id")))).alias("s")).select("pair_id", "s.side", "s.conv_id")
     both = turns.join(sides, "conv_id").groupBy("pair_id", "turn").agg(*[F.max(F.when(F.col("side") == s, F.col("messages"))).alias(s) for s in ("chosen", "rejected")])

@@ -35,8 +35,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    return chat.preference_examples(chat.preference_segments(conversations, chat.consecutive_pairs(conversations)))
+    return chat.preference_examples(chat.preference_segments(*chat.other_replies(table(spark, sf_dir, "conversations"))))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +74,18 @@ SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id
 FROM d JOIN g ON d.t = g.t
 """,
     "op5_chat_formatting": r"""
-WITH m AS (
-  SELECT DISTINCT conv_id, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id - 2 * CAST(floor(conv_id / 2.0) AS BIGINT) AS odd,
-    coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+WITH c AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id),
+y AS (SELECT c.conv_id, max(c.text) AS reply FROM c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.last WHERE c.role = 'assistant' GROUP BY c.conv_id),
+k AS (
+  SELECT c.conv_id, c.turn, c.role, c.text, y.reply, c.role = 'assistant' AND c.turn = l.last AS replaced
+  FROM c LEFT JOIN l ON l.conv_id = c.conv_id LEFT JOIN y ON y.conv_id = c.conv_id + 1),
+m AS (
+  SELECT conv_id AS pair_id, 0 AS odd, turn, role, text FROM c
+  UNION ALL
+  SELECT DISTINCT conv_id, 1, turn, role, CASE WHEN replaced THEN reply ELSE text END FROM k WHERE NOT coalesce(replaced, false) OR reply IS NOT NULL),
 t AS (
   SELECT pair_id, turn, string_agg(CASE WHEN odd = 0 THEN role || chr(1) || text END, chr(2) ORDER BY role, text) AS c,
     string_agg(CASE WHEN odd = 1 THEN role || chr(1) || text END, chr(2) ORDER BY role, text) AS r

@@ -3,19 +3,21 @@
 1. Host and path are cut from the URL, and rules (host with its subdomains,
    path prefix; the longest fitting rule wins) are judged, with DataFrame
    functions.
-2. Words of hosts and paths that stand between separators are counted over
-   all URLs, as words of the unigram model beside the training words.
-3. A unigram Viterbi search splits each label of a host into its likeliest
-   words; multinomial naive Bayes, trained on labelled names, scores the
-   segmented host and the path's tokens.
+2. Words that stand between separators are counted over all URLs, for the
+   unigram model. Each distinct label of a host is joined with the counts of
+   the words it contains, and a Viterbi search splits it into the likeliest.
+3. Multinomial naive Bayes scores host words and path tokens. Its weights are
+   learnt from all URLs by expectation maximisation, which starts from a small
+   seed of labelled names: in each round all sites are scored, and tokens are
+   counted anew by how likely their sites are to be blocked.
+
+Nothing that grows with the table is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,52 +25,42 @@ from pyspark.sql import functions as F
 
 from polarmesh.llm.shared import materialise
 
-# Labelled names on which the Bayes model is trained, words parted by blanks.
-BLOCKED_NAMES = [
-    "cheap pills", "free bets", "casino win", "adult x", "spam farm", "ads track", "online casino", "poker bonus", "slots jackpot", "lucky spin",
-    "viagra pills", "cialis cheap", "porn tube", "xxx video", "sex cams", "hot girls", "nude adult", "escort dating", "payday loan", "fast cash loan",
-    "crypto profit", "get rich", "replica watches", "fake bags", "crack warez", "keygen torrent", "pirate download", "click ads", "popup ads", "ad tracker",
-    "link farm", "seo spam", "buy followers", "bet win", "gambling odds", "lottery prize", "win prize free", "malware exe", "phishing login", "weight loss pills",
-    "track pixel", "banner ads", "free money", "cheap meds", "pharmacy discount pills", "casino", "porn", "xxx", "spam", "bets",
+#: The seed from which learning starts, words parted by blanks: kinds of sites that general blocklists name, and kinds that they don't. A parameter of `judge`.
+BLOCKED_SEED = [
+    "online casino", "poker bonus", "slots jackpot", "lucky spin", "gambling odds", "sports bets", "lottery prize", "viagra pills", "cialis pills", "weight loss pills",
+    "pharmacy discount", "porn tube", "xxx video", "sex cams", "nude adult", "escort dating", "payday loan", "fast cash", "crypto profit", "get rich",
+    "replica watches", "fake bags", "crack warez", "keygen torrent", "pirate download", "click ads", "popup ads", "banner ads", "link farm", "seo spam",
+    "buy followers", "malware exe", "phishing login", "free money", "win prize", "track pixel",
 ]
-ALLOWED_NAMES = [
+ALLOWED_SEED = [
     "daily news", "local weather", "city library", "open science", "school math", "river history", "art museum", "garden plants", "travel guide", "health clinic",
     "cook book", "music notes", "film review", "sports team", "football club", "car repair", "home design", "book store", "coffee shop", "green energy",
-    "ocean research", "polar ice", "space agency", "public radio", "world atlas", "law journal", "medical journal", "technical docs", "software blog", "data wiki",
-    "university press", "history archive", "nature park", "bird watch", "food market", "wood work", "photo album", "bike tour", "child care", "family tree",
-    "mountain trail", "language course", "community forum", "project page", "help center", "about us", "contact", "article", "blog post", "index",
+    "ocean research", "polar ice", "space agency", "public radio", "world atlas", "law journal", "technical docs", "software blog", "data wiki", "university press",
+    "nature park", "bird watch", "food market", "photo album", "bike tour", "family tree",
 ]
-#: What all words of the URLs weigh together in the unigram model, beside 100 for each word of a training name.
+#: What all words of the URLs weigh together in the unigram model, beside 100 for each word of the seed.
 CORPUS_SHARE = 10_000
-#: Labels that say nothing of a site; they are left out of the score.
-NEUTRAL = {"www", "m", "blog", "com", "org", "net", "example", "html", "htm", "php", "index", "en", "de", "fr", "es"}
+#: No label of a host name is longer, by the rules of DNS; so no word of one is.
+LONGEST = 63
 
 
-@dataclass
 class Segmenter:
     """Splits a name into words of a unigram model; unknown words cost more the longer they are."""
 
-    counts: dict[str, float]
-    longest: int = 24
-    #: The sum of the counts, where `counts` holds only the words that names can contain.
-    mass: float | None = None
-    cache: dict[str, list[str]] = field(default_factory=dict)
+    def __init__(self, counts: dict[str, float], longest: int = LONGEST, mass: float | None = None):
+        self.counts, self.longest = counts, longest
+        self.total = math.log((sum(counts.values()) if mass is None else mass) + 1)
 
-    def __post_init__(self):
-        self.total = math.log((sum(self.counts.values()) if self.mass is None else self.mass) + 1)
-        self.cost = {w: self.total - math.log(n) for w, n in self.counts.items()}
-
-    def split(self, name: str) -> list[str]:
-        """The likeliest words of `name`; of equally likely splits, the one with the longest last word."""
-        if name in self.cache:
-            return self.cache[name]
+    def split(self, name: str, more: dict[str, float] | None = None) -> list[str]:
+        """The likeliest words of `name`, counts of `more` being added; of equally likely splits, the one with the longest last word."""
+        more = more or {}
+        count = lambda w: self.counts.get(w, 0) + more.get(w, 0)
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
             options = []
             for start in range(max(0, end - self.longest), end):
-                word = name[start:end]
-                unknown = self.total + 4 + 2.5 * len(word)
-                options.append((best[start][0] + self.cost.get(word, unknown), start))
+                known = count(name[start:end])
+                options.append((best[start][0] + self.total + (-math.log(known) if known else 4 + 2.5 * (end - start)), start))
             best.append(min(options))
         out, end = [], len(name)
         while end:
@@ -79,39 +71,13 @@ class Segmenter:
         # letters that no word explains stand as one token
         merged: list[str] = []
         for word in out:
-            if merged and word not in self.counts and merged[-1] not in self.counts:
+            if merged and not count(word) and not count(merged[-1]):
                 merged[-1] += word
             else:
                 merged.append(word)
-        if len(self.cache) > 100_000:
-            self.cache.clear()
-        self.cache[name] = merged
         return merged
 
 
-@dataclass
-class NaiveBayes:
-    """Log odds of block against allow, with add-one smoothing; tokens never seen in training count for neither."""
-
-    weights: dict[str, float]
-    prior: float
-
-    @classmethod
-    def fit(cls, blocked: list[list[str]], allowed: list[list[str]]) -> NaiveBayes:
-        tally = [{}, {}]
-        for side, names in enumerate((blocked, allowed)):
-            for name in names:
-                for token in name:
-                    tally[side][token] = tally[side].get(token, 0) + 1
-        both = set(tally[0]) | set(tally[1])
-        sums = [sum(t.values()) + len(both) for t in tally]
-        weights = {t: math.log((tally[0].get(t, 0) + 1) / sums[0]) - math.log((tally[1].get(t, 0) + 1) / sums[1]) for t in both}
-        return cls(weights, math.log(max(1, len(blocked)) / max(1, len(allowed))))
-
-    def log_odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.weights.get(t, 0.0) for t in tokens)
-
-
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for a null or one without `://`."""
     url = F.coalesce(url, F.lit(""))
@@ -130,71 +96,112 @@ def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def corpus_words(pages: DataFrame, longest: int = 24) -> tuple[dict[str, int], int]:
-    """Words of two letters and more between separators of hosts with a hyphen, and of paths, counted over all URLs; and the sum of all counts.
+def word_counts(pages: DataFrame) -> DataFrame:
+    """Words of two letters and more between separators of hosts with a hyphen, and of paths, counted over all URLs (host, path): word, count."""
+    text = F.lower(F.concat_ws(" ", F.when(F.col("host").contains("-"), F.col("host")), "path"))
+    return pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2).groupBy("word").count()
 
-    All words are counted. Those returned are the ones that stand anywhere in
-    a label of a host, as no other can be part of a split: substrings of the
-    distinct labels are joined with the counts.
-    """
-    host, path = url_parts(F.col("url"))
-    text = F.concat_ws(" ", F.when(host.contains("-"), host), F.lower(path))
-    tokens = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
-    counts = materialise(tokens.groupBy("word").count(), "words")
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    labels = pages.select(host.alias("host")).distinct().select(F.explode(F.split("host", "[^a-z]+")).alias("label")).where(F.length("label") >= 2).distinct()
-    starts = F.sequence(F.lit(1), F.length("label") - 1)
-    sizes = lambda at: F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.length("label") - at + 1))
-    parts = labels.select(F.explode(F.flatten(F.transform(starts, lambda at: F.transform(sizes(at), lambda n: F.substring("label", at, n))))).alias("word")).distinct()
-    return {r["word"]: r["count"] for r in counts.join(parts, "word", "left_semi").collect()}, total
-
-
-def model_counts(words: dict[str, int], total: int, names: list[str]) -> dict[str, float]:
-    """Counts of the unigram model: one for a word that was seen, CORPUS_SHARE dealt by the words' share of all URLs' words, and 100 for each use in a training name.
-
-    They hang on shares alone, so a table of the same URLs many times over
-    splits names alike, and a word that was seen is never worth less than one
-    that wasn't.
+
+def segmented(labels: DataFrame, words: DataFrame, total: int, seed: dict[str, float], mass: float) -> DataFrame:
+    """The words of each distinct label: label, tokens. Labels meet the counts of the words they contain by a join on their substrings.
+
+    A word that was seen counts 1, and a share of CORPUS_SHARE that is its
+    share of all URLs' words: a table of the same URLs many times over splits
+    names alike.
     """
-    counts = {w: 1 + CORPUS_SHARE * n / total for w, n in words.items()}
-    for name in names:
-        for word in name.split():
-            counts[word] = counts.get(word, 0) + 100
-    return counts
+    starts = F.sequence(F.lit(1), F.length("label"))
+    sizes = lambda at: F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - at + 1))
+    parts = labels.select("label", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda at: F.transform(sizes(at), lambda n: F.substring("label", at, n)))))).alias("word"))
+    held = parts.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", (1 + CORPUS_SHARE * F.col("count") / total).alias("count"))).alias("words"))
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segmenter = Segmenter(seed, mass=mass)
+        for frame in frames:
+            own = [{w["word"]: w["count"] for w in (ws if ws is not None else ())} for ws in frame["words"]]
+            yield pd.DataFrame({"label": frame["label"], "tokens": [segmenter.split(x, more) for x, more in zip(frame["label"], own, strict=True)]})
+
+    return labels.join(held, "label", "left").mapInPandas(split, "label string, tokens array<string>")
+
 
+def learn(sites: DataFrame, blocked: list[str], allowed: list[str], rounds: int = 2, blocked_share: float = 0.1, smoothing: float = 0.1) -> tuple[DataFrame, float]:
+    """Weights (token, weight) by expectation maximisation over `sites` (site, token, n: how often), and the prior log odds.
 
-def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = None, allowed: list[str] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    A token's share of a side's tokens is smoothed by an equal share for all
+    tokens, of `smoothing` together. Weights are log ratios of the sides'
+    shares: first of the names of the seed, then of the mean of those and of
+    the sites' tokens, each counted by how likely its site is blocked. Shares
+    make a larger table of the same sites teach the same. The prior begins
+    with `blocked_share`, then is the mean likelihood of the sites.
+    """
+    spark = sites.sparkSession
+    tally: dict[str, list[float]] = {}
+    for side, names in enumerate((blocked, allowed)):
+        for name in names:
+            for token in name.split():
+                tally.setdefault(token, [0.0, 0.0])[side] += 1
+    seed = spark.createDataFrame([(t, b, a) for t, (b, a) in sorted(tally.items())], "token string, seed_b double, seed_a double")
+
+    def weights(counts: DataFrame, kinds: list[str]) -> DataFrame:
+        columns = [f"{kind}_{side}" for kind in kinds for side in "ba"]
+        counts = materialise(counts.select("token", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns]), "token-counts")
+        n, *sums = counts.agg(F.count("*"), *[F.sum(c) for c in columns]).first()
+        shares = {c: F.col(c) / (total or 1) + smoothing / max(1, n) for c, total in zip(columns, sums, strict=True)}
+        side = lambda x: sum((shares[f"{kind}_{x}"] for kind in kinds), F.lit(0.0))
+        return counts.select("token", (F.log(side("b")) - F.log(side("a"))).alias("weight"))
+
+    now, prior = weights(seed, ["seed"]), math.log(blocked_share / (1 - blocked_share))
+    for _ in range(rounds):
+        chance = materialise(log_odds(sites, now, prior).select("site", (1 / (1 + F.exp(-F.col("log_odds")))).alias("p")), "chances")
+        mean = chance.agg(F.avg("p")).first()[0]
+        if mean is None:
+            break
+        found = sites.join(chance, "site").groupBy("token").agg(F.sum(F.col("n") * F.col("p")).alias("site_b"), F.sum(F.col("n") * (1 - F.col("p"))).alias("site_a"))
+        now, prior = weights(seed.join(found, "token", "full"), ["seed", "site"]), math.log(mean / (1 - mean))
+    return now, prior
+
+
+def log_odds(sites: DataFrame, weights: DataFrame, prior: float) -> DataFrame:
+    """The log odds of block against allow of each site: site, log_odds."""
+    return sites.join(weights, "token", "left").groupBy("site").agg((F.lit(prior) + F.coalesce(F.sum(F.col("n") * F.col("weight")), F.lit(0.0))).alias("log_odds"))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = None, allowed: list[str] | None = None, id_col: str = "page_id", url_col: str = "url", rounds: int = 2, salts: int = 64) -> DataFrame:
     """One row for each row of `pages`: page_id, host, path, rule, verdict, log_odds, tokens.
 
     The verdict is the fitting rule's, else `block` if the Bayes model's log
-    odds are above 0, else `allow` (so an empty host, or a tie, is allowed).
+    odds are above 0, else `allow` (so an empty host without path words, or a
+    tie, is allowed). A site is a host with the words of a path, in order;
+    letters of any script make words, case is ignored, all else separates.
     Null ids and urls are kept; repeated rows give a row each; other columns
-    are dropped; an empty table gives an empty result.
+    are dropped; an empty table gives an empty result. Sites come back to
+    their pages by (site, salt), so a host with a third of all pages is dealt
+    to `salts` tasks.
     """
-    blocked, allowed = blocked or BLOCKED_NAMES, allowed or ALLOWED_NAMES
-    bayes = NaiveBayes.fit([n.split() for n in blocked], [n.split() for n in allowed])
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    names = [*blocked, *allowed]
-    counts = model_counts(*corpus_words(source), names)
-    mass = CORPUS_SHARE + 100 * sum(len(n.split()) for n in names)
-    shared = source.sparkSession.sparkContext.broadcast((counts, mass, bayes))
-    separators = re.compile(r"[^a-z]+")
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, mass, model = shared.value
-        segmenter = Segmenter(words, mass=mass)
-        for frame in frames:
-            tokens = []
-            for host, path in zip(frame["host"], frame["path"], strict=True):
-                labels = [x for x in separators.split(host) if x and x not in NEUTRAL]
-                own = [w for x in labels for w in segmenter.split(x)]
-                tokens.append(own + [x for x in separators.split(path.lower()) if x and x not in NEUTRAL])
-            yield frame.assign(log_odds=[model.log_odds(t) for t in tokens], tokens=tokens)
-
+    blocked, allowed = blocked or BLOCKED_SEED, allowed or ALLOWED_SEED
     host, path = url_parts(F.col("url"))
-    parts = source.select("page_id", host.alias("host"), path.alias("path"))
-    kind = parts.schema["page_id"].dataType.simpleString()
-    scored = parts.mapInPandas(score, f"page_id {kind}, host string, path string, log_odds double, tokens array<string>")
-    rule = rule_column(F.col("host"), F.col("path"), rules)
+    letters = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda x: x != "")
+    parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    parts = parts.withColumn("labels", letters(F.col("host"))).withColumn("words", letters(F.col("path")))
+    parts = parts.withColumn("site", F.concat_ws("/", F.array_join("labels", "."), F.array_join("words", "/")))
+
+    words = materialise(word_counts(parts), "words")
+    total = words.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] or 1
+    counts = {}
+    for name in (*blocked, *allowed):
+        for word in name.split():
+            counts[word] = counts.get(word, 0) + 100
+    known = materialise(parts.select("site", "labels", "words").distinct(), "sites")
+    labels = known.select(F.explode("labels").alias("label")).distinct()
+    split = materialise(segmented(labels, words, total, counts, CORPUS_SHARE + sum(counts.values())), "labels")
+    by_label = known.select("site", F.posexplode("labels").alias("at", "label")).join(split, "label")
+    own = by_label.groupBy("site").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("host_tokens"))
+    tokens = materialise(known.join(own, "site", "left").select("site", F.concat(F.coalesce("host_tokens", F.array().cast("array<string>")), "words").alias("tokens")), "site-tokens")
+    counted = materialise(tokens.select("site", F.explode("tokens").alias("token")).groupBy("site", "token").agg(F.count("*").alias("n")), "site-counts")
+    weights, prior = learn(counted, blocked, allowed, rounds)
+    scored = materialise(tokens.join(log_odds(counted, weights, prior), "site", "left").select("site", "tokens", F.coalesce("log_odds", F.lit(prior)).alias("log_odds")), "sites-scored")
+
+    dealt = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = parts.select("page_id", "host", "path", "site").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    out = salted.join(dealt, ["site", "salt"]).withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
     by_rule = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.create_map().cast("map<string,string>")
-    return scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(F.try_element_at(by_rule, F.col("rule")), F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow")))).select("page_id", "host", "path", "rule", "verdict", "log_odds", "tokens")
+    return out.withColumn("verdict", F.coalesce(F.try_element_at(by_rule, F.col("rule")), F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow")))).select("page_id", "host", "path", "rule", "verdict", "log_odds", "tokens")
