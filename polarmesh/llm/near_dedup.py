@@ -44,6 +44,8 @@ from polarmesh.llm.textops import mix, shingles, utf8, words
 SHINGLE = 5
 SKETCH_BITS = 18
 SKETCH_BLOCKS = 32
+#: A prefix shingle knows this many before it: if two texts share one of those, they met there.
+RECENT = 8
 TABLE = 4096
 
 
@@ -273,7 +275,7 @@ def prefix(h: np.ndarray, w: np.ndarray, rarity: np.ndarray, threshold: float) -
 
 
 def prefixes(nodes: DataFrame, sketch, threshold: float) -> DataFrame:
-    """One row for each prefix shingle of each text (node, root, rest, text): node, root, rest, x, weight (of the whole set), left (from x on)."""
+    """One row for each prefix shingle of each text (node, root, rest, text): node, root, rest, x, weight (of the whole set), left (from x on), recent (the RECENT prefix shingles before x, in 32 bits; null where there are fewer)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sketch.value
@@ -287,9 +289,14 @@ def prefixes(nodes: DataFrame, sketch, threshold: float) -> DataFrame:
                 left = np.concatenate([x for _, x in cuts] or [np.zeros(0)])
                 weight = np.repeat([x[0] if len(x) else 0.0 for _, x in cuts], n)
                 rows = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("node", "root", "rest")), pa.array(h[place].view(np.int64)), pa.array(weight), pa.array(left)], ["node", "root", "rest", "x", "weight", "left"])
+                xs = h[place].view(np.int64)
+                rank = np.arange(len(xs)) - np.repeat(np.cumsum([0, *n[:-1]]), n) if n else np.zeros(0, np.int64)
+                back = np.arange(1, RECENT + 1)
+                before = (xs ^ (xs >> 32)).astype(np.int32)[np.maximum(np.arange(len(xs))[:, None] - back, 0)] if len(xs) else np.zeros((0, RECENT), np.int32)
+                recent = pa.FixedSizeListArray.from_arrays(pa.array(before.ravel(), mask=(rank[:, None] < back).ravel()), RECENT).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("node", "root", "rest")), pa.array(xs), pa.array(weight), pa.array(left), recent], ["node", "root", "rest", "x", "weight", "left", "recent"])
 
-    return nodes.select("node", "root", "rest", "text").mapInArrow(cut, "node long, root long, rest boolean, x long, weight double, left double")
+    return nodes.select("node", "root", "rest", "text").mapInArrow(cut, "node long, root long, rest boolean, x long, weight double, left double, recent array<int>")
 
 
 def residual_links(buckets: DataFrame, texts: DataFrame, sketch, threshold: float, block: int = 512) -> DataFrame:
@@ -310,14 +317,18 @@ def residual_links(buckets: DataFrame, texts: DataFrame, sketch, threshold: floa
     slack = 1 + 1e-6
     step = lambda w: F.floor(F.log(w) / F.log(F.lit(1.1))).cast("int")
     members = cut.withColumn("step", step(F.col("weight")))
-    classes = members.groupBy("x", "step", "root").agg(F.max("left").alias("class_left"), F.min("weight").alias("class_weight"), F.min("rest").alias("all_rest")).withColumnRenamed("root", "unit")
+    # of the shingles before x, those that all members of the class have at that place
+    alike_at = [F.when((F.min(F.col("recent")[k]) == F.max(F.col("recent")[k])) & (F.count(F.col("recent")[k]) == F.count("*")), F.min(F.col("recent")[k])) for k in range(RECENT)]
+    classes = members.groupBy("x", "step", "root").agg(F.max("left").alias("class_left"), F.min("weight").alias("class_weight"), F.min("rest").alias("all_rest"), F.array_compact(F.array(*alike_at)).alias("class_recent")).withColumnRenamed("root", "unit")
     low = F.col("weight") * threshold / slack
     high = F.least(F.col("weight") / threshold, F.col("left") * (1 + threshold) / threshold - F.col("weight")) * slack  # what is shared weighs at most `left`
-    asked = cut.where(F.col("rest")).select("node", "root", "x", "weight", "left", low.alias("low"), high.alias("high")).where("high >= low")
+    asked = cut.where(F.col("rest")).select("node", "root", "x", "weight", "left", F.array_compact("recent").alias("recent"), low.alias("low"), high.alias("high")).where("high >= low")
     asked = asked.withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
     enough = F.least("left", "class_left") * (1 + threshold) * slack >= threshold * (F.col("weight") + F.col("class_weight"))
     once = ~F.col("all_rest") | (F.col("root") < F.col("unit"))  # else the class's members ask for this node's class
-    met = materialise(asked.join(classes, ["x", "step"]).where((F.col("root") != F.col("unit")) & enough & once).select("node", "x", "step", "unit"), "met")
+    # a node and a class that share an earlier shingle met there already, as all that is asked there is less strict
+    first = ~F.arrays_overlap("recent", "class_recent")
+    met = materialise(asked.join(classes, ["x", "step"]).where((F.col("root") != F.col("unit")) & enough & once & first).select("node", "x", "step", "unit"), "met")
 
     rest = met.select("unit", "node").distinct()
     every = members.join(met.select("x", "step", F.col("unit").alias("root")).distinct(), ["x", "step", "root"]).select(F.col("root").alias("unit"), "node").distinct()
