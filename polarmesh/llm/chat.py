@@ -16,21 +16,20 @@ TAIL = "<|end|>\n"
 
 
 def _clean(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """The distinct messages (conv_id, turn, role, text) of all conversations that have an id; what is null is -1, "unknown" or empty."""
+    """The messages (conv_id, turn, role, text) of all conversations that have an id; what is null is -1, "unknown" or empty."""
     return conversations.select(
         F.col(id_col).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).where(F.col("conv_id").isNotNull()).distinct()
+    ).where(F.col("conv_id").isNotNull())
 
 
-def other_replies(conversations: DataFrame, assistant: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """Preferences from plain conversations with integer ids: (messages, pairs) for `preference_segments`.
+def other_replies(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:
+    """Preferences from plain conversations with integer ids: messages for `preference_segments`, the pair_id being the conv_id.
 
     Each conversation is chosen over itself with its last reply replaced by
     the last reply of the conversation with the next id; if there is none,
-    the rejected one ends before its last reply. Ids are (conv_id, side) in
-    the messages. If the last turn has several replies, all are replaced, and
-    the greatest text of the next one's last turn stands in. A conversation
-    without a reply is chosen over itself.
+    the rejected one ends before its last reply. If the last turn has several
+    replies, all are replaced, and the greatest text of the next one's last
+    turn stands in. A conversation without a reply is chosen over itself.
     """
     clean = _clean(conversations)
     replies = clean.where(F.col("role") == assistant)
@@ -39,10 +38,8 @@ def other_replies(conversations: DataFrame, assistant: str = "assistant") -> tup
     known = clean.join(last.select("conv_id", "last"), "conv_id", "left").join(of_next, "conv_id", "left")
     replaced = F.coalesce((F.col("role") == assistant) & (F.col("turn") == F.col("last")), F.lit(False))
     rejected = known.where(~replaced | F.col("other").isNotNull()).withColumn("text", F.when(replaced, F.col("other")).otherwise(F.col("text")))
-    side = lambda k: F.struct(F.col("conv_id"), F.lit(k).alias("side"))
-    both = [df.select(side(k).alias("conv_id"), "turn", "role", "text") for k, df in enumerate((clean, rejected))]
-    pairs = clean.select("conv_id").distinct().select(F.col("conv_id").alias("pair_id"), side(0).alias("chosen_id"), side(1).alias("rejected_id"))
-    return both[0].unionByName(both[1]), pairs
+    both = [df.select(F.col("conv_id").alias("pair_id"), F.lit(name).alias("side"), "turn", "role", "text") for name, df in (("chosen", clean), ("rejected", rejected))]
+    return both[0].unionByName(both[1])
 
 
 def consecutive_pairs(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -51,20 +48,28 @@ def consecutive_pairs(conversations: DataFrame, id_col: str = "conv_id") -> Data
     return conversations.where(F.col(id_col).isNotNull()).groupBy(key.alias("pair_id")).agg(F.max(F.when(odd == 0, F.col(id_col))).alias("chosen_id"), F.max(F.when(odd == 1, F.col(id_col))).alias("rejected_id"))
 
 
-def preference_segments(conversations: DataFrame, pairs: DataFrame, assistant: str = "assistant") -> DataFrame:
+def messages_of_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The messages (pair_id, side, turn, role, text) of the conversations that `pairs` (pair_id, chosen_id, rejected_id) names.
+
+    A null conversation id belongs to no pair; a conversation that `pairs`
+    names and the table lacks is empty.
+    """
+    sides = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("conv_id")) for s in ("chosen", "rejected")])).alias("s")).select("pair_id", "s.side", "s.conv_id")
+    return _clean(conversations).join(sides, "conv_id").select("pair_id", "side", "turn", "role", "text")
+
+
+def preference_segments(messages: DataFrame, assistant: str = "assistant") -> DataFrame:
     """One row for each message of each pair: pair_id, part (prompt, chosen or rejected), turn, message, role, head, body, trained.
 
-    Messages of one turn are the distinct (role, text) of its rows, in that
-    order, so repeated rows count once and ties have an order. A null text is
-    empty, a null role is "unknown", a null turn counts as turn -1; a null
-    conversation id belongs to no pair. A conversation that `pairs` names and
-    the table lacks is empty. No step gathers a pair's turns into one row, so
-    conversations of any length pass. Other columns are ignored.
+    `messages` come from `messages_of_pairs` or `other_replies`. Messages of
+    one turn are the distinct (role, text) of its rows, in that order, so
+    repeated rows count once and ties have an order. A null text is empty, a
+    null role is "unknown", a null turn counts as turn -1. No step gathers a
+    pair's turns into one row, so conversations of any length pass. Other
+    columns are ignored.
     """
-    clean = _clean(conversations).select("conv_id", "turn", F.struct("role", "text").alias("message"))
-    turns = clean.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set("message")).alias("messages"))
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id")))).alias("s")).select("pair_id", "s.side", "s.conv_id")
-    both = turns.join(sides, "conv_id").groupBy("pair_id", "turn").agg(*[F.max(F.when(F.col("side") == s, F.col("messages"))).alias(s) for s in ("chosen", "rejected")])
+    message = F.struct("role", "text")
+    both = messages.groupBy("pair_id", "turn").agg(*[F.sort_array(F.collect_set(F.when(F.col("side") == s, message))).alias(s) for s in ("chosen", "rejected")])
     differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
     ends = both.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("end"))
     common = F.col("end").isNull() | (F.col("turn") < F.col("end"))

@@ -35,7 +35,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_examples(chat.preference_segments(*chat.other_replies(table(spark, sf_dir, "conversations"))))
+    return chat.preference_examples(chat.preference_segments(chat.other_replies(table(spark, sf_dir, "conversations"))))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

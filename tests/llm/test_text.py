@@ -287,7 +287,7 @@ def test_urls_of_odd_rows(spark):
 def test_replies_of_the_next_conversation(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "A"), (0, 2, "user", "more"), (0, 3, "assistant", "B"), (1, 0, "user", "yo"), (1, 1, "assistant", "C"), (1, 1, "assistant", "D"), (2, 0, "user", "no reply"), (2**62 + 1, 0, "assistant", "E"), (2**62 + 2, 5, "assistant", "F"), (2**63 - 1, 0, "assistant", "G"), (-(2**63), 0, "assistant", "H"), (None, 0, "user", "lost"), (0, 3, "assistant", "B")]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, side string")
-    out = {r["pair_id"]: r for r in chat.preference_examples(chat.preference_segments(*chat.other_replies(table))).collect()}
+    out = {r["pair_id"]: r for r in chat.preference_examples(chat.preference_segments(chat.other_replies(table))).collect()}
     say = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
     told = {k: (r["prompt"], r["chosen"], r["rejected"]) for k, r in out.items()}
     assert told[0] == (say("user", "hi") + say("assistant", "A") + say("user", "more"), say("assistant", "B"), say("assistant", "D"))
@@ -314,14 +314,14 @@ def test_preferences_share_their_prompts(spark):
 
 def test_a_very_long_conversation(spark):
     long = spark.range(20_000).select(F.lit(3).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), "id").alias("text"))
-    segments = chat.preference_segments(*chat.other_replies(long))
+    segments = chat.preference_segments(chat.other_replies(long))
     assert segments.where("part = 'prompt'").count() == 19_999 and segments.where("part = 'chosen'").count() == 1
 
 
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "A"), (1, 0, "user", "hi"), (1, 1, "assistant", "B"), (1, 2, "user", None), (1, 2, "user", None), (1, 3, "assistant", "long" * 9), (2, 0, "user", "solo"), (None, 0, "user", "lost"), (4, None, None, "x"), (5, None, None, "x"), (5, 7, "assistant", "end")]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, part string")
-    out = {r["pair_id"]: r for r in chat.preference_examples(chat.preference_segments(table, chat.consecutive_pairs(table))).collect()}
+    out = {r["pair_id"]: r for r in chat.preference_examples(chat.preference_segments(chat.messages_of_pairs(table, chat.consecutive_pairs(table)))).collect()}
     assert set(out) == {0, 1, 2}
     first = out[0]
     assert first["prompt"] == "<|user|>\nhi<|end|>\n"
@@ -330,4 +330,4 @@ def test_preferences(spark):
     assert [first["rejected"][a:b] for a, b in spans] == ["B<|end|>\n", "long" * 9 + "<|end|>\n"]
     assert out[1]["chosen"] and out[1]["rejected"] == "" and out[1]["prompt"] == ""
     assert out[2]["prompt"] == "<|unknown|>\nx<|end|>\n" and out[2]["chosen"] == "" and out[2]["rejected_mask"]
-    assert chat.preference_examples(chat.preference_segments(table.limit(0), chat.consecutive_pairs(table.limit(0)))).count() == 0
+    assert chat.preference_examples(chat.preference_segments(chat.messages_of_pairs(table.limit(0), chat.consecutive_pairs(table.limit(0))))).count() == 0
