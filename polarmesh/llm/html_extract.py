@@ -9,10 +9,12 @@
    number; a task emits one for each of its hosts, and wrappers of a host are
    aligned with each other in two rounds, first by groups of tasks. A host
    with a third of all pages is thus never gathered.
-3. The wrapper tells which of its slots hold the article: by the elements
-   around a slot, and, where a host marks no article, by how much text, links
-   and constant template text its pages put there. Pages are parsed along
-   their wrapper, and the text in article slots is kept whole.
+3. The wrapper tells which of its slots hold the article: where the text is
+   that varies from page to page and is no link. An element that a host marks
+   as article is one only if it holds a part of that text; where none is
+   marked, layout elements with little of it stand beside the article. Pages
+   are parsed along their wrapper, and the text in article slots is kept
+   whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -44,6 +46,14 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figure
 BOILERPLATE_NAMES = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side-bar widget footer header masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond disqus discussion login signup search pagination pager toolbar copyright legal disclaimer".split())
 
 BOILERPLATE_ROLES = {"role=navigation", "role=banner", "role=contentinfo", "role=complementary", "role=search"}
+#: Tags that divide a page's layout.
+CONTAINERS = set("html body div section main article center form table tbody tr td".split())
+#: Pages a host must have before its wrapper tells constant text from text that varies.
+LEAST_PAGES = 3
+#: A container with a smaller share of the largest one's varying text stands beside the article.
+ASIDE = 0.1
+#: Pages of a host that one task reads when wrappers are joined, and JSON of wrappers that it holds.
+PAGES_DEALT, HELD_BYTES = 10_000, 16_000_000
 #: First parts of the names of articles that belong to another article.
 COMMENTS = set("comment comments reply replies related recommended sponsored advertisement".split())
 #: Parts of a class before a name that make it a state of the layout or a topic.
@@ -180,7 +190,7 @@ def _fold(kids: list) -> Generator:
     out: list = []
     for kid in kids:
         if out and out[-1][LABEL] == kid[LABEL]:
-            out[-1] = yield _align(out[-1], kid, True)
+            out[-1] = yield _align(out[-1], kid, True, True)
         else:
             out.append(kid)
     size = 2
@@ -189,7 +199,7 @@ def _fold(kids: list) -> Generator:
         while k + 2 * size <= len(out):
             if all(out[k + j][LABEL] == out[k + size + j][LABEL] for j in range(size)):
                 for j in range(size):
-                    out[k + j] = yield _align(out[k + j], out[k + size + j], True)
+                    out[k + j] = yield _align(out[k + j], out[k + size + j], True, True)
                 del out[k + size : k + 2 * size]
             else:
                 k += 1
@@ -202,19 +212,21 @@ def align(a: list, b: list, repeat: bool = False) -> list:
     return run(_align(a, b, repeat))
 
 
-def _align(a: list, b: list, repeat: bool = False) -> Generator:
+def _align(a: list, b: list, repeat: bool = False, own: bool = False) -> Generator:
+    """`own` if both are of one page alone: their texts then follow each other, and don't vary for it."""
+    text = a[HASH] if a[HASH] == b[HASH] else None if not own or None in (a[HASH], b[HASH]) else hash_text(f"{a[HASH]} {b[HASH]}")
     pages = max(a[PAGES], b[PAGES]) if repeat else a[PAGES] + b[PAGES]
-    kids = (yield _align_lists(a[KIDS], b[KIDS])) if a[KIDS] or b[KIDS] else []
-    return [a[LABEL], a[FLAGS] | b[FLAGS] | 2 * repeat, pages, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[HASH] if a[HASH] == b[HASH] else None, kids]
+    kids = (yield _align_lists(a[KIDS], b[KIDS], own)) if a[KIDS] or b[KIDS] else []
+    return [a[LABEL], a[FLAGS] | b[FLAGS] | 2 * repeat, pages, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], text, kids]
 
 
-def _align_lists(a: list, b: list) -> Generator:
+def _align_lists(a: list, b: list, own: bool) -> Generator:
     """Longest common subsequence of labels; what has no partner becomes optional. Labels that come out twice are folded."""
     la, lb = [x[LABEL] for x in a], [x[LABEL] for x in b]
     out: list = []
     if la == lb:
         for x, y in zip(a, b, strict=True):
-            out.append((yield _align(x, y)))
+            out.append((yield _align(x, y, False, own)))
         return out
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -223,7 +235,7 @@ def _align_lists(a: list, b: list) -> Generator:
     i = j = 0
     while i < len(a) and j < len(b):
         if la[i] == lb[j]:
-            out.append((yield _align(a[i], b[j])))
+            out.append((yield _align(a[i], b[j], False, own)))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][LABEL], a[i][FLAGS] | 1, *a[i][PAGES:]])
@@ -238,7 +250,7 @@ def _align_lists(a: list, b: list) -> Generator:
     for x in out:
         if x[LABEL] in where:
             k = where[x[LABEL]]
-            merged[k] = yield _align(merged[k], x, True)
+            merged[k] = yield _align(merged[k], x, True, own)
             merged[k][FLAGS] |= 1
         else:
             where[x[LABEL]] = len(merged)
@@ -343,24 +355,102 @@ def holds_mark(node: Node) -> bool:
     return False
 
 
-def extract(page: str, wrapper: list | None) -> str:
+def masses(w: list, varying: bool = True) -> dict[int, int]:
+    """For each element of a wrapper, by its identity: characters in and below it that are no links, no boilerplate, and, if `varying`, not the same on all pages."""
+    open_, todo = [], [w]
+    while todo:
+        x = todo.pop()
+        open_.append(x)
+        todo += [k for k in x[KIDS] if not is_boilerplate(k[LABEL])]
+    out: dict[int, int] = {}
+    for x in reversed(open_):
+        own = x[CHARS] - x[LINKS] if x[HASH] is None or not varying else 0
+        out[id(x)] = own + sum(out.get(id(k), 0) for k in x[KIDS])
+    return out
+
+
+def beside(w: list, mass: dict[int, int]) -> set[int]:
+    """Elements of a wrapper (by identity) that stand beside the article.
+
+    Where an element's text is mostly in containers, those go that have less
+    than `ASIDE` of the largest one's; the others are looked into. Where it
+    is mostly outside containers, the article is reached and kept whole.
+    """
+    out: set[int] = set()
+    todo = [w]
+    while todo:
+        x = todo.pop()
+        parts = [k for k in x[KIDS] if _names(k[LABEL])[0] in CONTAINERS]
+        largest = max((mass.get(id(k), 0) for k in parts), default=0)
+        flow = mass[id(x)] - sum(mass.get(id(k), 0) for k in parts)
+        if 2 * flow >= largest:
+            continue
+        kept = [k for k in parts if mass.get(id(k), 0) >= ASIDE * largest]
+        out |= {id(k) for k in parts} - {id(k) for k in kept}
+        todo += kept
+    return out
+
+
+class Judged:
+    """A host's wrapper with what it tells of the host's pages.
+
+    `mark` and `mark_inside`: how articles are marked, outside boilerplate
+    names and also inside; None if they aren't, or if elements so marked hold
+    less than `ASIDE` of the text that varies (teasers beside the article).
+    `beside`: elements beside the article. These need `LEAST_PAGES` pages:
+    with fewer, what varies isn't known.
+    """
+
+    def __init__(self, wrapper: list | None):
+        self.wrapper, self.beside = wrapper, set()
+        self.mark = article_of(wrapper) if wrapper else None
+        self.mark_inside = article_of(wrapper, False) if wrapper else None
+        self.varies = wrapper is not None and _varies(wrapper)
+        if wrapper is None or wrapper[PAGES] < LEAST_PAGES or not self.varies:
+            return
+        mass = masses(wrapper)
+        if self.mark is not None:
+            every = masses(wrapper, False)
+            marked = _marked(wrapper, self.mark)
+            if all(sum(m[id(x)] for x in marked) < ASIDE * m[id(wrapper)] for m in (mass, every)):
+                self.mark = self.mark_inside = None
+        if self.mark is None:
+            self.beside = beside(wrapper, mass)
+
+
+def _marked(w: list, mark: int) -> list[list]:
+    """The outermost elements of a wrapper with this mark, outside boilerplate."""
+    out, todo = [], [w]
+    while todo:
+        x = todo.pop()
+        if _mark(x[LABEL]) == mark:
+            out.append(x)
+        else:
+            todo += [k for k in x[KIDS] if not is_boilerplate(k[LABEL])]
+    return out
+
+
+def extract(page: str, wrapper: list | Judged | None) -> str:
     """The main text of a page, read along its host's wrapper.
 
     If the host marks its articles, the text in that element is kept, but for
     boilerplate inside it; in pages without the mark, and on hosts that mark
-    none, all but boilerplate, repeated link lists, and text that is the same
-    on all of at least three of the host's pages that differ elsewhere. On the
-    way to an article only whole names are judged. A page without one outside
-    such names is also read from those inside, and the longer text is kept.
-    What would leave a page no text by the end of a name isn't judged by it.
+    none or only teasers, all but boilerplate, elements that the wrapper finds
+    beside the article, repeated link lists, and text that is the same on all
+    of at least three of the host's pages that differ elsewhere. On the way to
+    an article only whole names are judged. A page without one outside such
+    names is also read from those inside, and the longer text is kept. What
+    would leave a page no text by the wrapper's or the end of a name's
+    judgement isn't judged by it.
     """
+    host = wrapper if isinstance(wrapper, Judged) else Judged(wrapper)
     tree = parse(page)
-    roots = _roots(tree, wrapper, article_of(wrapper) if wrapper else None, True)
-    text = _read(roots or [(tree, wrapper)], wrapper, not roots)
-    if not roots and wrapper:
-        inner = _roots(tree, wrapper, article_of(wrapper, False), False)
-        text = max(text, _read(inner, wrapper, False), key=len)
-    return text or _read(roots or [(tree, wrapper)], wrapper, not roots, False)
+    roots = _roots(tree, host.wrapper, host.mark, True)
+    starts = roots or [(tree, host.wrapper)]
+    text = _read(starts, host, not roots)
+    if not roots and host.mark_inside is not None:
+        text = max(text, _read(_roots(tree, host.wrapper, host.mark_inside, False), host, False), key=len)
+    return text or _read(starts, host, not roots, False)
 
 
 def _roots(tree: Node, wrapper: list | None, mark: int | None, named: bool) -> list[tuple[Node, list | None]]:
@@ -377,14 +467,13 @@ def _roots(tree: Node, wrapper: list | None, mark: int | None, named: bool) -> l
     return [r for r in roots if not is_comment(r[0].label)] or roots
 
 
-def _read(roots: list[tuple[Node, list | None]], wrapper: list | None, whole: bool, ends: bool = True) -> str:
-    """The text below the roots; `whole` if they are no marked articles, `ends` if the ends of names are judged."""
+def _read(roots: list[tuple[Node, list | None]], host: Judged, whole: bool, ends: bool = True) -> str:
+    """The text below the roots; `whole` if they are no marked articles, `ends` if places beside the article and the ends of names are judged."""
     blocks: list[list[str]] = [[]]
-    varies = wrapper is not None and _varies(wrapper)
 
     def emit(node: Node, w: list | None, plain: bool) -> Generator:
         inside = {k[LABEL]: k for k in w[KIDS]} if w else {}
-        constant = plain and w is not None and w[HASH] is not None and w[CHARS] and w[PAGES] >= 3 and wrapper[PAGES] == w[PAGES] and varies
+        constant = plain and w is not None and w[HASH] is not None and w[CHARS] and w[PAGES] >= LEAST_PAGES and host.wrapper[PAGES] == w[PAGES] and host.varies
         for kid in node.kids:
             if isinstance(kid, str):
                 if not constant:
@@ -396,6 +485,8 @@ def _read(roots: list[tuple[Node, list | None]], wrapper: list | None, whole: bo
             own = inside.get(kid.label)
             if is_boilerplate(kid.label) or kid.tag in OPAQUE or plain and kid.tag == "header" or not plain and is_comment(kid.label):
                 skip = True
+            elif ends and plain and id(own) in host.beside:
+                skip = True
             elif ends and ends_as_boilerplate(kid.label) and not holds_mark(kid):
                 skip = True
             else:
@@ -457,7 +548,25 @@ def wrappers(pages: DataFrame, hosts_held: int = 500) -> DataFrame:
     return made.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string").groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 64_000_000) -> DataFrame:
+def _judging() -> Callable[[str, str], Judged]:
+    """Gives the judged wrapper of a host; a task holds those of `HELD_BYTES` of JSON, then begins anew."""
+    known: dict[str, Judged] = {}
+    size = 0
+
+    def judged(host: str, wrapper: str) -> Judged:
+        nonlocal size
+        if host not in known:
+            if size > HELD_BYTES:
+                known.clear()
+                size = 0
+            size += len(wrapper)
+            known[host] = Judged(unpack(wrapper))
+        return known[host]
+
+    return judged
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 64_000_000, pages_dealt: int = PAGES_DEALT) -> DataFrame:
     """One row for each row of `pages`: page_id, url, text, n_chars.
 
     Null or empty html gives an empty text. Pages without a host (null or odd
@@ -465,7 +574,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     give a row each, other columns are dropped, an empty table gives an empty
     result; pages are read whole, however long and however deep they nest. Wrappers are broadcast only
     if all together have at most `broadcast_bytes`; else they are joined by
-    host.
+    host, and a host with many pages is dealt to a task for every
+    `pages_dealt` of them.
     """
     small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), url_parts(F.col(url_col).cast("string"))[0].alias("host"))
@@ -477,21 +587,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         shared = source.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in found.collect()})
 
         def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known: dict = {}
+            judged = _judging()
             for frame in frames:
-                texts = []
-                for host, page in zip(frame["host"], frame["html"], strict=True):
-                    if host not in known:
-                        known[host] = unpack(shared.value[host])
-                    texts.append(extract(page, known[host]))
-                yield frame[["page_id", "url"]].assign(text=texts)
+                yield frame[["page_id", "url"]].assign(text=[extract(page, judged(host, shared.value[host])) for host, page in zip(frame["host"], frame["html"], strict=True)])
 
         out = source.mapInPandas(read, schema)
     else:
 
         def read_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            judged = _judging()
             for frame in frames:
-                yield frame[["page_id", "url"]].assign(text=[extract(page, unpack(w) if isinstance(w, str) else None) for page, w in zip(frame["html"], frame["wrapper"], strict=True)])
-
-        out = source.join(found, "host", "left").mapInPandas(read_joined, schema)
+                yield frame[["page_id", "url"]].assign(text=[extract(page, judged(host, w)) for host, page, w in zip(frame["host"], frame["html"], frame["wrapper"], strict=True)])
+
+        counts = source.groupBy("host").agg(F.count("*").alias("n"))
+        total = source.count()
+        # fewer than 1,000 hosts, as each has more than that part of all pages
+        hot = F.broadcast(counts.where(F.col("n") > max(pages_dealt, total // 1000)).select("host", F.ceil(F.col("n") / pages_dealt).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = source.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), salts).cast("int"))
+        copies = found.join(hot, "host", "left").select("host", "wrapper", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        out = dealt.join(copies, ["host", "salt"]).mapInPandas(read_joined, schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -150,6 +150,62 @@ def test_related_articles_do_not_replace_the_page():
     assert alone('<body><div class="my-footer">All there is</div></body>') == "All there is"
 
 
+def wrapper_of(pages):
+    w = None
+    for p in pages:
+        e = html_extract.expression(html_extract.parse(p))
+        w = html_extract.align(w, e) if w else e
+    return w
+
+
+# class names that say nothing: a strap line that varies, constant words, the article, lines about other pages
+NAMELESS = '<body><div class="qa">Day {k}</div><div class="qb"><div class="qc">All the same here</div><div class="qd"><h2>Head {k}</h2><p>{body}</p><p>End {k}</p></div><div class="qe"><p>More {k}</p></div></div><div class="qf">Page {k} of many</div></body>'
+
+
+def test_wrappers_find_articles_without_names():
+    pages = [NAMELESS.format(k=k, body=f"Story {k} " * 40) for k in range(5)]
+    want = [" ".join(f"Head {k} {f'Story {k} ' * 40} End {k}".split()) for k in range(5)]
+    aligned = wrapper_of(pages)
+    assert [html_extract.extract(p, aligned) for p in pages] == want
+    assert all(alone(p) != t for p, t in zip(pages, want, strict=True))  # one page doesn't tell
+    short = NAMELESS.format(k=9, body="Brief")  # the host tells where a short article is
+    assert html_extract.extract(short, aligned) == "Head 9 Brief End 9"
+    other = "<body><div class='zz'><p>Not made like the others</p></div></body>"
+    assert html_extract.extract(other, aligned) == "Not made like the others"
+    only_aside = '<body><div class="qa">Day 7</div></body>'
+    assert html_extract.extract(only_aside, aligned) == "Day 7"  # nothing else is there
+
+
+def test_marked_teasers_are_no_articles():
+    page = '<body><div class="x"><p>{body}</p></div><div class="y"><article>Read {k} too</article></div></body>'
+    pages = [page.format(k=k, body=f"The story {k} goes on. " * 30) for k in range(4)]
+    got = [html_extract.extract(p, wrapper_of(pages)) for p in pages]
+    assert got == [" ".join((f"The story {k} goes on. " * 30).split()) for k in range(4)]
+
+
+def test_small_parts_of_articles_stay():
+    page = '<body><div class="x"><h1>Head {k}</h1><p>{body}</p><div class="z">Note {k}</div><p>Last {k}</p></div></body>'
+    pages = [page.format(k=k, body=f"The story {k} goes on. " * 30) for k in range(4)]
+    got = [html_extract.extract(p, wrapper_of(pages)) for p in pages]
+    assert got == [" ".join(f"Head {k} {f'The story {k} goes on. ' * 30} Note {k} Last {k}".split()) for k in range(4)]
+
+
+def test_hot_host_by_both_ways(spark):
+    rows = [(k, f"http://{'hot' if k % 3 else f'h{k}'}.example.com/{k}", NAMELESS.format(k=k, body=f"Story {k} " * 40)) for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    ways = [html_extract.main_text(pages), html_extract.main_text(pages, broadcast_bytes=1, pages_dealt=10)]
+    got = [{r["page_id"]: r["text"] for r in way.collect()} for way in ways]
+    assert got[0] == got[1] and len(got[0]) == 120
+    assert all(got[0][k] == " ".join(f"Head {k} {f'Story {k} ' * 40} End {k}".split()) for k in range(120) if k % 3)
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    rows = [(k, "http://h.example.com/", NAMELESS.format(k=k, body=f"Story {k} " * 40) if k % 2 else PAGE.format(k=k)) for k in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{r["page_id"]: r["text"] for r in html_extract.main_text(pages.repartition(n)).collect()} for n in (1, 4, 11)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_deep_pages(spark):
     for deep in (200, 5000):
         quotes, fonts = "<div>" * deep, "<font>" * deep
