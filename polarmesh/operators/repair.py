@@ -2,13 +2,15 @@
 
 Where the procedure is defined by simultaneous updates, rounds are joins on
 the edge table. Where it is defined by an order (each node sees what earlier
-ones became), each connected region is one group of `applyInPandas`: regions
-are independent, and only within one does the order count. `mode="jacobi"`
-offers simultaneous rounds for these too.
+ones became), a node waits for its earlier neighbours only: `ordered_visits`
+deals the mesh to blocks of bounded size and makes the visits that wait for
+none. `mode="jacobi"` of `fill_holes` offers simultaneous rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,37 +40,57 @@ def laplacian(field: DataFrame, ring: DataFrame, value: str, relax: float = 0.5,
     return out.select("node_id", F.col("_new").alias(value))
 
 
-def _with_neighbours(depths: DataFrame, adjacency: DataFrame) -> DataFrame:
-    return depths.join(adjacency.groupBy(F.col("id").alias("node_id")).agg(F.sort_array(F.collect_set("nbr")).alias("nbrs")), "node_id", "left")
-
+def ordered_visits(nodes: DataFrame, adjacency: DataFrame, update: Callable[[float, list[float]], float | None], block: int = 50_000) -> DataFrame:
+    """node_id, value after nodes were visited in the order of (visit, node_id), each seeing what earlier visits left.
 
-def _by_region(nodes: DataFrame, adjacency: DataFrame, seeds: DataFrame, work) -> DataFrame:
-    """Applies `work` (dict of values, dict of neighbours, sorted seeds -> changed values) to each connected region of seeds with its rim."""
-    labels = components(seeds.select(F.col("node_id").alias("id")), adjacency)
-    own = labels.select(F.col("id").alias("node_id"), "component", F.lit(True).alias("seed"))
-    rim = adjacency.join(labels, "id").select(F.col("nbr").alias("node_id"), "component", F.lit(False).alias("seed"))
-    members = own.unionByName(rim).groupBy("node_id", "component").agg(F.max("seed").alias("seed"))
-    rows = members.join(_with_neighbours(nodes, adjacency), "node_id")
+    `nodes` is node_id (integer), value, visit (double; null: never visited).
+    `update` gets a node's value and its neighbours', in the order of their
+    ids, and returns the new value or None. A visit waits for its earlier
+    neighbours only, and later ones wait for it, so the mesh is dealt to
+    blocks of ids: in a round, each block makes the visits that wait for none
+    outside it, with the nodes at its rim as others left them, until all are
+    made. A task holds one block and its rim, whatever the mesh; a round ends
+    at block borders, so their number is that of borders on the longest chain
+    of waiting nodes. The result doesn't depend on `block`.
+    """
+    lists = adjacency.groupBy(F.col("id").alias("node_id")).agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
+    state = nodes.join(lists, "node_id", "left").select("node_id", F.col("value").cast("double").alias("value"), F.col("visit").cast("double").alias("visit"), "nbrs", F.col("visit").isNotNull().alias("waits"))
+    state = materialise(state, "visits")
+    columns, schema = state.columns, state.schema
+    in_block = lambda x: F.floor(F.col(x) / block).cast("long")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = dict(zip(frame["node_id"], frame["cavity_depth"], strict=True))
-        nbrs = {i: [] if n is None else [int(x) for x in n] for i, n in zip(frame["node_id"], frame["nbrs"], strict=True)}
-        changed = work(values, nbrs, sorted(frame.loc[frame["seed"], "node_id"]))
-        return pd.DataFrame({"node_id": list(changed), "new_depth": list(changed.values())})
-
-    kind = nodes.schema["node_id"].dataType.simpleString()
-    return rows.groupBy("component").applyInPandas(run, f"node_id {kind}, new_depth double")
+        own = frame[frame["own"]]
+        value = dict(zip(frame["node_id"], frame["value"], strict=True))
+        place = {i: (v, i) for i, v in zip(frame["node_id"], frame["visit"], strict=True)}
+        nbrs = dict(zip(own["node_id"], own["nbrs"], strict=True))
+        waits = set(frame.loc[frame["waits"], "node_id"])
+        for i in sorted(own.loc[own["waits"], "node_id"], key=place.get):
+            near = [n for n in nbrs[i] if n in value] if nbrs[i] is not None else []
+            if any(n in waits and place[n] < place[i] for n in near):
+                continue
+            new = update(value[i], [value[n] for n in near])
+            value[i] = value[i] if new is None else new
+            waits.discard(i)
+        return own.assign(value=[value[i] for i in own["node_id"]], waits=[i in waits for i in own["node_id"]])[columns]
+
+    while not state.where("waits").isEmpty():
+        own = state.withColumns({"block": in_block("node_id"), "own": F.lit(True)})
+        rim = own.where("waits").select("block", F.explode("nbrs").alias("node_id")).where(F.col("block") != in_block("node_id")).distinct()
+        rim = rim.join(state.drop("nbrs"), "node_id").withColumns({"nbrs": F.lit(None).cast(schema["nbrs"].dataType), "own": F.lit(False)})
+        state = materialise(own.unionByName(rim).groupBy("block").applyInPandas(run, schema), "visits")
+    return state.select("node_id", "value")
 
 
 def _apply(depths: DataFrame, changed: DataFrame) -> DataFrame:
     return depths.join(changed, "node_id", "left").select("node_id", F.coalesce("new_depth", "cavity_depth").alias("cavity_depth"))
 
 
-def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: str = "ordered") -> DataFrame:
+def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: str = "ordered", block: int = 50_000) -> DataFrame:
     """Open-ocean nodes (depth 0) outside the largest ocean become the mean of their neighbours that aren't 0.
 
-    Ordered: by ascending node id within each hole, each seeing earlier ones,
-    in rounds until all are filled or none changes.
+    Ordered: by ascending node id within each hole, each seeing earlier ones
+    (`ordered_visits`), again until all are filled or none changes.
     """
     ocean = depths.where("cavity_depth = 0").select(F.col("node_id").alias("id"))
     wet = materialise(holes(components(ocean, adjacency)).select(F.col("id").alias("node_id")), "holes")
@@ -81,39 +103,32 @@ def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: s
             depths = materialise(_apply(depths, todo), "depths")
         return depths
 
-    def work(values, nbrs, seeds):
-        out = {}
-        for _ in range(most):
-            moved = False
-            for i in seeds:
-                if values[i] == 0:
-                    near = [values[n] for n in nbrs[i] if values.get(n, 0.0) != 0]
-                    if near:
-                        values[i] = out[i] = float(np.mean(near))
-                        moved = True
-            if not moved:
-                break
-        return out
+    def fill(value: float, near: list[float]) -> float | None:
+        known = [v for v in near if v != 0]
+        return float(np.mean(known)) if value == 0 and known else None
 
-    return _apply(depths, _by_region(depths, adjacency, wet, work))
+    flags = wet.withColumn("visit", F.lit(0.0))
+    for _ in range(most):
+        visits = depths.join(flags, "node_id", "left").select("node_id", F.col("cavity_depth").alias("value"), F.when(F.col("cavity_depth") == 0, F.col("visit")).alias("visit"))
+        changed = ordered_visits(visits, adjacency, fill, block).join(visits.where("visit IS NOT NULL").select("node_id"), "node_id", "left_semi").where("value <> 0").select("node_id", F.col("value").alias("new_depth"))
+        changed = materialise(changed, "filled")
+        if changed.isEmpty():
+            break
+        depths = materialise(_apply(depths, changed), "depths")
+    return depths
 
 
-def close_channels(depths: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Ocean nodes at the cavity's edge with one ocean neighbour become the mean of their cavity neighbours, in ascending order of id, each seeing earlier ones."""
-    ocean = depths.where("cavity_depth = 0").select("node_id")
+def close_channels(depths: DataFrame, adjacency: DataFrame, block: int = 50_000) -> DataFrame:
+    """Ocean nodes at the cavity's edge with one ocean neighbour become the mean of their cavity neighbours, in ascending order of id, each seeing earlier ones (`ordered_visits`)."""
     rim = adjacency.join(depths.where("cavity_depth < 0").select(F.col("node_id").alias("nbr")), "nbr", "left_semi").select(F.col("id").alias("node_id")).distinct()
-    seeds = ocean.join(rim, "node_id", "left_semi")
 
-    def work(values, nbrs, order):
-        out = {}
-        for i in order:
-            near = [values[n] for n in nbrs[i] if n in values]
-            cavity = [v for v in near if v < 0]
-            if sum(v == 0 for v in near) == 1 and cavity:
-                values[i] = out[i] = float(np.mean(cavity))
-        return out
+    def close(value: float, near: list[float]) -> float | None:
+        cavity = [v for v in near if v < 0]
+        return float(np.mean(cavity)) if sum(v == 0 for v in near) == 1 and cavity else None
 
-    return _apply(depths, _by_region(depths, adjacency, seeds, work))
+    seeds = rim.withColumn("visit", F.lit(0.0))
+    visits = depths.join(seeds, "node_id", "left").select("node_id", F.col("cavity_depth").alias("value"), F.when(F.col("cavity_depth") == 0, F.col("visit")).alias("visit"))
+    return ordered_visits(visits, adjacency, close, block).select("node_id", F.col("value").alias("cavity_depth"))
 
 
 def trim_loose_ends(depths: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -165,24 +180,16 @@ def deepen_floor(nodes: DataFrame, ring: DataFrame, step: float = 10.0) -> DataF
         nodes = after.drop("moved")
 
 
-def smooth_topography(nodes: DataFrame, adjacency: DataFrame, coefficient: float = 1.0, weight: float = 2.0) -> DataFrame:
+def smooth_topography(nodes: DataFrame, adjacency: DataFrame, coefficient: float = 1.0, weight: float = 2.0, block: int = 50_000) -> DataFrame:
     """Visits nodes from shallow to deep, by the depths before (ties by id), in place: (sum of m neighbours + c w m d) / (m (1 + c w)).
 
-    Each visit sees the values that earlier ones left, so each connected
-    region is one group.
+    Each visit sees the values that earlier ones left (`ordered_visits`).
     """
-    labels = components(nodes.select(F.col("node_id").alias("id")), adjacency)
-    rows = _with_neighbours(nodes.select("node_id", "depth"), adjacency).join(labels.withColumnRenamed("id", "node_id"), "node_id")
+    cw = coefficient * weight
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        depth = dict(zip(frame["node_id"], frame["depth"], strict=True))
-        nbrs = {i: [] if n is None else [int(x) for x in n] for i, n in zip(frame["node_id"], frame["nbrs"], strict=True)}
-        cw = coefficient * weight
-        for i in sorted(depth, key=lambda i: (-depth[i], i)):
-            m = len(nbrs[i])
-            if m:
-                depth[i] = (sum(depth[x] for x in nbrs[i]) + cw * m * depth[i]) / (m * (1 + cw))
-        return pd.DataFrame({"node_id": list(depth), "depth": list(depth.values())})
-
-    kind = nodes.schema["node_id"].dataType.simpleString()
-    return rows.groupBy("component").applyInPandas(run, f"node_id {kind}, depth double")
+    def smooth(value: float, near: list[float]) -> float | None:
+        m = len(near)
+        return (sum(near) + cw * m * value) / (m * (1 + cw)) if m else None
+
+    visits = nodes.select("node_id", F.col("depth").alias("value"), (-F.col("depth")).cast("double").alias("visit"))
+    return ordered_visits(visits, adjacency, smooth, block).select("node_id", F.col("value").alias("depth"))

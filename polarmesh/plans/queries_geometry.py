@@ -188,10 +188,9 @@ def o71_in_any_triangle(fx: Fixtures) -> DataFrame:
     return _hits(fx)
 
 
-@query(f"SELECT point_id, elem_id FROM fx_points CROSS JOIN fx_tri WHERE {_L1} >= -1e-10 AND {_L2} >= -1e-10 AND 1 - {_L1} - {_L2} >= -1e-10 AND elem_id % 2 = 0")
+@query(f"SELECT point_id, elem_id FROM fx_points CROSS JOIN fx_tri WHERE {_L1} >= -1e-10 AND {_L2} >= -1e-10 AND 1 - {_L1} - {_L2} >= -1e-10")
 def o71_in_triangle(fx: Fixtures) -> DataFrame:
-    # the SQL above asks for even elements only; o71_in_any_triangle gives all
-    return _hits(fx).where("elem_id % 2 = 0")
+    return _hits(fx)
 
 
 _GRID = "g AS (SELECT CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx, -88e0 + 4e0 * i AS lat, -179.5e0 + 9e0 * j AS lon FROM range(15) AS a(i) CROSS JOIN range(40) AS b(j))"
@@ -251,10 +250,21 @@ def o97_runoff_mass(fx: Fixtures) -> DataFrame:
     return gridding.total_mass(out, patches).select("time", F.round("mass", 4).alias("mass"))
 
 
-@query()
+_ARC = "acos(greatest(-1e0, least(1e0, sin(radians(c.lat)) * sin(radians(n.lat)) + cos(radians(c.lat)) * cos(radians(n.lat)) * cos(radians(n.lon - c.lon))))) * 6367500e0"
+_SPREAD = f"""WITH {_TRI_AREA}, n AS (SELECT node_id, lon, lat, coast, sum(area / 3) AS patch FROM a JOIN fx_corner USING (elem_id) JOIN fx_nodes USING (node_id) GROUP BY ALL),
+  river AS (SELECT point_id, CAST(point_id % 13 AS DOUBLE) AS mass, {_XYZ} FROM fx_points WHERE point_id % 13 > 0), shore AS (SELECT node_id, {_XYZ} FROM n WHERE coast = 1),
+  target AS (SELECT point_id, mass, arg_min(node_id, pow(r.x - s.x, 2) + pow(r.y - s.y, 2) + pow(r.z - s.z, 2)) AS coast_id FROM river r CROSS JOIN shore s GROUP BY 1, 2),
+  m AS (SELECT coast_id, sum(mass) AS mass FROM target GROUP BY 1),
+  pair AS (SELECT coast_id, mass, n.node_id, n.patch, CASE WHEN coast_id = n.node_id THEN 0e0 ELSE {_ARC} END AS d FROM m JOIN n c ON c.node_id = coast_id CROSS JOIN n WHERE coast_id = n.node_id OR {_ARC} <= 200000),
+  w AS (SELECT *, max(d) OVER (PARTITION BY coast_id) AS far FROM pair), v AS (SELECT *, CASE WHEN far > 0 THEN patch * (1 - d / far) WHEN coast_id = node_id THEN 1e0 ELSE 0e0 END AS weight FROM w),
+  share AS (SELECT *, weight / sum(weight) OVER (PARTITION BY coast_id) AS part FROM v)"""
+
+
+@query(f"{_SPREAD} SELECT DATE '1995-01-01' AS time, node_id, round(sum(mass * part) / any_value(patch) * 1e12, 4) AS runoff FROM share WHERE part > 0 GROUP BY node_id")
 def o97_distribute_runoff(fx: Fixtures) -> DataFrame:
     patches = gridding.node_patches(fx.elements, fx.nodes)
-    return gridding.distribute_runoff(_rivers(fx), fx.nodes.join(patches.select("node_id"), "node_id", "left_semi"), patches)
+    out = gridding.distribute_runoff(_rivers(fx), fx.nodes.join(patches.select("node_id"), "node_id", "left_semi"), patches)
+    return out.select("time", "node_id", F.round(F.col("runoff") * 1e12, 4).alias("runoff"))
 
 
 _OCC = "o AS (SELECT CAST(floor((lat + 9e1) / 4e0) AS INT) AS lat_idx, CAST(floor((lon + 18e1) / 2e1) AS INT) AS lon_idx, avg(lat) AS v FROM fx_tracks WHERE lat < -50 AND lon < 180 GROUP BY 1, 2)"

@@ -58,11 +58,18 @@ def _adjacency(fx: Fixtures) -> DataFrame:
     return topology.node_neighbours(fx.elements)
 
 
+def _rounded(df: DataFrame, value: str) -> DataFrame:
+    return df.select("node_id", F.round(value, 7).alias(value))
+
+
 def _depths(fx: Fixtures) -> DataFrame:
     return fx.nodes.select("node_id", "cavity_depth")
 
 
-@query()
+_OCEAN = "ocean AS (SELECT node_id AS id FROM fx_nodes WHERE cavity_depth = 0), ocean_adj AS (SELECT id, nbr FROM fx_adj WHERE id IN (SELECT id FROM ocean) AND nbr IN (SELECT id FROM ocean)), ocean_reach(id, r) AS (SELECT id, id FROM ocean UNION SELECT ocean_reach.id, ocean_adj.nbr FROM ocean_reach JOIN ocean_adj ON ocean_adj.id = ocean_reach.r), ocean_lab AS (SELECT id, min(r) AS component FROM ocean_reach GROUP BY id), ocean_size AS (SELECT component, count(*) AS size FROM ocean_lab GROUP BY 1), holes AS (SELECT id, component FROM ocean_lab WHERE component <> (SELECT component FROM ocean_size ORDER BY size DESC, component LIMIT 1))"
+
+
+@query(f"WITH {_OCEAN} SELECT id, component FROM holes", recursive=True)
 def o102_ocean_holes(fx: Fixtures) -> DataFrame:
     ocean = fx.nodes.where("cavity_depth = 0").select(F.col("node_id").alias("id"))
     return topology.holes(topology.components(ocean, _adjacency(fx)))
@@ -76,9 +83,24 @@ def o103_drop_small(fx: Fixtures) -> DataFrame:
     return topology.drop_small(_depths(fx), _adjacency(fx), 4)
 
 
-@query()
+# Visits in order, in SQL: the values are one list (node_id is its index from 0), and each step of the recursion is a visit.
+_LISTS = "lists AS (SELECT node_id, coalesce(nbrs, []) AS nbrs FROM fx_nodes LEFT JOIN (SELECT id, list(nbr ORDER BY nbr) AS nbrs FROM fx_adj GROUP BY id) l ON l.id = node_id)"
+_CAVITY = "(SELECT list(CAST(cavity_depth AS DOUBLE) ORDER BY node_id) FROM fx_nodes)"
+_SET = "list_transform(d, lambda x, k: CASE WHEN k = todo.node_id + 1 THEN {new} ELSE x END)"
+_LAST = "(SELECT d FROM state ORDER BY s DESC LIMIT 1)"
+_NEAR = "list_transform(todo.nbrs, lambda n: d[n + 1])"
+_KNOWN = f"list_filter({_NEAR}, lambda v: v <> 0)"
+_FILL = _SET.format(new=f"CASE WHEN x = 0 AND len({_KNOWN}) > 0 THEN list_avg({_KNOWN}) ELSE x END")
+
+
+@query(
+    f"WITH {_OCEAN}, {_LISTS}, todo AS (SELECT row_number() OVER (ORDER BY node_id) - 1 AS s, node_id, nbrs FROM lists WHERE node_id IN (SELECT id FROM holes)), "
+    f"state(s, d, was) AS (SELECT 0, {_CAVITY}, CAST(NULL AS DOUBLE[]) UNION ALL SELECT state.s + 1, {_FILL}, CASE WHEN state.s % (SELECT count(*) FROM todo) = 0 THEN d ELSE was END FROM state JOIN todo ON todo.s = state.s % (SELECT count(*) FROM todo) WHERE state.s = 0 OR state.s % (SELECT count(*) FROM todo) <> 0 OR d <> was) "
+    f"SELECT node_id, round({_LAST}[node_id + 1], 7) AS cavity_depth FROM fx_nodes",
+    recursive=True,
+)
 def o104_fill_holes(fx: Fixtures) -> DataFrame:
-    return repair.fill_holes(_depths(fx), _adjacency(fx))
+    return _rounded(repair.fill_holes(_depths(fx), _adjacency(fx)), "cavity_depth")
 
 
 @query("SELECT id AS node_id FROM fx_adj WHERE id IN (SELECT node_id FROM fx_nodes WHERE cavity_depth < 0) AND nbr IN (SELECT node_id FROM fx_nodes WHERE cavity_depth < 0) GROUP BY id HAVING count(*) = 1")
@@ -86,9 +108,18 @@ def o105_loose_ends(fx: Fixtures) -> DataFrame:
     return topology.loose_ends(_depths(fx), _adjacency(fx))
 
 
-@query()
+_BELOW = f"list_filter({_NEAR}, lambda v: v < 0)"
+_CLOSE = _SET.format(new=f"CASE WHEN len(list_filter({_NEAR}, lambda v: v = 0)) = 1 AND len({_BELOW}) > 0 THEN list_avg({_BELOW}) ELSE x END")
+
+
+@query(
+    f"WITH {_LISTS}, todo AS (SELECT row_number() OVER (ORDER BY node_id) - 1 AS s, node_id, nbrs FROM lists WHERE node_id IN (SELECT node_id FROM fx_nodes WHERE cavity_depth = 0) AND node_id IN (SELECT id FROM fx_adj JOIN fx_nodes ON node_id = nbr WHERE cavity_depth < 0)), "
+    f"state(s, d) AS (SELECT 0, {_CAVITY} UNION ALL SELECT state.s + 1, {_CLOSE} FROM state JOIN todo ON todo.s = state.s) "
+    f"SELECT node_id, round({_LAST}[node_id + 1], 7) AS cavity_depth FROM fx_nodes",
+    recursive=True,
+)
 def o106_close_channels(fx: Fixtures) -> DataFrame:
-    return repair.close_channels(_depths(fx), _adjacency(fx))
+    return _rounded(repair.close_channels(_depths(fx), _adjacency(fx)), "cavity_depth")
 
 
 @query()
@@ -112,14 +143,35 @@ def o109_laplacian(fx: Fixtures) -> DataFrame:
     return out.select("node_id", F.round("depth", 7).alias("depth"))
 
 
-@query()
+# Rounds over whole lists, in SQL: c are the ice bases, rings the ids within three steps; a round first finds bad floors without deeper neighbours.
+_BAD = "c[i + 1] < 0 AND d[i + 1] >= c[i + 1]"
+_DEEPER = "list_filter(rings[i + 1], lambda j: d[j + 1] < d[i + 1])"
+_LONE = f"list_transform(range(len(d)), lambda i: {_BAD} AND len({_DEEPER}) = 0)"
+_DEEPEN = f"list_transform(range(len(d)), lambda i: coalesce(d[list_max(list_filter(rings[i + 1], lambda j: lone[j + 1])) + 1] - 10, CASE WHEN {_BAD} THEN list_avg(list_transform({_DEEPER}, lambda j: d[j + 1])) END, d[i + 1]))"
+
+
+@query(
+    "WITH r2 AS (SELECT DISTINCT a.id, b.nbr FROM fx_adj a JOIN fx_adj b ON b.id = a.nbr), r3 AS (SELECT id, nbr FROM fx_adj UNION SELECT id, nbr FROM r2 UNION SELECT r2.id, b.nbr FROM r2 JOIN fx_adj b ON b.id = r2.nbr), "
+    "l AS (SELECT id, list(nbr) AS nbrs FROM r3 WHERE id <> nbr GROUP BY id), mesh AS (SELECT list(CAST(cavity_depth AS DOUBLE) ORDER BY node_id) AS c, list(coalesce(nbrs, []) ORDER BY node_id) AS rings FROM fx_nodes LEFT JOIN l ON id = node_id), "
+    f"state(s, d) AS (SELECT 0, (SELECT list(CAST(depth * 3 - 200 AS DOUBLE) ORDER BY node_id) FROM fx_nodes) UNION ALL SELECT s + 1, {_DEEPEN} FROM (SELECT s, d, c, rings, {_LONE} AS lone FROM state CROSS JOIN mesh WHERE len(list_filter(range(len(d)), lambda i: {_BAD})) > 0)) "
+    f"SELECT node_id, round({_LAST}[node_id + 1], 7) AS depth FROM fx_nodes",
+    recursive=True,
+)
 def o110_deepen_floor(fx: Fixtures) -> DataFrame:
-    return repair.deepen_floor(fx.nodes.select("node_id", (F.col("depth") * 3 - 200).alias("depth"), "cavity_depth"), topology.k_ring(_adjacency(fx), 3).select("id", "nbr"))
+    return _rounded(repair.deepen_floor(fx.nodes.select("node_id", (F.col("depth") * 3 - 200).alias("depth"), "cavity_depth"), topology.k_ring(_adjacency(fx), 3).select("id", "nbr")), "depth")
 
 
-@query()
+_SMOOTH = _SET.format(new=f"CASE WHEN len(todo.nbrs) > 0 THEN (list_sum({_NEAR}) + 2 * len(todo.nbrs) * x) / (len(todo.nbrs) * 3) ELSE x END")
+
+
+@query(
+    f"WITH {_LISTS}, todo AS (SELECT row_number() OVER (ORDER BY depth DESC, node_id) - 1 AS s, node_id, nbrs FROM lists JOIN fx_nodes USING (node_id)), "
+    f"state(s, d) AS (SELECT 0, (SELECT list(CAST(depth AS DOUBLE) ORDER BY node_id) FROM fx_nodes) UNION ALL SELECT state.s + 1, {_SMOOTH} FROM state JOIN todo ON todo.s = state.s) "
+    f"SELECT node_id, round({_LAST}[node_id + 1], 7) AS depth FROM fx_nodes",
+    recursive=True,
+)
 def o111_smooth_topography(fx: Fixtures) -> DataFrame:
-    return repair.smooth_topography(fx.nodes, _adjacency(fx))
+    return _rounded(repair.smooth_topography(fx.nodes, _adjacency(fx)), "depth")
 
 
 @query("SELECT node_id, CAST(greatest(1, (SELECT count(*) FROM fx_levels l WHERE l.depth >= n.cavity_depth)) AS INT) AS first_layer, CAST(coalesce((SELECT min(l.level_idx) FROM fx_levels l WHERE l.depth <= n.depth) - 1, 12) AS INT) AS last_layer FROM fx_nodes n")

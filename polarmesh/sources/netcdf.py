@@ -104,8 +104,18 @@ class Classic:
         return values * scale + offset if scale != 1 or offset != 0 else values
 
 
+#: Names of calendars in the CF conventions that are decoded.
+CALENDARS = ("standard", "gregorian", "proleptic_gregorian", "noleap", "365_day")
+
+
 def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> list[datetime]:
-    """Times of `<units> since <date>`; years of 365 days for the calendars noleap and 365_day."""
+    """Times of `<units> since <date>`; years of 365 days for the calendars noleap and 365_day.
+
+    Other calendars than these and the Gregorian one have dates that a
+    timestamp can't hold (30 February); they raise.
+    """
+    if calendar.lower() not in CALENDARS:
+        raise ValueError(f"calendar {calendar!r} can't be decoded; known: {', '.join(CALENDARS)}. Read with decode=False to get plain numbers")
     unit, _, since = units.partition(" since ")
     step = _UNITS[unit.strip().lower().rstrip("s")]
     since = since.strip().replace("T", " ").split(".")[0].removesuffix("Z").strip()
@@ -113,7 +123,7 @@ def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> l
     y, m, d = (int(x) for x in date.split("-"))
     hms = [int(float(x)) for x in clock.split(":")] if clock.strip() else []
     start = datetime(y, m, d, *hms[:3])
-    if calendar not in ("noleap", "365_day"):
+    if calendar.lower() not in ("noleap", "365_day"):
         return [start + timedelta(seconds=float(v) * step) for v in values]
     from polarmesh.functions.calendar import DAYS_365
 

@@ -49,6 +49,11 @@ def read_state(spark: SparkSession, path: str, payload: bool = True) -> DataFram
     return files.mapInPandas(unfold, "rank int, lon double, lat double, pos long, size long, entry long" + (", payload binary" if payload else ""))
 
 
+def target_structure(spark: SparkSession, path: str) -> DataFrame:
+    """rank, entry, lon, lat: where each rank's file of a template folder has its cells; payloads aren't sent."""
+    return read_state(spark, path, payload=False).select("rank", "entry", "lon", "lat")
+
+
 def cell_data(spark: SparkSession, file: str, pos: int, size: int) -> bytes:
     """One cell's bytes."""
     return bytes(spark.read.format("binaryFile").load(file).select(F.expr(f"substring(content, {pos + 1}, {size})").alias("x")).first()["x"])

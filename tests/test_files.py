@@ -103,3 +103,8 @@ def test_mappings_follow_the_mesh(spark, tmp_path):
 def test_units_travel(spark):
     df = files.described(spark.range(1).withColumn("x", F.lit(1.0)), {"x": "m3/s"})
     assert df.schema["x"].metadata == {"units": "m3/s"}
+
+
+def test_calendars_that_no_timestamp_holds_raise():
+    with pytest.raises(ValueError, match="360_day"):
+        netcdf.decode_time(np.array([1.0]), "days since 2000-01-01", "360_day")

@@ -205,6 +205,32 @@ def test_channels_and_ends(spark):
     assert values(topology.drop_small(nodes, adjacency, 3)) == [0, 0, 0, -1, -1, -1]
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_ordered_visits_equal_the_loop(spark, block):
+    """Whatever the block, and with chains of waiting nodes that cross blocks many times."""
+    rng = np.random.default_rng(5)
+    n, side = 36, 6
+    pairs = [(i, j) for i in range(n) for j in (i + 1, i + side, i + side - 1) if j < n and abs(i % side - j % side) <= 1]
+    nbrs = {i: sorted({b if a == i else a for a, b in pairs if i in (a, b)}) for i in range(n)}
+    adjacency = topology.both_ways(spark.createDataFrame(pairs, "a long, b long"))
+    cavity = [float(v) for v in np.where(rng.random(n) < 0.45, -rng.integers(1, 5, n), 0)]
+    depth = [float(v) for v in rng.integers(-6, -1, n)]
+    table = spark.createDataFrame([(i, cavity[i], depth[i]) for i in range(n)] + [(n, 0.0, -3.0)], "node_id long, cavity_depth double, depth double")
+
+    want = depth.copy()
+    for i in sorted(range(n), key=lambda i: (-depth[i], i)):
+        want[i] = (sum(want[j] for j in nbrs[i]) + 2 * len(nbrs[i]) * want[i]) / (3 * len(nbrs[i]))
+    assert values(repair.smooth_topography(table, adjacency, block=block), "depth") == pytest.approx([*want, -3.0])
+
+    want = cavity.copy()
+    for i in range(n):
+        below = [want[j] for j in nbrs[i] if want[j] < 0]
+        if cavity[i] == 0 and any(cavity[j] < 0 for j in nbrs[i]) and sum(want[j] == 0 for j in nbrs[i]) == 1 and below:
+            want[i] = sum(below) / len(below)
+    assert want != cavity
+    assert values(repair.close_channels(table.select("node_id", "cavity_depth"), adjacency, block)) == pytest.approx([*want, 0.0])
+
+
 def test_clean_cavity_is_idempotent(spark, mesh):
     nodes, elements = mesh
     adjacency = topology.node_neighbours(elements)
