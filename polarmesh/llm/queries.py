@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarmesh.llm import chat, decontaminate, exact_dedup, html_extract, langid, near_dedup, packing, quality, token_counts, url_filter
+from polarmesh.llm import chat, decontaminate, exact_dedup, html_extract, langid, near_dedup, packing, quality, source_audit, token_counts, toxicity, url_filter, vector_codes
 from polarmesh.llm.shared import held_out, table
 
 
@@ -61,11 +61,51 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(matches)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"), 30, 5, 3, 50)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(divisor=5, rest=0)
+    model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), 4, 256, 4, 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_best_fit_packing, op3_exact_dedup, op4_quality, op5_chat_formatting, op6_html_extraction, op7_near_dedup, op8_url_filters, op9_language_id, op10_decontamination)
+    for f in (op1_token_counts, op2_best_fit_packing, op3_exact_dedup, op4_quality, op5_chat_formatting, op6_html_extraction, op7_near_dedup, op8_url_filters, op9_language_id, op10_decontamination, op11_source_divergence, op12_toxicity, op13_vector_codes)
 }
 
+def _lloyd_sql() -> str:
+    """Four rounds and the last assignment, unrolled."""
+    step = """,
+a{k} AS MATERIALIZED (
+  SELECT n, part, min(struct_pack(far := far, entry := entry)) AS best FROM (
+    SELECT v.n, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS far FROM v JOIN b{k} AS b ON b.part = v.part AND b.place = v.place GROUP BY 1, 2, 3)
+  GROUP BY 1, 2)"""
+    book = """,
+b{next} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(s.x, b.x) AS x FROM b{k} AS b LEFT JOIN (
+    SELECT a.part, a.best.entry AS entry, v.place, CAST(floor(sum(v.x)::DOUBLE / count(*)) AS BIGINT) AS x FROM a{k} AS a JOIN v ON v.n = a.n AND v.part = a.part GROUP BY 1, 2, 3) AS s
+  ON s.part = b.part AND s.entry = b.entry AND s.place = b.place)"""
+    rounds = "".join((step + book).format(k=k, next=k + 1) for k in range(4)) + step.format(k=4)
+    return f"""
+WITH r AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS n, vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS xs
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS MATERIALIZED (SELECT n, (k * 4) // len(xs) AS part, k % (len(xs) // 4) AS place, xs[k + 1] AS x FROM r, unnest(range(len(xs))) AS t(k)),
+b0 AS MATERIALIZED (SELECT part, n AS entry, place, x FROM v WHERE n < 256){rounds},
+c AS (SELECT n, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a4 GROUP BY n),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b4)
+SELECT r.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY r.label) AS BIGINT) AS label_error, h.codebooks_sha256
+FROM r JOIN c ON c.n = r.n CROSS JOIN h
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -109,4 +149,28 @@ LEFT JOIN x AS p ON p.pair_id = e.pair_id AND p.part = 'prompt'
 LEFT JOIN x AS c ON c.pair_id = e.pair_id AND c.part = 'chosen'
 LEFT JOIN x AS r ON r.pair_id = e.pair_id AND r.part = 'rejected'
 """,
+    "op11_source_divergence": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS MATERIALIZED (SELECT n, lang, source, term, count(*) AS c FROM (SELECT n, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT n) >= 30),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT g.lang, g.source, k.term, coalesce(s.c, 0) AS c FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, sum(c) AS c FROM t GROUP BY ALL) AS s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+w AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS own, sum(c) OVER (PARTITION BY lang) AS whole, sum(c) OVER (PARTITION BY lang, term) AS together FROM c),
+p AS MATERIALIZED (
+  SELECT w.lang, source, term, c, CAST(1 + (1000000000 * CAST(c + 5 AS HUGEINT)) // (own + 5 * v) AS BIGINT) AS p, CAST(1 + (1000000000 * CAST(together + 5 AS HUGEINT)) // (whole + 5 * v) AS BIGINT) AS q
+  FROM w JOIN v ON v.lang = w.lang),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.f, 0) AS BIGINT) AS value FROM g AS a JOIN g AS b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS f FROM p AS a JOIN p AS b ON b.lang = a.lang AND b.term = a.term GROUP BY 1, 2, 3) AS x
+    ON x.lang = a.lang AND x.source = a.source AND x.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM o QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+""",
+    "op13_vector_codes": _lloyd_sql(),
 }

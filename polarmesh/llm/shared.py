@@ -52,7 +52,17 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     files.deleteOnExit(place)
     if _temporary and not lasting:
         _temporary[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what `materialise` wrote for this frame, if it did; frames that read it must have run."""
+    path = getattr(df, "_stored_at", None)
+    if isinstance(path, str):
+        files, place = _file_system(df.sparkSession, path)
+        files.delete(place, True)
 
 
 @contextmanager
@@ -85,9 +95,9 @@ def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def held_out(id_col: str = "doc_id") -> Column:
-    """Rows whose crc32 of the id as text leaves 1 when divided by 3; null ids count as held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+def held_out(id_col: str = "doc_id", divisor: int = 3, rest: int = 1) -> Column:
+    """Rows whose crc32 of the id as text leaves `rest` when divided; null ids count as held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor == rest, F.lit(True))
 
 
 def as_large(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
