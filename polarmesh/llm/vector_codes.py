@@ -136,7 +136,7 @@ def train(rows: DataFrame, first: np.ndarray, parts: int = 4, rounds: int = 4) -
     gets the sums by entry in each round. Tables of earlier rounds are deleted
     once the next one stands.
     """
-    books = first.reshape(len(first), parts, -1).transpose(1, 0, 2).copy()
+    books = first.reshape(len(first), parts, first.shape[1] // parts).transpose(1, 0, 2).copy()
     state, sums = rows.withColumn("code", F.lit(None).cast("binary")), None
     for _ in range(rounds):
         last, state = state, materialise(assigned(state, books), "vectors-assigned")

@@ -42,7 +42,7 @@ def got(df):
     return set(rows)
 
 
-@pytest.mark.parametrize("limits", [{}, {"cells": 40}, {"block_bytes": 400}, {"cells": 7, "block_bytes": 1000}])
+@pytest.mark.parametrize("limits", [{}, {"cells": 100, "block_bytes": 2500}])
 def test_against_brute_force(corpus, limits):
     rows = [tuple(r) for r in corpus.select("lang", "source", "text").collect()]
     assert got(source_audit.source_divergence(corpus, 8, top=6, **limits)) == brute(rows, 8, 6)
