@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polarmesh.llm.langid import bounded_sample
 from polarmesh.llm.shared import ids_and_text, slices_by_bytes
 from polarmesh.llm.textops import BASE, BYTE_CODES, IS_WORD, LOWER, mix, utf8
 
@@ -176,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, sample
         ones, every = known.agg(F.count_if("toxic"), F.count("*")).first()
         prior = ones / every if 0 < ones < every else 0.1
     texts = ids_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    marked = texts.join(known.where("toxic"), "doc_id", "left_semi")
+    toxic = F.broadcast(bounded_sample(known.where("toxic").select("doc_id"), sample_rows))  # bounded by sample_rows
+    marked = texts.join(toxic, "doc_id", "left_semi")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
