@@ -9,8 +9,8 @@ from polarmesh.plans.fixtures import Fixtures
 from polarmesh.plans.queries_series import RING
 from polarmesh.plans.registry import query
 from polarmesh.shared import scratch
-from polarmesh.sinks import files
-from polarmesh.sources import netcdf, state, text
+from polarmesh.sinks import files, streamed
+from polarmesh.sources import netcdf, netcdf_scan, state, text
 
 
 @query("SELECT CAST(node_id AS INT) AS node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(coast AS INT) AS coast FROM fx_nodes")
@@ -62,40 +62,33 @@ def o08_read_positive_depths(fx: Fixtures) -> DataFrame:
     return text.read_column(fx.spark, path, "node_id", "depth", negate=True).select("node_id", F.round("depth", 3).alias("depth"))
 
 
-def _yearly_files(fx: Fixtures) -> str:
-    """The field's months as NetCDF files, one for each year, made where the year's rows are."""
-    import numpy as np
-    import pandas as pd
-
-    n = fx.n
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        days = sorted(frame["day"].unique())
-        cube = np.full((len(days), n), np.nan)
-        cube[np.searchsorted(days, frame["day"]), frame["node_id"]] = frame["a_ice"]
-        made = netcdf.write_bytes({"time": len(days), "nod2": n}, {"time": (["time"], np.array(days, np.float64), {"units": "days since 1990-01-01 00:00:00", "calendar": "standard"}), "a_ice": (["time", "nod2"], cube, {"units": "1"})})
-        return pd.DataFrame({"year": [frame["year"].iloc[0]], "content": [made]})
-
+def _yearly_files(fx: Fixtures, *values: str) -> str:
+    """The field's months as NetCDF files, one for each variable and year."""
     folder = scratch(fx.spark, "fields")
-    days = fx.field2d.select(F.year("time").alias("year"), F.datediff("time", F.lit("1990-01-01")).alias("day"), "node_id", "a_ice")
-    for row in days.groupBy("year").applyInPandas(build, "year int, content binary").toLocalIterator():
-        files.write_bytes(fx.spark, f"{folder}/a_ice.model.{row['year']}.nc", bytes(row["content"]))
+    for value in values or ("a_ice",):
+        streamed.write_yearly_fields(fx.field2d, value, fx.n, folder)
     return folder
 
 
 @query("SELECT time, CAST(node_id AS INT) AS node_id, round(a_ice, 8) AS a_ice FROM fx_field2d WHERE a_ice IS NOT NULL")
 def o09_netcdf_fields(fx: Fixtures) -> DataFrame:
-    out = netcdf.read_variable(fx.spark, f"{_yearly_files(fx)}/*.nc", "a_ice", {"nod2": "node_id"})
-    return out.where("value IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("value", 8).alias("a_ice"))
+    out = netcdf_scan.scan(fx.spark, f"{_yearly_files(fx)}/*.nc", ["a_ice"], {"nod2": "node_id"}, partition_bytes=100_000)
+    return out.where("a_ice IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("a_ice", 8).alias("a_ice"))
+
+
+@query("SELECT time, CAST(node_id AS INT) AS node_id, round(a_ice, 8) AS a_ice, round(m_ice, 8) AS m_ice FROM fx_field2d WHERE (a_ice IS NOT NULL OR m_ice IS NOT NULL) AND time >= DATE '1995-06-01'")
+def o10_merged_variables(fx: Fixtures) -> DataFrame:
+    folder = _yearly_files(fx, "a_ice", "m_ice")
+    out = netcdf_scan.scan(fx.spark, [f"{folder}/a_ice.*.nc", f"{folder}/m_ice.*.nc"], ["a_ice", "m_ice"], {"nod2": "node_id"})
+    out = out.where("time >= TIMESTAMP_NTZ'1995-06-01'").where("a_ice IS NOT NULL OR m_ice IS NOT NULL")
+    return out.select(F.col("time").cast("date").alias("time"), "node_id", F.round("a_ice", 8).alias("a_ice"), F.round("m_ice", 8).alias("m_ice"))
 
 
 @query("SELECT time, CAST(node_id AS INT) AS node_id, round(a_ice, 8) AS a_ice FROM fx_field2d WHERE a_ice IS NOT NULL AND year(time) BETWEEN 1996 AND 1997")
 def o11_netcdf_years(fx: Fixtures) -> DataFrame:
-    folder, out = _yearly_files(fx), None
-    for path in netcdf.with_year(fx.spark, folder + "/a_ice*{year}*.nc", (1996, 1998)):
-        one = netcdf.read_variable(fx.spark, path, "a_ice", {"nod2": "node_id"})
-        out = one if out is None else out.unionByName(one)
-    return out.where("value IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("value", 8).alias("a_ice"))
+    paths = netcdf.with_year(fx.spark, _yearly_files(fx) + "/a_ice*{year}*.nc", (1996, 1998))
+    out = netcdf_scan.scan(fx.spark, paths, ["a_ice"], {"nod2": "node_id"})
+    return out.where("a_ice IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("a_ice", 8).alias("a_ice"))
 
 
 @query("SELECT CAST(make_date(2000 + v // 365, month(DATE '2001-01-01' + v % 365), day(DATE '2001-01-01' + v % 365)) AS DATE) AS time, v * 2.5e0 AS value FROM (SELECT CAST(range AS INT) AS v FROM range(4000))")
@@ -153,7 +146,7 @@ def o15_read_iceberg_restart(fx: Fixtures) -> DataFrame:
 def _state_files(fx: Fixtures) -> str:
     cells = fx.table("pages").selectExpr("CAST(page_id % 3 AS INT) AS rank", "CAST(page_id % 40 AS DOUBLE) AS lon", "CAST(0e0 - floor(page_id / 4e1) AS DOUBLE) AS lat", "CAST(coalesce(html, '') AS BINARY) AS payload")
     folder = scratch(fx.spark, "state")
-    files.write_state(cells, folder)
+    streamed.write_state(cells, folder)
     return folder
 
 
@@ -178,6 +171,12 @@ def o19_target_structure(fx: Fixtures) -> DataFrame:
     return state.target_structure(fx.spark, _state_files(fx))
 
 
+@query("SELECT CAST(page_id % 3 AS INT) AS rank, CAST(page_id % 40 AS DOUBLE) AS lon, CAST(0e0 - floor(page_id / 4e1) AS DOUBLE) AS lat, md5(coalesce(html, '')) AS payload FROM pages WHERE page_id % 40 IN (3, 17)")
+def o17_cells_asked_for(fx: Fixtures) -> DataFrame:
+    asked = fx.table("pages").where("page_id % 40 IN (3, 17)").selectExpr("CAST(page_id % 40 AS DOUBLE) AS lon", "CAST(0e0 - floor(page_id / 4e1) AS DOUBLE) AS lat")
+    return state.cell_data(fx.spark, _state_files(fx), asked).select("rank", "lon", "lat", F.md5("payload").alias("payload"))
+
+
 @query("WITH p AS (SELECT CAST(page_id % 3 AS INT) AS rank, octet_length(encode(coalesce(html, ''))) AS size, row_number() OVER w - 1 AS entry, coalesce(sum(octet_length(encode(coalesce(html, '')))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM pages WINDOW w AS (PARTITION BY page_id % 3 ORDER BY page_id % 40, 0e0 - floor(page_id / 4e1))) SELECT rank, entry, CAST(pos AS BIGINT) AS pos, CAST(size AS BIGINT) AS size FROM p")
 def o29_state_index(fx: Fixtures) -> DataFrame:
     return state.read_state(fx.spark, _state_files(fx), payload=False).select("rank", "entry", "pos", "size")
@@ -245,9 +244,8 @@ def o25_units(fx: Fixtures) -> DataFrame:
 
 @query("SELECT CAST(node_id AS INT) AS id, round(area0, 4) AS area FROM fx_nodes")
 def o31_restart_file(fx: Fixtures) -> DataFrame:
-    data = files.restart_file(fx.nodes.select(F.col("node_id").alias("id"), F.col("area0").alias("area")), "area", 7, "fixture")
-    path = files.write_bytes(fx.spark, f"{scratch(fx.spark, 'restart')}/area.nc", data)
-    return netcdf.read_variable(fx.spark, path, "area", {"node": "id"}).select("id", F.round("value", 4).alias("area"))
+    path = streamed.write_restart(fx.nodes.select(F.col("node_id").alias("id"), F.col("area0").alias("area")), "area", 7, "fixture", scratch(fx.spark, "restart"))
+    return netcdf_scan.scan(fx.spark, path, ["area"], {"node": "id"}).select("id", F.round("area", 4).alias("area"))
 
 
 @query("SELECT CAST(node_id AS BIGINT) AS node_id FROM fx_nodes WHERE lat < -60")

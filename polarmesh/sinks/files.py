@@ -98,33 +98,6 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     return path
 
 
-def state_files(cells: DataFrame) -> DataFrame:
-    """rank, content: each rank's file of its cells (lon, lat, payload): blobs by place, index sorted by place, count.
-
-    A rank's file is one process's share of the model grid, so it fits a task.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from polarmesh.sources.state import ENTRY
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["lon", "lat"])
-        blobs = [bytes(b) for b in frame["payload"]]
-        index = np.zeros(len(frame), ENTRY)
-        index["lon"], index["lat"] = frame["lon"], frame["lat"]
-        index["pos"] = np.cumsum([0, *map(len, blobs)])[:-1]
-        return pd.DataFrame({"rank": [frame["rank"].iloc[0]], "content": [b"".join(blobs) + index.tobytes() + len(frame).to_bytes(8, "little")]})
-
-    return cells.select("rank", "lon", "lat", "payload").groupBy("rank").applyInPandas(build, "rank int, content binary")
-
-
-def write_state(cells: DataFrame, folder: str) -> None:
-    """One <rank>.state file for each rank; files come through the driver one at a time."""
-    for row in state_files(cells).toLocalIterator():
-        write_bytes(cells.sparkSession, f"{folder}/{row['rank']}.state", bytes(row["content"]))
-
-
 def write_vtk(nodes: DataFrame, elements: DataFrame, path: str, radius_km: float = 6371.0, scalars: dict[str, str] | None = None) -> str:
     """Legacy ASCII VTK of a mesh on the sphere in km; `scalars` names element columns to add (blanks in names become underscores)."""
     from polarmesh.functions.sphere import cartesian
@@ -181,23 +154,3 @@ def mesh_key(nodes: DataFrame, *spec: object) -> str:
     """A key of a mesh's content (not of its size alone) and of a grid's parameters."""
     row = nodes.agg(F.count("*"), F.sum(F.xxhash64("node_id", "lon", "lat").cast("decimal(38,0)"))).first()
     return repr((*row, *spec))
-
-
-def restart_file(field: DataFrame, value: str, iteration: int, source: str) -> bytes:
-    """A restart variable of one time (level_idx, id, value, or id, value) as a NetCDF classic file."""
-    import numpy as np
-
-    from polarmesh.sources.netcdf import write_bytes as pack
-
-    levels = "level_idx" in field.columns
-    rows = field.select(*(["level_idx"] if levels else []), "id", value).toPandas()
-    n = int(rows["id"].max()) + 1
-    if levels:
-        cube = np.full((1, int(rows["level_idx"].max()) + 1, n), np.nan)
-        cube[0, rows["level_idx"], rows["id"]] = rows[value]
-        dims, order = {"time": 1, "nz_1": cube.shape[1], "node": n}, ["time", "nz_1", "node"]
-    else:
-        cube = np.full((1, n), np.nan)
-        cube[0, rows["id"]] = rows[value]
-        dims, order = {"time": 1, "node": n}, ["time", "node"]
-    return pack(dims, {"iter": (["time"], np.array([iteration], np.int32), {}), value: (order, cube, {})}, {"source": source})

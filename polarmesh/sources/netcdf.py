@@ -8,6 +8,7 @@ Parquet first.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -76,7 +77,7 @@ class Classic:
         name = self._name()
         ids = [self._count() for _ in range(self._count())]
         attributes = dict(self._attributes())
-        kind, size = self._take("i"), self._count()
+        kind, size = self._take("i"), self._take("q" if self.version == 5 else "I")
         return name, ids, attributes, kind, size, self._take("i" if self.version == 1 else "q")
 
     def shape(self, name: str) -> list[tuple[str, int]]:
@@ -194,30 +195,36 @@ def with_year(spark: SparkSession, pattern: str, years: tuple[int, int]) -> list
     return [pattern.format(year=y) for y in range(*years)]
 
 
-def write_bytes(dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
-    """A CDF-2 file without record dimension: variables by name, with dimensions, float or int values and attributes."""
+def _name(x: str) -> bytes:
+    raw = x.encode()
+    return struct.pack(">i", len(raw)) + raw + b"\0" * (-len(raw) % 4)
+
+
+def _attribute_list(a: dict) -> bytes:
+    if not a:
+        return struct.pack(">ii", 0, 0)
+    out = struct.pack(">ii", _ATTRIBUTE, len(a))
+    for k, v in a.items():
+        raw = v.encode() if isinstance(v, str) else struct.pack(">d", float(v))
+        out += _name(k) + struct.pack(">ii", 2 if isinstance(v, str) else 6, len(raw) if isinstance(v, str) else 1) + raw + b"\0" * (-len(raw) % 4)
+    return out
 
-    def name(x: str) -> bytes:
-        raw = x.encode()
-        return struct.pack(">i", len(raw)) + raw + b"\0" * (-len(raw) % 4)
-
-    def attribute_list(a: dict) -> bytes:
-        if not a:
-            return struct.pack(">ii", 0, 0)
-        out = struct.pack(">ii", _ATTRIBUTE, len(a))
-        for k, v in a.items():
-            raw = v.encode() if isinstance(v, str) else struct.pack(">d", float(v))
-            out += name(k) + struct.pack(">ii", 2 if isinstance(v, str) else 6, len(raw) if isinstance(v, str) else 1) + raw + b"\0" * (-len(raw) % 4)
-        return out
 
+def _packed(dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray | None, dict]], attributes: dict) -> bytes:
+    """Header and values of a CDF-2 file; a last variable without values is declared as doubles that follow."""
     order = list(dims)
-    head = b"CDF\x02" + struct.pack(">i", 0) + struct.pack(">ii", _DIMENSION, len(dims)) + b"".join(name(d) + struct.pack(">i", n) for d, n in dims.items()) + attribute_list(attributes or {}) + struct.pack(">ii", _VARIABLE, len(variables))
+    head = b"CDF\x02" + struct.pack(">i", 0) + struct.pack(">ii", _DIMENSION, len(dims)) + b"".join(_name(d) + struct.pack(">i", n) for d, n in dims.items()) + _attribute_list(attributes) + struct.pack(">ii", _VARIABLE, len(variables))
     heads, bodies = [], []
     for k, (ds, values, a) in variables.items():
-        kind = 4 if values.dtype.kind in "iu" and values.dtype.itemsize <= 4 else 5 if values.dtype == np.float32 else 6
-        raw = np.ascontiguousarray(values, TYPES[kind]).tobytes()
-        raw += b"\0" * (-len(raw) % 4)
-        heads.append(name(k) + struct.pack(">i", len(ds)) + b"".join(struct.pack(">i", order.index(d)) for d in ds) + attribute_list(a) + struct.pack(">ii", kind, len(raw)))
+        raw, size = b"", 8 * math.prod(dims[d] for d in ds)
+        kind = 6
+        if values is not None:
+            kind = 4 if values.dtype.kind in "iu" and values.dtype.itemsize <= 4 else 5 if values.dtype == np.float32 else 6
+            raw = np.ascontiguousarray(values, TYPES[kind]).tobytes()
+            raw += b"\0" * (-len(raw) % 4)
+            size = len(raw)
+        # a size that 32 bits don't hold is told as the largest; it follows from the dimensions
+        heads.append(_name(k) + struct.pack(">i", len(ds)) + b"".join(struct.pack(">i", order.index(d)) for d in ds) + _attribute_list(a) + struct.pack(">iI", kind, min(size, 2**32 - 4)))
         bodies.append(raw)
     at = len(head) + sum(len(h) + 8 for h in heads)
     for h, body in zip(heads, bodies, strict=True):
@@ -226,6 +233,16 @@ def write_bytes(dims: dict[str, int], variables: dict[str, tuple[list[str], np.n
     return head + b"".join(bodies)
 
 
+def write_bytes(dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
+    """A CDF-2 file without record dimension: variables by name, with dimensions, float or int values and attributes."""
+    return _packed(dims, variables, attributes or {})
+
+
+def header_bytes(dims: dict[str, int], small: dict[str, tuple[list[str], np.ndarray, dict]], last: str, order: list[str], own: dict, attributes: dict) -> bytes:
+    """A CDF-2 file up to the values of its last variable, which follow as doubles."""
+    return _packed(dims, small | {last: (order, None, own)}, attributes)
+
+
 def read_masks(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     """elem_id: the distinct members of several arrays of an .npz file of cached element sets."""
     import io

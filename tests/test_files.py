@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polarmesh.sinks import files
+from polarmesh.sinks import files, streamed
 from polarmesh.sources import netcdf, state, text
 
 
@@ -67,15 +67,50 @@ def test_netcdf_records():
 
 def test_state_files(spark, tmp_path):
     cells = spark.createDataFrame([(0, 2.0, 1.0, bytearray(b"abc")), (0, 1.0, 1.0, bytearray(b"")), (1, 2.0, 1.0, bytearray(b"zz"))], "rank int, lon double, lat double, payload binary")
-    files.write_state(cells, str(tmp_path))
+    streamed.write_state(cells, str(tmp_path))
     got = state.read_state(spark, str(tmp_path))
     assert {(r["rank"], r["lon"], bytes(r["payload"])) for r in got.collect()} == {(0, 2.0, b"abc"), (0, 1.0, b""), (1, 2.0, b"zz")}
     assert {(r["lon"], r["rank"]) for r in state.first_cells(got).collect()} == {(1.0, 0), (2.0, 0)}
     assert state.parse_index((0).to_bytes(8, "little"))[0].size == 0
     with pytest.raises(ValueError):
         state.parse_index((9).to_bytes(8, "little"))
-    row = got.where("rank = 0 AND lon = 2").first()
-    assert state.cell_data(spark, str(tmp_path / "0.state"), row["pos"], row["size"]) == b"abc"
+    assert [bytes(r["payload"]) for r in state.cell_data(spark, str(tmp_path), cells.where("lon = 2 AND rank = 0")).orderBy("rank").collect()] == [b"abc", b"zz"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["0.state", "1.state"]
+
+
+def test_a_cell_is_read_without_its_file(spark, tmp_path):
+    """Bytes outside the index and the cell asked for may be anything: they aren't read."""
+    cells = spark.createDataFrame([(0, float(k), 0.0, bytearray(b"%d" % k) * 1000) for k in range(50)], "rank int, lon double, lat double, payload binary")
+    streamed.write_state(cells, str(tmp_path))
+    asked = []
+    real = state._ranges
+
+    def watched(path):
+        read, size = real(path)
+        return (lambda at, n: asked.append(n) or read(at, n)), size
+
+    read, size = watched(str(tmp_path / "0.state"))
+    entries, sizes = state.parse_index(read(size - 8 - 50 * state.ENTRY.itemsize, 8 + 50 * state.ENTRY.itemsize), size - 8 - 50 * state.ENTRY.itemsize)
+    assert bytes(read(int(entries["pos"][7]), int(sizes[7]))) == b"7" * 1000 and sum(asked) < 2500 < size
+    whole = state.parse_index((tmp_path / "0.state").read_bytes())
+    assert (whole[0] == entries).all() and (whole[1] == sizes).all()
+
+
+def test_streamed_values_fill_gaps_and_a_failed_job_leaves_nothing(spark, tmp_path):
+    from polarmesh.sources import netcdf_scan
+
+    field = spark.createDataFrame([(z, k, 10.0 * z + k) for z in range(3) for k in range(0, 200_000, 66_667)], "level_idx int, id int, v double")
+    path = streamed.write_restart(field, "v", 4, "test", str(tmp_path))
+    back = netcdf_scan.scan(spark, path, ["v"])
+    assert back.count() == 3 * 133_335
+    assert {(r["nz_1"], r["node"], r["v"]) for r in back.where("v IS NOT NULL").collect()} == {tuple(r) for r in field.collect()}
+    assert netcdf.Classic((tmp_path / "v.nc").read_bytes()).slab("iter").tolist() == [4]
+    before = (tmp_path / "v.nc").read_bytes()
+    with pytest.raises(Exception, match="two rows at one place"):
+        streamed.write_restart(field.unionByName(field.limit(1)), "v", 5, "test", str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["v.nc"] and (tmp_path / "v.nc").read_bytes() == before
+    streamed.write_restart(field.withColumn("v", F.lit(1.0)), "v", 6, "test", str(tmp_path))
+    assert netcdf.Classic((tmp_path / "v.nc").read_bytes()).slab("iter").tolist() == [6]
 
 
 def test_icebergs_keep_their_originals(spark, tmp_path):
