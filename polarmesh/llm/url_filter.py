@@ -40,28 +40,40 @@ ALLOWED_SEED = [
 ]
 #: What all words of the URLs weigh together in the unigram model, beside 100 for each word of the seed.
 CORPUS_SHARE = 10_000
-#: No label of a host name is longer, by the rules of DNS; so no word of one is.
-LONGEST = 63
+#: Words meet labels by their first letters, so many at most; longer ones are then looked for whole.
+HEAD = 63
+#: Letters of a label that one row of its substrings is cut from.
+WINDOW = 1000
+#: So many tokens are told of each side before any site is, in the shares that they have on all sites: what stands on few sites says little.
+SITE_PRIOR = 2.0
 
 
 class Segmenter:
     """Splits a name into words of a unigram model; unknown words cost more the longer they are."""
 
-    def __init__(self, counts: dict[str, float], longest: int = LONGEST, mass: float | None = None):
-        self.counts, self.longest = counts, longest
+    def __init__(self, counts: dict[str, float], mass: float | None = None):
+        self.counts, self.lengths = counts, {len(w) for w in counts}
         self.total = math.log((sum(counts.values()) if mass is None else mass) + 1)
 
     def split(self, name: str, more: dict[str, float] | None = None) -> list[str]:
         """The likeliest words of `name`, counts of `more` being added; of equally likely splits, the one with the longest last word."""
         more = more or {}
         count = lambda w: self.counts.get(w, 0) + more.get(w, 0)
+        lengths = sorted(self.lengths | {len(w) for w in more})
         best: list[tuple[float, int]] = [(0.0, 0)]
+        # an unknown word costs 4 + 2.5 a letter, so its best start is the same for all ends
+        unknown, least = 0, 0.0
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - self.longest), end):
-                known = count(name[start:end])
-                options.append((best[start][0] + self.total + (-math.log(known) if known else 4 + 2.5 * (end - start)), start))
+            options = [(best[unknown][0] + self.total + 4 + 2.5 * (end - unknown), unknown)]
+            for n in lengths:
+                if n > end:
+                    break
+                known = count(name[end - n : end])
+                if known:
+                    options.append((best[end - n][0] + self.total - math.log(known), end - n))
             best.append(min(options))
+            if best[end][0] - 2.5 * end < least:
+                unknown, least = end, best[end][0] - 2.5 * end
         out, end = [], len(name)
         while end:
             start = best[end][1]
@@ -107,12 +119,22 @@ def segmented(labels: DataFrame, words: DataFrame, total: int, seed: dict[str, f
 
     A word that was seen counts 1, and a share of CORPUS_SHARE that is its
     share of all URLs' words: a table of the same URLs many times over splits
-    names alike.
+    names alike. A label's substrings stand in rows of their own beside its
+    number, so that their size is the label's length times that of a word.
     """
-    starts = F.sequence(F.lit(1), F.length("label"))
-    sizes = lambda at: F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - at + 1))
-    parts = labels.select("label", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda at: F.transform(sizes(at), lambda n: F.substring("label", at, n)))))).alias("word"))
-    held = parts.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", (1 + CORPUS_SHARE * F.col("count") / total).alias("count"))).alias("words"))
+    labels = materialise(labels.withColumn("id", F.monotonically_increasing_id()), "numbered-labels")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1)), F.lit(WINDOW))
+    pieces = labels.select("id", F.explode(F.transform(starts, lambda at: F.substring("label", at, F.lit(WINDOW + HEAD - 1)))).alias("piece"))
+    pieces = pieces.select("id", "piece", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.length("piece"), F.lit(1)), F.lit(WINDOW)))).alias("at"))
+    # only substrings as long as words are (or as the first letters of longer ones)
+    sizes = [r[0] for r in words.select(F.least(F.length("word"), F.lit(HEAD))).distinct().collect()]
+    fits = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: n <= F.length("piece") - F.col("at") + 1)
+    heads = pieces.select("id", F.explode(F.transform(fits, lambda n: F.substring("piece", F.col("at"), n))).alias("head")).distinct()
+    weighed = words.select("word", F.substring("word", 1, HEAD).alias("head"), (1 + CORPUS_SHARE * F.col("count") / total).alias("count"))
+    found = heads.join(weighed, "head").select("id", "word", "count")
+    short = F.length("word") <= HEAD
+    long = found.where(~short).join(labels, "id").where(F.contains("label", "word")).select("id", "word", "count")
+    held = found.where(short).unionByName(long).groupBy("id").agg(F.collect_list(F.struct("word", "count")).alias("words"))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter = Segmenter(seed, mass=mass)
@@ -120,7 +142,7 @@ def segmented(labels: DataFrame, words: DataFrame, total: int, seed: dict[str, f
             own = [{w["word"]: w["count"] for w in (ws if ws is not None else ())} for ws in frame["words"]]
             yield pd.DataFrame({"label": frame["label"], "tokens": [segmenter.split(x, more) for x, more in zip(frame["label"], own, strict=True)]})
 
-    return labels.join(held, "label", "left").mapInPandas(split, "label string, tokens array<string>")
+    return labels.join(held, "id", "left").select("label", "words").mapInPandas(split, "label string, tokens array<string>")
 
 
 def learn(sites: DataFrame, blocked: list[str], allowed: list[str], rounds: int = 2, blocked_share: float = 0.1, smoothing: float = 0.1) -> tuple[DataFrame, float]:
@@ -129,9 +151,9 @@ def learn(sites: DataFrame, blocked: list[str], allowed: list[str], rounds: int
     A token's share of a side's tokens is smoothed by an equal share for all
     tokens, of `smoothing` together. Weights are log ratios of the sides'
     shares: first of the names of the seed, then of the mean of those and of
-    the sites' tokens, each counted by how likely its site is blocked. Shares
-    make a larger table of the same sites teach the same. The prior begins
-    with `blocked_share`, then is the mean likelihood of the sites.
+    the sites' tokens, each counted by how likely its site is blocked, with
+    SITE_PRIOR tokens told beforehand. The prior begins with `blocked_share`,
+    then is the mean likelihood of the sites and of one site of that share.
     """
     spark = sites.sparkSession
     tally: dict[str, list[float]] = {}
@@ -145,18 +167,25 @@ def learn(sites: DataFrame, blocked: list[str], allowed: list[str], rounds: int
         columns = [f"{kind}_{side}" for kind in kinds for side in "ba"]
         counts = materialise(counts.select("token", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns]), "token-counts")
         n, *sums = counts.agg(F.count("*"), *[F.sum(c) for c in columns]).first()
-        shares = {c: F.col(c) / (total or 1) + smoothing / max(1, n) for c, total in zip(columns, sums, strict=True)}
+        sums = dict(zip(columns, sums, strict=True))
+        shares = {}
+        for kind in kinds:
+            told = SITE_PRIOR if kind == "site" else 0.0
+            both = ((sums[f"{kind}_b"] or 0.0) + (sums[f"{kind}_a"] or 0.0)) or 1.0
+            for side in "ba":
+                c = f"{kind}_{side}"
+                shares[c] = (F.col(c) + told * (F.col(f"{kind}_b") + F.col(f"{kind}_a")) / both) / (((sums[c] or 0.0) + told) or 1.0) + smoothing / max(1, n)
         side = lambda x: sum((shares[f"{kind}_{x}"] for kind in kinds), F.lit(0.0))
         return counts.select("token", (F.log(side("b")) - F.log(side("a"))).alias("weight"))
 
     now, prior = weights(seed, ["seed"]), math.log(blocked_share / (1 - blocked_share))
     for _ in range(rounds):
         chance = materialise(log_odds(sites, now, prior).select("site", (1 / (1 + F.exp(-F.col("log_odds")))).alias("p")), "chances")
-        mean = chance.agg(F.avg("p")).first()[0]
-        if mean is None:
+        likely, n = chance.agg(F.sum("p"), F.count("*")).first()
+        if not n:
             break
         found = sites.join(chance, "site").groupBy("token").agg(F.sum(F.col("n") * F.col("p")).alias("site_b"), F.sum(F.col("n") * (1 - F.col("p"))).alias("site_a"))
-        now, prior = weights(seed.join(found, "token", "full"), ["seed", "site"]), math.log(mean / (1 - mean))
+        now, prior = weights(seed.join(found, "token", "full"), ["seed", "site"]), math.log((likely + blocked_share) / (n - likely + 1 - blocked_share))
     return now, prior
 
 
@@ -174,8 +203,9 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = N
     letters of any script make words, case is ignored, all else separates.
     Null ids and urls are kept; repeated rows give a row each; other columns
     are dropped; an empty table gives an empty result. Sites come back to
-    their pages by (site, salt), so a host with a third of all pages is dealt
-    to `salts` tasks.
+    their pages by (site, salt): one with more than a `salts`-th of all pages
+    (there are fewer than `salts`) is dealt to `salts` tasks, others aren't
+    repeated.
     """
     blocked, allowed = blocked or BLOCKED_SEED, allowed or ALLOWED_SEED
     host, path = url_parts(F.col("url"))
@@ -190,7 +220,9 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = N
     for name in (*blocked, *allowed):
         for word in name.split():
             counts[word] = counts.get(word, 0) + 100
-    known = materialise(parts.select("site", "labels", "words").distinct(), "sites")
+    known = materialise(parts.groupBy("site", "labels", "words").agg(F.count("*").alias("pages")), "sites")
+    every = known.agg(F.sum("pages")).first()[0] or 0
+    hot = [r[0] for r in known.where(F.col("pages") * salts > every).select(F.xxhash64("site")).collect()]  # fewer than `salts`
     labels = known.select(F.explode("labels").alias("label")).distinct()
     split = materialise(segmented(labels, words, total, counts, CORPUS_SHARE + sum(counts.values())), "labels")
     by_label = known.select("site", F.posexplode("labels").alias("at", "label")).join(split, "label")
@@ -200,8 +232,9 @@ def judge(pages: DataFrame, rules: dict[str, str], blocked: list[str] | None = N
     weights, prior = learn(counted, blocked, allowed, rounds)
     scored = materialise(tokens.join(log_odds(counted, weights, prior), "site", "left").select("site", "tokens", F.coalesce("log_odds", F.lit(prior)).alias("log_odds")), "sites-scored")
 
-    dealt = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = parts.select("page_id", "host", "path", "site").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    is_hot = F.xxhash64("site").isin(hot) if hot else F.lit(False)
+    dealt = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))))
+    salted = parts.select("page_id", "host", "path", "site").withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int")).otherwise(0))
     out = salted.join(dealt, ["site", "salt"]).withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
     by_rule = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.create_map().cast("map<string,string>")
     return out.withColumn("verdict", F.coalesce(F.try_element_at(by_rule, F.col("rule")), F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow")))).select("page_id", "host", "path", "rule", "verdict", "log_odds", "tokens")

@@ -284,8 +284,13 @@ def bayes_brute(sites, blocked, allowed, rounds):
 
     def learn():
         tokens = {t for sides in tallies.values() for side in sides for t in side}
-        share = lambda c, t: c[t] / (sum(c.values()) or 1) + 0.1 / len(tokens)
-        return {t: math.log(sum(share(s[0], t) for s in tallies.values())) - math.log(sum(share(s[1], t) for s in tallies.values())) for t in tokens}
+
+        def share(kind, side, t):
+            own, told = tallies[kind][side], url_filter.SITE_PRIOR if kind == "site" else 0
+            both = sum(sum(c.values()) for c in tallies[kind])
+            return (own[t] + told * sum(c[t] for c in tallies[kind]) / both) / (sum(own.values()) + told) + 0.1 / len(tokens)
+
+        return {t: math.log(sum(share(k, 0, t) for k in tallies)) - math.log(sum(share(k, 1, t) for k in tallies)) for t in tokens}
 
     odds = lambda: [prior + sum(weight.get(t, 0) for t in site) for site in sites]
     weight = learn()
@@ -296,8 +301,8 @@ def bayes_brute(sites, blocked, allowed, rounds):
             for t in site:
                 tallies["site"][0][t] += x
                 tallies["site"][1][t] += 1 - x
-        weight, mean = learn(), sum(p) / len(p)
-        prior = math.log(mean / (1 - mean))
+        weight = learn()
+        prior = math.log((sum(p) + 0.1) / (len(p) - sum(p) + 0.9))
     return odds()
 
 
@@ -311,6 +316,34 @@ def test_bayes_matches_brute_force(spark):
     assert all(abs(want[tuple(t)] - x) < 1e-6 for t, x in got.values()) and len(sites) == 5
 
 
+@pytest.mark.parametrize("words", [" ".join(url_filter.BLOCKED_SEED).split(), "museum library nature garden".split()])
+def test_tables_of_one_site_or_of_equal_rows(spark, words):
+    url = f"http://{words[0]}.net/" + "/".join(words * 3)
+    for n in (1, 5):
+        out = url_filter.judge(spark.createDataFrame([(k, url) for k in range(n)], "page_id long, url string"), {}).collect()
+        assert len(out) == n and {r["verdict"] for r in out} == {"block" if words[0] == "online" else "allow"} and all(math.isfinite(r["log_odds"]) for r in out)
+
+
+def test_letters_that_mean_nothing_leave_the_prior(spark):
+    pages = spark.createDataFrame([(0, "http://abcdefghijklmnop.example.org/"), (1, "http://news.example.org/")], "page_id long, url string")
+    assert {r["verdict"] for r in url_filter.judge(pages, {}).collect()} == {"allow"}
+
+
+def test_labels_and_words_of_any_length(spark):
+    """A label of 300,000 letters; words longer than what substrings are cut to, found within labels and not."""
+    word = "abcdefghij" * 9
+    urls = [f"http://{'river' * 60_000}.example.org/", f"http://casino{word}news.example.org/{word}", f"http://{word[:70]}.example.org/casino", f"http://x.example.org/{word}/{word}"]
+    out = {r["page_id"]: r["tokens"] for r in url_filter.judge(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), {}).collect()}
+    assert out[0][:-2] == ["river"] * 60_000 and out[1][:3] == ["casino", word, "news"] and out[2][0] == word[:70]
+
+
+def test_hot_sites_alone_are_repeated(spark):
+    hot = [(k, "http://hot.example.org/") for k in range(90)]
+    pages = spark.createDataFrame(hot + [(100 + k, f"http://h{chr(97 + k)}.example.org/") for k in range(10)], "page_id long, url string")
+    out = url_filter.judge(pages, {}, salts=8).collect()
+    assert sorted(r["page_id"] for r in out) == sorted([*range(90), *range(100, 110)])
+
+
 def test_names_that_stand_on_no_list(spark):
     """A word of no list is learnt from the sites that it stands on beside words of the seed; held-back harmless names stay allowed."""
     spam = [f"zorgplay-{w}" for w in ("casino", "poker", "slots", "jackpot", "bonus")]
