@@ -1,9 +1,8 @@
 """Nearest neighbours, radius joins and point location, as equi-joins on cells.
 
-A search cell's side is h; whatever lies within a distance h of a point is in
-the 3^d cells around it. A nearest neighbour found within h is therefore exact;
-points without one search again with larger cells. No search plans a nested
-loop or a cross join.
+Nearest neighbours go down a tree of cells that are split where sources are
+dense. For a radius h, whatever lies within it of a point is in the 3^d cells
+of side h around it. No search plans a nested loop or a cross join.
 """
 
 from __future__ import annotations
@@ -27,39 +26,105 @@ def _cells(df: DataFrame, h: float, around: bool) -> DataFrame:
     return df.withColumn("_d", F.explode(steps)).withColumn("cell", F.xxhash64(*[own[k] + F.col("_d")[k] for k in range(3)])).drop("_d")
 
 
-def k_nearest(targets: DataFrame, sources: DataFrame, k: int = 1, h: float | None = None) -> DataFrame:
+#: Halvings of the sources' cube at most, and those between two levels of the tree. Three numbers of DEPTH bits and a level make a key.
+DEPTH, STEP = 18, 2
+#: A cell of more sources is split.
+LEAF = 24
+
+
+def _key(level: int) -> Column:
+    own = F.lit(level).cast("long")
+    for a in AXES:
+        own = F.shiftleft(own, DEPTH) + F.shiftright(f"_{a}", DEPTH - level)
+    return own
+
+
+def cell_tree(sources: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
+    """A tree of cells over sources (source_id, x, y, z), split where they are dense.
+
+    Returns its nodes (node, parent, n, split, and the box x0...z1 of what they
+    hold), the sources with the cell that holds them (`node`, not split), and
+    the last level. A level takes one aggregation of the sources that aren't in
+    a cell of `leaf` sources or fewer yet.
+    """
+    box = sources.agg(*[F.min(a).alias(f"{a}0") for a in AXES], *[F.max(a).alias(f"{a}1") for a in AXES]).first()
+    side = max(box[f"{a}1"] - box[f"{a}0"] for a in AXES) or 1.0
+    place = {f"_{a}": F.least(F.floor((F.col(a) - box[f"{a}0"]) / side * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long") for a in AXES}
+    rest = sources.select("source_id", *AXES).withColumns(place).withColumn("parent", F.lit(-1).cast("long"))
+    nodes, held, level = None, None, 0
+    while True:
+        rest = rest.withColumn("node", _key(level))
+        own = rest.groupBy("node", "parent").agg(F.count("*").alias("n"), *[F.min(a).alias(f"{a}0") for a in AXES], *[F.max(a).alias(f"{a}1") for a in AXES])
+        apart = F.greatest(*[F.col(f"{a}1") - F.col(f"{a}0") for a in AXES]) > 0
+        own = materialise(own.withColumn("split", (F.col("n") > leaf) & apart & F.lit(level < DEPTH)), "cells")
+        nodes = own if nodes is None else nodes.unionByName(own)
+        kept = rest.join(own.where("NOT split").select("node"), "node", "left_semi").select("source_id", *AXES, "node")
+        held = kept if held is None else held.unionByName(kept)
+        if own.where("split").isEmpty():
+            return nodes, held, level
+        rest = materialise(rest.join(own.where("split").select("node"), "node", "left_semi").drop("parent").withColumnRenamed("node", "parent"), "dense")
+        level += STEP
+
+
+def near_cells(targets: DataFrame, nodes: DataFrame, levels: int, k: int) -> DataFrame:
+    """target_id, x, y, z, node: the cells that may hold one of the k nearest sources of each target.
+
+    All targets go down the tree together. At each level a cell is left if it
+    is farther than the k sources that the nearest cells hold at their
+    farthest; what is left doesn't depend on how dense sources are elsewhere.
+    """
+    gap = lambda a: F.greatest(F.col(f"{a}0") - F.col(a), F.col(a) - F.col(f"{a}1"), F.lit(0.0))
+    reach = lambda a: F.greatest(F.abs(F.col(f"{a}0") - F.col(a)), F.abs(F.col(f"{a}1") - F.col(a)))
+    length = lambda f: F.sqrt(sum((f(a) * f(a) for a in AXES), F.lit(0.0)))
+    by_target = Window.partitionBy("target_id")
+    so_far = by_target.orderBy("far", "node").rowsBetween(Window.unboundedPreceding, 0)
+
+    def nearest(met: DataFrame) -> DataFrame:
+        met = met.withColumns({"near": length(gap), "far": length(reach)})
+        met = met.withColumn("enough", F.sum("n").over(so_far) >= k)
+        met = met.withColumn("bound", F.min(F.when(F.col("enough"), F.col("far"))).over(by_target))
+        # a hair more, for what rounding takes
+        return met.where(F.col("near") <= F.col("bound") * (1 + 1e-12)).select("target_id", *AXES, "node", "n", "split", *[f"{a}{e}" for a in AXES for e in (0, 1)])
+
+    columns = ["node", "n", "split", *[f"{a}{e}" for a in AXES for e in (0, 1)]]
+    top = nodes.where("parent = -1").first()
+    # the cells below the first are 64 at most; all targets meet them
+    first = nodes.where(F.col("parent") == top["node"]).select(columns).collect() if levels else [top]
+    cells = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in first])
+    found = nearest(targets.select("target_id", *AXES, F.explode(cells).alias("c")).select("target_id", *AXES, "c.*"))
+    for _ in range(levels // STEP - 1):
+        # a cell that isn't split is no parent, so it stays as it is
+        below = nodes.select("parent", *[F.col(c).alias(f"_{c}") for c in columns])
+        down = found.join(below, found["node"] == below["parent"], "left")
+        found = nearest(down.select("target_id", *AXES, *[F.coalesce(f"_{c}", c).alias(c) for c in columns]))
+    return found.select("target_id", *AXES, "node")
+
+
+def k_nearest(targets: DataFrame, sources: DataFrame, k: int = 1, leaf: int = LEAF) -> DataFrame:
     """The k nearest sources (source_id, x, y, z) of each target (target_id, x, y, z): target_id, source_id, distance, rank.
 
     Ties go to the smaller source_id. If there are fewer than k sources, all
-    are given; without sources the result is empty.
+    are given; without sources the result is empty. Targets and sources
+    without a place are left out; target ids must differ. Cells follow the
+    density of the sources (`cell_tree`), so each target meets a few cells of
+    `leaf` sources at most, on meshes of uneven resolution and for targets far
+    away too; only sources at one place can make a cell larger.
     """
-    box = sources.agg(F.count("*").alias("n"), *[F.min(a).alias(f"{a}0") for a in AXES], *[F.max(a).alias(f"{a}1") for a in AXES]).first()
-    n = box["n"]
-    out = None
+    placed = lambda df: df.where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in AXES))
+    sources = placed(sources.select("source_id", *[F.col(a).cast("double").alias(a) for a in AXES]))
+    targets = placed(targets.select("target_id", *[F.col(a).cast("double").alias(a) for a in AXES]))
+    n = sources.count()
     if not n:
-        return targets.select("target_id").limit(0).crossJoin(sources.select("source_id").limit(0)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(1))
-    k = min(k, n)
-    spans = sorted((max(box[f"{a}1"] - box[f"{a}0"], 1e-12) for a in AXES), reverse=True)
-    h = h or 1.5 * math.sqrt(spans[0] * spans[1] * k / n) + 1e-12
-    everything = None
-    # one target far away must reach all sources, so cells grow until none is left
-    todo = targets.select("target_id", *AXES)
-    while True:
-        near = _cells(todo, h, True).join(_cells(sources.select("source_id", *[F.col(a).alias(f"s{a}") for a in AXES], *AXES), h, False).drop(*AXES), "cell")
-        d = F.sqrt(sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in AXES), F.lit(0.0)))
-        pairs = near.select("target_id", "source_id", d.alias("distance")).where(F.col("distance") <= h)
-        best = pairs.groupBy("target_id").agg(F.min(F.struct("distance", "source_id")).alias("b")).select("target_id", "b.source_id", "b.distance", F.lit(1).alias("rank")) if k == 1 else pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("distance", "source_id"))).where(F.col("rank") <= k)
-        found = materialise(best, "nearest")
-        full = found.groupBy("target_id").count().where(F.col("count") >= k).select("target_id") if k > 1 else found.select("target_id")
-        done = found.join(full, "target_id", "left_semi") if k > 1 else found
-        out = done if out is None else out.unionByName(done)
-        todo = materialise(todo.join(full, "target_id", "left_anti"), "unresolved")
-        if todo.isEmpty():
-            return out
-        if everything is None:
-            far = todo.agg(*[F.min(a).alias(f"{a}0") for a in AXES], *[F.max(a).alias(f"{a}1") for a in AXES]).first()
-            everything = math.sqrt(sum((max(far[f"{a}1"], box[f"{a}1"]) - min(far[f"{a}0"], box[f"{a}0"])) ** 2 for a in AXES)) + 1e-9
-        h = min(h * 4, everything)
+        return targets.where("false").select("target_id", F.lit(None).cast(sources.schema["source_id"].dataType).alias("source_id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+    nodes, held, levels = cell_tree(sources, leaf)
+    met = near_cells(targets, nodes, levels, min(k, n)).join(held.select("source_id", "node", *[F.col(a).alias(f"s{a}") for a in AXES]), "node")
+    d = F.sqrt(sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in AXES), F.lit(0.0)))
+    pairs = met.select("target_id", "source_id", d.alias("distance"))
+    if k == 1:
+        best = pairs.groupBy("target_id").agg(F.min(F.struct("distance", "source_id")).alias("b")).select("target_id", "b.source_id", "b.distance", F.lit(1).alias("rank"))
+    else:
+        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("distance", "source_id"))).where(F.col("rank") <= k)
+    return materialise(best, "nearest")
 
 
 def on_sphere(df: DataFrame, id_col: str, as_col: str, lon: str = "lon", lat: str = "lat", radius: float = 1.0) -> DataFrame:

@@ -90,7 +90,8 @@ def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: s
     """Open-ocean nodes (depth 0) outside the largest ocean become the mean of their neighbours that aren't 0.
 
     Ordered: by ascending node id within each hole, each seeing earlier ones
-    (`ordered_visits`), again until all are filled or none changes.
+    (`ordered_visits`), again until all are filled or none changes; raises if
+    that isn't so after `most` rounds.
     """
     ocean = depths.where("cavity_depth = 0").select(F.col("node_id").alias("id"))
     wet = materialise(holes(components(ocean, adjacency)).select(F.col("id").alias("node_id")), "holes")
@@ -99,9 +100,9 @@ def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: s
             near = adjacency.join(depths.where("cavity_depth <> 0").select(F.col("node_id").alias("nbr"), "cavity_depth"), "nbr").groupBy(F.col("id").alias("node_id")).agg(F.avg("cavity_depth").alias("new_depth"))
             todo = materialise(depths.where("cavity_depth = 0").join(wet, "node_id", "left_semi").select("node_id").join(near, "node_id"), "filled")
             if todo.isEmpty():
-                break
+                return depths
             depths = materialise(_apply(depths, todo), "depths")
-        return depths
+        raise RuntimeError(f"holes aren't filled after {most} rounds")
 
     def fill(value: float, near: list[float]) -> float | None:
         known = [v for v in near if v != 0]
@@ -113,9 +114,9 @@ def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: s
         changed = ordered_visits(visits, adjacency, fill, block).join(visits.where("visit IS NOT NULL").select("node_id"), "node_id", "left_semi").where("value <> 0").select("node_id", F.col("value").alias("new_depth"))
         changed = materialise(changed, "filled")
         if changed.isEmpty():
-            break
+            return depths
         depths = materialise(_apply(depths, changed), "depths")
-    return depths
+    raise RuntimeError(f"holes aren't filled after {most} rounds")
 
 
 def close_channels(depths: DataFrame, adjacency: DataFrame, block: int = 50_000) -> DataFrame:
@@ -141,7 +142,7 @@ def trim_loose_ends(depths: DataFrame, adjacency: DataFrame) -> DataFrame:
 
 
 def clean_cavity(depths: DataFrame, adjacency: DataFrame, least: int = 15, most: int = 15) -> DataFrame:
-    """Holes filled, small cavities dropped, loose ends trimmed and channels closed, again until nothing changes."""
+    """Holes filled, small cavities dropped, loose ends trimmed and channels closed, again until nothing changes; raises if something still does after `most` rounds."""
     adjacency = materialise(adjacency, "adjacency")
     for _ in range(most):
         after = fill_holes(depths, adjacency)
@@ -151,8 +152,8 @@ def clean_cavity(depths: DataFrame, adjacency: DataFrame, least: int = 15, most:
         same = after.join(depths.select("node_id", F.col("cavity_depth").alias("was")), "node_id").where("cavity_depth <> was").isEmpty()
         depths = after
         if same:
-            break
-    return depths
+            return depths
+    raise RuntimeError(f"the cavity still changes after {most} rounds")
 
 
 def deepen_floor(nodes: DataFrame, ring: DataFrame, step: float = 10.0) -> DataFrame:

@@ -183,9 +183,9 @@ def _hits(fx: Fixtures) -> DataFrame:
     return neighbours.holders(fx.points, fx.elements, fx.nodes, 1e-10).select("point_id", "elem_id")
 
 
-@query(f"SELECT point_id, elem_id FROM fx_points CROSS JOIN fx_tri WHERE {_L1} >= -1e-10 AND {_L2} >= -1e-10 AND 1 - {_L1} - {_L2} >= -1e-10")
+@query(f"SELECT p.point_id, count(t.elem_id) AS triangles FROM fx_points p LEFT JOIN (SELECT point_id, elem_id FROM fx_points CROSS JOIN fx_tri WHERE {_L1} >= -1e-10 AND {_L2} >= -1e-10 AND 1 - {_L1} - {_L2} >= -1e-10) t ON t.point_id = p.point_id GROUP BY 1")
 def o71_in_any_triangle(fx: Fixtures) -> DataFrame:
-    return _hits(fx)
+    return fx.points.select("point_id").join(_hits(fx), "point_id", "left").groupBy("point_id").agg(F.count("elem_id").alias("triangles"))
 
 
 @query(f"SELECT point_id, elem_id FROM fx_points CROSS JOIN fx_tri WHERE {_L1} >= -1e-10 AND {_L2} >= -1e-10 AND 1 - {_L1} - {_L2} >= -1e-10")

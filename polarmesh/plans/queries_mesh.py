@@ -83,6 +83,9 @@ def o103_drop_small(fx: Fixtures) -> DataFrame:
     return topology.drop_small(_depths(fx), _adjacency(fx), 4)
 
 
+#: Ids of a block of the fixture's mesh, so that visits cross the rims of blocks.
+BLOCK = 200
+
 # Visits in order, in SQL: the values are one list (node_id is its index from 0), and each step of the recursion is a visit.
 _LISTS = "lists AS (SELECT node_id, coalesce(nbrs, []) AS nbrs FROM fx_nodes LEFT JOIN (SELECT id, list(nbr ORDER BY nbr) AS nbrs FROM fx_adj GROUP BY id) l ON l.id = node_id)"
 _CAVITY = "(SELECT list(CAST(cavity_depth AS DOUBLE) ORDER BY node_id) FROM fx_nodes)"
@@ -100,7 +103,7 @@ _FILL = _SET.format(new=f"CASE WHEN x = 0 AND len({_KNOWN}) > 0 THEN list_avg({_
     recursive=True,
 )
 def o104_fill_holes(fx: Fixtures) -> DataFrame:
-    return _rounded(repair.fill_holes(_depths(fx), _adjacency(fx)), "cavity_depth")
+    return _rounded(repair.fill_holes(_depths(fx), _adjacency(fx), block=BLOCK), "cavity_depth")
 
 
 @query("SELECT id AS node_id FROM fx_adj WHERE id IN (SELECT node_id FROM fx_nodes WHERE cavity_depth < 0) AND nbr IN (SELECT node_id FROM fx_nodes WHERE cavity_depth < 0) GROUP BY id HAVING count(*) = 1")
@@ -119,7 +122,7 @@ _CLOSE = _SET.format(new=f"CASE WHEN len(list_filter({_NEAR}, lambda v: v = 0))
     recursive=True,
 )
 def o106_close_channels(fx: Fixtures) -> DataFrame:
-    return _rounded(repair.close_channels(_depths(fx), _adjacency(fx)), "cavity_depth")
+    return _rounded(repair.close_channels(_depths(fx), _adjacency(fx), BLOCK), "cavity_depth")
 
 
 @query()
@@ -171,7 +174,7 @@ _SMOOTH = _SET.format(new=f"CASE WHEN len(todo.nbrs) > 0 THEN (list_sum({_NEAR})
     recursive=True,
 )
 def o111_smooth_topography(fx: Fixtures) -> DataFrame:
-    return _rounded(repair.smooth_topography(fx.nodes, _adjacency(fx)), "depth")
+    return _rounded(repair.smooth_topography(fx.nodes, _adjacency(fx), block=BLOCK), "depth")
 
 
 @query("SELECT node_id, CAST(greatest(1, (SELECT count(*) FROM fx_levels l WHERE l.depth >= n.cavity_depth)) AS INT) AS first_layer, CAST(coalesce((SELECT min(l.level_idx) FROM fx_levels l WHERE l.depth <= n.depth) - 1, 12) AS INT) AS last_layer FROM fx_nodes n")

@@ -1,9 +1,8 @@
-"""Session helpers: cleaning of missing values, the shared folder, fixed points."""
+"""Session helpers: cleaning of missing values, the shared folder."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +35,10 @@ def small(df: DataFrame, limit_bytes: int = 256_000_000, row_bytes: int = 64) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where unset, a folder below the warehouse."""
+    """spark.checkpoint.dir; where unset, a local session uses a folder below its warehouse, and a cluster raises."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/polarmesh-work"
 
 
@@ -55,12 +56,3 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fixed_point(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed", most: int = 1000) -> DataFrame:
-    """Applies `step` until no row has a true `changed`; each round's table is written, so lineage doesn't grow."""
-    for _ in range(most):
-        state = materialise(step(state), "round")
-        if state.where(F.col(changed)).isEmpty():
-            break
-    return state.drop(changed)

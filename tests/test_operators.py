@@ -126,17 +126,27 @@ def test_holders(spark, mesh):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-def test_in_triangle_has_no_nested_loop(spark):
+def test_in_triangle_against_a_loop_and_without_a_nested_one(spark):
     from polarmesh.plans import registry
-
-    rows = {}
-    for name in ("o71_in_triangle", "o71_in_any_triangle"):
-        found = registry.queries()[name](spark, "/root/testdata/sf0.01")
-        text = found._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in text and "Cartesian" not in text
-        rows[name] = {tuple(r) for r in found.collect()}
-    assert any(e % 2 for _, e in rows["o71_in_any_triangle"])
-    assert rows["o71_in_triangle"] == {(k, e) for k, e in rows["o71_in_any_triangle"] if e % 2 == 0}
+    from polarmesh.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.01")
+    corners = neighbours.with_corners(fx.elements, fx.nodes).toPandas()
+    x, y = (corners[[f"{c}{k}" for k in (1, 2, 3)]].to_numpy(float).T for c in ("lon", "lat"))
+    area = (y[1] - y[2]) * (x[0] - x[2]) + (x[2] - x[1]) * (y[0] - y[2])
+    hits = set()
+    for p in fx.points.collect():
+        lon, lat = float(p["lon"]), float(p["lat"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            first = ((y[1] - y[2]) * (lon - x[2]) + (x[2] - x[1]) * (lat - y[2])) / area
+            second = ((y[2] - y[0]) * (lon - x[2]) + (x[0] - x[2]) * (lat - y[2])) / area
+        hits |= {(p["point_id"], int(e)) for e in corners["elem_id"][(first >= -1e-10) & (second >= -1e-10) & (1 - first - second >= -1e-10)]}
+    found = registry.queries()["o71_in_triangle"](spark, "/root/testdata/sf0.01")
+    assert {tuple(r) for r in found.select("point_id", "elem_id").collect()} == hits and any(e % 2 for _, e in hits)
+    counts = {r["point_id"]: r["triangles"] for r in registry.queries()["o71_in_any_triangle"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(counts) == fx.points.count() and sum(counts.values()) == len(hits)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
 
 
 def test_priority_cells(spark):
@@ -365,3 +375,43 @@ def test_yearly_sink_and_stream(spark, tmp_path):
         series.where(F.year("time") == year).coalesce(1).write.mode("append").parquet(source)
         yearly.run_available(spark, source, "time date, x double", str(tmp_path / "ck"), out, lambda b: b.groupBy("time").agg(F.sum("x").alias("x")))
         assert spark.read.parquet(out).count() == 12 * (year - 1998)
+
+
+def _uneven(rng, n, spread=200.0):
+    """Places whose spacing changes by `spread`: a wide field, a dense patch, and copies."""
+    wide = rng.uniform(-1, 1, (n, 3)) * [1, 1, 0]
+    dense = [0.3, -0.2, 0.0] + rng.uniform(-1, 1, (n, 3)) * [1 / spread, 1 / spread, 0]
+    return np.concatenate([wide, dense, wide[:5], dense[:5]])
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_nearest_on_meshes_of_uneven_resolution(spark, k):
+    """Against brute force; the candidates of a target stay few on a mesh refined 1:200 and for a cluster far away."""
+    rng = np.random.default_rng(k)
+    s = _uneven(rng, 3000)
+    t = np.concatenate([rng.uniform(-1.2, 1.2, (60, 3)) * [1, 1, 0], s[3000:3030] + 1e-4, [500.0, 400.0, 3.0] + rng.uniform(-1, 1, (20, 3)), s[:5]])
+    sources = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(s)], "source_id int, x double, y double, z double")
+    targets = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(t)] + [(-1, None, 0.0, 0.0)], "target_id int, x double, y double, z double")
+    got = {(r["target_id"], r["rank"]): (r["source_id"], r["distance"]) for r in neighbours.k_nearest(targets, sources, k).collect()}
+    far = np.sqrt(((t[:, None] - s[None]) ** 2).sum(axis=2))
+    for i in range(len(t)):
+        order = np.lexsort((np.arange(len(s)), far[i]))[:k]
+        assert [got[i, j + 1][0] for j in range(k)] == order.tolist()
+        assert np.allclose([got[i, j + 1][1] for j in range(k)], far[i][order])
+    assert len(got) == k * len(t)
+    nodes, held, levels = neighbours.cell_tree(sources)
+    assert nodes.where("NOT split").agg(F.max("n")).first()[0] <= neighbours.LEAF and held.count() == len(s)
+    met = neighbours.near_cells(targets.where("target_id >= 0"), nodes, levels, k).join(held.select("node", "source_id"), "node").groupBy("target_id").count().toPandas()["count"]
+    assert met.max() <= 12 * neighbours.LEAF and met.mean() <= 6 * neighbours.LEAF
+    plan = neighbours.near_cells(targets, nodes, levels, k)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nearest_of_few_and_equal_places(spark):
+    targets = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 9.0, 9.0, 9.0)], "target_id int, x double, y double, z double")
+    same = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(60, 0, -1)], "source_id int, x double, y double, z double")
+    assert {tuple(r)[:2] for r in neighbours.k_nearest(targets, same, 1).collect()} == {(0, 1), (1, 1)}
+    assert {(r["target_id"], r["source_id"], r["rank"]) for r in neighbours.k_nearest(targets, same.where("source_id <= 2"), 4).collect()} == {(0, 1, 1), (0, 2, 2), (1, 1, 1), (1, 2, 2)}
+    empty = neighbours.k_nearest(targets, same.limit(0), 2)
+    assert empty.count() == 0 and empty.columns == ["target_id", "source_id", "distance", "rank"]
+    assert neighbours.k_nearest(targets.limit(0), same, 2).count() == 0
