@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polarmesh.functions.calendar import model_time
 from polarmesh.plans.fixtures import Fixtures
 from polarmesh.plans.queries_series import RING
 from polarmesh.plans.registry import query
@@ -101,6 +102,15 @@ def o12_years_of_365_days(fx: Fixtures) -> DataFrame:
     return netcdf.read_variable(fx.spark, path, "a").select(F.col("time").cast("date").alias("time"), "value")
 
 
+@query("SELECT CAST(1990 + v // 360 AS INT) AS year, CAST(v % 360 // 30 + 1 AS INT) AS month, count(a_ice) AS n, round(avg(a_ice), 7) AS a_ice FROM (SELECT datediff('day', DATE '1990-01-01', time) AS v, a_ice FROM fx_field2d WHERE a_ice IS NOT NULL) GROUP BY 1, 2")
+def o12_months_of_30_days(fx: Fixtures) -> DataFrame:
+    folder = scratch(fx.spark, "fields")
+    streamed.write_yearly_fields(fx.field2d, "a_ice", fx.n, folder, calendar="360_day")
+    units, calendar = netcdf_scan.time_units(fx.spark, f"{folder}/*.nc")
+    out = netcdf_scan.scan(fx.spark, f"{folder}/*.nc", ["a_ice"], decode=False).where("a_ice IS NOT NULL").withColumn("t", model_time(F.col("time"), units, calendar))
+    return out.groupBy("t.year", "t.month").agg(F.count("a_ice").alias("n"), F.round(F.avg("a_ice"), 7).alias("a_ice"))
+
+
 _VERTICES = ", ".join(f"({k}, {x!r}e0, {y!r}e0)" for k, (x, y) in enumerate([*RING, RING[0]]))
 
 

@@ -228,7 +228,17 @@ def o94_occurrence(fx: Fixtures) -> DataFrame:
 _TWICE = "t AS (SELECT elem_id, x1, y1, x2, y2, x3, y3 FROM fx_tri WHERE greatest(x1, x2, x3) - least(x1, x2, x3) <= 180 UNION ALL SELECT elem_id, CASE WHEN x1 < 0 THEN x1 + 360 ELSE x1 END - s, y1, CASE WHEN x2 < 0 THEN x2 + 360 ELSE x2 END - s, y2, CASE WHEN x3 < 0 THEN x3 + 360 ELSE x3 END - s, y3 FROM fx_tri CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 360) WHERE greatest(x1, x2, x3) - least(x1, x2, x3) > 180)"
 
 
-@query(f"WITH {_TWICE}, c AS (SELECT CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx, (i + 5e-1) * 3.75e0 - 90 AS lat, (j + 5e-1) * 5e0 - 180 AS lon FROM range(48) AS a(i) CROSS JOIN range(72) AS b(j)), h AS (SELECT DISTINCT lat_idx, lon_idx FROM c JOIN t ON lon >= least(x1, x2, x3) AND lon <= greatest(x1, x2, x3) AND lat >= least(y1, y2, y3) AND lat <= greatest(y1, y2, y3) WHERE {_L1} >= 0 AND {_L2} >= 0 AND 1 - {_L1} - {_L2} >= 0) SELECT c.lat_idx, c.lon_idx, CASE WHEN h.lat_idx IS NULL THEN 0 ELSE 1 END AS sea FROM c LEFT JOIN h ON h.lat_idx = c.lat_idx AND h.lon_idx = c.lon_idx")
+def _indices(c: str, low: str, step: str, n: int) -> str:
+    """The cell centres between the least and the greatest of three coordinates, as a list."""
+    least, greatest = (f"{f}({c}1, {c}2, {c}3)" for f in ("least", "greatest"))
+    return f"range(greatest(0, CAST(ceil(({least} - {low}) / {step} - 5e-1) AS BIGINT)), least({n - 1}, CAST(floor(({greatest} - {low}) / {step} - 5e-1) AS BIGINT)) + 1)"
+
+
+# triangles beside the cell centres in their boxes, without a join
+_IN_BOX = f"m AS (SELECT t.*, unnest({_indices('x', '(-180e0)', '5e0', 72)}) AS lon_idx FROM t), n AS (SELECT m.*, unnest({_indices('y', '(-90e0)', '3.75e0', 48)}) AS lat_idx FROM m), k AS (SELECT *, (lon_idx + 5e-1) * 5e0 - 180 AS lon, (lat_idx + 5e-1) * 3.75e0 - 90 AS lat FROM n)"
+
+
+@query(f"WITH {_TWICE}, c AS (SELECT CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx FROM range(48) AS a(i) CROSS JOIN range(72) AS b(j)), {_IN_BOX}, h AS (SELECT DISTINCT lat_idx, lon_idx FROM k WHERE {_L1} >= 0 AND {_L2} >= 0 AND 1 - {_L1} - {_L2} >= 0) SELECT c.lat_idx, c.lon_idx, CASE WHEN h.lat_idx IS NULL THEN 0 ELSE 1 END AS sea FROM c LEFT JOIN h ON h.lat_idx = c.lat_idx AND h.lon_idx = c.lon_idx")
 def o90_land_sea_mask(fx: Fixtures) -> DataFrame:
     return gridding.land_sea_mask(fx.elements, fx.nodes, 72, 48).withColumn("sea", F.col("sea").cast("int"))
 

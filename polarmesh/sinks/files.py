@@ -1,8 +1,8 @@
 """Writers. Paths are Spark's, so any store that Spark reaches will do.
 
-Ordered single files (mesh and iceberg text) are inherently one stream; their
-rows are sorted by ranges in parallel, formatted where they are, and written
-by one task, or as a folder of parts in order.
+Ordered single files (mesh and iceberg text, VTK) are sorted by ranges,
+formatted and written as parts in order by many tasks; the file system then
+puts the parts together.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ def _fs(spark: SparkSession, path: str):
     return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_lines(df: DataFrame, order: str, line: Column, path: str, header: list[str] | None = None) -> str:
-    """One text file of a line for each row in order, after the header's lines."""
+def write_lines(df: DataFrame, order: str, line: Column, path: str, header: list[str] | None = None, parts: int | None = None) -> str:
+    """One text file of a line for each row in order, after the header's lines; `parts` tasks write it."""
     spark = df.sparkSession
     rows = df.select(F.col(order).cast("double").alias("_o"), line.alias("value"))
     if header:
@@ -26,12 +26,40 @@ def write_lines(df: DataFrame, order: str, line: Column, path: str, header: list
     else:
         rows = rows.withColumn("_i", F.lit(0))
     folder = f"{path}.parts"
-    rows.repartition(1).sortWithinPartitions("_o", "_i").select("value").write.mode("overwrite").text(folder)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "_o", "_i").sortWithinPartitions("_o", "_i").select("value").write.mode("overwrite").text(folder)
+    return joined(spark, folder, path)
+
+
+def joined(spark: SparkSession, folder: str, path: str) -> str:
+    """The parts of a folder, in the order of their names, as one file in its place.
+
+    HDFS joins their blocks; other stores copy bytes from stream to stream, a
+    buffer at a time. The file gets its name when it is whole.
+    """
     jvm, place, fs = _fs(spark, folder)
-    part = next(f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-"))
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    Path = jvm.org.apache.hadoop.fs.Path
+    named = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(place))
+    names = [n for n, size in named if n.startswith("part-") and size] or [n for n, _ in named if n.startswith("part-")][:1]
+    first = Path(f"{folder}/{names[0]}")
+    if len(names) > 1:
+        if fs.getScheme() == "hdfs":
+            others = spark.sparkContext._gateway.new_array(Path, len(names) - 1)
+            for k, name in enumerate(names[1:]):
+                others[k] = Path(f"{folder}/{name}")
+            fs.concat(first, others)
+        else:
+            first = Path(f"{folder}/whole")
+            out = fs.create(first, True)
+            for name in names:
+                stream = fs.open(Path(f"{folder}/{name}"))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+                stream.close()
+            out.close()
+    target = Path(path)
     fs.delete(target, False)
-    fs.rename(part, target)
+    if not fs.rename(first, target):
+        raise OSError(f"{path} can't be named")
     fs.delete(place, True)
     return path
 

@@ -205,7 +205,7 @@ def write_restart(field: DataFrame, value: str, iteration: int, source: str, fol
     return f"{folder}/{file}"
 
 
-def write_yearly_fields(field: DataFrame, value: str, n: int, folder: str, units: str = "1") -> list[str]:
+def write_yearly_fields(field: DataFrame, value: str, n: int, folder: str, units: str = "1", calendar: str = "standard") -> list[str]:
     """`<value>.<year>.nc` for each year of a field (time, node_id, value) on `n` nodes, with the years' own times.
 
     The driver gets the distinct times, which the headers hold.
@@ -218,7 +218,7 @@ def write_yearly_fields(field: DataFrame, value: str, n: int, folder: str, units
         return []
     files, index = {}, {}
     for year, own in by_year.items():
-        header = header_bytes({"time": len(own), "nod2": n}, {"time": (["time"], np.array(own, np.float64), {"units": "days since 1990-01-01 00:00:00", "calendar": "standard"})}, value, ["time", "nod2"], {"units": units}, {})
+        header = header_bytes({"time": len(own), "nod2": n}, {"time": (["time"], np.array(own, np.float64), {"units": "days since 1990-01-01 00:00:00", "calendar": calendar})}, value, ["time", "nod2"], {"units": units}, {})
         files[f"{value}.{year}.nc"] = {"header": base64.b64encode(header).decode(), "cells": len(own) * n}
         index |= {day: k for k, day in enumerate(own)}
     step = F.element_at(F.create_map(*[F.lit(x) for pair in index.items() for x in pair]), F.col("day")).cast("long")

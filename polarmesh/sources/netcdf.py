@@ -116,7 +116,7 @@ def decode_time(values: np.ndarray, units: str, calendar: str = "standard") -> l
     timestamp can't hold (30 February); they raise.
     """
     if calendar.lower() not in CALENDARS:
-        raise ValueError(f"calendar {calendar!r} can't be decoded; known: {', '.join(CALENDARS)}. Read with decode=False to get plain numbers")
+        raise ValueError(f"calendar {calendar!r} can't be decoded; known: {', '.join(CALENDARS)}. Read with decode=False to get plain numbers, and functions.calendar.model_time to get dates of model calendars")
     unit, _, since = units.partition(" since ")
     step = _UNITS[unit.strip().lower().rstrip("s")]
     since = since.strip().replace("T", " ").split(".")[0].removesuffix("Z").strip()

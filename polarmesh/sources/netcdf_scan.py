@@ -270,3 +270,15 @@ def scan(spark: SparkSession, paths: str | list[str], variables: list[str], name
     spark.dataSource.register(NetCDFSource)
     told = plan(spark, [paths] if isinstance(paths, str) else paths, variables, names or {}, decode)
     return spark.read.format(FORMAT).option("plan", json.dumps(told)).option("values", max(1, partition_bytes // 8)).load()
+
+
+def time_units(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Units and calendar of the time variable of the first file of a path or glob, for `functions.calendar.model_time`."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        raise FileNotFoundError(f"no file matches {path}")
+    file = RemoteFile(spark, found[0])
+    attributes = header(file).variables["time"][1]
+    file.close()
+    return attributes.get("units", ""), attributes.get("calendar", "standard")

@@ -143,3 +143,13 @@ def test_units_travel(spark):
 def test_calendars_that_no_timestamp_holds_raise():
     with pytest.raises(ValueError, match="360_day"):
         netcdf.decode_time(np.array([1.0]), "days since 2000-01-01", "360_day")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_lines_written_by_many_tasks_stay_in_order(spark, tmp_path, parts):
+    rows = spark.range(500).repartition(7).withColumn("o", F.col("id") * 3 % 500)
+    path = files.write_lines(rows, "o", F.format_string("line %d", "o"), str(tmp_path / "x.txt"), ["500", "head"], parts)
+    assert (tmp_path / "x.txt").read_text() == "".join(f"{line}\n" for line in ["500", "head", *(f"line {k}" for k in range(500))])
+    assert path.endswith("x.txt") and not (tmp_path / "x.txt.parts").exists()
+    files.write_lines(rows.limit(0), "o", F.format_string("line %d", "o"), path, None, parts)
+    assert (tmp_path / "x.txt").read_text() == ""

@@ -105,3 +105,28 @@ def test_regression(spark):
         error = math.sqrt(((b - slope * a - intercept) ** 2).sum() / 28 / ((a - a.mean()) ** 2).sum())
         assert out[g]["stderr"] == pytest.approx(error) and 0 <= out[g]["pvalue"] < 1e-6
     assert out[7]["slope"] is None and out[8]["slope"] is None and out[7]["pvalue"] is None
+
+
+@pytest.mark.parametrize("calendar", ["360_day", "noleap", "all_leap", "julian"])
+def test_model_calendars_count_day_by_day(spark, calendar):
+    """Every day of nine years after the start, and some before, against a count by hand."""
+    from polarmesh.functions.calendar import model_time
+
+    def length(year, month):
+        if calendar == "360_day":
+            return 30
+        leap = calendar == "all_leap" or calendar == "julian" and year % 4 == 0
+        return [31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][month - 1]
+
+    date, expected = (1999, 2, 27), {}
+    for k in range(3300):
+        expected[k] = (*date, 6 * 3600)
+        y, m, d = date
+        date = (y, m, d + 1) if d < length(y, m) else (y, m + 1, 1) if m < 12 else (y + 1, 1, 1)
+    df = spark.range(-1, 3300).select("id", model_time(F.col("id") * 24.0, "hours since 1999-02-27 06:00:00", calendar).alias("t"))
+    got = {r["id"]: tuple(r["t"]) for r in df.collect()}
+    assert got.pop(-1) == (1999, 2, 26, 6 * 3600) and got == expected
+    odd = spark.createDataFrame([(None,), (float("nan"),), (0.75,)], "v double").select(model_time(F.col("v"), "days since 0000-01-01", calendar).alias("t")).collect()
+    assert [r["t"] for r in odd[:2]] == [None, None] and tuple(odd[2]["t"]) == (0, 1, 1, 64800)
+    with pytest.raises(ValueError):
+        model_time(F.col("v"), "days since 2000-01-01", "lunar")
