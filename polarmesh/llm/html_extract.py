@@ -56,6 +56,8 @@ ASIDE = 0.1
 PAGES_DEALT, HELD_BYTES = 10_000, 16_000_000
 #: First parts of the names of articles that belong to another article.
 COMMENTS = set("comment comments reply replies related recommended sponsored advertisement".split())
+#: First parts of the names of boxes for readers' comments, their forms, and adverts (comment-form, ad-box).
+BOXES = set("comment comments disqus respond ad ads advert adverts advertisement advertising sponsored".split())
 #: Parts of a class before a name that make it a state of the layout or a topic.
 STATES = set("has have no not with without is layout template category cat tag topic subject keyword section".split())
 
@@ -132,7 +134,7 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, _label(tag, m[3] or ""))
         stack[-1].kids.append(node)
-        if tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in OPAQUE and tag not in CLOSES_P:
+        if tag in VOID:  # a slash before the end closes no other element of HTML
             continue
         if tag in OPAQUE:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -314,10 +316,14 @@ def is_boilerplate(label: str, named: bool = True) -> bool:
 
 @lru_cache(100_000)
 def ends_as_boilerplate(label: str) -> bool:
-    """Whether a container's class or id ends in such a name (left-sidebar), and doesn't say that there is one (has-sidebar) or what a text is about (category-social)."""
+    """Whether a container's class or id ends in such a name (left-sidebar), and doesn't say that there is one (has-sidebar) or what a text is about (category-social).
+
+    Names that begin as those of comments and adverts do (comments-list, ad-box) mark their boxes too.
+    """
     tag, words = _names(label)
     parts = [re.split(r"[-_]", w) for w in words] if tag in ("div", "ul", "ol") else []
-    return any(len(p) > 1 and p[-1] in BOILERPLATE_NAMES and p[-2] not in STATES and p[0] not in STATES for p in parts)
+    boxes = [re.split(r"[-_]", w) for w in words] if tag in ("div", "ul", "ol", "section", "p") else []
+    return any(len(p) > 1 and p[-1] in BOILERPLATE_NAMES and p[-2] not in STATES and p[0] not in STATES for p in parts) or any(len(p) > 1 and p[0] in BOXES for p in boxes)
 
 
 def is_comment(label: str) -> bool:

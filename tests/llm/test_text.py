@@ -224,6 +224,16 @@ def test_deep_pages(spark):
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
+def test_comments_forms_and_adverts_inside_an_article(spark):
+    boxes = ["comments-list", "comment-form", "comments-area", "ad-box", "comments", "ads_top"]
+    inside = "".join(f'<div {kind}="{name}">gone {name}</div>' for name in boxes for kind in ("class", "id"))
+    kept = '<div class="has-comments">one</div><div class="category-ads">two</div><p class="adverb">three</p><div class="commentary">four</div>'
+    rows = [(k, f"http://h.example.org/{k}", f"<body><article><p>Page {k} text</p>{inside}{kept}<p><a href=/x/>link</a> and <span/>after</p></article></body>") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    assert got == {k: f"Page {k} text one two three four link and after" for k in range(6)}
+
+
 def test_urls(spark):
     cases = [
         ("http://WWW.Example.org/es/1?x", "www.example.org", "/es/1", "example.org/es/", "block"),
