@@ -158,8 +158,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 15, batch: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel:
-    """A model from at most about `sample_rows` labelled rows, whose features alone come to the driver.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel:
+    """A model from about `sample_rows` labelled rows and `sample_bytes` bytes of their text at most, whose features alone come to the driver.
 
     A row with a null id or label is no example; of repeated labels of one id
     the mean decides.
@@ -167,6 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, id_col: s
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     sample = F.broadcast(bounded_sample(known, sample_rows))  # bounded by sample_rows
     source = ids_and_text(docs, id_col, text_col).join(sample, "doc_id")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > sample_bytes:  # features take 1.4 times a text's bytes
+        source = source.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_003)) < int(1_000_003 * sample_bytes / size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

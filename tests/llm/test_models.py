@@ -138,3 +138,12 @@ def test_quality_of_very_long_and_repeated_rows(spark, documents):
     for r in rows:
         by.setdefault((r["doc_id"] == 1), set()).add(round(r["score"], 6))
     assert len(rows) == 4 and all(len(v) == 1 for v in by.values())
+
+
+def test_quality_is_fitted_on_bounded_bytes(spark, documents, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(~held_out())
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append(sum(map(len, bags))))
+    quality.train(documents, labels)
+    quality.train(documents, labels, sample_bytes=60_000)
+    assert 0 < seen[1] * quality.PASSAGE_BYTES < 150_000 and seen[0] > 3 * seen[1]
