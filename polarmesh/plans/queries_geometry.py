@@ -10,6 +10,8 @@ from polarmesh.operators import gridding, neighbours, vertical
 from polarmesh.plans.fixtures import Fixtures
 from polarmesh.plans.queries_series import _L1, _L2, LOCATED
 from polarmesh.plans.registry import query
+from polarmesh.shared import scratch
+from polarmesh.sinks import files
 
 _XYZ = "cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z"
 _SIDES = f"p AS (SELECT point_id, lon, lat, {_XYZ} FROM fx_points), s AS (SELECT node_id, lon, lat, coast, {_XYZ} FROM fx_nodes)"
@@ -208,6 +210,17 @@ def o91_grid_mapping(fx: Fixtures) -> DataFrame:
     return gridding.grid_mapping(_grid(fx), fx.nodes, 150_000.0).select("lat_idx", "lon_idx", "node_id", F.round("distance", 2).alias("distance"))
 
 
+@query(f"WITH {_MAPPED} SELECT lat_idx, lon_idx, CASE WHEN d < 150000 THEN node_id END AS node_id, round(d, 2) AS distance FROM m")
+def o22_grid_mapping(fx: Fixtures) -> DataFrame:
+    folder, key = scratch(fx.spark, "mappings"), files.mesh_key(fx.nodes, "grid", 150_000.0)
+    files.saved_mapping(lambda: gridding.grid_mapping(_grid(fx), fx.nodes, 150_000.0), fx.spark, folder, key)
+
+    def again() -> DataFrame:
+        raise AssertionError("the mapping was kept")
+
+    return files.saved_mapping(again, fx.spark, folder, key).select("lat_idx", "lon_idx", "node_id", F.round("distance", 2).alias("distance"))
+
+
 @query(f"WITH {_MAPPED} SELECT time, lat_idx, lon_idx, round(CAST(m_ice AS FLOAT), 5) AS m_ice FROM m JOIN fx_field2d USING (node_id) WHERE d < 150000")
 def o92_regrid_nearest(fx: Fixtures) -> DataFrame:
     out = gridding.regrid_nearest(fx.field2d, gridding.grid_mapping(_grid(fx), fx.nodes, 150_000.0), "m_ice")

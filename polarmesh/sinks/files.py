@@ -168,14 +168,35 @@ def write_years(series: DataFrame, path: str, time: str = "time") -> list[int]:
     return sorted(set(made) - set(before))
 
 
+#: Mappings of this process by session and path: the first place that `saved_mapping` looks in.
+_mappings: dict[tuple[str, str], DataFrame] = {}
+
+
 def saved_mapping(make, spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """A mapping table kept under a hash of what it depends on: read if it is there, else made and written."""
+    """A mapping table kept under a hash of what it depends on: from this session, else from the folder, else made and published.
+
+    It is written under a name of its own and then renamed, so that nobody
+    reads half of it; of writers at the same time the first one's stays.
+    """
     import hashlib
+    import uuid
 
     path = f"{folder}/mapping-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+    own = (spark.sparkContext.applicationId, path)
+    if own in _mappings and exists(spark, f"{path}/_SUCCESS"):
+        return _mappings[own]
     if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        hidden = f"{folder}/_making-{uuid.uuid4().hex}"
+        made = make()
+        made.write.parquet(hidden)
+        jvm, place, fs = _fs(spark, hidden)
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        # renaming onto a folder that stands would move it inside, so look first, and clean up after a race
+        if fs.exists(target) or not fs.rename(place, target):
+            fs.delete(place, True)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{hidden.rsplit('/', 1)[1]}"), True)
+    _mappings[own] = spark.read.parquet(path)
+    return _mappings[own]
 
 
 def mesh_key(nodes: DataFrame, *spec: object) -> str:

@@ -134,6 +134,16 @@ def test_mappings_follow_the_mesh(spark, tmp_path):
         files.saved_mapping(lambda: made.append(1) or nodes, spark, str(tmp_path), "k")
     assert made == [1]
 
+    def late():
+        """Another writer publishes the same mapping while this one is being made."""
+        files.saved_mapping(lambda: nodes.withColumn("lat", F.lit(7.0)), spark, str(tmp_path), "race")
+        return nodes
+
+    assert files.saved_mapping(late, spark, str(tmp_path), "race").first()["lat"] == 7.0
+    files._mappings.clear()
+    assert files.saved_mapping(late, spark, str(tmp_path), "race").first()["lat"] == 7.0
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_making")]
+
 
 def test_units_travel(spark):
     df = files.described(spark.range(1).withColumn("x", F.lit(1.0)), {"x": "m3/s"})
