@@ -415,3 +415,12 @@ def test_nearest_of_few_and_equal_places(spark):
     empty = neighbours.k_nearest(targets, same.limit(0), 2)
     assert empty.count() == 0 and empty.columns == ["target_id", "source_id", "distance", "rank"]
     assert neighbours.k_nearest(targets.limit(0), same, 2).count() == 0
+
+
+def test_remap_copies_the_target_at_all_times(spark):
+    source = spark.createDataFrame([(t, 0, i, 1.0) for t in (1, 2) for i in range(3)], "time int, level_idx int, id int, v double")
+    target = spark.createDataFrame([(0, 0, 5.0), (0, 1, None), (1, 0, 7.0)], "level_idx int, id int, v double")
+    out = vertical.remap_3d(source, spark.createDataFrame([(0, 0)], "id int, source_id int"), target, "v", copy=True)
+    assert {tuple(r) for r in out.collect()} == {(t, *r) for t in (1, 2) for r in ((0, 0, 5.0), (0, 1, 0.0), (1, 0, 7.0))}
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
