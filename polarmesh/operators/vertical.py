@@ -45,9 +45,10 @@ def remap_3d(source: DataFrame, mapping: DataFrame, target: DataFrame, value: st
     """
     t = target.select("level_idx", "id", F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)).alias("_t"))
     if copy:
-        # each row of the target for each time: the times, a value each, stand in one row's array
-        times = source.agg(F.sort_array(F.collect_set("time")).alias("times")).withColumn("one", F.lit(1))
-        return t.withColumn("one", F.lit(1)).join(F.broadcast(times), "one").select(F.explode("times").alias("time"), "level_idx", "id", F.col("_t").alias(value))
+        # each row of the target for each of the source's time steps, whose list the driver gets
+        times = sorted(r["time"] for r in source.select("time").where("time IS NOT NULL").distinct().collect())
+        steps = F.array(*[F.lit(x) for x in times]).cast(f"array<{source.schema['time'].dataType.simpleString()}>")
+        return t.select(F.explode(steps).alias("time"), "level_idx", "id", F.col("_t").alias(value))
     got = deepest_fill(mapping.join(source.withColumnRenamed("id", "source_id"), "source_id").select("time", "level_idx", "id", value), value)
     out = got.join(t, ["level_idx", "id"])
     zero = F.col("_t") == 0
