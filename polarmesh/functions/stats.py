@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def incomplete_beta(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or 1e-300)
-    f = d
-    for m in range(1, 500):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + k * d) or 1e-300)
-            c = (1 + k / c) or 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * f
-
-
-def t_two_sided(t: float, dof: float) -> float:
-    return incomplete_beta(dof / (dof + t * t), dof / 2, 0.5) if math.isfinite(t) else 0.0
-
-
-def t_quantile(p: float, dof: float) -> float:
-    """The t with P(T <= t) = p, by bisection."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers, by Stirling's series beyond 16."""
+    far = x + 16
+    series = (far - 0.5) * np.log(far) - far + 0.5 * np.log(2 * np.pi) + 1 / (12 * far) - 1 / (360 * far**3) + 1 / (1260 * far**5) - 1 / (1680 * far**7)
+    return series - sum(np.log(x + k) for k in range(16))
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of whole arrays by its continued fraction (Lentz); NaN where an argument is."""
+    given, a, b = np.broadcast_arrays(*(np.asarray(v, dtype="float64") for v in (x, a, b)))
+    with np.errstate(all="ignore"):
+        swap = given > (a + 1) / (a + b + 2)
+        x, a, b = np.where(swap, 1 - given, given), np.where(swap, b, a), np.where(swap, a, b)
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        nonzero = lambda v: np.where(v == 0, 1e-300, v)
+        c, d = np.ones_like(x), 1 / nonzero(1 - (a + b) * x / (a + 1))
+        f, open_ = d.copy(), np.isfinite(front)
+        for m in range(1, 500):
+            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / nonzero(1 + k * d)
+                c = nonzero(1 + k / c)
+                f = np.where(open_, f * c * d, f)
+            open_ = open_ & (np.abs(c * d - 1) >= 1e-14)
+            if not open_.any():
+                break
+        out = np.where(swap, 1 - front * f, front * f)
+    return np.where(given <= 0, 0.0, np.where(given >= 1, 1.0, out))
+
+
+def t_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of whole arrays; 0 where t is infinite, NaN where it is NaN."""
+    t, dof = np.asarray(t, dtype="float64"), np.asarray(dof, dtype="float64")
+    with np.errstate(all="ignore"):
+        return np.where(np.isinf(t), 0.0, incomplete_beta(dof / (dof + t * t), dof / 2, 0.5))
+
+
+def t_quantile(p: float, dof: np.ndarray) -> np.ndarray:
+    """The t with P(T <= t) = p for each number of degrees of freedom, by bisection of all at once."""
     if p < 0.5:
         return -t_quantile(1 - p, dof)
-    low, high = 0.0, 1.0
-    while 1 - t_two_sided(high, dof) / 2 < p:
-        high *= 2
+    dof = np.asarray(dof, dtype="float64")
+    below = lambda t: 1 - t_two_sided(t, dof) / 2 < p
+    low, high = np.zeros_like(dof), np.ones_like(dof)
+    while below(high).any():
+        high = np.where(below(high), high * 2, high)
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if 1 - t_two_sided(mid, dof) / 2 < p else (low, mid)
+        less = below(mid)
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
     return (low + high) / 2
 
 
@@ -51,7 +65,7 @@ def p_value(t: Column, dof: Column) -> Column:
 
     @F.pandas_udf("double")
     def p(t: pd.Series, dof: pd.Series) -> pd.Series:
-        return pd.Series([t_two_sided(a, b) if pd.notna(a) and b > 0 else None for a, b in zip(t, dof, strict=True)], dtype="float64")
+        return pd.Series(t_two_sided(t, dof)).where((t.notna() & (dof > 0)).to_numpy())
 
     return p(t, dof)
 
@@ -61,8 +75,8 @@ def t_975(dof: Column) -> Column:
 
     @F.pandas_udf("double")
     def quantile(dof: pd.Series) -> pd.Series:
-        known = {d: t_quantile(0.975, d) for d in dof.dropna().unique() if d > 0}
-        return dof.map(known)
+        known = dof[dof > 0].drop_duplicates()
+        return dof.map(dict(zip(known, t_quantile(0.975, known), strict=True))).astype("float64")
 
     return quantile(dof)
 

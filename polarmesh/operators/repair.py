@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarmesh.operators.topology import components, drop_small, holes, loose_ends
+from polarmesh.operators.topology import components, drop_small, holes
 from polarmesh.shared import materialise
 
 
@@ -95,6 +95,9 @@ def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: s
     """
     ocean = depths.where("cavity_depth = 0").select(F.col("node_id").alias("id"))
     wet = materialise(holes(components(ocean, adjacency)).select(F.col("id").alias("node_id")), "holes")
+    ashore = adjacency.join(wet.select(F.col("node_id").alias("id")), "id", "left_semi").join(depths.where("cavity_depth <> 0").select(F.col("node_id").alias("nbr")), "nbr", "left_semi")
+    if ashore.isEmpty():  # no hole has a neighbour to be filled from
+        return depths
     if mode == "jacobi":
         for _ in range(most):
             near = adjacency.join(depths.where("cavity_depth <> 0").select(F.col("node_id").alias("nbr"), "cavity_depth"), "nbr").groupBy(F.col("id").alias("node_id")).agg(F.avg("cavity_depth").alias("new_depth"))
@@ -108,14 +111,15 @@ def fill_holes(depths: DataFrame, adjacency: DataFrame, most: int = 101, mode: s
         known = [v for v in near if v != 0]
         return float(np.mean(known)) if value == 0 and known else None
 
-    flags = wet.withColumn("visit", F.lit(0.0))
     for _ in range(most):
-        visits = depths.join(flags, "node_id", "left").select("node_id", F.col("cavity_depth").alias("value"), F.when(F.col("cavity_depth") == 0, F.col("visit")).alias("visit"))
-        changed = ordered_visits(visits, adjacency, fill, block).join(visits.where("visit IS NOT NULL").select("node_id"), "node_id", "left_semi").where("value <> 0").select("node_id", F.col("value").alias("new_depth"))
-        changed = materialise(changed, "filled")
-        if changed.isEmpty():
+        visits = depths.join(wet.withColumn("visit", F.lit(0.0)), "node_id", "left").select("node_id", F.col("cavity_depth").alias("value"), "visit")
+        visited = ordered_visits(visits, adjacency, fill, block).withColumnRenamed("value", "cavity_depth")
+        still = materialise(visited.where("cavity_depth = 0").join(wet, "node_id", "left_semi").select("node_id"), "holes")
+        if still.isEmpty():
+            return visited
+        if still.count() == wet.count():
             return depths
-        depths = materialise(_apply(depths, changed), "depths")
+        depths, wet = visited, still
     raise RuntimeError(f"holes aren't filled after {most} rounds")
 
 
@@ -135,10 +139,13 @@ def close_channels(depths: DataFrame, adjacency: DataFrame, block: int = 50_000)
 def trim_loose_ends(depths: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Cavity nodes with one neighbour in the cavity become ocean, until there are none."""
     while True:
-        ends = materialise(loose_ends(depths, adjacency).withColumn("new_depth", F.lit(0.0)), "ends")
-        if ends.isEmpty():
+        near = adjacency.join(depths.where("cavity_depth < 0").select(F.col("node_id").alias("nbr")), "nbr", "left_semi").groupBy(F.col("id").alias("node_id")).agg(F.count("*").alias("n"))
+        end = F.coalesce((F.col("cavity_depth") < 0) & (F.col("n") == 1), F.lit(False))
+        marked = depths.join(near, "node_id", "left").select("node_id", F.when(end, F.lit(0.0)).otherwise(F.col("cavity_depth")).alias("cavity_depth"), end.alias("end"))
+        marked = materialise(marked, "trimmed")
+        depths = marked.drop("end")
+        if marked.where("end").isEmpty():
             return depths
-        depths = materialise(_apply(depths, ends), "depths")
 
 
 def clean_cavity(depths: DataFrame, adjacency: DataFrame, least: int = 15, most: int = 15) -> DataFrame:

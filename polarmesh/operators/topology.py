@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from polarmesh.functions.sphere import haversine
 from polarmesh.operators.masks import elem_nodes
@@ -56,15 +59,58 @@ def elements_of_nodes(elements: DataFrame) -> DataFrame:
     return elem_nodes(elements).groupBy("node_id").agg(F.sort_array(F.collect_list("elem_id")).alias("elems"))
 
 
-def components(vertices: DataFrame, adjacency: DataFrame) -> DataFrame:
+def _local_roots(inner: DataFrame, block: int) -> DataFrame:
+    """id, root: the least id that is reached over edges within the id's own block; only ids with such edges."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, ends = np.unique(frame[["id", "nbr"]].to_numpy().ravel(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[ends[:, 0]], root[ends[:, 1]])
+            after = root.copy()
+            for k in (0, 1):
+                np.minimum.at(after, ends[:, k], low)
+                np.minimum.at(after, root[ends[:, k]], low)
+            after = after[after]
+            if (after == root).all():
+                return pd.DataFrame({"id": ids, "root": ids[root]})
+            root = after
+
+    in_block = lambda x: F.floor(F.col(x) / block).cast("long")
+    blocked = inner.select(F.col("id").cast("long").alias("id"), F.col("nbr").cast("long").alias("nbr"), in_block("id").alias("block")).where(F.col("block") == in_block("nbr"))
+    return blocked.groupBy("block").applyInPandas(run, "id long, root long")
+
+
+def components(vertices: DataFrame, adjacency: DataFrame, block: int = 50_000) -> DataFrame:
     """id, component (the least id of it) of the graph on `vertices` (id), with neighbours in it only.
 
-    Minimum labels with pointer jumping; each round is written to the shared
-    folder, and the number of rounds grows with the logarithm of the diameter
-    on meshes.
+    Integer ids are first joined within blocks of ids, each by one task, so
+    that only edges between blocks are left, and only their roots. These are
+    joined by minimum labels with pointer jumping, as are ids of other types;
+    each round is written to the shared folder, and the number of rounds grows
+    with the logarithm of the diameter on meshes. `block` bounds what a task
+    holds; the result doesn't depend on it.
     """
     inner = adjacency.join(vertices.select("id"), "id", "left_semi").join(vertices.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id", "nbr")
+    kind = vertices.schema["id"].dataType
+    if not isinstance(kind, IntegralType):
+        return _joined(vertices.select("id"), materialise(inner, "edges"))
     inner = materialise(inner, "edges")
+    roots = _local_roots(inner, block).select(F.col("id").cast(kind).alias("id"), F.col("root").cast(kind).alias("root"))
+    roots = materialise(vertices.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+    across = inner.where(F.floor(F.col("id") / block) != F.floor(F.col("nbr") / block))
+    if across.isEmpty():
+        return roots.select("id", F.col("root").alias("component"))
+    across = across.join(roots, "id").select("nbr", F.col("root").alias("id")).join(roots.withColumnRenamed("id", "nbr"), "nbr").select("id", F.col("root").alias("nbr"))
+    across = materialise(across.where("id <> nbr").distinct(), "edges")
+    ends = across.select("id").union(across.select("nbr")).distinct()
+    labels = _joined(ends, both_ways(across.select(F.col("id").alias("a"), F.col("nbr").alias("b"))).distinct()).withColumnRenamed("id", "root")
+    return roots.join(labels, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+
+
+def _joined(vertices: DataFrame, inner: DataFrame) -> DataFrame:
+    """`components` of all vertices by rounds; `inner` holds edges among them in both directions."""
     labels = materialise(vertices.select("id", F.col("id").alias("component")), "labels")
     while True:
         near = inner.join(labels.select(F.col("id").alias("nbr"), "component"), "nbr").groupBy("id").agg(F.min("component").alias("near"))

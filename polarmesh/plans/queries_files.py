@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from polarmesh.functions.calendar import model_time
 from polarmesh.plans.fixtures import Fixtures
-from polarmesh.plans.queries_series import RING
 from polarmesh.plans.registry import query
 from polarmesh.shared import scratch
 from polarmesh.sinks import files, streamed
@@ -32,9 +31,10 @@ def o03_read_depths(fx: Fixtures) -> DataFrame:
     return text.read_levels_and_depths(fx.spark, path)[1].select("node_id", F.round("depth", 3).alias("depth"))
 
 
-@query("SELECT level_idx, depth FROM fx_levels")
+@query("SELECT CAST(row_number() OVER (ORDER BY d DESC) AS INT) AS level_idx, d AS depth FROM (SELECT DISTINCT -5e0 * p_size * p_size AS d FROM part)")
 def o04_read_levels(fx: Fixtures) -> DataFrame:
-    path = files.write_column(fx.levels, "level_idx", "depth", f"{scratch(fx.spark, 'mesh')}/depth_zlev.out", header=[str(fx.levels.count())])
+    levels = fx.table("part").selectExpr("p_size", "-5e0 * p_size * p_size AS depth").distinct()
+    path = files.write_column(levels, "p_size", "depth", f"{scratch(fx.spark, 'mesh')}/depth_zlev.out", header=[str(levels.count())])
     return text.read_level_depths(fx.spark, path)
 
 
@@ -92,14 +92,12 @@ def o11_netcdf_years(fx: Fixtures) -> DataFrame:
     return out.where("a_ice IS NOT NULL").select(F.col("time").cast("date").alias("time"), "node_id", F.round("a_ice", 8).alias("a_ice"))
 
 
-@query("SELECT CAST(make_date(2000 + v // 365, month(DATE '2001-01-01' + v % 365), day(DATE '2001-01-01' + v % 365)) AS DATE) AS time, v * 2.5e0 AS value FROM (SELECT CAST(range AS INT) AS v FROM range(4000))")
+@query("SELECT CAST(make_date(1990 + v // 365, month(DATE '2001-01-01' + v % 365), day(DATE '2001-01-01' + v % 365)) AS DATE) AS time, CAST(node_id AS INT) AS node_id, round(a_ice, 8) AS a_ice FROM (SELECT CAST(datediff('day', DATE '1990-01-01', time) AS INT) AS v, node_id, a_ice FROM fx_field2d WHERE a_ice IS NOT NULL)")
 def o12_years_of_365_days(fx: Fixtures) -> DataFrame:
-    import numpy as np
-
-    days = np.arange(4000.0)
-    data = netcdf.write_bytes({"time": 4000, "nod2": 1}, {"time": (["time"], days, {"units": "days since 2000-01-01", "calendar": "noleap"}), "a": (["time", "nod2"], days[:, None] * 2.5, {})})
-    path = files.write_bytes(fx.spark, f"{scratch(fx.spark, 'fields')}/a.nc", data)
-    return netcdf.read_variable(fx.spark, path, "a").select(F.col("time").cast("date").alias("time"), "value")
+    folder = scratch(fx.spark, "fields")
+    streamed.write_yearly_fields(fx.field2d, "a_ice", fx.n, folder, calendar="noleap")
+    out = netcdf_scan.scan(fx.spark, f"{folder}/*.nc", ["a_ice"], {"nod2": "node_id"}).where("a_ice IS NOT NULL")
+    return out.select(F.col("time").cast("date").alias("time"), "node_id", F.round("a_ice", 8).alias("a_ice"))
 
 
 @query("SELECT CAST(1990 + v // 360 AS INT) AS year, CAST(v % 360 // 30 + 1 AS INT) AS month, count(a_ice) AS n, round(avg(a_ice), 7) AS a_ice FROM (SELECT datediff('day', DATE '1990-01-01', time) AS v, a_ice FROM fx_field2d WHERE a_ice IS NOT NULL) GROUP BY 1, 2")
@@ -111,16 +109,22 @@ def o12_months_of_30_days(fx: Fixtures) -> DataFrame:
     return out.groupBy("t.year", "t.month").agg(F.count("a_ice").alias("n"), F.round(F.avg("a_ice"), 7).alias("a_ice"))
 
 
-_VERTICES = ", ".join(f"({k}, {x!r}e0, {y!r}e0)" for k, (x, y) in enumerate([*RING, RING[0]]))
-
-
-@query(f"SELECT 'Ring' AS name, k AS vertex_idx, x AS lon, y AS lat FROM (VALUES {_VERTICES}) AS v(k, x, y)")
+@query(
+    "WITH v AS (SELECT n_regionkey AS ring, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) - 1 AS k, lon, lat FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN fx_points ON point_id = s_suppkey), "
+    "z AS (SELECT ring, max(k) + 1 AS k, arg_min(lon, k) AS lon, arg_min(lat, k) AS lat FROM v GROUP BY 1 HAVING arg_min(lon, k) <> arg_max(lon, k) OR arg_min(lat, k) <> arg_max(lat, k)) "
+    "SELECT 'ring' || ring AS name, CAST(k AS INT) AS vertex_idx, lon, lat FROM (SELECT ring, k, lon, lat FROM v UNION ALL SELECT ring, k, lon, lat FROM z)"
+)
 def o13_read_kml(fx: Fixtures) -> DataFrame:
-    places = " ".join(f"{x},{y},0" for x, y in RING)
-    body = f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><LineString><coordinates>\n{places} bad,tuple\n</coordinates></LineString></Placemark></Document></kml>'
+    """One file for each region, with the points of its suppliers as vertices."""
+    places = fx.points.join(fx.table("supplier").selectExpr("s_suppkey AS point_id", "s_nationkey AS n_nationkey"), "point_id").join(fx.table("nation"), "n_nationkey")
+    places = places.select("n_regionkey", "point_id", F.format_string("%.8f,%.8f,0", "lon", "lat").alias("line"))
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><LineString><coordinates>', "bad,tuple"]
+    end = fx.spark.createDataFrame([(float("inf"), "</coordinates></LineString></Placemark></Document></kml>")], "point_id double, line string")
     folder = scratch(fx.spark, "kml")
-    files.write_bytes(fx.spark, f"{folder}/Ring.kml", body.encode())
-    return text.read_kml(fx.spark, folder)
+    for (region,) in fx.table("region").select("r_regionkey").collect():
+        ring = places.where(F.col("n_regionkey") == region).select(F.col("point_id").cast("double").alias("point_id"), "line")
+        files.write_lines(ring.unionByName(end), "point_id", F.col("line"), f"{folder}/ring{region}.kml", head)
+    return text.read_kml(fx.spark, f"{folder}/*.kml")
 
 
 def _bergs(fx: Fixtures) -> DataFrame:

@@ -125,9 +125,46 @@ def o106_close_channels(fx: Fixtures) -> DataFrame:
     return _rounded(repair.close_channels(_depths(fx), _adjacency(fx), BLOCK), "cavity_depth")
 
 
-@query()
+# The loop of O-107, in SQL: each step of the recursion is a round of labels, a visit or a round of trimming, by phase.
+# lab are labels of the ocean (d = 0) or the cavity (d < 0), todo the nodes to visit, k the next of them, was the list before a pass, start that before a round.
+_NBRS = "nbrs[i + 1]"
+_ALL = "list_transform(range(len(d)), lambda i: {})"
+_OCEAN_LABELS = _ALL.format("CASE WHEN d[i + 1] = 0 THEN i END")
+_CAVITY_LABELS = _ALL.format("CASE WHEN d[i + 1] < 0 THEN i END")
+_SPREAD = f"list_transform(range(len(d)), lambda i: CASE WHEN lab[i + 1] IS NOT NULL THEN least(lab[i + 1], coalesce(list_min(list_transform({_NBRS}, lambda j: lab[j + 1])), lab[i + 1])) END)"
+_SIZES = "list_transform(range(len(d)), lambda i: len(list_filter(low, lambda x: x = i)))"
+_HOLES = "list_filter(range(len(d)), lambda i: low[i + 1] IS NOT NULL AND low[i + 1] <> list_position(sizes, list_max(sizes)) - 1)"
+_DROPPED = _ALL.format("CASE WHEN low[i + 1] IS NOT NULL AND sizes[low[i + 1] + 1] < 4 THEN 0 ELSE d[i + 1] END")
+_ENDS = _ALL.format(f"CASE WHEN d[i + 1] < 0 AND len(list_filter({_NBRS}, lambda j: d[j + 1] < 0)) = 1 THEN 0 ELSE d[i + 1] END")
+_RIM = f"list_filter(range(len(d)), lambda i: d[i + 1] = 0 AND len(list_filter({_NBRS}, lambda j: d[j + 1] < 0)) > 0)"
+_FILLED = "list_transform(list_filter(nbrs[todo[k] + 1], lambda j: d[j + 1] <> 0), lambda j: d[j + 1])"
+_CLOSED = "list_transform(list_filter(nbrs[todo[k] + 1], lambda j: d[j + 1] < 0), lambda j: d[j + 1])"
+_VISIT = "list_transform(range(len(d)), lambda i: CASE WHEN i = todo[k] THEN {} ELSE d[i + 1] END)"
+_STEP = f"""CASE
+  WHEN phase = 'ocean' AND low <> lab THEN {{'phase': phase, 'd': d, 'lab': low, 'todo': todo, 'k': k, 'was': was, 'start': start}}
+  WHEN phase = 'ocean' THEN {{'phase': 'fill', 'd': d, 'lab': lab, 'todo': {_HOLES}, 'k': 1, 'was': d, 'start': start}}
+  WHEN phase = 'fill' AND k <= len(todo) THEN {{'phase': phase, 'd': {_VISIT.format(f"CASE WHEN d[i + 1] = 0 AND len({_FILLED}) > 0 THEN list_avg({_FILLED}) ELSE d[i + 1] END")}, 'lab': lab, 'todo': todo, 'k': k + 1, 'was': was, 'start': start}}
+  WHEN phase = 'fill' AND d <> was THEN {{'phase': phase, 'd': d, 'lab': lab, 'todo': todo, 'k': 1, 'was': d, 'start': start}}
+  WHEN phase = 'fill' THEN {{'phase': 'cavity', 'd': d, 'lab': {_CAVITY_LABELS}, 'todo': todo, 'k': 1, 'was': d, 'start': start}}
+  WHEN phase = 'cavity' AND low <> lab THEN {{'phase': phase, 'd': d, 'lab': low, 'todo': todo, 'k': k, 'was': was, 'start': start}}
+  WHEN phase = 'cavity' THEN {{'phase': 'trim', 'd': {_DROPPED}, 'lab': lab, 'todo': todo, 'k': 1, 'was': d, 'start': start}}
+  WHEN phase = 'trim' AND ends <> d THEN {{'phase': phase, 'd': ends, 'lab': lab, 'todo': todo, 'k': 1, 'was': d, 'start': start}}
+  WHEN phase = 'trim' THEN {{'phase': 'close', 'd': d, 'lab': lab, 'todo': {_RIM}, 'k': 1, 'was': d, 'start': start}}
+  WHEN k <= len(todo) THEN {{'phase': phase, 'd': {_VISIT.format(f"CASE WHEN len(list_filter(nbrs[todo[k] + 1], lambda j: d[j + 1] = 0)) = 1 AND len({_CLOSED}) > 0 THEN list_avg({_CLOSED}) ELSE d[i + 1] END")}, 'lab': lab, 'todo': todo, 'k': k + 1, 'was': was, 'start': start}}
+  WHEN d <> start THEN {{'phase': 'ocean', 'd': d, 'lab': {_OCEAN_LABELS}, 'todo': todo, 'k': 1, 'was': d, 'start': d}}
+  ELSE {{'phase': 'done', 'd': d, 'lab': lab, 'todo': todo, 'k': 1, 'was': d, 'start': start}} END"""
+
+
+@query(
+    f"WITH {_LISTS}, mesh AS (SELECT list(nbrs ORDER BY node_id) AS nbrs FROM lists), first AS (SELECT {_CAVITY} AS d), "
+    f"state(s, phase, d, lab, todo, k, was, start) AS (SELECT 0, 'ocean', d, {_OCEAN_LABELS}, CAST([] AS BIGINT[]), 1, d, d FROM first UNION ALL "
+    f"SELECT s + 1, n.phase, n.d, n.lab, n.todo, n.k, n.was, n.start FROM (SELECT s, {_STEP} AS n FROM (SELECT *, CASE WHEN phase IN ('ocean', 'cavity') AND low = lab THEN {_SIZES} END AS sizes FROM "
+    f"(SELECT state.*, nbrs, CASE WHEN phase IN ('ocean', 'cavity') THEN {_SPREAD} END AS low, CASE WHEN phase = 'trim' THEN {_ENDS} END AS ends FROM state CROSS JOIN mesh WHERE phase <> 'done')))) "
+    f"SELECT node_id, round({_LAST}[node_id + 1], 7) AS cavity_depth FROM fx_nodes",
+    recursive=True,
+)
 def o107_clean_cavity(fx: Fixtures) -> DataFrame:
-    return repair.clean_cavity(_depths(fx), _adjacency(fx), 4)
+    return _rounded(repair.clean_cavity(_depths(fx), _adjacency(fx), 4), "cavity_depth")
 
 
 @query("WITH p AS (SELECT e.elem_id, min(least(e.last_layer, n.last_layer) - greatest(e.first_layer, n.first_layer) + 1) AS shared, min(n.first_layer) AS nf, max(n.last_layer) AS nl FROM fx_elements e JOIN fx_elem_adj a ON a.id = e.elem_id JOIN fx_elements n ON n.elem_id = a.nbr GROUP BY 1) SELECT e.elem_id, e.last_layer - e.first_layer + 1 AS active, coalesce(shared, 0) AS shared, coalesce(e.first_layer < nf, false) AS isolated_top, coalesce(e.last_layer > nl, false) AS isolated_floor FROM fx_elements e LEFT JOIN p ON p.elem_id = e.elem_id")
@@ -189,16 +226,99 @@ def o113_at_least_layers(fx: Fixtures) -> DataFrame:
 
 @query("WITH o AS (SELECT a, b, p.depth AS da, q.depth AS db, greatest(p.first_layer, q.first_layer) + 4 AS need FROM fx_edge JOIN fx_nodes p ON p.node_id = a JOIN fx_nodes q ON q.node_id = b WHERE NOT (p.coast = 1 AND q.coast = 1) AND least(p.last_layer, q.last_layer) - greatest(p.first_layer, q.first_layer) + 1 < 4 AND least(p.last_layer, q.last_layer) - greatest(p.first_layer, q.first_layer) + 1 <> 0), f AS (SELECT CASE WHEN da >= db THEN a ELSE b END AS node_id, min(l.depth) AS wanted FROM o JOIN fx_levels l ON l.level_idx = o.need GROUP BY 1) SELECT n.node_id, round(least(n.depth, coalesce(f.wanted, n.depth)), 6) AS depth FROM fx_nodes n LEFT JOIN f ON f.node_id = n.node_id")
 def o114_repair_overlap(fx: Fixtures) -> DataFrame:
-    # the fixture's layers don't follow from its depths, so its edges can't pass repair_overlap's verification
+    # the first step alone: the fixture's own layers don't follow from its depths
     return topology.deepen_overlap(fx.elements, fx.nodes, fx.levels, 4).select("node_id", F.round("depth", 6).alias("depth"))
 
 
+_BASE = "CASE WHEN depth < -1.3e2 THEN cavity_depth * 2e-1 ELSE 0e0 END AS cavity_depth"
+_LAYERED = f"i AS (SELECT node_id, {_BASE}, depth, coast FROM fx_nodes), n AS (SELECT i.*, CAST(greatest(1, (SELECT count(*) FROM fx_levels l WHERE l.depth >= i.cavity_depth)) AS INT) AS first_layer, CAST(coalesce((SELECT min(l.level_idx) FROM fx_levels l WHERE l.depth <= i.depth) - 1, 12) AS INT) AS last_layer FROM i)"
+
+
+@query(f"WITH {_LAYERED}, o AS (SELECT CASE WHEN p.depth >= q.depth THEN a ELSE b END AS node_id, greatest(p.first_layer, q.first_layer) + 2 AS need FROM fx_edge JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b WHERE NOT (p.coast = 1 AND q.coast = 1) AND least(p.last_layer, q.last_layer) - greatest(p.first_layer, q.first_layer) + 1 < 2), f AS (SELECT o.node_id, min(l.depth) AS wanted FROM o JOIN fx_levels l ON l.level_idx = o.need GROUP BY 1) SELECT n.node_id, round(least(n.depth, coalesce(f.wanted, n.depth)), 6) AS depth FROM n LEFT JOIN f ON f.node_id = n.node_id")
+def o114_verified_overlap(fx: Fixtures) -> DataFrame:
+    # layers that follow from the depths, and ice only where the water is deep, so that the repair can pass its verification
+    plain = fx.nodes.selectExpr("node_id", _BASE, "depth", "coast")
+    layered = plain.join(topology.node_layers(plain, fx.levels), "node_id")
+    return topology.repair_overlap(fx.elements, layered, fx.levels).select("node_id", F.round("depth", 6).alias("depth"))
+
+
 @query("WITH b AS (SELECT a, b FROM fx_elem_edge GROUP BY a, b HAVING count(*) = 1), n AS (SELECT a AS node_id FROM b UNION ALL SELECT b FROM b) SELECT node_id, CAST(ceil(count(*) / 2e0) AS INT) AS fans FROM n GROUP BY 1 HAVING count(*) > 2")
 def o115_bottlenecks(fx: Fixtures) -> DataFrame:
     return topology.bottlenecks(fx.elements)
 
 
-@query()
+# The cuts of O-115, in SQL: each reads a view of elements and names views by a letter; lists of the larger cuts are dense (place p of an element).
+def _edges_of(view: str, k: str) -> str:
+    return (
+        f"{k}_edge AS (SELECT elem_id, least(n1, n2) AS a, greatest(n1, n2) AS b FROM {view} UNION ALL SELECT elem_id, least(n2, n3), greatest(n2, n3) FROM {view} UNION ALL SELECT elem_id, least(n3, n1), greatest(n3, n1) FROM {view}), "
+        f"{k}_rim AS (SELECT a, b FROM {k}_edge GROUP BY a, b HAVING count(*) = 1), {k}_rim_node AS (SELECT a AS node_id FROM {k}_rim UNION ALL SELECT b FROM {k}_rim), "
+        f"{k}_corner AS (SELECT elem_id, n1 AS node_id FROM {view} UNION ALL SELECT elem_id, n2 FROM {view} UNION ALL SELECT elem_id, n3 FROM {view}), "
+        f"{k}_pair AS (SELECT min(elem_id) AS p, max(elem_id) AS q FROM {k}_edge GROUP BY a, b HAVING count(*) = 2), {k}_adj AS (SELECT p AS id, q AS nbr FROM {k}_pair UNION SELECT q, p FROM {k}_pair)"
+    )
+
+
+def _cut_nodes(view: str, k: str) -> str:
+    return (
+        f"{_edges_of(view, k)}, {k}_narrow AS (SELECT node_id FROM {k}_rim_node GROUP BY 1 HAVING count(*) > 2), {k}_around AS (SELECT node_id, elem_id FROM {k}_corner JOIN {k}_narrow USING (node_id)), "
+        f"{k}_reach(node_id, id, r) AS (SELECT node_id, elem_id, elem_id FROM {k}_around UNION SELECT x.node_id, x.id, y.nbr FROM {k}_reach x JOIN {k}_adj y ON y.id = x.r JOIN {k}_around z ON z.node_id = x.node_id AND z.elem_id = y.nbr), "
+        f"{k}_fan AS (SELECT node_id, id, min(r) AS fan FROM {k}_reach GROUP BY 1, 2), {k}_size AS (SELECT node_id, fan, row_number() OVER (PARTITION BY node_id ORDER BY count(*) DESC, fan) AS place FROM {k}_fan GROUP BY 1, 2), "
+        f"{k}_left AS (SELECT elem_id, n1, n2, n3 FROM {view} WHERE elem_id NOT IN (SELECT id FROM {k}_fan JOIN {k}_size USING (node_id, fan) WHERE place > 1))"
+    )
+
+
+def _cut_elements(view: str, k: str) -> str:
+    return (
+        f"{_edges_of(view, k)}, {k}_narrow AS (SELECT elem_id FROM {k}_corner WHERE node_id IN (SELECT node_id FROM {k}_rim_node) GROUP BY 1 HAVING count(*) = 3), "
+        f"{k}_left AS (SELECT elem_id, n1, n2, n3 FROM {view} WHERE elem_id NOT IN (SELECT elem_id FROM {k}_narrow) OR elem_id IN (SELECT elem_id FROM {k}_edge JOIN {k}_rim USING (a, b)))"
+    )
+
+
+def _places(view: str, k: str) -> str:
+    return (
+        f"{_edges_of(view, k)}, {k}_place AS (SELECT elem_id, row_number() OVER (ORDER BY elem_id) AS p FROM {view}), {k}_near AS (SELECT x.p, list(y.p) AS nbrs FROM {k}_adj JOIN {k}_place x ON x.elem_id = id JOIN {k}_place y ON y.elem_id = nbr GROUP BY 1), "
+        f"{k}_mesh AS (SELECT list(coalesce(nbrs, []) ORDER BY p) AS nbrs FROM {k}_place LEFT JOIN {k}_near USING (p))"
+    )
+
+
+def _cut_single(view: str, k: str) -> str:
+    # an element without neighbours stays, as in the operator: it isn't in the table of neighbours
+    return (
+        f"{_places(view, k)}, {k}_state(s, d, was) AS (SELECT 0, list_transform(nbrs, lambda x: true), CAST(NULL AS BOOLEAN[]) FROM {k}_mesh UNION ALL "
+        f"SELECT s + 1, list_transform(range(len(d)), lambda i: d[i + 1] AND len(list_filter(nbrs[i + 1], lambda j: d[j])) <> 1), d FROM {k}_state CROSS JOIN {k}_mesh WHERE was IS NULL OR d <> was), "
+        f"{k}_left AS (SELECT elem_id, n1, n2, n3 FROM {view} JOIN {k}_place USING (elem_id) WHERE (SELECT d FROM {k}_state ORDER BY s DESC LIMIT 1)[p])"
+    )
+
+
+def _cut_lakes(view: str, k: str) -> str:
+    return (
+        f"{_places(view, k)}, {k}_state(s, d, was) AS (SELECT 0, range(1, len(nbrs) + 1), CAST(NULL AS BIGINT[]) FROM {k}_mesh UNION ALL "
+        f"SELECT s + 1, list_transform(range(len(d)), lambda i: least(d[i + 1], coalesce(list_min(list_transform(nbrs[i + 1], lambda j: d[j])), d[i + 1]))), d FROM {k}_state CROSS JOIN {k}_mesh WHERE was IS NULL OR d <> was), "
+        f"{k}_label AS (SELECT elem_id, (SELECT d FROM {k}_state ORDER BY s DESC LIMIT 1)[p] AS label FROM {k}_place), "
+        f"{k}_left AS (SELECT elem_id, n1, n2, n3 FROM {view} JOIN {k}_label USING (elem_id) WHERE label = (SELECT label FROM {k}_label GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1))"
+    )
+
+
+@query(f"WITH {_cut_nodes('fx_elements', 'a')} SELECT * FROM a_left", recursive=True)
+def o115_bottleneck_nodes(fx: Fixtures) -> DataFrame:
+    return topology.fix_topology(fx.elements, bottleneck_nodes=True)
+
+
+@query(f"WITH {_cut_elements('fx_elements', 'a')} SELECT * FROM a_left")
+def o115_bottleneck_elements(fx: Fixtures) -> DataFrame:
+    return topology.fix_topology(fx.elements, bottleneck_elements=True)
+
+
+@query(f"WITH {_cut_single('fx_elements', 'a')} SELECT * FROM a_left", recursive=True)
+def o115_single_elements(fx: Fixtures) -> DataFrame:
+    return topology.fix_topology(fx.elements, single=True)
+
+
+@query(f"WITH {_cut_lakes('fx_elements', 'a')} SELECT * FROM a_left", recursive=True)
+def o115_lakes(fx: Fixtures) -> DataFrame:
+    return topology.fix_topology(fx.elements, lakes=True)
+
+
+@query(f"WITH {_cut_nodes('fx_elements', 'a')}, {_cut_elements('a_left', 'b')}, {_cut_single('b_left', 'c')}, {_cut_lakes('c_left', 'd')} SELECT * FROM d_left", recursive=True)
 def o115_fix_topology(fx: Fixtures) -> DataFrame:
     return topology.fix_topology(fx.elements, True, True, True, True)
 

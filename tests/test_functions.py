@@ -92,6 +92,17 @@ def test_t_distribution(t, dof):
     assert stats.t_quantile(1 - p / 2, dof) == pytest.approx(t, rel=1e-3) if p > 1e-9 else True
 
 
+def test_t_of_whole_arrays_is_that_of_single_values():
+    t, dof = np.array([0.0, 0.3, 2.0, 5.5, 40.0, np.inf, np.nan]), np.array([1.0, 2, 3, 100, 7, 5, 5])
+    for got, one in ((stats.t_two_sided(t, dof), stats.t_two_sided), (stats.incomplete_beta(np.array([0.0, 0.2, 0.9, 1.0]), 2.5, 0.5), lambda x, _: stats.incomplete_beta(x, 2.5, 0.5))):
+        single = [float(one(*pair)) for pair in zip(t if len(got) == 7 else [0.0, 0.2, 0.9, 1.0], dof, strict=False)]
+        np.testing.assert_allclose(got, single, rtol=1e-15)
+    # two-sided tails of one, two and four degrees of freedom in closed form
+    assert stats.t_two_sided(2.0, 1) == pytest.approx(1 - 2 / math.pi * math.atan(2.0), rel=1e-13)
+    assert stats.t_two_sided(3.0, 2) == pytest.approx(1 - 3 / math.sqrt(11), rel=1e-12)
+    assert stats.t_quantile(0.975, np.array([1.0, 10.0, 1e6])) == pytest.approx([12.706204736432095, 2.2281388519649385, 1.9599663], rel=1e-7)
+
+
 def test_regression(spark):
     rng = np.random.default_rng(0)
     x, k = rng.random(90), np.repeat([0, 1, 2], 30)

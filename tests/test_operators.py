@@ -167,8 +167,8 @@ def test_adjacency(mesh):
     assert len(topology.boundary_edges(elements).collect()) == 8
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, block", [(0, 1), (1, 7), (2, 50_000)])
+def test_components(spark, seed, block):
     rng = np.random.default_rng(seed)
     edges = rng.integers(0, 60, (45, 2))
     edges = edges[edges[:, 0] != edges[:, 1]]
@@ -185,7 +185,7 @@ def test_components(spark, seed):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     pairs = spark.createDataFrame([(min(e), max(e)) for e in edges.tolist()], "a long, b long").distinct()
-    got = topology.components(spark.createDataFrame([(i,) for i in kept], "id long"), topology.both_ways(pairs))
+    got = topology.components(spark.createDataFrame([(i,) for i in kept], "id long"), topology.both_ways(pairs), block)
     assert {r["id"]: r["component"] for r in got.collect()} == {i: find(i) for i in kept}
 
 
