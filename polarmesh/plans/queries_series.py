@@ -9,6 +9,8 @@ from polarmesh.functions import calendar
 from polarmesh.operators import icebergs, masks, reductions, trends, vertical
 from polarmesh.plans.fixtures import Fixtures
 from polarmesh.plans.registry import query
+from polarmesh.shared import scratch
+from polarmesh.streaming.yearly import run_available
 
 BOX = (-120.0, 120.0, -80.0, -40.0)
 IN_BOX = "lon > -120 AND lon < 120 AND lat > -80 AND lat < -40"
@@ -358,3 +360,15 @@ LOCATED = f"h AS (SELECT point_id, elem_id, first_layer, pow(lon - (x1 + x2 + x3
 def o120_validate_icebergs(fx: Fixtures) -> DataFrame:
     bergs = fx.points.select(F.col("point_id").alias("ib"), F.col("lon").alias("lon_deg"), F.col("lat").alias("lat_deg"))
     return icebergs.judge(bergs, fx.elements, fx.nodes, fx.elements.where("elem_id % 5 = 0"))
+
+
+@query("SELECT time, CAST(year(time) AS INT) AS year, count(a_ice) AS n, round(avg(a_ice), 7) AS a_ice FROM fx_field2d GROUP BY 1, 2")
+def s210_yearly_stream(fx: Fixtures) -> DataFrame:
+    """Monthly means by a stream that is run twice: its second run takes only the files that came after the first."""
+    folder = scratch(fx.spark, "stream")
+    field = fx.field2d.select("time", "node_id", "a_ice")
+    means = lambda batch: batch.groupBy("time").agg(F.count("a_ice").alias("n"), F.avg("a_ice").alias("a_ice"))
+    for years in (F.year("time") < 1995, F.year("time") >= 1995):
+        field.where(years).repartition("time").write.mode("append").parquet(f"{folder}/in")
+        run_available(fx.spark, f"{folder}/in", "time date, node_id long, a_ice double", f"{folder}/checkpoint", f"{folder}/out", means)
+    return fx.spark.read.parquet(f"{folder}/out").select("time", "year", "n", F.round("a_ice", 7).alias("a_ice"))
