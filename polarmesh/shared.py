@@ -1,4 +1,4 @@
-"""Session helpers: cleaning of missing values, the shared folder."""
+"""Session helpers: cleaning of missing values, sizes of joins and tasks, the shared folder."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def small(df: DataFrame, limit_bytes: int = 256_000_000, row_bytes: int = 64) -> DataFrame:
-    """`df` marked for broadcast if its counted rows are within the limit; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+    """`df` marked for broadcast if its counted rows are within the limit; else for a merge join, as the planner takes derived tables for as small as their files."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df.hint("merge")
 
 
 def shared_folder(spark: SparkSession) -> str:
