@@ -193,21 +193,27 @@ def holders(points: DataFrame, elements: DataFrame, nodes: DataFrame, tolerance:
     """All pairs of a point (point_id, lon, lat) and an element that holds it: point_id, elem_id, and the columns of both.
 
     Planar in degrees, without wrapping. Elements are dealt to the cells that
-    their boxes touch and meet the points there.
+    their boxes touch and meet the points there. Without `cell`, the cells of
+    an element are as wide and as high as the powers of two next above its
+    box, so that it touches a few, however narrow or long it is; points go to
+    a cell of each size that elements have.
     """
     e = with_corners(elements.select("elem_id", "n1", "n2", "n3"), nodes)
     lons, lats = [F.col(f"lon{k}") for k in (1, 2, 3)], [F.col(f"lat{k}") for k in (1, 2, 3)]
-    if cell is None:
-        size = e.agg(F.avg(F.greatest(*lats) - F.least(*lats))).first()[0] or 1.0
-        cell = max(size, 1e-6)
-
-    def span(c):
-        # corner weights down to -tolerance reach so far beyond the box
-        pad = 1e-9 + (F.greatest(*c) - F.least(*c)) * (3 * tolerance)
-        return F.sequence(F.floor((F.least(*c) - pad) / cell).cast("int"), F.floor((F.greatest(*c) + pad) / cell).cast("int"))
-
-    dealt = e.withColumn("i", F.explode(span(lons))).withColumn("j", F.explode(span(lats)))
-    met = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / cell).cast("int").alias("i"), F.floor(F.col("lat") / cell).cast("int").alias("j")).join(dealt, ["i", "j"])
+    # corner weights down to -tolerance reach so far beyond the box
+    pad = lambda c: 1e-9 + (F.greatest(*c) - F.least(*c)) * (3 * tolerance)
+    level = lambda c: F.ceil(F.log2(F.greatest(*c) - F.least(*c) + pad(c) * 2)).cast("int") if cell is None else F.lit(0)
+    size = lambda k: F.pow(F.lit(2.0), F.col(k)) if cell is None else F.lit(cell)
+    e = materialise(e.withColumns({"wide": level(lons), "high": level(lats)}), "corners")
+
+    def span(c, k):
+        return F.sequence(F.floor((F.least(*c) - pad(c)) / size(k)), F.floor((F.greatest(*c) + pad(c)) / size(k)))
+
+    dealt = e.withColumn("i", F.explode(span(lons, "wide"))).withColumn("j", F.explode(span(lats, "high")))
+    levels = e.select("wide", "high").where("wide IS NOT NULL AND high IS NOT NULL").distinct().collect()
+    sizes = F.array(*[F.struct(F.lit(r["wide"]).alias("wide"), F.lit(r["high"]).alias("high")) for r in levels] or [F.lit(None).cast("struct<wide:int,high:int>")])
+    placed = points.select("point_id", "lon", "lat", F.explode(sizes).alias("s")).select("point_id", "lon", "lat", "s.*")
+    met = placed.withColumns({"i": F.floor(F.col("lon") / size("wide")), "j": F.floor(F.col("lat") / size("high"))}).join(dealt, ["wide", "high", "i", "j"])
     return met.where(in_triangle(F.col("lon"), F.col("lat"), lons, lats, tolerance))
 
 
