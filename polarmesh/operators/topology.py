@@ -10,13 +10,17 @@ from pyspark.sql.types import IntegralType
 
 from polarmesh.functions.sphere import haversine
 from polarmesh.operators.masks import elem_nodes
-from polarmesh.shared import materialise
+from polarmesh.shared import materialise, tasks_for
 
 
 def element_edges(elements: DataFrame) -> DataFrame:
-    """elem_id, a, b with a < b: three rows for each element."""
+    """elem_id, a, b with a < b: three rows for each element.
+
+    Elements are dealt to tasks by their number: a mesh may come from one small file.
+    """
     pairs = [("n1", "n2"), ("n2", "n3"), ("n3", "n1")]
-    return elements.select("elem_id", F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in pairs])).alias("e")).select("elem_id", "e.a", "e.b")
+    dealt = elements.select("elem_id", "n1", "n2", "n3").repartition(tasks_for(elements.count()), "elem_id")
+    return dealt.select("elem_id", F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in pairs])).alias("e")).select("elem_id", "e.a", "e.b")
 
 
 def edges(elements: DataFrame) -> DataFrame:
@@ -45,12 +49,15 @@ def neighbour_lists(adjacency: DataFrame) -> DataFrame:
 
 def k_ring(adjacency: DataFrame, k: int) -> DataFrame:
     """id, nbr, ring: all within k steps but the id itself, with the least number of steps."""
-    seen = adjacency.select("id", "nbr", F.lit(1).alias("ring")).distinct()
-    frontier = seen
+    adjacency = materialise(adjacency.select("id", "nbr").distinct(), "adjacency")
+    seen = frontier = adjacency.withColumn("ring", F.lit(1))
     step = adjacency.select(F.col("id").alias("nbr"), F.col("nbr").alias("next"))
     for ring in range(2, k + 1):
-        reached = frontier.join(step, "nbr").select("id", F.col("next").alias("nbr")).where("id <> nbr").distinct()
-        frontier = materialise(reached.join(seen, ["id", "nbr"], "left_anti").withColumn("ring", F.lit(ring)), "ring")
+        # tasks by rows, as each holds the pairs that it has met
+        n = tasks_for(max(frontier.count(), adjacency.count()))
+        met = frontier.repartition(n, "nbr").join(step.repartition(n, "nbr").hint("merge"), "nbr").select("id", F.col("next").alias("nbr")).where("id <> nbr")
+        reached = met.repartition(n, "id", "nbr").distinct()
+        frontier = materialise(reached.join(seen.repartition(n, "id", "nbr").hint("merge"), ["id", "nbr"], "left_anti").withColumn("ring", F.lit(ring)), "ring")
         seen = seen.unionByName(frontier)
     return seen
 

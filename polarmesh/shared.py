@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,11 @@ def small(df: DataFrame, limit_bytes: int = 256_000_000, row_bytes: int = 64) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df.hint("merge")
 
 
+def tasks_for(rows: int, each: int = 200_000) -> int:
+    """How many tasks take so many rows, `each` at most on average."""
+    return max(1, math.ceil(rows / each))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where unset, a local session uses a folder below its warehouse, and a cluster raises."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
