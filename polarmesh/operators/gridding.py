@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polarmesh.functions.sphere import in_triangle, triangle_area
 from polarmesh.operators.masks import split_seam
 from polarmesh.operators.neighbours import nearest_on_sphere, nearest_planar, with_corners, within_radius
-from polarmesh.shared import small, sum0
+from polarmesh.shared import materialise, small, sum0, tasks_for
 
 
 def regular_grid(spark: SparkSession, lon0: float, dlon: float, nlon: int, lat0: float, dlat: float, nlat: int) -> DataFrame:
@@ -103,7 +103,8 @@ def sample_grid(nodes: DataFrame, grid: DataFrame, value: str, lon0: float, dlon
 
 def node_patches(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, patch: a third of the area of the elements around each node."""
-    e = with_corners(elements.select("elem_id", "n1", "n2", "n3"), nodes)
+    dealt = elements.select("elem_id", "n1", "n2", "n3").repartition(tasks_for(elements.count()), "elem_id")
+    e = with_corners(dealt, nodes)
     area = triangle_area([F.col(f"lon{k}") for k in (1, 2, 3)], [F.col(f"lat{k}") for k in (1, 2, 3)])
     return e.select(F.explode(F.array("n1", "n2", "n3")).alias("node_id"), (area / 3).alias("a")).groupBy("node_id").agg(F.sum("a").alias("patch"))
 
@@ -114,21 +115,25 @@ def distribute_runoff(rivers: DataFrame, nodes: DataFrame, patches: DataFrame, r
     Each cell with runoff goes to its nearest coastal node. From there it is
     dealt to all nodes within `radius`, by patch area times one less the
     distance over that of the farthest; a node without others keeps all. Mass
-    is conserved.
+    is conserved. The pairs are written once and meet tables by coastal node,
+    which are broadcast while they are small: one node's pairs, many near a
+    pole, are never one task's.
     """
+    by_coast = lambda df: small(materialise(df, "coast"), 16_000_000)
     coast = nodes.where("coast = 1").select(F.col("node_id").alias("source_id"), "lon", "lat")
     wet = rivers.where("mass > 0")
     places = wet.select(F.col("cell_id").alias("target_id"), "lon", "lat").dropDuplicates(["target_id"])
     near = nearest_on_sphere(places, coast).select(F.col("target_id").alias("cell_id"), F.col("source_id").alias("coast_id"))
-    at_coast = wet.join(near, "cell_id").groupBy("time", "coast_id").agg(F.sum("mass").alias("mass"))
+    at_coast = materialise(wet.join(near, "cell_id").groupBy("time", "coast_id").agg(F.sum("mass").alias("mass")), "coast")
     used = coast.join(at_coast.select(F.col("coast_id").alias("source_id")).distinct(), "source_id", "left_semi")
     pairs = within_radius(used.select(F.col("source_id").alias("target_id"), "lon", "lat"), nodes.select(F.col("node_id").alias("source_id"), "lon", "lat"), radius, earth)
     pairs = pairs.select(F.col("target_id").alias("coast_id"), F.col("source_id").alias("node_id"), F.when(F.col("target_id") == F.col("source_id"), F.lit(0.0)).otherwise(F.col("distance")).alias("distance")).join(patches, "node_id")
-    far = pairs.groupBy("coast_id").agg(F.max("distance").alias("far"))
+    pairs = materialise(pairs, "pairs")
+    far = by_coast(pairs.groupBy("coast_id").agg(F.max("distance").alias("far")))
     weighed = pairs.join(far, "coast_id").withColumn("w", F.when(F.col("far") > 0, F.col("patch") * (1 - F.try_divide("distance", "far"))).otherwise(F.when(F.col("node_id") == F.col("coast_id"), F.lit(1.0)).otherwise(F.lit(0.0))))
-    total = weighed.groupBy("coast_id").agg(F.sum("w").alias("total"))
+    total = by_coast(weighed.groupBy("coast_id").agg(F.sum("w").alias("total")))
     share = weighed.join(total, "coast_id").select("coast_id", "node_id", "patch", F.try_divide("w", "total").alias("share")).where("share > 0")
-    return at_coast.join(share, "coast_id").groupBy("time", "node_id").agg((F.sum(F.col("mass") * F.col("share")) / F.first("patch")).alias("runoff"))
+    return share.join(small(at_coast, 16_000_000), "coast_id").groupBy("time", "node_id").agg((F.sum(F.col("mass") * F.col("share")) / F.first("patch")).alias("runoff"))
 
 
 def rolling_3x3(grid: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:

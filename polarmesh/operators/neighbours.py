@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polarmesh.functions.sphere import EARTH_RADIUS, cartesian, great_circle_of, in_triangle
-from polarmesh.shared import materialise
+from polarmesh.shared import materialise, tasks_for
 
 AXES = ("x", "y", "z")
 
@@ -91,6 +91,7 @@ def near_cells(targets: DataFrame, nodes: DataFrame, levels: int, k: int) -> Dat
     # the cells below the first are 64 at most; all targets meet them
     first = nodes.where(F.col("parent") == top["node"]).select(columns).collect() if levels else [top]
     cells = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in first])
+    targets = targets.repartition(tasks_for(targets.count(), 5_000), "target_id")  # each becomes up to 64 rows
     found = nearest(targets.select("target_id", *AXES, F.explode(cells).alias("c")).select("target_id", *AXES, "c.*"))
     for _ in range(levels // STEP - 1):
         # a cell that isn't split is no parent, so it stays as it is

@@ -10,7 +10,7 @@ from polarmesh.operators import gridding, neighbours, vertical
 from polarmesh.plans.fixtures import Fixtures
 from polarmesh.plans.queries_series import _L1, _L2, LOCATED
 from polarmesh.plans.registry import query
-from polarmesh.shared import scratch
+from polarmesh.shared import materialise, scratch
 from polarmesh.sinks import files
 
 _XYZ = "cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z"
@@ -269,7 +269,7 @@ def _rivers(fx: Fixtures) -> DataFrame:
 
 @query("SELECT DATE '1995-01-01' AS time, round(sum(CAST(point_id % 13 AS DOUBLE)), 4) AS mass FROM fx_points")
 def o97_runoff_mass(fx: Fixtures) -> DataFrame:
-    patches = gridding.node_patches(fx.elements, fx.nodes)
+    patches = materialise(gridding.node_patches(fx.elements, fx.nodes), "patches")
     out = gridding.distribute_runoff(_rivers(fx), fx.nodes.join(patches.select("node_id"), "node_id", "left_semi"), patches)
     return gridding.total_mass(out, patches).select("time", F.round("mass", 4).alias("mass"))
 
@@ -286,7 +286,7 @@ _SPREAD = f"""WITH {_TRI_AREA}, n AS (SELECT node_id, lon, lat, coast, sum(area
 
 @query(f"{_SPREAD} SELECT DATE '1995-01-01' AS time, node_id, round(sum(mass * part) / any_value(patch) * 1e12, 4) AS runoff FROM share WHERE part > 0 GROUP BY node_id")
 def o97_distribute_runoff(fx: Fixtures) -> DataFrame:
-    patches = gridding.node_patches(fx.elements, fx.nodes)
+    patches = materialise(gridding.node_patches(fx.elements, fx.nodes), "patches")
     out = gridding.distribute_runoff(_rivers(fx), fx.nodes.join(patches.select("node_id"), "node_id", "left_semi"), patches)
     return out.select("time", "node_id", F.round(F.col("runoff") * 1e12, 4).alias("runoff"))
 
