@@ -66,8 +66,7 @@ def o08_read_positive_depths(fx: Fixtures) -> DataFrame:
 def _yearly_files(fx: Fixtures, *values: str) -> str:
     """The field's months as NetCDF files, one for each variable and year."""
     folder = scratch(fx.spark, "fields")
-    for value in values or ("a_ice",):
-        streamed.write_yearly_fields(fx.field2d, value, fx.n, folder)
+    streamed.write_yearly_fields(fx.field2d, list(values or ("a_ice",)), fx.n, folder)
     return folder
 
 
