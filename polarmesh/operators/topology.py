@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql.types import IntegralType
 
 from polarmesh.functions.sphere import haversine
 from polarmesh.operators.masks import elem_nodes
-from polarmesh.shared import materialise, tasks_for
+from polarmesh.shared import materialise, small, tasks_for
 
 
 def element_edges(elements: DataFrame) -> DataFrame:
@@ -66,54 +68,86 @@ def elements_of_nodes(elements: DataFrame) -> DataFrame:
     return elem_nodes(elements).groupBy("node_id").agg(F.sort_array(F.collect_list("elem_id")).alias("elems"))
 
 
-def _local_roots(inner: DataFrame, block: int) -> DataFrame:
-    """id, root: the least id that is reached over edges within the id's own block; only ids with such edges."""
+def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of the places 0 to n - 1 the least that is reached over the edges p, q; edges within a tree are dropped as trees grow."""
+    root = np.arange(n)
+    while True:
+        p, q = root[p], root[q]
+        apart = p != q
+        if not apart.any():
+            return root
+        p, q = p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, ends = np.unique(frame[["id", "nbr"]].to_numpy().ravel(), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        root = np.arange(len(ids))
-        while True:
-            low = np.minimum(root[ends[:, 0]], root[ends[:, 1]])
-            after = root.copy()
-            for k in (0, 1):
-                np.minimum.at(after, ends[:, k], low)
-                np.minimum.at(after, root[ends[:, k]], low)
-            after = after[after]
-            if (after == root).all():
-                return pd.DataFrame({"id": ids, "root": ids[root]})
-            root = after
 
-    in_block = lambda x: F.floor(F.col(x) / block).cast("long")
-    blocked = inner.select(F.col("id").cast("long").alias("id"), F.col("nbr").cast("long").alias("nbr"), in_block("id").alias("block")).where(F.col("block") == in_block("nbr"))
-    return blocked.groupBy("block").applyInPandas(run, "id long, root long")
+def _block_roots(vertices: DataFrame, adjacency: DataFrame, block: int) -> DataFrame:
+    """id, root, nbr, own: each vertex (own) with the least id that it reaches within its own block of ids, and its edges to other blocks (not own), whose nbr may be no vertex."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["own"].to_numpy(dtype=bool)
+        ids = np.unique(frame["id"].to_numpy()[own])
+        pairs = frame.loc[~own, ["id", "nbr"]].to_numpy()
+        if not len(ids):
+            return pd.DataFrame({"id": ids, "root": ids, "nbr": ids, "own": ids == 0})
+        ends = np.searchsorted(ids, pairs).clip(max=len(ids) - 1)
+        found = ids[ends] == pairs
+        root = ids[_roots(len(ids), *ends[found.all(axis=1)].T)]
+        out = found[:, 0] & (pairs[:, 0] // block != pairs[:, 1] // block)
+        parts = [(ids, root, ids, True), (pairs[out, 0], root[ends[out, 0]], pairs[out, 1], False)]
+        return pd.concat([pd.DataFrame({"id": i, "root": r, "nbr": n, "own": o}) for i, r, n, o in parts])
+
+    if vertices.count() <= FEW:  # most of the mesh's edges are none of theirs
+        adjacency = adjacency.join(F.broadcast(vertices.select("id")), "id", "left_semi")
+    rows = vertices.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("nbr"), F.lit(True).alias("own"))
+    rows = rows.union(adjacency.where("id IS NOT NULL AND nbr IS NOT NULL").select(F.col("id").cast("long"), F.col("nbr").cast("long"), F.lit(False)))
+    return rows.groupBy(F.floor(F.col("id") / block).cast("long").alias("block")).applyInPandas(run, "id long, root long, nbr long, own boolean")
 
 
 def components(vertices: DataFrame, adjacency: DataFrame, block: int = 50_000) -> DataFrame:
     """id, component (the least id of it) of the graph on `vertices` (id), with neighbours in it only.
 
     Integer ids are first joined within blocks of ids, each by one task, so
-    that only edges between blocks are left, and only their roots. These are
-    joined by minimum labels with pointer jumping, as are ids of other types;
-    each round is written to the shared folder, and the number of rounds grows
-    with the logarithm of the diameter on meshes. `block` bounds what a task
-    holds; the result doesn't depend on it.
+    that only edges between blocks are left, and only their roots. Up to
+    `ROOM` of these edges are joined by one task, more of them by minimum
+    labels with pointer jumping, as are ids of other types; each such round is
+    written to the shared folder, and the number of rounds grows with the
+    logarithm of the diameter on meshes. `block` bounds what a task holds; the
+    result doesn't depend on it.
     """
-    inner = adjacency.join(vertices.select("id"), "id", "left_semi").join(vertices.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id", "nbr")
     kind = vertices.schema["id"].dataType
     if not isinstance(kind, IntegralType):
+        inner = adjacency.join(vertices.select("id"), "id", "left_semi").join(vertices.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id", "nbr")
         return _joined(vertices.select("id"), materialise(inner, "edges"))
-    inner = materialise(inner, "edges")
-    roots = _local_roots(inner, block).select(F.col("id").cast(kind).alias("id"), F.col("root").cast(kind).alias("root"))
-    roots = materialise(vertices.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
-    across = inner.where(F.floor(F.col("id") / block) != F.floor(F.col("nbr") / block))
-    if across.isEmpty():
-        return roots.select("id", F.col("root").alias("component"))
-    across = across.join(roots, "id").select("nbr", F.col("root").alias("id")).join(roots.withColumnRenamed("id", "nbr"), "nbr").select("id", F.col("root").alias("nbr"))
-    across = materialise(across.where("id <> nbr").distinct(), "edges")
-    ends = across.select("id").union(across.select("nbr")).distinct()
-    labels = _joined(ends, both_ways(across.select(F.col("id").alias("a"), F.col("nbr").alias("b"))).distinct()).withColumnRenamed("id", "root")
-    return roots.join(labels, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+    rows = materialise(_block_roots(vertices, adjacency, block), "roots")
+    roots = rows.where("own").select("id", "root")
+    across = small(rows.where("NOT own").select("nbr", F.col("root").alias("a")), SMALL).join(roots.select(F.col("id").alias("nbr"), F.col("root").alias("b")), "nbr")
+    across = materialise(across.where("a <> b").select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("nbr")).distinct(), "edges")
+    n = across.count()
+    if n > ROOM:
+        labels = _joined(across.select("id").union(across.select("nbr")).distinct(), both_ways(across.select(F.col("id").alias("a"), F.col("nbr").alias("b")))).withColumnRenamed("id", "root")
+    elif n:
+        labels = across.coalesce(1).mapInPandas(_labels, "root long, component long")
+    else:
+        return roots.select(F.col("id").cast(kind).alias("id"), F.col("root").cast(kind).alias("component"))
+    joined = roots.join(F.broadcast(labels) if n <= ROOM else labels, "root", "left")
+    return joined.select(F.col("id").cast(kind).alias("id"), F.coalesce("component", "root").cast(kind).alias("component"))
+
+
+#: Vertices at most that are broadcast to be met by the edges of a whole mesh.
+FEW = 250_000
+
+#: Edges between blocks at most that one task joins.
+ROOM = 200_000
+
+#: Bytes of a table of ids at most that is broadcast to be met by rows of a whole mesh.
+SMALL = 64_000_000
+
+
+def _labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ids, ends = np.unique(np.concatenate([f[["id", "nbr"]].to_numpy() for f in frames]).ravel(), return_inverse=True)
+    yield pd.DataFrame({"root": ids, "component": ids[_roots(len(ids), *ends.reshape(-1, 2).T)]})
 
 
 def _joined(vertices: DataFrame, inner: DataFrame) -> DataFrame:
@@ -141,8 +175,8 @@ def drop_small(depths: DataFrame, adjacency: DataFrame, least: int = 100) -> Dat
     """node_id, cavity_depth with 0 in components of cavity nodes (depth < 0) of fewer than `least` nodes."""
     labels = components(depths.where("cavity_depth < 0").select(F.col("node_id").alias("id")), adjacency)
     sizes = labels.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") < least)
-    gone = labels.join(sizes, "component", "left_semi").select(F.col("id").alias("node_id"), F.lit(True).alias("gone"))
-    return depths.join(gone, "node_id", "left").select("node_id", F.when(F.col("gone"), F.lit(0.0)).otherwise(F.col("cavity_depth")).alias("cavity_depth"))
+    gone = materialise(labels.join(sizes, "component", "left_semi").select(F.col("id").alias("node_id"), F.lit(True).alias("gone")), "gone")
+    return depths.join(small(gone, SMALL), "node_id", "left").select("node_id", F.when(F.col("gone"), F.lit(0.0)).otherwise(F.col("cavity_depth")).alias("cavity_depth"))
 
 
 def loose_ends(depths: DataFrame, adjacency: DataFrame) -> DataFrame:
