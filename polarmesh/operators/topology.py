@@ -20,9 +20,23 @@ def element_edges(elements: DataFrame) -> DataFrame:
 
     Elements are dealt to tasks by their number: a mesh may come from one small file.
     """
-    pairs = [("n1", "n2"), ("n2", "n3"), ("n3", "n1")]
-    dealt = elements.select("elem_id", "n1", "n2", "n3").repartition(tasks_for(elements.count()), "elem_id")
-    return dealt.select("elem_id", F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in pairs])).alias("e")).select("elem_id", "e.a", "e.b")
+    return _corner_edges(_dealt(elements)).select("elem_id", "a", "b")
+
+
+def _corner_edges(elements: DataFrame) -> DataFrame:
+    """`element_edges` with c, the element's node that isn't on the edge."""
+    sides = [("n1", "n2", "n3"), ("n2", "n3", "n1"), ("n3", "n1", "n2")]
+    return elements.select("elem_id", F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.col(r).alias("c")) for p, q, r in sides])).alias("e")).select("elem_id", "e.a", "e.b", "e.c")
+
+
+def _dealt(elements: DataFrame) -> DataFrame:
+    return elements.select("elem_id", "n1", "n2", "n3").repartition(tasks_for(elements.count()), "elem_id")
+
+
+def _owners(elements: DataFrame) -> DataFrame:
+    """a, b, n (owners), p and q (the least and the largest of them), c (of two owners with the same third node that node, else null), of all edges; written."""
+    found = _corner_edges(elements).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("elem_id").alias("p"), F.max("elem_id").alias("q"), F.min("c").alias("c"), F.max("c").alias("d"))
+    return materialise(found.select("a", "b", "n", "p", "q", F.when((F.col("n") == 2) & (F.col("c") == F.col("d")), F.col("c")).alias("c")), "owners")
 
 
 def edges(elements: DataFrame) -> DataFrame:
@@ -283,36 +297,96 @@ def bottlenecks(elements: DataFrame) -> DataFrame:
     return both_ways(boundary_edges(elements)).groupBy(F.col("id").alias("node_id")).agg(F.count("*").alias("n")).where("n > 2").select("node_id", F.ceil(F.col("n") / 2).cast("int").alias("fans"))
 
 
+def _fans(around: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node_id, elem_id, fan (its least elem_id): elements (integer ids) around each node, joined by the node's own pairs (node_id, p, q).
+
+    A node has a handful of elements, so nodes are dealt to tasks whole, by
+    the number of rows.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        node, p, q = (frame[k].to_numpy() for k in ("node_id", "p", "q"))
+        keys, ends = np.unique(np.column_stack([np.tile(node, 2), np.concatenate([p, q])]), axis=0, return_inverse=True)
+        return pd.DataFrame({"node_id": keys[:, 0], "elem_id": keys[:, 1], "fan": keys[_roots(len(keys), *ends.reshape(2, -1)), 1]})
+
+    kinds = [around.schema[k].dataType for k in ("node_id", "elem_id")]
+    rows = around.select("node_id", F.col("elem_id").alias("p"), F.col("elem_id").alias("q")).unionByName(pairs.select("node_id", "p", "q"))
+    rows = materialise(rows.select(*[F.col(k).cast("long").alias(k) for k in rows.columns]), "fans")
+    deal = F.pmod(F.xxhash64("node_id"), F.lit(8 * tasks_for(rows.count())))
+    found = rows.groupBy(deal.alias("deal")).applyInPandas(run, "node_id long, elem_id long, fan long")
+    return materialise(found.select(F.col("node_id").cast(kinds[0]).alias("node_id"), *[F.col(k).cast(kinds[1]).alias(k) for k in ("elem_id", "fan")]), "fans")
+
+
+def _without(elements: DataFrame, owners: DataFrame, gone: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """`elements` but those of `gone` (elem_id), written, whose owners aren't known; both as they were if none is gone."""
+    if gone is None or gone.isEmpty():
+        return elements, owners
+    return materialise(elements.join(small(gone, SMALL), "elem_id", "left_anti").select("elem_id", "n1", "n2", "n3"), "elements"), None
+
+
+def _alone(owners: DataFrame) -> DataFrame:
+    """elem_id with one neighbour, of owners n, p, q of edges."""
+    beside = both_ways(owners.where("n = 2").select(F.col("p").alias("a"), F.col("q").alias("b"))).groupBy("id").agg(F.min("nbr").alias("least"), F.max("nbr").alias("most"))
+    return beside.where("least = most").select(F.col("id").alias("elem_id"))
+
+
+def _single(elements: DataFrame, owners: DataFrame) -> DataFrame | None:
+    """elem_id that go when elements with one neighbour are dropped until none is left; None if there is none.
+
+    After the first round only the elements that own an edge together with one
+    just gone are looked at, as no other's neighbours have changed: `near` are
+    all the rows of edges of these elements.
+    """
+    alone, gone, owned, near = materialise(_alone(owners), "single"), None, None, None
+    while n := alone.count():
+        few = F.broadcast if 64 * 12 * n <= SMALL else lambda rows: rows.hint("merge")  # an element has three sides, and an edge two owners as a rule
+        within = lambda rows, of, keys, few=few: rows.join(few(of.distinct()), keys, "left_semi")
+        gone = alone if gone is None else gone.unionByName(alone)
+        if owned is None:
+            owned = near = materialise(_corner_edges(elements).select("elem_id", "a", "b"), "owned")
+        without = small(gone, SMALL)
+        asked = within(near, within(near, alone, ["elem_id"]).select("a", "b"), ["a", "b"]).join(without, "elem_id", "left_anti").select("elem_id").distinct()
+        near = materialise(within(owned, within(owned, asked, ["elem_id"]).select("a", "b"), ["a", "b"]), "near")
+        left = near.join(without, "elem_id", "left_anti").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("elem_id").alias("p"), F.max("elem_id").alias("q"))
+        alone = materialise(_alone(left).join(few(asked), "elem_id", "left_semi"), "single")
+    return gone
+
+
 def fix_topology(elements: DataFrame, bottleneck_elements: bool = False, lakes: bool = False, single: bool = False, bottleneck_nodes: bool = False) -> DataFrame:
-    """Elements left after the chosen cuts (all off by default): elem_id, n1, n2, n3.
+    """Elements (integer ids) left after the chosen cuts (all off by default): elem_id, n1, n2, n3.
 
     bottleneck_elements: those whose three nodes all lie on the boundary but
     whose edges don't; single: elements with one neighbour, until none is
     left; lakes: all but the largest component; bottleneck_nodes: at a node
-    where fans meet in a point, all but the fan with most elements.
+    where fans meet in a point, all but the fan with most elements. Each cut
+    reads what the one before left from a written table; the owners of edges
+    are counted anew only when elements are gone.
     """
-    left = elements.select("elem_id", "n1", "n2", "n3")
+    left, owners = materialise(_dealt(elements), "elements"), None
     if bottleneck_nodes:
-        narrow = bottlenecks(left).select("node_id")
-        around = elem_nodes(left).join(narrow, "node_id").select("node_id", "elem_id")
-        pairs = element_neighbours(left).join(around.withColumnRenamed("elem_id", "id"), "id").join(around.select(F.col("node_id"), F.col("elem_id").alias("nbr")), ["node_id", "nbr"])
-        fans = components(around.select(F.struct("node_id", "elem_id").alias("id")), pairs.select(F.struct("node_id", F.col("id").alias("elem_id")).alias("id"), F.struct("node_id", F.col("nbr").alias("elem_id")).alias("nbr")))
-        sizes = fans.groupBy("component").agg(F.count("*").alias("n"))
-        keep = sizes.groupBy(F.col("component.node_id").alias("node_id")).agg(F.max_by("component", F.struct("n", (-F.col("component.elem_id")).alias("e"))).alias("component"))
-        left = left.join(fans.join(keep, "component", "left_anti").select(F.col("id.elem_id").alias("elem_id")).distinct(), "elem_id", "left_anti")
+        owners = _owners(left)
+        ends = lambda rows, *more: rows.select(F.explode(F.array("a", "b", *more)).alias("node_id"), "p", "q")
+        narrow = small(materialise(ends(owners.where("n = 1")).groupBy("node_id").count().where("count > 2").select("node_id"), "narrow"), SMALL)
+        around = elem_nodes(left).join(narrow, "node_id", "left_semi").select("node_id", "elem_id")
+        # two owners of an edge meet at both of its ends, and at the third node if that is the same
+        fans = _fans(around, ends(owners.where("n = 2 AND p <> q"), "c").join(narrow, "node_id", "left_semi"))
+        sizes = fans.groupBy("node_id", "fan").agg(F.count("*").alias("n"))
+        keep = sizes.groupBy("node_id").agg(F.max_by("fan", F.struct("n", (-F.col("fan")).alias("e"))).alias("fan"))
+        gone = materialise(fans.join(keep, ["node_id", "fan"], "left_anti").select("elem_id").distinct(), "gone")
+        left, owners = _without(left, owners, gone)
     if bottleneck_elements:
-        rim = both_ways(boundary_edges(left)).select(F.col("id").alias("node_id")).distinct()
-        narrow = elem_nodes(left).join(rim, "node_id", "left_semi").groupBy("elem_id").count().where("count = 3")
-        on_rim = element_edges(left).join(boundary_edges(left), ["a", "b"], "left_semi").select("elem_id")
-        left = left.join(narrow.join(on_rim, "elem_id", "left_anti").select("elem_id"), "elem_id", "left_anti")
+        owners = owners or _owners(left)
+        rim = owners.where("n = 1")
+        nodes = rim.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+        inside = left.join(rim.select(F.col("p").alias("elem_id")), "elem_id", "left_anti")
+        narrow = elem_nodes(inside).join(nodes, "node_id", "left_semi").groupBy("elem_id").count().where("count = 3")
+        left, owners = _without(left, owners, materialise(narrow.select("elem_id"), "gone"))
     if single:
-        while True:
-            alone = materialise(element_neighbours(left).groupBy("id").count().where("count < 2").select(F.col("id").alias("elem_id")), "single")
-            if alone.isEmpty():
-                break
-            left = materialise(left.join(alone, "elem_id", "left_anti"), "elements")
+        owners = owners or _owners(left)
+        left, owners = _without(left, owners, _single(left, owners))
     if lakes:
-        labels = components(left.select(F.col("elem_id").alias("id")), element_neighbours(left))
+        owners = owners or _owners(left)
+        labels = components(left.select(F.col("elem_id").alias("id")), owners.where("n = 2").select(F.col("p").alias("id"), F.col("q").alias("nbr")))
         left = left.join(holes(labels).select(F.col("id").alias("elem_id")), "elem_id", "left_anti")
     return left
 
